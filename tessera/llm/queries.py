@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, tokens, warczip
+from . import ann, crf, fst, tokens, warczip
 
-QUERIES = {"op1_token_output": tokens.op1_token_output, "op8_ann": ann.op8_ann, "op9_warc_zip": warczip.op9_warc_zip}
+QUERIES = {
+    "op1_token_output": tokens.op1_token_output,
+    "op7_crf_language": crf.op7_crf_language,
+    "op8_ann": ann.op8_ann,
+    "op9_warc_zip": warczip.op9_warc_zip,
+    "op10_fst_token_counts": fst.op10_fst_token_counts,
+}
 ORACLES = {"op9_warc_zip": warczip.OP9_SQL}
