@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 FIT_DOCS = 400  # labelled documents per language
 FIT_CHARS = 100_000  # longest document to learn from
 FIT_SEQUENCES = 1_200
@@ -279,6 +281,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced). A null, empty or letterless text is `und`
     with score 0, as is every text when there was nothing to learn from. Whole texts; no shuffle; repeated rows alike."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UND)).withColumn("score", F.lit(0.0))

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import default_tokenizer
 
 CHUNK = 128
@@ -319,6 +320,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = No
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; other columns, a column named as an
     output among them, are not read unless kept. An empty table gives no row. No shuffle.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     src = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, fresh_path, materialize, open_range, partitions
+from .common import AtomicFile, fresh_path, materialize, open_range, partitions, small_batches
 from .simple8b import pack_segment, read_segments
 
 END_ID = 2
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 #: Piece rule of the byte-level pre-tokenizer (fixed value, as in the tokenizer's definition).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -28,43 +29,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Memo(dict):
-    """piece -> tuple of ids, filled by the library and emptied when it has grown to LIMIT."""
-
-    LIMIT = 600_000
-
-    def __init__(self, tok):
-        self.tok = tok
-
-    def __missing__(self, piece):
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self[piece] = tuple(self.tok.encode(piece, add_special_tokens=False).ids)
-        return ids
-
-
 class TextEncoder:
     """ids of whole texts, equal to the library's. The library splits a text into pieces and encodes each alone, so pieces
-    seen before come from a memo; texts with special strings, or with characters whose class depends on the Unicode
-    version (U+0250 and above), go through the library whole."""
+    seen before come from a memo (emptied when it has grown to MEMO) and the others are encoded by the library in one
+    batch; texts with special strings, or with characters whose class depends on the Unicode version (U+0250 and above),
+    go through the library whole."""
+
+    MEMO = 400_000
+    GROUP_CHARS = 1 << 19
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, r"[^\x00-ɏ]"]))
+        self.whole = re.compile("|".join([*special, r"[^\x00-\u024f]"]))
         self.split = regex.compile(PIECES).findall
-        self.memo = _Memo(self.tok)
+        self.memo: dict[str, bytes] = {}
+        self.fast = True
         probe = "It's 12 (odd)  \n\tthings, isn't it?  "
-        self.fast = list(chain.from_iterable(map(self.memo.__getitem__, self.split(probe)))) == self.tok.encode(probe, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.fast or self.whole.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, self.split(text))), np.uint32)
+        self.fast = self.group([probe])[0].tolist() == self.tok.encode(probe, add_special_tokens=False).ids
+
+    def group(self, texts: list[str]) -> list[np.ndarray]:
+        pieces: list[list[str] | None] = [self.split(t) if self.fast and not self.whole.search(t) else None for t in texts]
+        if len(self.memo) > self.MEMO:
+            self.memo.clear()
+        new = list(set(chain.from_iterable(p for p in pieces if p)).difference(self.memo))
+        if new:
+            self.memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        get = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") if p is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for p, t in zip(pieces, texts, strict=True)]
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < self.GROUP_CHARS):
+                size += len(texts[to])
+                to += 1
+            yield from self.group(texts[at:to])
+            at = to
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -86,6 +91,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts or partitions(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
 
@@ -102,11 +108,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
 
         waiting = 0
         for b in batches:
-            for d, text, p in zip(b["doc_id"].array, b["text"].array, b["file"].array, strict=True):
+            for d, x, p in zip(b["doc_id"].array, enc(b["text"].tolist()), b["file"].array, strict=True):
                 if f is None:
                     file = int(p)
                     f = AtomicFile(name := f"{out}/ids-{file:06d}.s8b")
-                x = np.append(enc(text), np.uint32(end_id)).astype(np.uint32)
+                x = np.append(x, np.uint32(end_id))
                 held.append((NULL_ID if pd.isna(d) else int(d), x))
                 waiting += len(x)
                 if waiting >= SEGMENT_IDS:
