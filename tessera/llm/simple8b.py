@@ -19,13 +19,16 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 0], dtype=
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60, 60], dtype=np.int64)
 MAGIC = b"S8B1"
 LOW60 = np.uint64((1 << 60) - 1)
+_WIDTH = np.maximum(1, np.frexp(np.arange(1 << 18))[1]).astype(np.uint8)
 
 
 def bit_width(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 1 at least."""
-    w = np.ones(len(ids), dtype=np.uint8)
     top = int(ids.max()) if len(ids) else 0
-    for b in range(1, max(1, top.bit_length())):
+    if top < len(_WIDTH):
+        return _WIDTH[ids]
+    w = np.ones(len(ids), dtype=np.uint8)
+    for b in range(1, top.bit_length()):
         w += ids >= np.uint64(1 << b)
     return w
 
@@ -60,11 +63,11 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     length = np.full(blocks, BLOCK, dtype=np.int64)
     length[-1] = n - (blocks - 1) * BLOCK
     lane, pos = np.arange(blocks), np.zeros(blocks, dtype=np.int64)
-    lanes, poss, sels = [], [], []
+    lanes, poss, sels, nth = [], [], [], []
     used = np.zeros(blocks, dtype=np.int64)
     while len(lane):
         s = sel[lane, pos]
-        lanes.append(lane), poss.append(pos), sels.append(s)
+        lanes.append(lane), poss.append(pos), sels.append(s), nth.append(used[lane])
         used[lane] += 1 + (s == 14)
         pos = pos + COUNTS[s]
         live = pos < length[lane]
@@ -72,25 +75,23 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.zeros(blocks, dtype=np.int64)
     np.cumsum(used[:-1], out=offsets[1:])
     lane, pos, s = np.concatenate(lanes), np.concatenate(poss), np.concatenate(sels)
-    order = np.lexsort((pos, lane))
-    lane, pos, s = lane[order], pos[order], s[order]
-    at = np.arange(len(s)) + np.concatenate(([0], np.cumsum(s == 14)[:-1]))
+    at = offsets[lane] + np.concatenate(nth)
     words = np.zeros(int(used.sum()), dtype=np.uint64)
-    padded = padded.reshape(blocks, BLOCK)
+    wide = np.zeros((blocks, BLOCK + 60), dtype=np.uint64)
+    wide[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    first, wide = lane * (BLOCK + 60) + pos, wide.ravel()
     for k in np.unique(s):
         m = s == k
         c, width = int(COUNTS[k]), int(WIDTHS[k])
         word = np.full(int(m.sum()), int(k) << 60, dtype=np.uint64)
         if k == 14:
-            v = padded[lane[m], pos[m]]
+            v = wide[first[m]]
             words[at[m]] = word | (v & LOW60)
             words[at[m] + 1] = np.uint64(15 << 60) | (v >> np.uint64(60))
             continue
+        p = first[m]
         for j in range(c):
-            p = pos[m] + j
-            v = padded[lane[m], np.minimum(p, BLOCK - 1)]
-            v[p >= BLOCK] = 0
-            word |= v << np.uint64(width * j)
+            word |= wide[p + j] << np.uint64(width * j)
         words[at[m]] = word
     return words, offsets.astype(np.uint64)
 

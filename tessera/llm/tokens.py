@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,7 +19,7 @@ from .common import AtomicFile, fresh_path, materialize, open_range, partitions,
 from .simple8b import pack_segment, read_segments
 
 END_ID = 2
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 19
 #: Piece rule of the byte-level pre-tokenizer (fixed value, as in the tokenizer's definition).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -29,37 +30,78 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Memo:
+    """A mapping that forgets: when the young half is full it becomes the old one; what is asked for again stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that it doesn't know; the others can be read from .young from now on."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        left = []
+        for k in keys.difference(self.young):
+            if (v := self.old.get(k)) is None:
+                left.append(k)
+            else:
+                self.young[k] = v
+        return left
+
+
 class TextEncoder:
     """ids of whole texts, equal to the library's. The library splits a text into pieces and encodes each alone, so pieces
-    seen before come from a memo (emptied when it has grown to MEMO) and the others are encoded by the library in one
-    batch; texts with special strings, or with characters whose class depends on the Unicode version (U+0250 and above),
-    go through the library whole."""
+    seen before come from a memo and the others are encoded by the library in one batch. A space followed by no white
+    space always starts a piece, so texts of single spaces are first cut at those and the parts have a memo too. Texts
+    with special strings, or with characters whose class depends on the Unicode version (U+0250 and above), go through
+    the library whole."""
 
-    MEMO = 400_000
-    GROUP_CHARS = 1 << 19
+    GROUP_CHARS = 1 << 20
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([*special, r"[^\x00-\u024f]"]))
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.beyond = re.compile("[^\x00-\u024f]").search
+        self.uneven = re.compile(r" (?:\s|\Z)").search
         self.split = regex.compile(PIECES).findall
-        self.memo: dict[str, bytes] = {}
+        self.pieces, self.parts = _Memo(memo), _Memo(memo)
         self.fast = True
-        probe = "It's 12 (odd)  \n\tthings, isn't it?  "
-        self.fast = self.group([probe])[0].tolist() == self.tok.encode(probe, add_special_tokens=False).ids
+        probe = ["It's 12 (odd)  \n\tthings, isn't it?  ", "so it's plain\ntext, as\n\n here: 'tis"]
+        self.fast = [x.tolist() for x in self.group(probe)] == [self._whole(t).tolist() for t in probe]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
+        """ids of lists of pieces, as bytes."""
+        if new := self.pieces.missing(set(chain.from_iterable(texts))):
+            self.pieces.young.update(zip(new, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        get = self.pieces.young.__getitem__
+        return (b"".join(map(get, t)) for t in texts)
 
     def group(self, texts: list[str]) -> list[np.ndarray]:
-        pieces: list[list[str] | None] = [self.split(t) if self.fast and not self.whole.search(t) else None for t in texts]
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        new = list(set(chain.from_iterable(p for p in pieces if p)).difference(self.memo))
-        if new:
-            self.memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") if p is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for p, t in zip(pieces, texts, strict=True)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        even, odd = [], []
+        for i, t in enumerate(texts):
+            if not self.fast or any(s in t for s in self.special) or not t.isascii() and self.beyond(t):
+                out[i] = self._whole(t)
+            else:
+                (odd if self.uneven(t) else even).append(i)
+        for i, b in zip(odd, self._encode([self.split(texts[i]) for i in odd]), strict=True):
+            out[i] = np.frombuffer(b, "<u4")
+        cut = [texts[i].split(" ") for i in even]
+        first = self._encode([self.split(c[0]) for c in cut])
+        rest = [c[1:] for c in cut]
+        heads = list(first)
+        if new := self.parts.missing(set(chain.from_iterable(rest))):
+            self.parts.young.update(zip(new, self._encode([self.split(" " + c) for c in new]), strict=True))
+        get = self.parts.young.__getitem__
+        for i, h, r in zip(even, heads, rest, strict=True):
+            out[i] = np.frombuffer(h + b"".join(map(get, r)), "<u4")
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         at = 0
