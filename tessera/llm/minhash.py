@@ -223,9 +223,11 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
         sim = sim.union(sim.select(F.col("b"), F.col("a"), "sim"))
         old = split.select("key", F.col("first.doc").alias("a")) if seen is judged else last.join(split.select("key"), "key", "left_semi").select("key", F.col("c.doc").alias("a"))
         best = named.join(old, "key").join(sim.withColumnRenamed("b", "doc"), ["a", "doc"]).groupBy("key").agg(F.max(F.struct("sim", "doc", "sk")).alias("m"))
-        last = materialize(split.select("key").join(best, "key", "left").join(named.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc", "sk")).alias("r")), "key").select("key", F.when(F.col("m").isNotNull(), F.struct(F.col("m.doc").alias("doc"), F.col("m.sk").alias("sk"))).otherwise(F.struct(F.col("r.doc").alias("doc"), F.col("r.sk").alias("sk"))).alias("c")), "centres")
+        pick = split.select("key").join(best, "key", "left").join(named.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc", "sk")).alias("r")), "key").select("key", F.when(F.col("m").isNotNull(), F.struct(F.col("m.doc").alias("doc"), F.col("m.sk").alias("sk"))).otherwise(F.struct(F.col("r.doc").alias("doc"), F.col("r.sk").alias("sk"))).alias("c"))
+        last = materialize(pick.join(label.select(F.col("doc").alias("own"), F.col("label").alias("of")), F.col("c.doc") == F.col("own"), "left").select("key", "c", F.coalesce("of", "c.doc").alias("of")), "centres")
         tried = seen.select("a", "b")
-        new = star(last, named).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        # only what isn't in the centre's component yet
+        new = star(last, named).filter(F.col("label") != F.col("of")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = materialize(verify(new, sets), "judged")
         if new.isEmpty():
             break
