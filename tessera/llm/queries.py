@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, crf, fst, minhash, tokens, warczip
+from . import ann, crf, fst, minhash, styletree, tokens, warczip
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
+    "op4_style_tree": styletree.op4_style_tree,
     "op5_minhash_tensored": minhash.op5_minhash_tensored,
     "op7_crf_language": crf.op7_crf_language,
     "op8_ann": ann.op8_ann,
