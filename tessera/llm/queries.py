@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, crf, fst, minhash, styletree, tokens, warczip
+from . import ann, crf, decontam, fst, minhash, styletree, tokens, warczip
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
     "op4_style_tree": styletree.op4_style_tree,
     "op5_minhash_tensored": minhash.op5_minhash_tensored,
+    "op6_lsa_decontamination": decontam.op6_lsa_decontamination,
     "op7_crf_language": crf.op7_crf_language,
     "op8_ann": ann.op8_ann,
     "op9_warc_zip": warczip.op9_warc_zip,
