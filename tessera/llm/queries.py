@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, crf, decontam, fst, minhash, raking, styletree, tokens, warczip
+from . import ann, crf, decontam, fst, minhash, raking, styletree, suffix, tokens, warczip
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
     "op2_raked_mixture": raking.op2_raked_mixture,
+    "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_style_tree": styletree.op4_style_tree,
     "op5_minhash_tensored": minhash.op5_minhash_tensored,
     "op6_lsa_decontamination": decontam.op6_lsa_decontamination,
