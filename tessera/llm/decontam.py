@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-RANK, OVERSAMPLE = 48, 16
+RANK, OVERSAMPLE = 32, 8
 PASSAGE = 32  # words of a passage in the fit
 STEP = 8  # windows start at multiples of this
-WINDOWS = (16, 32, 64)
+WINDOWS = (16, 48)
+COMMON = 0.03  # a word in more than this share of passages weighs nothing
 COSINE = 0.55
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.6
-ENOUGH, RARE = 0.5, 0.7  # shares of an item's distinct words
+ENOUGH, RARE = 0.6, 0.7  # shares of an item's distinct words
 GROUP = 256
 BLOCK_CHARS = 8_000_000  # of benchmark text judged in one pass over the corpus
 _WORD = re.compile(r"[^\W_]+").findall
@@ -82,9 +83,9 @@ def _passages(ids: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return (np.concatenate(own) if own else np.zeros(0, np.uint32)), np.repeat(np.cumsum(length) - length, per) + nth * size, doc
 
 
-def _summed(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum over each passage of its words' rows; row 0 is zero. Words of no weight are left out before the gather."""
-    hit = np.flatnonzero(ids)
+def _summed(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Sum over each passage of its words' rows. Words of no weight (not heavy) are left out before the gather."""
+    hit = np.flatnonzero(heavy[ids])
     upto = np.searchsorted(hit, starts)
     out = np.zeros((len(starts), rows.shape[1]), rows.dtype)
     if len(hit):
@@ -125,7 +126,8 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
             ids, starts, _ = _passages(list(b["ids"]), PASSAGE)
             n += len(starts)
             if len(starts):
-                key = np.unique(np.repeat(np.arange(len(starts), dtype=np.int64), np.diff(np.append(starts, len(ids)))) * v + ids)
+                hit = np.flatnonzero(ids)
+                key = np.unique((np.searchsorted(starts, hit, side="right") - 1) * v + ids[hit])
                 count[:, 0] += np.bincount(key % v, minlength=v)
         count[0] = n
         yield _rows(count)
@@ -136,36 +138,39 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
 
     counts = _collect(_added(table.select("ids").mapInPandas(df_counts, "w long, x binary")), v, 1)[:, 0]
     idf = np.log((counts[0] + 1) / (counts + 1)).clip(0)
+    idf[(counts > COMMON * counts[0])] = 0
     idf[0] = 0
+    heavy = idf > 0
     width = min(RANK + OVERSAMPLE, max(1, v - 1))
     omega = (np.random.default_rng(seed).standard_normal((v, width)) * idf[:, None]).astype(np.float32)
     sc = table.sparkSession.sparkContext
 
-    def ranged(batches: Iterator[pd.DataFrame], shared=sc.broadcast((omega, idf))) -> Iterator[pd.DataFrame]:
-        rows, weight = shared.value
+    def ranged(batches: Iterator[pd.DataFrame], shared=sc.broadcast((omega, idf, heavy))) -> Iterator[pd.DataFrame]:
+        rows, weight, heavy = shared.value
         y = np.zeros((v, width))
         for b in batches:
             ids, starts, _ = _passages(list(b["ids"]), PASSAGE)
             if not len(starts):
                 continue
-            p = _summed(rows, ids, starts)
-            which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-            hit = np.flatnonzero(ids)
-            order = hit[np.argsort(ids[hit], kind="stable")]
+            p = _summed(rows, ids, starts, heavy)
+            hit = np.flatnonzero(heavy[ids])
+            which = np.searchsorted(starts, hit, side="right") - 1
+            sort = np.argsort(ids[hit], kind="stable")
+            order, which = hit[sort], which[sort]
             if len(order):
                 w, first = np.unique(ids[order], return_index=True)
-                y[w] += np.add.reduceat(p[which[order]], first, axis=0) * weight[w][:, None]
+                y[w] += np.add.reduceat(p[which], first, axis=0) * weight[w][:, None]
         yield _rows(y)
 
     y = _collect(_added(table.select("ids").mapInPandas(ranged, "w long, x binary")), v, width)
     q = np.linalg.qr(y)[0]
 
-    def gram(batches: Iterator[pd.DataFrame], shared=sc.broadcast((q * idf[:, None]).astype(np.float32))) -> Iterator[pd.DataFrame]:
+    def gram(batches: Iterator[pd.DataFrame], shared=sc.broadcast(((q * idf[:, None]).astype(np.float32), heavy))) -> Iterator[pd.DataFrame]:
         c = np.zeros((width, width))
         for b in batches:
             ids, starts, _ = _passages(list(b["ids"]), PASSAGE)
             if len(starts):
-                p = _summed(shared.value, ids, starts).astype(np.float64)
+                p = _summed(*shared.value[:1], ids, starts, shared.value[1]).astype(np.float64)
                 c += p.T @ p
         yield _rows(c)
 
@@ -194,22 +199,22 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
         size[x + 1] = len(ks)
     offset = np.cumsum(size)
     flat = np.array([k for x in sorted(posting) for k in posting[x]], dtype=np.int64)
-    shared = table.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), items, np.array(need), offset, flat))
+    shared = table.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), norms == 0, idf > 0, items, np.array(need), offset, flat))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, vectors, items, need, offset, flat = shared.value
-        longest = -(-max(len(w) for _, w, _ in items) // STEP)
+        rows, vectors, free, heavy, items, need, offset, flat = shared.value
+        longest = -(-max(len(w) for _, w, _ in items) // 2 // STEP)
         sets = [frozenset(w) for _, w, _ in items]
         for b in batches:
             ids, starts, doc = _passages(list(b["ids"]), STEP)
             out: dict[tuple[int, int], float] = {}
             if len(starts):
-                block = _summed(rows, ids, starts)
+                block = _summed(rows, ids, starts, heavy)
                 total = np.concatenate([np.zeros((1, block.shape[1])), np.cumsum(block, axis=0, dtype=np.float64)])
                 last = np.searchsorted(doc, doc, side="right")  # one past the document's last block
                 begin = np.searchsorted(doc, doc)
                 # rare words of each item up to each block, for GROUP items at a time
-                hit = np.flatnonzero(ids)
+                hit = np.flatnonzero(offset[ids + 1] > offset[ids])
                 which = np.searchsorted(starts, hit, side="right") - 1
                 n = offset[ids[hit] + 1] - offset[ids[hit]]
                 which = np.repeat(which, n)
@@ -230,7 +235,7 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                         at, to, lo_b, hi_b = at[some], to[some], lo_b[some], hi_b[some]
                         x = (total[to] - total[at]).astype(np.float32)
                         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        ok = (x @ vectors[g : g + wide].T >= COSINE) & (rare[hi_b] - rare[lo_b] >= need[g : g + wide])
+                        ok = ((x @ vectors[g : g + wide].T >= COSINE) | free[g : g + wide]) & (rare[hi_b] - rare[lo_b] >= need[g : g + wide])
                         for r, k in zip(*np.nonzero(ok), strict=True):
                             k = k + g
                             a, z, d = at[r], to[r], doc[at[r]]
@@ -238,7 +243,8 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                                 continue
                             item, want, answer = items[k]
                             first = starts[begin[a]]
-                            lo, hi = max(first, starts[a] - len(want)), min(ends[last[a]], ends[z] + len(want))
+                            half = -(-len(want) // 2)
+                            lo, hi = max(first, starts[a] - half), min(ends[last[a]], ends[z] + half)
                             near = ids[lo:hi].tolist()
                             if len(sets[k].intersection(near)) < ENOUGH * len(sets[k]):
                                 continue
