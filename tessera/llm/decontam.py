@@ -49,11 +49,32 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _sliding(x: np.ndarray, before: int, width: int) -> np.ndarray:
+    """For each row i the sum of the rows i - before .. i - before + width - 1 (those that there are), as saturated bytes."""
+    y = np.concatenate([np.zeros((before, x.shape[1]), np.uint8), np.minimum(x, 255 // width), np.zeros((width, x.shape[1]), np.uint8)])
+    total, at, have = None, 0, 1
+    while True:
+        if width & have:
+            part = y[at : at + len(x)]
+            total = part.copy() if total is None else total + part
+            at += have
+        if at == width:
+            return total
+        y = y[:-have] + y[have:]
+        have *= 2
+
+
 class _Ids(dict):
-    """word -> id, 0 for others."""
+    """A run of characters other than white space -> ids of its words, as bytes; emptied when it has grown to MOST."""
+
+    MOST = 300_000
 
-    def __missing__(self, w):
-        return 0
+    def __init__(self, vocabulary: dict[str, int]):
+        self.of = vocabulary
+
+    def __missing__(self, run):
+        x = self[run] = np.array([self.of.get(w, 0) for w in words(run)], np.uint32).tobytes()
+        return x
 
 
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -61,12 +82,11 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = _Ids(known.value).__getitem__
+        memo = _Ids(known.value)
         for b in batches:
-            out = []
-            for t in b["text"]:
-                w = words(t)
-                out.append(np.fromiter(map(get, w), np.uint32, len(w)).tobytes())
+            if len(memo) > memo.MOST:
+                memo.clear()
+            out = [b"".join(map(memo.__getitem__, (t or "").split())) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
 
     return docs.mapInPandas(run, "doc_id long, ids binary")
@@ -163,21 +183,8 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
         yield _rows(y)
 
     y = _collect(_added(table.select("ids").mapInPandas(ranged, "w long, x binary")), v, width)
-    q = np.linalg.qr(y)[0]
-
-    def gram(batches: Iterator[pd.DataFrame], shared=sc.broadcast(((q * idf[:, None]).astype(np.float32), heavy))) -> Iterator[pd.DataFrame]:
-        c = np.zeros((width, width))
-        for b in batches:
-            ids, starts, _ = _passages(list(b["ids"]), PASSAGE)
-            if len(starts):
-                p = _summed(*shared.value[:1], ids, starts, shared.value[1]).astype(np.float64)
-                c += p.T @ p
-        yield _rows(c)
-
-    c = _collect(_added(table.select("ids").mapInPandas(gram, "w long, x binary")), width, width)
-    values, vectors = np.linalg.eigh(c)
-    best = np.argsort(-values)[:RANK]
-    return idf, q @ vectors[:, best]
+    # y = (A'A) omega spans the leading right singular vectors; those of y itself, in order, are taken for them
+    return idf, np.linalg.svd(y, full_matrices=False)[0][:, :RANK]
 
 
 def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf: np.ndarray, basis: np.ndarray) -> DataFrame:
@@ -191,7 +198,7 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
     for k, (_, w, _) in enumerate(items):
         own = sorted(set(w), key=lambda x: (-idf[x], x))
         rare = own[: max(1, int(np.ceil(RARE * len(own))))]
-        need.append(max(1, int(np.ceil(ENOUGH * len(own) - (len(own) - len(rare)) - 1e-9))))
+        need.append(min(200, max(1, int(np.ceil(ENOUGH * len(own) - (len(own) - len(rare)) - 1e-9)))))
         for x in rare:
             posting.setdefault(x, []).append(k)
     size = np.zeros(len(rows) + 1, dtype=np.int64)
@@ -223,19 +230,21 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                 for g in range(0, len(items), GROUP):
                     m = (item_at >= g) & (item_at < g + GROUP)
                     wide = min(GROUP, len(items) - g)
-                    rare = np.zeros((len(starts) + 1, wide), np.int32)
-                    rare[1:] = np.bincount(which[m] * wide + item_at[m] - g, minlength=len(starts) * wide).reshape(-1, wide)
-                    np.cumsum(rare, axis=0, out=rare)
+                    rare = np.zeros((len(starts), wide), np.uint8)  # at most STEP times the repeats of an item's word
+                    np.add.at(rare, (which[m], item_at[m] - g), 1)
+                    least = need[g : g + wide].astype(np.uint8)
                     for size in WINDOWS:
                         at = np.arange(0, len(starts))
                         at = at[(at - begin) % (size // 2 // STEP) == 0]
                         to = np.minimum(at + size // STEP, last[at])
-                        lo_b, hi_b = np.maximum(begin[at], at - longest), np.minimum(last[at], to + longest)
-                        some = (rare[hi_b] - rare[lo_b] >= need[g : g + wide]).any(axis=1)
-                        at, to, lo_b, hi_b = at[some], to[some], lo_b[some], hi_b[some]
+                        # of a region around the window; a neighbouring document's words can only add to it
+                        region = _sliding(rare, longest, size // STEP + 2 * longest)
+                        enough = region[at] >= least
+                        some = np.flatnonzero(enough.any(axis=1))
+                        at, to = at[some], to[some]
                         x = (total[to] - total[at]).astype(np.float32)
                         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        ok = ((x @ vectors[g : g + wide].T >= COSINE) | free[g : g + wide]) & (rare[hi_b] - rare[lo_b] >= need[g : g + wide])
+                        ok = ((x @ vectors[g : g + wide].T >= COSINE) | free[g : g + wide]) & enough[some]
                         for r, k in zip(*np.nonzero(ok), strict=True):
                             k = k + g
                             a, z, d = at[r], to[r], doc[at[r]]
