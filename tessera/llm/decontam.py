@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -64,29 +65,14 @@ def _sliding(x: np.ndarray, before: int, width: int) -> np.ndarray:
         have *= 2
 
 
-class _Ids(dict):
-    """A run of characters other than white space -> ids of its words, as bytes; emptied when it has grown to MOST."""
-
-    MOST = 300_000
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.of = vocabulary
-
-    def __missing__(self, run):
-        x = self[run] = np.array([self.of.get(w, 0) for w in words(run)], np.uint32).tobytes()
-        return x
-
-
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(row columns, ids): each document's words as ids of the vocabulary (bounded by BLOCK_CHARS), 0 for other words."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Ids(known.value)
+        get = known.value.get
         for b in batches:
-            if len(memo) > memo.MOST:
-                memo.clear()
-            out = [b"".join(map(memo.__getitem__, (t or "").split())) for t in b["text"]]
+            out = [np.fromiter(map(get, words(t), repeat(0)), np.uint32).tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
 
     return docs.mapInPandas(run, "doc_id long, ids binary")
