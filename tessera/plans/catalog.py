@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import register
+from . import audit, batch, evaluate, frames
+from .fixtures import with_fixtures
+
+#: Where DuckDB writes something otherwise.
+_DUCK = (("LEFT ANTI JOIN", "ANTI JOIN"), ("LEFT SEMI JOIN", "SEMI JOIN"))
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, sql)
+        return spark.sql(sql)
+
+    return run
+
+
+def _duck(sql: str) -> str:
+    for ours, theirs in _DUCK:
+        sql = sql.replace(ours, theirs)
+    return sql
+
+
+SQL = {name: with_fixtures(q) for part in (evaluate, batch, audit) for name, q in part.SQL.items()}
+QUERIES = {name: _query(q) for name, q in SQL.items()} | frames.QUERIES
+ORACLES = {name: _duck(q) for name, q in SQL.items()} | {k: with_fixtures(v) for k, v in frames.ORACLES.items()}
