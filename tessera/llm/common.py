@@ -113,3 +113,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+_CACHES: list = []
+
+
+def keep_only(*caches) -> None:
+    """Empty what other operators have cached in this worker process: workers are used again, and only one operator's
+    tables should take memory at a time."""
+    for c in _CACHES:
+        if not any(c is x for x in caches):
+            c.clear()
+    _CACHES[:] = caches

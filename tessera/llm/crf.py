@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import keep_only, small_batches
 
 FIT_DOCS = 400  # labelled documents per language
 FIT_CHARS = 100_000  # longest document to learn from
@@ -63,7 +63,7 @@ class _Buckets(dict):
     """n-gram -> bucket; emptied when it has grown large."""
 
     def __missing__(self, gram):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         b = self[gram] = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
         return b
@@ -199,7 +199,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 11, rounds: int = 45) -> Mod
 class Labeller:
     """Posteriors of whole texts under a model, with a memo of word scores."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -256,6 +256,7 @@ _LABELLERS: dict[str, Labeller] = {}
 
 
 def labeller(model: Model) -> Labeller:
+    keep_only(_LABELLERS, _BUCKET)
     if model.uid not in _LABELLERS:
         _LABELLERS.clear()
         _LABELLERS[model.uid] = Labeller(model)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import keep_only, materialize, small_batches
 
 RANK, OVERSAMPLE = 32, 8
 PASSAGE = 32  # words of a passage in the fit
@@ -70,6 +70,7 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only()
         get = known.value.get
         for b in batches:
             out = [np.fromiter(map(get, words(t), repeat(0)), np.uint32).tobytes() for t in b["text"]]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import keep_only, small_batches
 from .tokens import default_tokenizer
 
 CHUNK = 128
@@ -309,6 +309,7 @@ _COUNTERS: dict[str, TokenCounter] = {}
 
 
 def counter(path: str) -> TokenCounter:
+    keep_only(_COUNTERS)
     if path not in _COUNTERS:
         _COUNTERS[path] = TokenCounter(path)
     return _COUNTERS[path]

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import keep_only, materialize, small_batches
 
 WIDTH, GROUPS = 2, 12
 SMALL = 12
 ROUNDS = 4
 PERCENT = 80
 #: Of 64 sketch bits, so many agree at least in a candidate: at a similarity of 0.8 57.6 do, with a deviation of 2.4.
-AGREE = 44
+AGREE = 46
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the distinct n-word shingles of texts; words are runs of bytes other than white space, A-Z folded."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, n: int):
         self.n, self.words = n, {}
@@ -70,6 +70,7 @@ _SHINGLERS: dict[int, Shingler] = {}
 
 
 def shingler(n: int) -> Shingler:
+    keep_only(_SHINGLERS)
     return _SHINGLERS.setdefault(n, Shingler(n))
 
 
@@ -137,9 +138,9 @@ def _keys(reps: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(len(b), -1)
             keys, tables = table_keys(sig), GROUPS * GROUPS
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), tables), "sk": np.repeat(sketch(sig).view(np.int64), tables)})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), tables), "sk": np.repeat(sketch(sig).view(np.int64), tables), "t": np.tile(np.arange(tables, dtype=np.int16), len(b))})
 
-    return reps.mapInPandas(run, "key long, doc long, sk long")
+    return reps.mapInPandas(run, "key long, doc long, sk long, t short")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,7 +201,8 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     large = buckets.filter(F.col("size") > SMALL)
     centre = large.groupBy("key").agg(F.min(F.struct("doc", "sk")).alias("c"))
     star = lambda c, rows: rows.join(c, "key").withColumns({"b": F.col("c.doc"), "skb": F.col("c.sk")}).filter((F.col("doc") != F.col("b")) & agree("sk", "skb"))
-    first = star(centre, large).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+    # a third of the tables first; each round uses another, for what isn't in the centre's component yet
+    first = star(centre, large.filter(F.col("t") % 3 == 0)).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
     pairs = materialize(pairs.union(first).distinct(), "pairs")
     wanted = large.select("doc").union(pairs.select(F.col("a"))).union(pairs.select("b")).distinct()
 
@@ -215,14 +217,14 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     links = links_of(judged)
     label = components(links)
     seen = judged
-    for _ in range(ROUNDS if not large.isEmpty() else 0):
-        named = large.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("doc", "sk")).alias("first")).filter("lo <> hi")
-        # the member most like the last centre becomes the centre
+    for r in range(ROUNDS if not large.isEmpty() else 0):
+        named = large.filter(F.col("t") % 3 == (r + 1) % 3).join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+        # the member most like what it was compared with becomes the centre, or in every other round the one with the most
+        # links: the text that the others are copies of is like most of them
         sim = seen.select("a", "b", (F.col("inter") / F.col("total")).alias("sim"))
-        sim = sim.union(sim.select(F.col("b"), F.col("a"), "sim"))
-        old = split.select("key", F.col("first.doc").alias("a")) if seen is judged else last.join(split.select("key"), "key", "left_semi").select("key", F.col("c.doc").alias("a"))
-        best = named.join(old, "key").join(sim.withColumnRenamed("b", "doc"), ["a", "doc"]).groupBy("key").agg(F.max(F.struct("sim", "doc", "sk")).alias("m"))
+        sim = sim.union(sim.select(F.col("b"), F.col("a"), "sim")).groupBy(F.col("a").alias("doc")).agg(F.sum((F.col("sim") * 100 >= percent).cast("int")).alias("links"), F.max("sim").alias("sim"))
+        best = named.join(split.select("key"), "key").join(sim, "doc").groupBy("key").agg(F.max(F.struct(*(("sim", "links") if r % 2 == 0 else ("links", "sim")), "doc", "sk")).alias("m"))
         pick = split.select("key").join(best, "key", "left").join(named.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc", "sk")).alias("r")), "key").select("key", F.when(F.col("m").isNotNull(), F.struct(F.col("m.doc").alias("doc"), F.col("m.sk").alias("sk"))).otherwise(F.struct(F.col("r.doc").alias("doc"), F.col("r.sk").alias("sk"))).alias("c"))
         last = materialize(pick.join(label.select(F.col("doc").alias("own"), F.col("label").alias("of")), F.col("c.doc") == F.col("own"), "left").select("key", "c", F.coalesce("of", "c.doc").alias("of")), "centres")
         tried = seen.select("a", "b")
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
         new = star(last, named).filter(F.col("label") != F.col("of")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = materialize(verify(new, sets), "judged")
         if new.isEmpty():
-            break
+            continue
         seen = seen.union(new)
         fresh = links_of(new)
         if not fresh.isEmpty():

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, fresh_path, materialize, open_range, partitions, small_batches
+from .common import AtomicFile, fresh_path, keep_only, materialize, open_range, partitions, small_batches
 from .simple8b import pack_segment, read_segments
 
 END_ID = 2
@@ -58,7 +58,7 @@ class TextEncoder:
 
     GROUP_CHARS = 1 << 20
 
-    def __init__(self, path: str, memo: int = 350_000):
+    def __init__(self, path: str, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,6 +118,7 @@ _ENCODERS: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
+    keep_only(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
