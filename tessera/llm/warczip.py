@@ -52,7 +52,7 @@ def central_directory(f) -> dict[str, Member]:
     back = min(end, 22 + FULL16)
     tail = _at(f, end - back, back)
     at = tail.rfind(EOCD)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(EOCD, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
