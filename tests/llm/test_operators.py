@@ -199,6 +199,25 @@ def test_near_duplicates(spark, n):
     assert got == brute_components(rows, n, 80)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_split_buckets_are_judged_whole(spark, monkeypatch, block):
+    """Variants of a text that isn't there, near the threshold: only some of them link, and none is a centre for all."""
+    for name, value in {"SMALL": 1, "ROUNDS": 0, "BLOCK_DOCS": block, "COLUMNS": 64}.items():
+        monkeypatch.setattr(minhash, name, value)
+    r, rows = random.Random(3), []
+    base = [f"w{i}" for i in range(120)]
+    for _ in range(60):
+        c = list(base)
+        for k in r.sample(range(120), r.randint(2, 9)):
+            c[k] = f"n{r.randint(0, 9999)}"
+        rows.append(" ".join(c))
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    want = brute_components(rows, 2, 80)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+
+
 def test_near_duplicate_edges(spark, edge, empty):
     out = minhash.near_duplicates(edge).collect()
     assert len(out) == 8 and {r.doc_id: r.component_id for r in out}[6] == 5 and {r.doc_id: r.kept for r in out}[1]
