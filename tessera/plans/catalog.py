@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import register
-from . import audit, batch, evaluate, frames
+from . import audit, batch, evaluate, frames, text
 from .fixtures import with_fixtures
 
 #: Where DuckDB writes something otherwise.
 _DUCK = (("LEFT ANTI JOIN", "ANTI JOIN"), ("LEFT SEMI JOIN", "SEMI JOIN"))
+_DUCK_NAMES = {"filter": "list_filter", "transform": "list_transform", "size": "len", "sequence": "generate_series", "rlike": "regexp_matches", "explode": "unnest", "try_element_at": "list_extract", "array_sort": "list_sort", "array_join": "array_to_string", "get_json_object": "json_extract_string", "percentile": "quantile_cont", "collect_list": "list"}
 
 
 def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,9 +27,10 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def _duck(sql: str) -> str:
     for ours, theirs in _DUCK:
         sql = sql.replace(ours, theirs)
-    return sql
+    sql = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
+    return re.sub(r"\b([a-z_]+)\(", lambda m: f"{_DUCK_NAMES.get(m[1], m[1])}(", sql)
 
 
-SQL = {name: with_fixtures(q) for part in (evaluate, batch, audit) for name, q in part.SQL.items()}
+SQL = {name: with_fixtures(q) for part in (evaluate, batch, audit, text) for name, q in part.SQL.items()}
 QUERIES = {name: _query(q) for name, q in SQL.items()} | frames.QUERIES
 ORACLES = {name: _duck(q) for name, q in SQL.items()} | {k: with_fixtures(v) for k, v in frames.ORACLES.items()}
