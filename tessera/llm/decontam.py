@@ -51,8 +51,10 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def _sliding(x: np.ndarray, before: int, width: int) -> np.ndarray:
-    """For each row i the sum of the rows i - before .. i - before + width - 1 (those that there are), as saturated bytes."""
-    y = np.concatenate([np.zeros((before, x.shape[1]), np.uint8), np.minimum(x, 255 // width), np.zeros((width, x.shape[1]), np.uint8)])
+    """For each row i the sum of the rows i - before .. i - before + width - 1 (those that there are), none of which is
+    above STEP, in the narrowest integers that hold it."""
+    y = np.zeros((before + len(x) + width, x.shape[1]), np.min_scalar_type(STEP * width))
+    y[before : before + len(x)] = x
     total, at, have = None, 0, 1
     while True:
         if width & have:
@@ -65,6 +67,18 @@ def _sliding(x: np.ndarray, before: int, width: int) -> np.ndarray:
         have *= 2
 
 
+def _alike(lengths: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(from, to, windows) of groups of at most GROUP items of like length; lengths ascend. Where the longest item is over
+    twice the widest of WINDOWS, there is a window of the shortest's length as well."""
+    out, g = [], 0
+    for k in range(1, len(lengths) + 1):
+        if k == len(lengths) or k - g == GROUP or lengths[k] > 2 * max(lengths[g], WINDOWS[-1]):
+            size = lengths[g] // (2 * STEP) * 2 * STEP
+            out.append((g, k, WINDOWS + ((size,) if size > WINDOWS[-1] else ())))
+            g = k
+    return out
+
+
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(row columns, ids): each document's words as ids of the vocabulary (bounded by BLOCK_CHARS), 0 for other words."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -176,6 +190,7 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
 
 def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf: np.ndarray, basis: np.ndarray) -> DataFrame:
     """(doc_id, item_id, score): confirmed items of each document. items: (item_id, words, answer words), as ids."""
+    items = sorted(items, key=lambda x: len(x[1]))
     rows = (basis * idf[:, None]).astype(np.float32)
     vectors = np.stack([rows[w].sum(0) for _, w, _ in items])
     norms = np.linalg.norm(vectors, axis=1)
@@ -185,7 +200,7 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
     for k, (_, w, _) in enumerate(items):
         own = sorted(set(w), key=lambda x: (-idf[x], x))
         rare = own[: max(1, int(np.ceil(RARE * len(own))))]
-        need.append(min(200, max(1, int(np.ceil(ENOUGH * len(own) - (len(own) - len(rare)) - 1e-9)))))
+        need.append(max(1, int(np.ceil(ENOUGH * len(own) - (len(own) - len(rare)) - 1e-9))))
         for x in rare:
             posting.setdefault(x, []).append(k)
     size = np.zeros(len(rows) + 1, dtype=np.int64)
@@ -197,7 +212,7 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, vectors, free, heavy, items, need, offset, flat = shared.value
-        longest = -(-max(len(w) for _, w, _ in items) // 2 // STEP)
+        groups = _alike([len(w) for _, w, _ in items])
         sets = [frozenset(w) for _, w, _ in items]
         for b in batches:
             ids, starts, doc = _passages(list(b["ids"]), STEP)
@@ -207,31 +222,32 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                 total = np.concatenate([np.zeros((1, block.shape[1])), np.cumsum(block, axis=0, dtype=np.float64)])
                 last = np.searchsorted(doc, doc, side="right")  # one past the document's last block
                 begin = np.searchsorted(doc, doc)
-                # rare words of each item up to each block, for GROUP items at a time
+                # rare words of each item in each block, for a group of items at a time
                 hit = np.flatnonzero(offset[ids + 1] > offset[ids])
                 which = np.searchsorted(starts, hit, side="right") - 1
                 n = offset[ids[hit] + 1] - offset[ids[hit]]
                 which = np.repeat(which, n)
                 item_at = flat[np.repeat(offset[ids[hit]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
                 ends = np.append(starts, len(ids))
-                for g in range(0, len(items), GROUP):
-                    m = (item_at >= g) & (item_at < g + GROUP)
-                    wide = min(GROUP, len(items) - g)
-                    rare = np.zeros((len(starts), wide), np.uint8)  # at most STEP times the repeats of an item's word
+                for g, end, windows in groups:
+                    m = (item_at >= g) & (item_at < end)
+                    if not m.any():
+                        continue
+                    rare = np.zeros((len(starts), end - g), np.uint8)  # at most STEP: each of a block's words counts once
                     np.add.at(rare, (which[m], item_at[m] - g), 1)
-                    least = need[g : g + wide].astype(np.uint8)
-                    for size in WINDOWS:
+                    longest = -(-len(items[end - 1][1]) // 2 // STEP)  # blocks of half the group's longest item
+                    for size in windows:
                         at = np.arange(0, len(starts))
                         at = at[(at - begin) % (size // 2 // STEP) == 0]
                         to = np.minimum(at + size // STEP, last[at])
                         # of a region around the window; a neighbouring document's words can only add to it
                         region = _sliding(rare, longest, size // STEP + 2 * longest)
-                        enough = region[at] >= least
+                        enough = region[at] >= need[g:end].astype(region.dtype)
                         some = np.flatnonzero(enough.any(axis=1))
                         at, to = at[some], to[some]
                         x = (total[to] - total[at]).astype(np.float32)
                         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        ok = ((x @ vectors[g : g + wide].T >= COSINE) | free[g : g + wide]) & enough[some]
+                        ok = ((x @ vectors[g:end].T >= COSINE) | free[g:end]) & enough[some]
                         for r, k in zip(*np.nonzero(ok), strict=True):
                             k = k + g
                             a, z, d = at[r], to[r], doc[at[r]]

@@ -259,6 +259,29 @@ def test_decontamination(spark, empty):
     assert decontam.contamination(src, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("longest", [640, 1000, 3000])
+def test_long_items_beside_short_ones(spark, longest):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([16, 30, 50, 120, longest])]
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(30, 300))]
+        if i < 20:
+            w[r.randint(0, 30) : 0] = items[i % 5][1].split()
+        rows.append((i, " ".join(w), "en", "a"))
+    hits = decontam.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in hits} == {(i, i % 5) for i in range(20)}
+    assert all(decontam.LCS_SURE <= x.score <= 1 for x in hits)
+
+
+@pytest.mark.parametrize("width", [6, 31, 32, 300, 9000])
+def test_region_counts_are_exact(width):
+    x = np.random.default_rng(4).integers(0, decontam.STEP + 1, (500, 3)).astype(np.uint8)
+    got = decontam._sliding(x, width // 2, width)
+    assert all((got[i] == x[max(0, i - width // 2) : max(0, i - width // 2 + width)].sum(0)).all() for i in range(500))
+
+
 # 7: conditional random field
 def test_forward_backward(monkeypatch):
     monkeypatch.setattr(crf, "CHUNK", 2)
