@@ -145,7 +145,9 @@ def site(url: str | None) -> str:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, content, look): a row per page and style node that holds text of its own and is not told by what it is."""
+    """(host, path, content, look): a row per distinct page of a host and style node that holds text of its own and is not
+    told by what it is. Pages of the same elements and texts are one page; copies would make any text look like a template.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,15 +159,18 @@ def style_rows(pages: DataFrame) -> DataFrame:
                 for path, noise, main, text in blocks:
                     if not noise and not main:
                         texts.setdefault(path, []).append(text)
+                if not texts:
+                    continue
                 h = lambda x: xxhash.xxh64_intdigest("\n".join(x).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows += [(host, path, h(t), h(children.get(path, ()))) for path, t in texts.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "content", "look"]).astype({"content": "int64", "look": "int64"})
+                page = xxhash.xxh3_128_digest(repr((blocks, children)).encode("utf-8", "surrogatepass"))
+                rows += [(host, path, h(t), h(children.get(path, ())), page) for path, t in texts.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "content", "look", "page"]).astype({"content": "int64", "look": "int64"})
 
-    return pages.mapInPandas(run, "host string, path string, content long, look long")
+    return pages.mapInPandas(run, "host string, path string, content long, look long, page binary").distinct().drop("page")
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """(host, path, n_pages, importance): entropies of a node's contents and looks over the host's pages. Counts are summed
+    """(host, path, n_pages, importance): entropies of a node's contents and looks over the host's distinct pages. Counts are summed
     in two steps, so that a host of any size needs no task of its own."""
 
     def entropy(col: str) -> DataFrame:
@@ -192,8 +197,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page, from its whole html.
 
     A null html or url counts as empty; a page without a host is judged with the others that have none. Pages without
-    main text have an empty one. Repeated rows give a row each and count each in their host's statistics; other columns
-    are not read. Hosts with fewer than MIN_PAGES pages remove by declaration only.
+    main text have an empty one. Repeated rows give a row each and count once in their host's statistics, as do pages that
+    differ in nothing but what is not read (scripts, comments, attributes other than class, id and role); pages that differ
+    in any text or element count each. Other columns are not read. A node that is on fewer than MIN_PAGES distinct pages
+    of a host is removed by declaration only.
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))

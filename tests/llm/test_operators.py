@@ -161,6 +161,15 @@ def test_style_tree(spark):
     assert styletree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    page = "<html><head><title>{0}</title></head><body><div class=top>Site name</div><div class=body><p>text {0}</div></body></html>"
+    copies = [(i, "http://copies.example/a", page.format("one")) for i in range(6)]
+    mixed = [(100 + i, f"http://mixed.example/{i}", page.format("one" if i < 70 else i)) for i in range(100)]
+    got = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(copies + mixed, "page_id long, url string, html string")).collect()}
+    assert len(got) == 106 and all(got[i] == "Site name\ntext one" for i in range(6))
+    assert all(got[100 + i] == f"text {'one' if i < 70 else i}" for i in range(100))
+
+
 def test_importance_is_entropy(spark):
     rows = [("h", "/a", 1, 1)] * 4 + [("h", "/b", i, 1) for i in range(4)]
     got = {r.path: r.importance for r in styletree.importance(spark.createDataFrame(rows, "host string, path string, content long, look long")).collect()}
