@@ -27,7 +27,8 @@ CONTENT_SHARE = 0.8  # of content entropy in the mean
 
 #: HTML element classes (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select svg math iframe object head title".split())
+RAW = frozenset("script style textarea title".split())  # text up to the end tag, or else to the end of the page
+SKIPPED = frozenset("noscript template select svg math iframe object".split())  # with their contents, if they are closed
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form button menu dialog header".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
@@ -43,6 +44,8 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_PAIRS = {tag: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I | re.S) for tag in SKIPPED}
 _HEADING = frozenset(("header", "hgroup"))
 
 
@@ -53,12 +56,30 @@ class _Node:
         self.tag, self.key, self.path, self.noise, self.main = tag, key, path, noise, main
 
 
+def _closed(html: str, tag: str) -> dict[int, int]:
+    """Where each element of the tag that has an end tag of its own starts, and where it ends."""
+    opened, out = [], {}
+    for m in _PAIRS[tag].finditer(html):
+        if m[2] is None or m[3] and not m[2] and tag in ("svg", "math"):
+            continue
+        if not m[2]:
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[str]]]:
-    """Blocks in page order as (path of the style node, noise, inside an article, text), and each path's children styles."""
+    """Blocks in page order as (path of the style node, noise, inside an article, text), and each path's children styles.
+
+    A head ends where HTML ends it, by its own tag or by the first text or element that can't be in one. Of an element of
+    SKIPPED without an end tag only the start tag is left out, so that the page goes on after it.
+    """
     root = _Node("", "", "", False, False)
     stack, blocks, children = [root], [], {}
     buffer: list[str] = []
     hold = root
+    closed: dict[str, dict[int, int]] = {}
 
     def flush():
         if buffer:
@@ -97,9 +118,16 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = _END[tag].search(html, at)
             at = end.end() if end else n
-            if tag not in ("head", "title", "svg", "math"):
+            if tag != "title":
+                buffer.append(" ")
+            continue
+        if tag in SKIPPED:
+            if tag not in closed:
+                closed[tag] = _closed(html, tag)
+            at = closed[tag].get(m.start(), at)
+            if tag not in ("svg", "math"):
                 buffer.append(" ")
             continue
         if tag in INLINE or tag in VOID:
@@ -108,7 +136,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[
             elif tag == "hr":
                 flush()
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             flush()
             continue
         if tag in CLOSES_P:

@@ -170,6 +170,25 @@ def test_copies_are_no_template(spark):
     assert all(got[100 + i] == f"text {'one' if i < 70 else i}" for i in range(100))
 
 
+@pytest.mark.parametrize("tag", ["object data=x", "select name=x", "svg class=x", "svg class=x/", "math", "iframe src=x", "noscript", "template"])
+def test_unclosed_elements_keep_the_page(tag):
+    name = tag.split()[0]
+    page = "<html><head><title>t</title></head><body><p>a</p>{}<article><p>b</p></article>{}<p>c</p></body></html>"
+    pair = f"<{tag.strip('/')}>gone</{name}>"
+    assert styletree.main_text(page.format(f"<{tag}>", "")) == "a\nb\nc"
+    assert styletree.main_text(page.format(f"<{tag}>", pair)) == "a\nb\nc"
+    assert styletree.main_text(page.format(pair, f"<{tag.strip('/')}>{pair} gone</{name.upper()} >")) == "a\nb\nc"
+    assert styletree.main_text(page.format(f"<{tag}><!-- </{name}> -->", f"<script>'</{name}>'</script>")) == "a\nb\nc"
+
+
+@pytest.mark.parametrize("end", ["", "<body>", "</head>", "</head><body>"])
+def test_head_without_end_tag(end):
+    head = "<html><head><meta charset=x><title>t</title><style>p {}</style><script>var x='</head>'</script><link href=x><noscript><img></noscript>"
+    assert styletree.main_text(f"{head}{end}<article><p>a</p></article><p>b</p>") == "a\nb"
+    assert styletree.main_text(f"{head}{end}<p>a</p><header>c</header><p>b</p>") == "a\nb"
+    assert styletree.main_text(f"<html><head><title>t</title>{end}<article>a") == "a"
+
+
 def test_importance_is_entropy(spark):
     rows = [("h", "/a", 1, 1)] * 4 + [("h", "/b", i, 1) for i in range(4)]
     got = {r.path: r.importance for r in styletree.importance(spark.createDataFrame(rows, "host string, path string, content long, look long")).collect()}
