@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 EPS = 2.1
 BLOCK_DIMS = 16
 FIT_ROWS = 16_384
@@ -74,17 +76,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | None
     """query_id, rank, vec_id, score: each query's k nearest found, nearest first, ties to the smaller id.
 
     The score is the cosine of the original vectors in double precision. The query's own id is no candidate. Vectors that
-    are null, empty, zero, of another length than the first usable one, or hold null or non-finite components take no
+    are null, empty, zero, of another length than most usable ones (the longer of equally common), or hold null or non-finite components take no
     part; neither do null ids. Repeated (id, vector) rows count once. Equal vectors are searched as one and hold their
     k + 1 smallest ids, which are all that a result of k can name. Centres are fitted on FIT_ROWS vectors at most, those
     of the smallest hashes; every vector is in a list. A list is scanned in salted parts of about SALT_ROWS vectors.
     With `probes` of `lists` lists; by default as many lists as the square root of the distinct vectors, PROBED of them
-    probed; blocks of about QUERY_ROWS queries meet parts of a list. An empty table, or no query, gives no row.
+    probed, and more while those may hold fewer than k candidates; blocks of about QUERY_ROWS queries meet parts of a list. An empty table, or no query, gives no row.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     base = usable(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v")), "v").filter("vec_id is not null")
-    dim = base.select(F.size("v")).first()
+    dim = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     if dim is None:
         return spark.createDataFrame([], schema)
     dim = dim[0]
@@ -110,13 +112,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | None
                 u = unit_rows(b["v"])
                 yield pd.DataFrame({"list": np.argmax(u @ centres.T, axis=1), "v": b["v"], "ids": b["ids"]})
 
-    held = distinct.select("v", "ids").mapInPandas(assign, "list int, v array<double>, ids array<long>").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    assigned = materialize(distinct.select("v", "ids").mapInPandas(assign, "list int, v array<double>, ids array<long>"), "assigned")
+    holds = np.zeros(n_lists, dtype=np.int64)
+    for r in assigned.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        holds[r.list] = r.n
+    # so many (vector, id) have k ids besides the query's own, as an id has at most `most` vectors
+    most = assigned.select(F.explode("ids").alias("id")).groupBy("id").count().agg(F.max("count")).first()[0]
+    need = most * (k + 1)
+    held = assigned.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                near = np.argsort(-(unit_rows(b["v"]) @ centres.T), axis=1, kind="stable")[:, :n_probes]
-                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), n_probes), "list": near.ravel(), "v": [v for v in b["v"] for _ in range(n_probes)]})
+                near = np.argsort(-(unit_rows(b["v"]) @ centres.T), axis=1, kind="stable")
+                take = np.clip(1 + (np.cumsum(holds[near], axis=1) < need).sum(1), n_probes, n_lists)
+                probed = near[np.arange(n_lists) < take[:, None]]
+                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), take), "list": probed, "v": [v for v, n in zip(b["v"], take, strict=True) for _ in range(n)]})
 
     asked = asked.mapInPandas(route, "query_id long, list int, v array<double>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 

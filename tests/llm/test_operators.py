@@ -362,6 +362,15 @@ def test_search(spark):
     assert ann.search(t.filter("vec_id < 0"), t).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 4, 6, 8, 12])
+def test_search_small_tables(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 8))
+    rows = [(900, [1.0, 2.0, 3.0])] + [(i, v.tolist()) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = Counter(r.query_id for r in ann.search(t, t).collect())
+    assert got == {i: min(5, n - 1) for i in range(n)}
+
+
 # 9: WARC in ZIP
 def test_zip64_directory():
     b = io.BytesIO()
