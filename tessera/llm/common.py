@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default set here when it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where both are one process,
+    is there a default; on a cluster an unset folder is an error, as each executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{LOCAL_DEFAULT}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -32,10 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, what: DataFrame | str) -> None:
+    """Delete a folder, or what a table of materialize() that no plan needs any more was written to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [what] if isinstance(what, str) else {f.rpartition("/")[0] for f in what.inputFiles()}
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def _fs(path: str):
@@ -108,11 +119,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in Arrow batches of this many rows at most, so that a worker's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = BATCH_BYTES) -> None:
+    """Whole texts go to Python in Arrow batches of so many rows and bytes at most, so that a worker's memory stays
+    bounded. The session keeps the lower setting: it is read when a plan runs, after the operator has returned."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle worker keeps it otherwise, beside the JVM's next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its freed memory back when its partition is done."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 _CACHES: list = []

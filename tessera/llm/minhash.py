@@ -5,11 +5,11 @@ GROUPS x GROUPS tables of 2 x WIDTH minhashes cost 2 x GROUPS x WIDTH minhashes,
 tables would. A pair is missed only if all groups of one collection differ: at the threshold of 0.8 at most
 2 x (1 - 0.8^WIDTH)^GROUPS.
 
-Equal sets are one class from the start. In small buckets all pairs are candidates. A larger bucket has a centre, to
-which its members are compared; rounds of new centres follow while a bucket holds members of several components, the
-next centre being the member most like the last (which leads to the text that the others are copies of). Members of
-buckets that are still split are then judged against each other in blocks, by products of 0/1 shingle matrices, which
-give every intersection exactly; only links that join components leave a block.
+Equal sets are one class from the start. In small buckets all pairs are candidates. A larger bucket has a centre, its
+smallest document, to which all members are compared; most groups of copies are one component after that. Buckets that
+still hold several components are then judged whole, in blocks of bounded size, by products of 0/1 shingle matrices,
+which give every intersection exactly. Members of the bucket's commonest component aren't compared with each other (no
+link among them could join anything), so such a bucket costs its other members times its size.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize, small_batches
+from .common import keep_only, lean, materialize, remove, small_batches
 
 WIDTH, GROUPS = 2, 12
 SMALL = 12
-ROUNDS = 2
 #: Most members, and most shingles of all members, of a block of a large bucket; columns of a matrix at a time.
 BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 2048, 1 << 22, 2048
 PERCENT = 80
-#: Of 64 sketch bits, so many agree at least in a candidate: at a similarity of 0.8 57.6 do, with a deviation of 2.4.
-AGREE = 46
+#: Of 64 sketch bits, so many agree at least in a candidate: at a similarity of 0.8 57.6 do, with a deviation of 2.4 to
+#: 2.7, so that fewer than 1e-8 of the pairs are lost by this.
+AGREE = 40
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -113,7 +113,8 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint of the set), sig (minhashes as bytes; empty for an empty set)."""
+    """doc_id, th, n_shingles, f1, f2 (fingerprint of the set), sig (minhashes as bytes; empty for an empty set). docs has
+    doc_id, th (hash of the text) and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh, k = shingler(n), 2 * GROUPS * WIDTH
@@ -130,9 +131,9 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 flat = np.concatenate(own)
                 f1[full] = np.add.reduceat(mix(flat), at).view(np.int64)
                 f2[full] = np.add.reduceat(mix(flat ^ _P1), at).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "sig": sig})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2, "sig": sig})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.mapInPandas(lean(run), "doc_id long, th long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -142,9 +143,9 @@ def _keys(reps: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(len(b), -1)
             keys, tables = table_keys(sig), GROUPS * GROUPS
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), tables), "sk": np.repeat(sketch(sig).view(np.int64), tables), "t": np.tile(np.arange(tables, dtype=np.int16), len(b))})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), tables), "sk": np.repeat(sketch(sig).view(np.int64), tables), "t": np.tile(np.arange(tables, dtype=np.int16), len(b)), "w": np.repeat(b["n_shingles"].to_numpy(np.int32), tables)})
 
-    return reps.mapInPandas(run, "key long, doc long, sk long, t short")
+    return reps.mapInPandas(lean(run), "key long, doc long, sk long, t short, w int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,12 +162,13 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 union.append(len(x) + len(y) - i)
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "inter": inter, "total": union})
 
-    return joined.mapInPandas(run, "a long, b long, inter long, total long")
+    return joined.mapInPandas(lean(run), "a long, b long, inter long, total long")
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """(doc, label): the smallest doc reachable from each doc of the links (a, b). Labels fall to the smallest of the
-    neighbours' and then to their label's label, until none changes; each round is a written table."""
+    neighbours' and then to their label's label, until none changes; each round is a written table, and goes with the next."""
+    spark = links.sparkSession
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
     label = materialize(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("label")), name)
     while True:
@@ -174,7 +176,9 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         new = label.join(near, "doc").select("doc", F.col("label").alias("was"), F.least("label", "low").alias("label"))
         up = label.select(F.col("doc").alias("label"), F.col("label").alias("top"))
         new = materialize(new.join(up, "label", "left").select("doc", "was", F.least("label", "top").alias("label")), name)
+        remove(spark, label)
         if new.filter("label <> was").isEmpty():
+            remove(spark, both)
             return new.select("doc", "label")
         label = new.select("doc", "label")
 
@@ -218,18 +222,27 @@ def joining_links(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray,
 def split_bucket_links(large: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components within the large buckets. A third of the tables, chosen so that each group of
     either collection is in a third of its tables, holds all but 4e-5 of the pairs at 0.8. Buckets of the same members
-    are judged once. A bucket over BLOCK_DOCS members or BLOCK_SHINGLES shingles is cut into blocks by hash, and each pair
-    of blocks is one group, so that no group grows with the bucket."""
-    tables = large.filter((F.floor(F.col("t") / GROUPS) + F.col("t") % GROUPS) % 3 == 0).select("key", "doc")
-    named = tables.join(label, "doc", "left").join(sets.select("doc", (F.length("set") / 8).cast("long").alias("w")), "doc").select("key", "doc", "w", F.coalesce("label", "doc").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("total"), F.bit_xor(F.xxhash64("doc")).alias("members")).filter("lo <> hi")
-    once = split.groupBy("n", "total", "members").agg(F.min("key").alias("key")).select("key", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
-    rows = named.join(once, "key").withColumn("own", F.pmod(F.xxhash64("doc", "key"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc", "label").join(sets, "doc")
+    are judged once. A bucket over BLOCK_DOCS members or BLOCK_SHINGLES shingles is cut by hash into blocks; its members
+    outside the commonest component, the others, are cut likewise, and each block meets each part of the others in one
+    group, so that no group grows with the bucket."""
+    tables = large.filter((F.floor(F.col("t") / GROUPS) + F.col("t") % GROUPS) % 3 == 0).select("key", "doc", "w")
+    named = tables.join(label, "doc", "left").select("key", "doc", "w", F.coalesce("label", "doc").alias("label"))
+    # a bucket by its labels first: a row per bucket and component
+    part = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.bit_xor(F.xxhash64("doc")).alias("members"))
+    split = part.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("w").alias("total"), F.bit_xor("members").alias("members"), F.max(F.struct("n", "w", "label")).alias("top")).filter("labels > 1")
+    once = split.groupBy("n", "total", "members").agg(F.min(F.struct("key", "top")).alias("r")).select(F.col("r.key").alias("key"), F.col("r.top.label").alias("common"), "n", "total", (F.col("n") - F.col("r.top.n")).alias("m"), (F.col("total") - F.col("r.top.w")).alias("rest"))
+    cuts = lambda n, w: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("long")
+    once = materialize(once.select("key", "common", cuts("n", "total").alias("blocks"), cuts("m", "rest").alias("parts")), "split-buckets")
+    rows = named.join(once, "key").select("key", "doc", "label", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")).alias("block"), F.pmod(F.xxhash64("key", "doc"), F.col("parts")).alias("part"), "blocks", "parts", (F.col("label") != F.col("common")).alias("other"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = rows.withColumn("j", every("parts")).select("key", F.col("block").alias("i"), "j", "doc", "label", F.lit(False).alias("asks"))
+    asks = rows.filter("other").withColumn("i", every("blocks")).select("key", "i", F.col("part").alias("j"), "doc", "label", F.lit(True).alias("asks"))
+    rows = whole.union(asks).join(sets, "doc")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["own"].to_numpy()
-        found = joining_links([np.frombuffer(x, np.uint64) for x in rows["set"]], rows["label"].to_numpy(), np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2]), percent)
+        asks = rows["asks"].to_numpy()
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = joining_links([np.frombuffer(x, np.uint64) for x in rows["set"]], rows["label"].to_numpy(), left, right, percent) if len(left) and len(right) else []
         doc = rows["doc"].to_numpy()
         return pd.DataFrame({"a": [min(doc[i], doc[j]) for i, j in found], "b": [max(doc[i], doc[j]) for i, j in found]}, dtype=np.int64)
 
@@ -242,17 +255,17 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of n-word shingles; component_id is the
     smallest doc_id reachable, kept says that it is the document's own. A text of fewer than n words has one shingle, the
     whole sequence; a null, empty or blank text has none and links with nothing. Rows with a null doc_id come back
-    unlinked, with a null component_id and kept false; rows repeated under one doc_id are one document with one row each
-    and must have equal texts to be judged together. Other columns are not read. percent must be 80 or more for the
-    tables' recall to hold.
+    unlinked, with a null component_id and kept false. Rows repeated under one doc_id are one document with one row each:
+    what any of their texts links with is linked. Ties do not arise: the smallest id stands for a component. An empty table
+    gives no row. Other columns are not read. percent must be 80 or more for the tables' recall to hold.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     desc = materialize(describe(src, n), "signatures")
     able = desc.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(able.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig")), "classes")
-    keys = _keys(classes.select("doc", "sig"))
+    classes = materialize(able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("sig").alias("sig")).select("n_shingles", "f1", "f2", F.col("first.doc_id").alias("doc"), F.col("first.th").alias("th"), "sig"), "classes")
+    keys = _keys(classes.select("doc", "n_shingles", "sig"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = materialize(keys.join(shared, "key"), "buckets")
     few = buckets.filter(F.col("size") <= SMALL)
@@ -260,11 +273,11 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     agree = lambda x, y: 64 - F.bit_count(F.col(x).bitwiseXOR(F.col(y))) >= AGREE
     pairs = few.join(other, "key").filter((F.col("doc") < F.col("b")) & agree("sk", "skb")).select(F.col("doc").alias("a"), "b").distinct()
     large = buckets.filter(F.col("size") > SMALL)
-    centre = large.groupBy("key").agg(F.min(F.struct("doc", "sk")).alias("c"))
-    star = lambda c, rows: rows.join(c, "key").withColumns({"b": F.col("c.doc"), "skb": F.col("c.sk")}).filter((F.col("doc") != F.col("b")) & agree("sk", "skb"))
-    # a third of the tables first; each round uses another, for what isn't in the centre's component yet
-    first = star(centre, large.filter(F.col("t") % 3 == 0)).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
-    pairs = materialize(pairs.union(first).distinct(), "pairs")
+    # a third of the tables for the centres
+    tables = large.filter(F.col("t") % 3 == 0)
+    centre = tables.groupBy("key").agg(F.min(F.struct("doc", "sk")).alias("c"))
+    star = tables.join(centre, "key").withColumns({"b": F.col("c.doc"), "skb": F.col("c.sk")}).filter((F.col("doc") != F.col("b")) & agree("sk", "skb"))
+    pairs = materialize(pairs.union(star.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b"))).distinct(), "pairs")
     wanted = large.select("doc").union(pairs.select(F.col("a"))).union(pairs.select("b")).distinct()
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,43 +285,25 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
         for b in batches:
             yield pd.DataFrame({"doc": b["doc_id"], "set": [sh(t).tobytes() for t in b["text"]]})
 
-    sets = materialize(src.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(whole, "doc long, set binary"), "sets")
-    judged = materialize(verify(pairs, sets), "judged")
-    links_of = lambda j: j.filter(F.col("inter") * 100 >= F.col("total") * percent).select("a", "b")
-    links = links_of(judged)
+    wanted = classes.join(wanted, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "th").distinct()
+    once = src.join(wanted, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    sets = materialize(once.select("doc_id", "text").mapInPandas(lean(whole), "doc long, set binary"), "sets")
+    links = verify(pairs, sets).filter(F.col("inter") * 100 >= F.col("total") * percent).select("a", "b")
+    # a document given with several texts is in several classes, which are then one
+    member = materialize(able.select("doc_id", "n_shingles", "f1", "f2").join(classes.select("n_shingles", "f1", "f2", "doc"), ["n_shingles", "f1", "f2"]).select("doc_id", "doc"), "members")
+    many = member.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("doc_id", "a")
+    links = materialize(links.union(member.join(many, "doc_id").filter("a < doc").select("a", F.col("doc").alias("b"))).distinct(), "links")
     label = components(links)
-    seen = judged
-    for r in range(ROUNDS if not large.isEmpty() else 0):
-        named = large.filter(F.col("t") % 3 == (r + 1) % 3).join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-        # the member most like what it was compared with becomes the centre, or in every other round the one with the most
-        # links: the text that the others are copies of is like most of them
-        sim = seen.select("a", "b", (F.col("inter") / F.col("total")).alias("sim"))
-        sim = sim.union(sim.select(F.col("b"), F.col("a"), "sim")).groupBy(F.col("a").alias("doc")).agg(F.sum((F.col("sim") * 100 >= percent).cast("int")).alias("links"), F.max("sim").alias("sim"))
-        best = named.join(split.select("key"), "key").join(sim, "doc").groupBy("key").agg(F.max(F.struct(*(("sim", "links") if r % 2 == 0 else ("links", "sim")), "doc", "sk")).alias("m"))
-        pick = split.select("key").join(best, "key", "left").join(named.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc", "sk")).alias("r")), "key").select("key", F.when(F.col("m").isNotNull(), F.struct(F.col("m.doc").alias("doc"), F.col("m.sk").alias("sk"))).otherwise(F.struct(F.col("r.doc").alias("doc"), F.col("r.sk").alias("sk"))).alias("c"))
-        last = materialize(pick.join(label.select(F.col("doc").alias("own"), F.col("label").alias("of")), F.col("c.doc") == F.col("own"), "left").select("key", "c", F.coalesce("of", "c.doc").alias("of")), "centres")
-        tried = seen.select("a", "b")
-        # only what isn't in the centre's component yet
-        new = star(last, named).filter(F.col("label") != F.col("of")).select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = materialize(verify(new, sets), "judged")
-        if new.isEmpty():
-            continue
-        seen = seen.union(new)
-        fresh = links_of(new)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            label = components(links)
     fresh = materialize(split_bucket_links(large, label, sets, percent), "joining")
     if not fresh.isEmpty():
         label = components(links.union(fresh))
-    member = able.select("doc_id", "n_shingles", "f1", "f2").join(classes.drop("sig"), ["n_shingles", "f1", "f2"]).join(label, "doc", "left")
-    found = member.select("doc_id", F.coalesce("label", "doc").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found = member.join(label, "doc", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "doc")).alias("component_id"))
     out = desc.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def op5_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents on 2-word shingles; its docstring gives the result of nulls, empty texts, repeats."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
