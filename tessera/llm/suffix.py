@@ -5,7 +5,9 @@ equal windows have equal anchors at equal offsets, and the windows of one anchor
 whose anchor occurs twice can hold repeats, and spans equal as a whole need no sorting. The distinct rest is sharded by
 anchor; each shard's bytes are sorted into a suffix array by Larsson-Sadakane refinement, Kasai's common prefixes tell
 which windows are equal, and an anchor with more than MANY distinct spans, which is spread over shards, is merged across
-them by binary search among the sorted fingerprints of its windows. This filter loses nothing: equal windows meet.
+them by binary search among the sorted 128-bit fingerprints of its windows. This filter loses nothing: equal windows meet.
+Spans are told apart by 128 bits too (64 of the anchor, 64 of the whole): over 10^14 windows two different ones share a
+fingerprint with probability below 10^-10.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches
+from .common import lean, materialize, partitions, small_batches
 
 LENGTH = 400
 GRAM = 32
@@ -159,8 +161,9 @@ def _runs(flags: np.ndarray, base: int) -> list[tuple[int, int]]:
 
 
 def fingerprints(text: bytes, length: int = LENGTH) -> np.ndarray:
+    """(windows, 2): 128 bits of each window."""
     view = memoryview(text)
-    return np.array([xxhash.xxh3_64_intdigest(view[i : i + length]) for i in range(len(text) - length + 1)], dtype=np.uint64)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i : i + length]) for i in range(len(text) - length + 1)]), np.uint64).reshape(-1, 2)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -182,7 +185,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
             if parts:
                 yield pd.concat(parts)
 
-    found = materialize(keyed.filter(F.octet_length("text") >= length).mapInPandas(anchors, "doc_id long, th long, lo long, hi long, f long, h long"), "spans")
+    found = materialize(keyed.filter(F.octet_length("text") >= length).mapInPandas(lean(anchors), "doc_id long, th long, lo long, hi long, f long, h long"), "spans")
     twice = found.groupBy("f").agg(F.count("*").alias("c"), F.min("h").alias("h0"), F.max("h").alias("h1")).filter("c > 1")
     held = materialize(found.join(twice.select("f", "h0", "h1"), "f"), "shared-spans")
     same = held.filter("h0 = h1").select("doc_id", "th", "lo", "hi")
@@ -201,7 +204,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
                 rows += [(x["f"], x["salt"], x["k"], x["c"], d, th, x["lo"], raw[x["lo"] : x["hi"] + length]) for x in ask]
             yield pd.DataFrame(rows, columns=["f", "salt", "k", "c", "doc_id", "th", "lo", "bytes"])
 
-    pieces = keyed.join(asked, ["doc_id", "th"]).mapInPandas(cut, "f long, salt long, k long, c long, doc_id long, th long, lo long, bytes binary")
+    pieces = keyed.join(asked, ["doc_id", "th"]).mapInPandas(lean(cut), "f long, salt long, k long, c long, doc_id long, th long, lo long, bytes binary")
     ranges = partitions(spark)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,16 +221,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
                     fp = fingerprints(raw, length)
                     # a window known to repeat, or of a span that does, only answers for others
                     own = np.full(len(fp), c == 1) & ~flag
-                    prints.append((fp, np.full(len(fp), d), np.full(len(fp), th), lo + np.arange(len(fp)), own))
+                    prints.append((fp[:, 0], fp[:, 1], np.full(len(fp), d), np.full(len(fp), th), lo + np.arange(len(fp)), own))
             if prints:
-                fp, d, th, at, own = (np.concatenate(x) for x in zip(*prints, strict=True))
+                fp, low, d, th, at, own = (np.concatenate(x) for x in zip(*prints, strict=True))
                 part = (fp >> np.uint64(33)).astype(np.int64) * ranges >> 31
-                order = np.lexsort((fp, part))
+                order = np.lexsort((low, fp, part))
                 cuts = np.searchsorted(part[order], np.arange(ranges + 1))
                 for r in range(ranges):
                     if cuts[r] < cuts[r + 1]:
                         o = order[cuts[r] : cuts[r + 1]]
-                        out.append((NULL_ID, 0, 0, 0, r, b"".join((fp[o].tobytes(), d[o].astype("<i8").tobytes(), th[o].astype("<i8").tobytes(), at[o].astype("<i8").tobytes(), own[o].astype("<i8").tobytes()))))
+                        out.append((NULL_ID, 0, 0, 0, r, b"".join((fp[o].tobytes(), low[o].tobytes(), d[o].astype("<i8").tobytes(), th[o].astype("<i8").tobytes(), at[o].astype("<i8").tobytes(), own[o].astype("<i8").tobytes()))))
             rows.clear()
             return pd.DataFrame(out, columns=["doc_id", "th", "lo", "hi", "part", "prints"])
 
@@ -242,21 +245,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
         if rows:
             yield flush()
 
-    sorted_ = materialize(pieces.repartition(ranges, "f", "salt").sortWithinPartitions("f", "salt").mapInPandas(sort, "doc_id long, th long, lo long, hi long, part long, prints binary"), "sorted")
+    sorted_ = materialize(pieces.repartition(ranges, "f", "salt").sortWithinPartitions("f", "salt").mapInPandas(lean(sort), "doc_id long, th long, lo long, hi long, part long, prints binary"), "sorted")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for part, raw in zip(b["part"].tolist(), b["prints"], strict=True):
-                runs.setdefault(part, []).append(np.frombuffer(raw, np.uint64).reshape(5, -1))
+                runs.setdefault(part, []).append(np.frombuffer(raw, np.uint64).reshape(6, -1))
         out = []
         for own in runs.values():
-            hit = [np.zeros(x.shape[1], dtype=bool) for x in own]
-            whole = np.sort(np.concatenate([x[0] for x in own]))
-            for x, m in zip(own, hit, strict=True):  # a run's print that is there more than once
-                m |= np.searchsorted(whole, x[0], side="right") - np.searchsorted(whole, x[0], side="left") > 1
-            for x, m in zip(own, hit, strict=True):
-                y = x[1:, m & (x[4] == 1)].view(np.int64)
+            a, z = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+            order = np.lexsort((z, a))
+            a, z = a[order], z[order]
+            for x in own:  # a run's print that is there more than once
+                lo, hi = np.searchsorted(a, x[0], side="left"), np.searchsorted(a, x[0], side="right")
+                m = hi - lo > 1
+                for i in np.flatnonzero(m & (z[lo] != z[hi - 1])):  # equal in the first half only
+                    m[i] = np.count_nonzero(z[lo[i] : hi[i]] == x[1, i]) > 1
+                y = x[2:, m & (x[5] == 1)].view(np.int64)
                 if y.shape[1]:
                     y = y[:3, np.lexsort((y[2], y[1], y[0]))]
                     new = np.concatenate([[True], (np.diff(y[0]) != 0) | (np.diff(y[1]) != 0) | (np.diff(y[2]) != 1)])
@@ -266,7 +272,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
         if out:
             yield pd.concat(out)
 
-    crossed = sorted_.filter("part >= 0").select("part", "prints").repartition(ranges, "part").mapInPandas(merge, "doc_id long, th long, lo long, hi long")
+    crossed = sorted_.filter("part >= 0").select("part", "prints").repartition(ranges, "part").mapInPandas(lean(merge), "doc_id long, th long, lo long, hi long")
     within = sorted_.filter("part < 0").select("doc_id", "th", "lo", "hi")
     return same.union(whole).union(within).union(crossed)
 
@@ -304,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             yield out
 
     joined = src.withColumn("th", F.xxhash64("text")).join(runs, ["doc_id", "th"], "left").select("doc_id", "text", "runs")
-    return joined.mapInPandas(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInPandas(lean(drop), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
