@@ -21,16 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, partitions, small_batches
+from .common import NULL_ID, lean, materialize, partitions, small_batches
 
 LENGTH = 400
 GRAM = 32
 BLOCK = 1 << 19  # starts judged at once in a long text; positions in a block need 20 bits
 MANY = 512
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 600_000  # a shard ends with the anchor that takes it beyond this, before PACKED but for very long anchors
+PACKED = 1 << 20  # positions of a shard whose (group, next group, place) fit one 64-bit number
 _POS = np.uint64((1 << 20) - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
-NULL_ID = -(1 << 63)
 
 
 def eights(b: np.ndarray) -> np.ndarray:
@@ -71,74 +71,79 @@ def spans(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, rank, 8-byte numbers, start of each text, end of each text) of the texts one after another, each
+def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, 8-byte numbers, start of each text, end of each text) of the texts one after another, each
     followed by a terminator of its own, smaller than all bytes and ordered by text."""
     size = np.array([len(t) for t in texts])
     start = np.cumsum(size + 1) - size - 1
     end = start + size
     n = int(end[-1]) + 1
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    stop = np.repeat(end, size + 1)
+    small = np.int32 if n < 1 << 31 else np.int64
+    stop = np.repeat(end.astype(small), size + 1)
     u = eights(data)
     left = np.minimum(stop - np.arange(n), 8).astype(np.uint64) * np.uint64(8)
     key = u & np.where(left < 64, (np.uint64(1) << (left % np.uint64(64))) - np.uint64(1), ~np.uint64(0))
     key = key.byteswap()  # compare as byte strings
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key).astype(small)
     # terminators first, by text
     is_end = np.zeros(n, dtype=bool)
     is_end[end] = True
-    sa = np.concatenate([end, sa[~is_end[sa]]])
+    sa = np.concatenate([end.astype(small), sa[~is_end[sa]]])
     k = key[sa]
     head = np.concatenate([[True], k[1:] != k[:-1]])
     head[: len(texts) + 1] = True
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=small)
     rank[sa] = group
     h = 8
-    single = head & np.append(head[1:], True)
-    todo = np.flatnonzero(~single)  # places of the suffix array in groups of several
+    todo = np.flatnonzero(~(head & np.append(head[1:], True)))  # places of the suffix array in groups of several
     while len(todo):
         s = sa[todo]
         g = rank[s]
-        second = rank[np.minimum(s + h, stop[s])]
-        order = np.lexsort((second, g))
-        s, g, second = s[order], g[order], second[order]
+        second = rank[np.minimum(s + small(h), stop[s])]
+        if n <= PACKED:
+            packed = (g.astype(np.int64) << 40) | (second.astype(np.int64) << 20) | np.arange(len(s))
+            packed.sort()
+            order, pair = packed & (PACKED - 1), packed >> 20
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        else:
+            order = np.lexsort((second, g))
+            g, second = g[order], second[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])])
+        s = s[order]
         sa[todo] = s
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])])
         rank[s] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))]
         todo = todo[~(new & np.append(new[1:], True))]
         h *= 2
-    return sa, rank, u, start, end
+    return sa, u, start, end
 
 
-def common_prefixes(sa: np.ndarray, rank: np.ndarray, u: np.ndarray, start: np.ndarray, end: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(sa: np.ndarray, u: np.ndarray, start: np.ndarray, end: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(before, lcp) for each position that has cap bytes left in its text: the suffix before its own in the array and
     their common prefix, up to cap. Kasai's walk, all texts a position at a time: the prefix shrinks by one at most."""
     n = len(sa)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
-    stop = np.repeat(end, np.diff(np.append(start, n)))
+    most = np.minimum(cap, np.repeat(end, np.diff(np.append(start, n)))[before] - before)
+    most[before < 0] = 0
     lcp = np.zeros(n, dtype=np.int64)
     order = np.argsort(start - end, kind="stable")
     start, end = start[order], end[order]
     carry = np.zeros(len(start), dtype=np.int64)
     many = end - start - cap
-    for t in range(int(many[0]) + 1 if len(many) and many[0] >= 0 else 0):
-        a = int(np.searchsorted(-many, -t, side="right"))
+    live_texts = np.searchsorted(-many, -np.arange(int(many[0]) + 1 if len(many) and many[0] >= 0 else 0), side="right").tolist()
+    for t, a in enumerate(live_texts):
         i = start[:a] + t
-        j = before[i]
-        most = np.minimum(cap, stop[j] - j)
-        most[j < 0] = 0
-        h = np.minimum(np.maximum(carry[:a] - 1, 0), most)
-        live = np.flatnonzero(h < most)
+        j, top = before[i], most[i]
+        h = np.minimum(np.maximum(carry[:a] - 1, 0), top)
+        live = np.flatnonzero(h < top)
         while len(live):
             x = u[i[live] + h[live]] ^ u[j[live] + h[live]]
+            differ = x.view(np.uint8).reshape(-1, 8) != 0
             same = x == 0
-            low = x & (~x + np.uint64(1))
-            add = np.where(same, 8, np.log2(np.where(same, 1, low).astype(np.float64)).astype(np.int64) // 8)
-            h[live] = np.minimum(h[live] + add, most[live])
-            live = live[same & (h[live] < most[live])]
+            h[live] = np.minimum(h[live] + np.where(same, 8, differ.argmax(1)), top[live])
+            live = live[same & (h[live] < top[live])]
         lcp[i] = h
         carry[:a] = h
     return before, lcp
@@ -146,8 +151,8 @@ def common_prefixes(sa: np.ndarray, rank: np.ndarray, u: np.ndarray, start: np.n
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each text a flag per window start: the window also starts elsewhere among the texts."""
-    sa, rank, u, start, end = suffix_array(texts)
-    before, lcp = common_prefixes(sa, rank, u, start, end, length)
+    sa, u, start, end = suffix_array(texts)
+    before, lcp = common_prefixes(sa, u, start, end, length)
     hit = np.zeros(len(sa), dtype=bool)
     i = np.flatnonzero(lcp >= length)
     hit[i] = True
