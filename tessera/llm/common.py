@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 BATCH_BYTES = 8 << 20
+#: Stands for a null id in Python and in files: pandas would turn ids beside a null into floats.
+NULL_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:

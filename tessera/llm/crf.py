@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, small_batches
+from .common import keep_only, release, small_batches
 
 FIT_DOCS = 400  # labelled documents per language
 FIT_CHARS = 100_000  # longest document to learn from
@@ -33,7 +33,13 @@ LEXICON = 300
 BUCKETS = 1 << 16
 CHUNK = 64
 UND = "und"
-WORDS = re.compile(r"[^\W\d_]+").findall
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Number signs that aren't digits (fractions, Roman numerals, circled numbers) make no word alone."""
+    out = _WORDS(text)
+    return out if text.isascii() else [w for w in out if w.isascii() or w.isalpha() or any(map(str.isalpha, w))]
 
 
 @dataclass
@@ -123,12 +129,29 @@ def forward_backward(em: np.ndarray, trans: np.ndarray, lengths: np.ndarray) ->
     return post
 
 
+def marginals(em: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label posteriors, pair posteriors) of sequences of one length. em: (N, T, K) emission factors; trans: (K, K) factors;
+    the pairs are (N, T - 1, K, K): alpha_t(i) trans(i, j) em_t+1(j) beta_t+1(j), scaled to sum to one."""
+    n, steps, k = em.shape
+    alpha, beta = np.empty_like(em), np.ones_like(em)
+    alpha[:, 0] = em[:, 0] / em[:, 0].sum(1, keepdims=True)
+    for t in range(1, steps):
+        x = (alpha[:, t - 1] @ trans) * em[:, t]
+        alpha[:, t] = x / x.sum(1, keepdims=True)
+    for t in range(steps - 2, -1, -1):
+        x = (em[:, t + 1] * beta[:, t + 1]) @ trans.T
+        beta[:, t] = x / x.sum(1, keepdims=True)
+    post = alpha * beta
+    pair = alpha[:, :-1, :, None] * trans * (em * beta)[:, 1:, None, :]
+    return post / post.sum(2, keepdims=True), pair / pair.sum((2, 3), keepdims=True)
+
+
 def fit(samples: list[tuple[str, str]], seed: int = 11, rounds: int = 45) -> Model | None:
     """Learn from (text, language) pairs. Sequences of FIT_WORDS words are spliced from documents of two languages half
     the time, so that transitions are learned."""
     by: dict[str, list[list[str]]] = {}
     for text, lang in samples:
-        if words := WORDS(text):
+        if words := words_of(text):
             by.setdefault(lang, []).append(words)
     langs = sorted(by)
     if not langs:
@@ -163,7 +186,6 @@ def fit(samples: list[tuple[str, str]], seed: int = 11, rounds: int = 45) -> Mod
         x[i, : len(f)] = f
     norm = 1 / np.sqrt([len(f) for f in feats])[:, None]
     which, y = np.array([uniq[w] for w in words]), np.array(labels)
-    lengths = np.full(FIT_SEQUENCES, FIT_WORDS)
     w, t = np.zeros((BUCKETS + 1, k)), np.zeros((k, k))
     gold = np.zeros((len(y), k))
     gold[np.arange(len(y)), y] = 1
@@ -174,17 +196,14 @@ def fit(samples: list[tuple[str, str]], seed: int = 11, rounds: int = 45) -> Mod
     for r in range(1, rounds + 1):
         e = (w[x].sum(1) * norm)[which]
         em, tr = np.exp(e - e.max(1, keepdims=True)), np.exp(t - t.max())
-        post = forward_backward(em, tr, lengths)
+        post, pair = marginals(em.reshape(-1, FIT_WORDS, k), tr)
+        post = post.reshape(-1, k)
         g = np.zeros((len(feats), k))
         np.add.at(g, which, gold - post)
         g *= norm
         gw = np.stack([np.bincount(x.ravel(), np.repeat(g[:, j], widest), BUCKETS + 1) for j in range(k)], 1)
         gw[BUCKETS] = 0
-        # expected transitions, from the posteriors of neighbours
-        p = post.reshape(-1, FIT_WORDS, k)
-        joint = np.einsum("nti,ij,ntj->ntij", p[:, :-1], tr, em.reshape(-1, FIT_WORDS, k)[:, 1:] * p[:, 1:] / np.maximum(em.reshape(-1, FIT_WORDS, k)[:, 1:], 1e-30))
-        joint /= joint.sum((2, 3), keepdims=True)
-        gt = gold_t - joint.sum((0, 1))
+        gt = gold_t - pair.sum((0, 1))
         gw, gt = gw / len(y) - 1e-5 * w, gt / len(y) - 1e-5 * t
         for theta, grad, m1, v1, rate in ((w, gw, mw, vw, 0.25), (t, gt, mt, vt, 0.1)):
             m1 *= 0.9
@@ -217,7 +236,7 @@ class Labeller:
         """(words, posteriors) of each text."""
         if len(self.index) > self.MOST:
             self.clear()
-        words = [WORDS(t) for t in texts]
+        words = [words_of(t) for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.index))
         if new:
             s = self.model.scores(new)
@@ -294,6 +313,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         for x in t:
             p, s = lab.predict(x.tolist())
             yield pd.DataFrame({"lang_pred": p, "score": s})
+        release()
 
     cols = docs.columns
     name = "_crf"
@@ -303,5 +323,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() for documents, learned from those that aren't held out; nulls, empty texts and repeats as it says. Rows
+    with a null doc_id are not held out. An empty table gives no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs.select("doc_id", "text"), learn(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")
