@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, fresh_path, materialize, open_range
+from .common import AtomicFile, fresh_path, lean, materialize, open_range, small_batches
 
 #: Signatures of the ZIP format (fixed values).
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -99,11 +101,16 @@ def member_start(f, m: Member) -> int:
     return m.header + 30 + n_name + n_extra
 
 
+def header_value(x: str) -> str:
+    """x with control characters and line separators as percent escapes, since a header ends at a line's end."""
+    return re.sub("[\x00-\x1f\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), x)
+
+
 def warc_record(kind: str, page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit carries no payload. The id is made from page_id and digest, so a rerun writes the same."""
     body = payload if kind == "response" else b""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>", f"WARC-Target-URI: {header_value(url)}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
@@ -134,22 +141,24 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
     """Write a record per page into ZIP archives under out; returns the written table of archives (path, n_records).
 
     A null html is an empty payload, a null url an empty URI, a null page_id is written as an empty id and never answers
-    for others. Repeated rows are records each; rows with equal page_id and payload are all responses. Other columns are
-    not read. An empty table gives no archive. Archives hold one task's rows and are renamed into place when whole.
+    for others. Control characters of a URL are written as percent escapes. Repeated rows are records each; rows with equal
+    page_id and payload are all responses. Other columns are not read. An empty table gives no archive. Archives hold one
+    task's rows, are named by its partition and are renamed into place when whole, so that a task run again leaves one.
+    Very long pages are compressed one at a time.
     """
-    rows = classify(pages)
+    small_batches(pages.sparkSession)
+    rows = classify(pages).withColumns({"page_id": F.coalesce(F.col("page_id").cast("string"), F.lit("")), "refers_to": F.col("refers_to").cast("string")})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = None
         for b in batches:
             if f is None and len(b):
-                f = AtomicFile(path := f"{out}/part-{uuid.uuid4().hex}.wacz")
+                f = AtomicFile(path := f"{out}/part-{TaskContext.get().partitionId():06d}.wacz")
                 z = zipfile.ZipFile(f, "w", zipfile.ZIP_STORED, allowZip64=True)
                 data = z.open(zipfile.ZipInfo(WARC_MEMBER, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
                 index, at = [], 0
-            for page_id, url, html, digest, kind, ref in b.itertuples(index=False, name=None):
-                pid = "" if pd.isna(page_id) else str(int(page_id))
-                rec = gzip.compress(warc_record(kind, pid, url or "", html.encode("utf-8"), digest, None if pd.isna(ref) else str(int(ref))), 1, mtime=0)
+            for pid, url, html, digest, kind, ref in b.itertuples(index=False, name=None):
+                rec = gzip.compress(warc_record(kind, pid, url or "", html.encode("utf-8"), digest, ref if isinstance(ref, str) else None), 1, mtime=0)
                 data.write(rec)
                 index.append(json.dumps({"page_id": pid, "offset": at, "length": len(rec)}))
                 at += len(rec)
@@ -160,7 +169,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
             f.commit()
             yield pd.DataFrame({"path": [path], "n_records": [len(index)]})
 
-    return materialize(rows.mapInPandas(write, "path string, n_records long"), "archives")
+    return materialize(rows.mapInPandas(lean(write), "path string, n_records long"), "archives")
 
 
 def read_records(archives: DataFrame, batch: int = 500) -> DataFrame:
@@ -191,15 +200,17 @@ def read_records(archives: DataFrame, batch: int = 500) -> DataFrame:
                         yield _frame(rows)
 
     n = min(archives.count(), 4096)
-    return archives.select("path").repartition(max(1, n)).mapInPandas(read, schema)
+    return archives.select("path").repartition(max(1, n)).mapInPandas(lean(read), schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    b = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
-    return b.astype({"page_id": "Int64", "refers_to": "Int64"})
+    names = ("page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload")
+    # a column of numbers and nulls would become one of floats
+    return pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages written to archives and read back; nulls, empty and very long pages, repeats as write_archives() says."""
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
     return read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
