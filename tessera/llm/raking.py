@@ -49,7 +49,10 @@ def shares(total: dict[str, float], power: float) -> dict[str, float]:
 
 def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, epsilon: float = EPSILON) -> np.ndarray:
     """Weights raked to the targets. cells: (n, margins) codes; targets: shares by code. A margin's target counts only
-    among codes with weight; margins that can't all be met end at the last one raked."""
+    among codes with weight; margins that can't all be met end at the last one raked. No cells, or cells without weight,
+    give weights of 0."""
+    if not weight.sum() > 0:
+        return np.zeros(len(weight))
     w = weight / weight.sum()
     for _ in range(rounds):
         worst = 0.0
@@ -64,16 +67,16 @@ def rake(cells: np.ndarray, weight: np.ndarray, targets: list[np.ndarray], round
     return w
 
 
-def rake_table(cells: DataFrame, targets: list[dict[str, float]], margins: tuple[str, ...], rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
+def rake_table(cells: DataFrame, targets: list[dict[str, float] | None], margins: tuple[str, ...], rounds: int = ROUNDS, epsilon: float = EPSILON) -> DataFrame:
     """The same on a table of cells too many for the driver: each margin's sums are aggregated and joined back, and every
-    round is a written table. Targets are the margins' own small lists."""
+    round is a written table. A target is a given list or None, for the default, which is a table as well."""
     spark = cells.sparkSession
     whole = cells.agg(F.sum("n_tokens")).first()[0]
     w = cells.withColumn("w", F.col("n_tokens") / F.lit(float(whole)))
+    wants = [spark.createDataFrame(list(t.items()), f"{m} string, want double") if t else materialize(cells.groupBy(m).agg(F.pow(F.sum("n_tokens"), F.lit(FLATTEN)).alias("want")), "targets") for m, t in zip(margins, targets, strict=True)]
     for _ in range(rounds):
         worst = 0.0
-        for m, target in zip(margins, targets, strict=True):
-            want = spark.createDataFrame(list(target.items()), f"{m} string, want double")
+        for m, want in zip(margins, wants, strict=True):
             now = w.groupBy(m).agg(F.sum("w").alias("now")).filter("now > 0").join(want, m, "left").withColumn("want", F.coalesce("want", F.lit(0.0)))
             now = materialize(now, "margin")
             total, gap = now.agg(F.sum("want"), F.max(F.abs(F.col("now") - F.col("want")))).first()
@@ -111,12 +114,11 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
     named = [F.coalesce(F.col(m).cast("string"), F.lit(NONE)).alias(m) for m in margins]
     cells = materialize(docs.select(*named, "n_tokens").groupBy(*margins).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), "cells")
     schema = ", ".join(f"`{m}` string" for m in margins) + ", n_docs long, n_tokens long, weight double, p double"
-    sums = [{r[0]: float(r[1]) for r in cells.groupBy(m).agg(F.sum("n_tokens")).toLocalIterator()} for m in margins]
-    goal = [(targets or {}).get(m) or shares(s, FLATTEN) for m, s in zip(margins, sums, strict=True)]
-    if not any(goal):
+    given = [(targets or {}).get(m) for m in margins]
+    if cells.filter("n_tokens > 0").isEmpty():
         return spark.createDataFrame([], schema)
     if cells.count() > DRIVER_CELLS:
-        w = rake_table(cells.filter("n_tokens > 0"), goal, margins).withColumn("ratio", F.col("w") / F.col("n_tokens"))
+        w = rake_table(cells.filter("n_tokens > 0"), given, margins).withColumn("ratio", F.col("w") / F.col("n_tokens"))
         lo, hi = 0.0, 1.0
         want = keep * float(cells.agg(F.sum("n_tokens")).first()[0])
         got = lambda c: w.agg(F.sum(F.least(F.lit(1.0), F.col("ratio") * c) * F.col("n_tokens"))).first()[0]
@@ -128,7 +130,8 @@ def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
         return w.select(*margins, "n_docs", "n_tokens", F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("ratio") * hi).alias("p"))
     c = cells.toPandas().sort_values(list(margins)).reset_index(drop=True)
     codes, goals = [], []
-    for m, g in zip(margins, goal, strict=True):
+    for m, g in zip(margins, given, strict=True):
+        g = g or shares(c.groupby(m)["n_tokens"].sum().to_dict(), FLATTEN)
         values = sorted(set(c[m]))
         codes.append(c[m].map({v: i for i, v in enumerate(values)}).to_numpy())
         goals.append(np.array([g.get(v, 0.0) for v in values]))
@@ -142,22 +145,27 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     """docs with topic, n_tokens, p and drawn: each document's cell probability and whether it is drawn.
 
     A draw hashes doc_id, text and seed to a number in [0, 1) and compares it with p, so it doesn't change with the
-    partitioning. Documents without tokens can't move the mixture and have p 1. Null margins are groups of their own;
-    columns of the four names are replaced. An empty table stays empty.
+    partitioning. Documents without tokens (null, empty or blank texts) can't move the mixture and have p 1. Null margins
+    are groups of their own; rows repeated as a whole are drawn together. Columns of the four names are replaced, all others
+    stay as they are. An empty table stays empty.
     """
-    cols = [c for c in docs.columns if c not in ("topic", "n_tokens", "p", "drawn")]
-    told = docs.select(*cols).withColumns({"topic": topic(text), "n_tokens": tokens(text)})
-    cells = calibrate(told.select("source", "lang", "topic", "n_tokens"), targets, keep=keep)
-    key = [F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in MARGINS]
-    small = cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("p"))
-    on = key[0] == F.col("_source")
-    for k, m in zip(key[1:], MARGINS[1:], strict=True):
-        on = on & (k == F.col(f"_{m}"))
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col(text), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    out = told.join(small, on, "left").drop(*(f"_{m}" for m in MARGINS)).withColumn("p", F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0))
-    return out.withColumn("drawn", u < F.col("p"))
+    added = ("topic", "n_tokens", "p", "drawn")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    told = docs.select(row.alias("_row"), *(F.coalesce(F.col(m).cast("string"), F.lit(NONE)).alias(m) for m in MARGINS if m != "topic"), topic(text).alias("topic"), tokens(text).alias("n_tokens"), F.xxhash64(F.col("doc_id").cast("string"), F.col(text), F.lit(seed)).alias("_u"))
+    cells = calibrate(told.select(*MARGINS, "n_tokens"), targets, keep=keep)
+    out = told.join(cells.select(*MARGINS, "p"), list(MARGINS), "left")
+    p = F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(1.0))).otherwise(1.0)
+    u = F.pmod(F.col("_u"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return out.select("_row.*", "topic", "n_tokens", p.alias("p"), (u < p).alias("drawn"))
+
+
+def draw(docs: DataFrame, **kw) -> DataFrame:
+    """The drawn rows of docs with all their columns as they were; keywords and cases as in mix()."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text", "source", "lang")
+    return mix(packed, **kw).filter("drawn").select("_doc.*")
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of documents, p rounded to 6 places; nulls, empty texts, repeats and empty tables as it says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"), "drawn")
