@@ -14,10 +14,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, materialize, small_batches
+from .common import keep_only, lean, materialize, small_batches
 
 RANK, OVERSAMPLE = 32, 8
 PASSAGE = 32  # words of a passage in the fit
@@ -29,6 +29,7 @@ LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.6
 ENOUGH, RARE = 0.6, 0.7  # shares of an item's distinct words
 GROUP = 256
 BLOCK_CHARS = 8_000_000  # of benchmark text judged in one pass over the corpus
+MOST_WORDS = 2_000_000  # distinct words of a benchmark
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -80,7 +81,7 @@ def _alike(lengths: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
 
 
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(row columns, ids): each document's words as ids of the vocabulary (bounded by BLOCK_CHARS), 0 for other words."""
+    """id, th and ids: each document's words as ids of the vocabulary (at most MOST_WORDS words), 0 for other words."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,9 +89,9 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
         get = known.value.get
         for b in batches:
             out = [np.fromiter(map(get, words(t), repeat(0)), np.uint32).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "ids": out})
 
-    return docs.mapInPandas(run, "doc_id long, ids binary")
+    return docs.mapInPandas(lean(run), "id long, th long, ids binary")
 
 
 def _passages(ids: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +158,7 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
         some = np.flatnonzero(m.any(axis=1))
         return pd.DataFrame({"w": some, "x": [m[i].tobytes() for i in some]}).astype({"w": "int64"})
 
-    counts = _collect(_added(table.select("ids").mapInPandas(df_counts, "w long, x binary")), v, 1)[:, 0]
+    counts = _collect(_added(table.select("ids").mapInPandas(lean(df_counts), "w long, x binary")), v, 1)[:, 0]
     idf = np.log((counts[0] + 1) / (counts + 1)).clip(0)
     idf[(counts > COMMON * counts[0])] = 0
     idf[0] = 0
@@ -183,13 +184,13 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
                 y[w] += np.add.reduceat(p[which], first, axis=0) * weight[w][:, None]
         yield _rows(y)
 
-    y = _collect(_added(table.select("ids").mapInPandas(ranged, "w long, x binary")), v, width)
+    y = _collect(_added(table.select("ids").mapInPandas(lean(ranged), "w long, x binary")), v, width)
     # y = (A'A) omega spans the leading right singular vectors; those of y itself, in order, are taken for them
     return idf, np.linalg.svd(y, full_matrices=False)[0][:, :RANK]
 
 
 def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf: np.ndarray, basis: np.ndarray) -> DataFrame:
-    """(doc_id, item_id, score): confirmed items of each document. items: (item_id, words, answer words), as ids."""
+    """(id, th, item_id, score): confirmed items of each document. items: (item_id, words, answer words), as ids."""
     items = sorted(items, key=lambda x: len(x[1]))
     rows = (basis * idf[:, None]).astype(np.float32)
     vectors = np.stack([rows[w].sum(0) for _, w, _ in items])
@@ -263,57 +264,81 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                             share = lcs(want, near) / len(want)
                             if share >= LCS_SURE or share >= LCS_LIKELY and len(set(answer).intersection(near)) >= ANSWER * len(set(answer)):
                                 out[d, k] = max(share, out.get((d, k), 0))
-            ids_ = b["doc_id"].tolist()
-            yield pd.DataFrame([(ids_[d], items[k][0], s) for (d, k), s in out.items()], columns=["doc_id", "item_id", "score"]).astype({"doc_id": "int64", "item_id": "int64", "score": "float64"})
+            own, th = b["id"].tolist(), b["th"].tolist()
+            yield pd.DataFrame([(own[d], th[d], items[k][0], s) for (d, k), s in out.items()], columns=["id", "th", "item_id", "score"]).astype({"id": "int64", "th": "int64", "item_id": "int64", "score": "float64"})
 
-    return table.filter("doc_id is not null").mapInPandas(run, "doc_id long, item_id long, score double")
+    return table.mapInPandas(lean(run), "id long, th long, item_id long, score double")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
-    """(doc_id, item_id, score): every document and item found in it, with the share of the item's words that it repeats
-    in order.
+def _key(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th")
 
-    Whole texts. Items that are null or without words are in no document; equal items are each reported. A null or empty
-    document holds none; rows with a null doc_id are left out, rows repeated under one id count as one. Other columns are
-    not read. A benchmark of over BLOCK_CHARS characters is judged in blocks, each by a pass over the corpus. Without an
-    answer column the answer is the rarest third of the item's words. An empty table on either side gives no row.
-    """
+
+def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str, answer: str | None) -> DataFrame:
+    """(id, th, item_id, score): items found in each text. id is doc_id or 0 and th the text's hash, so that rows are judged
+    by their own texts, those without an id too."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = "doc_id long, item_id long, score double"
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(*_key(docs), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer")).filter("item_id is not null and text is not null")
+    vocabulary: dict[str, int] = {}
+    for r in bench.toLocalIterator():
+        for w in (*words(r.text), *words(r.answer)):
+            vocabulary.setdefault(w, len(vocabulary) + 1)
+        if len(vocabulary) > MOST_WORDS:
+            raise ValueError(f"the benchmark has over {MOST_WORDS} distinct words, which every worker would hold: give it in parts")
+    if not vocabulary:
+        return spark.createDataFrame([], "id long, th long, item_id long, score double")
+    vocabulary = {w: i for i, w in enumerate(sorted(vocabulary), 1)}
+    table = materialize(numbered(src, vocabulary), "numbered")
+    idf, basis = latent_space(table, len(vocabulary) + 1)
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, found = max(1, -(-size // BLOCK_CHARS)), None
     for k in range(blocks):
-        part = [(r.item_id, words(r.text), words(r.answer)) for r in bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()]
-        part = sorted(x for x in part if x[1])
-        if not part:
-            continue
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, t, a in part for w in (*t, *a)}), 1)}
-        table = materialize(numbered(src, vocabulary), "numbered")
-        idf, basis = latent_space(table, len(vocabulary) + 1)
         items = []
-        for item, t, a in part:
-            ids = [vocabulary[w] for w in t]
-            rare = sorted(set(ids), key=lambda w: (-idf[w], w))
-            items.append((item, ids, [vocabulary[w] for w in a] or rare[: max(1, len(rare) // 3)]))
-        hits = search(table, items, idf, basis)
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    return materialize(found, "hits").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+        for r in sorted(bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()):
+            if ids := [vocabulary[w] for w in words(r.text)]:
+                rare = sorted(set(ids), key=lambda w: (-idf[w], w))
+                items.append((r.item_id, ids, [vocabulary[w] for w in words(r.answer)] or rare[: max(1, len(rare) // 3)]))
+        if items:
+            hits = search(table, items, idf, basis)
+            found = hits if found is None else found.union(hits)
+    return materialize(found, "hits").groupBy("id", "th", "item_id").agg(F.max("score").alias("score"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
+    """(doc_id, item_id, score): every document and item found in it, with the share of the item's words that it repeats
+    in order.
+
+    Whole texts. Items that are null or without words are in no document; equal items, and items under one id, are each
+    judged and reported by their ids. A null or empty document holds none; rows with a null doc_id are judged as one
+    document of that id, rows repeated under one id count as one. Other columns are not read. The latent space is fitted
+    once over the whole benchmark, whose words (MOST_WORDS distinct ones at most, else a ValueError) every worker holds;
+    items of over BLOCK_CHARS characters together are searched in blocks, each by a pass over the numbered corpus, with the
+    same result. Without an answer column the answer is the rarest third of the item's words. An empty table on either side
+    gives no row.
+    """
+    hits = _hits(docs, benchmark, item_col, text, answer)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(docs)).join(hits, ["id", "th"])
+    return own.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+
+
+def _judged(docs: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    hits = hits.withColumnsRenamed({"id": "_hit_id", "th": "_hit_th"})
+    own, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), F.xxhash64(docs["text"].cast("string"))
+    return docs.join(hits, (own == hits["_hit_id"]) & (th == hits["_hit_th"]), how)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without those that hold an item; rows with a null doc_id stay."""
-    hits = contamination(docs, benchmark, **kw).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["_hit"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
+    """docs without those that hold an item, each row judged by its own text, rows with a null doc_id too. All columns stay
+    as they are; other cases as in contamination()."""
+    return _judged(docs, _hits(docs, benchmark, item_col, text, answer).select("id", "th").distinct(), "left_anti")
 
 
 def op6_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the items found in it: doc_id, contaminated, n_items, first_item, score."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    hits = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("score").alias("score"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(hits, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "first_item", "score")
+    """Every document with the items found in it: doc_id, contaminated, n_items, first_item, score. Nulls, repeats, ties and
+    empty tables as in contamination(); each row is judged by its own text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    hits = _hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", None)
+    hits = hits.groupBy("id", "th").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("score").alias("score"))
+    return _judged(docs, hits, "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "first_item", "score")
