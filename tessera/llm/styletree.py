@@ -1,29 +1,34 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of one host are merged: a style node is the path of elements (tag, classes, id, role) below the body. Over a
-host's pages a node has a distribution of contents and one of presentations (the styles of its children in order). Its
-importance is a mean of the two entropies, each divided by the logarithm of the number of pages: a branch that looks and
-reads alike on all pages has none. Branches of low importance are removed from each page. Elements that declare what
-they are (navigation, footer, form, advert, comment...) carry their importance with them, as does what is inside an
-article; entropies decide for all others.
+The DOMs of one host are merged: a style node is an element with its tag, classes and role, below its parent's style node;
+a content node is a text block of a style node. Entropies are taken over a host's distinct pages, divided by the logarithm
+of their number: of a node's contents and of its presentations (the styles of its children in order). The importance of
+an inner node is composite: with l children styles, (1 - GAMMA^l) of its presentations' entropy and GAMMA^l of its children's
+mean importance, its own text being one of them. A branch goes when its importance and that of all style nodes below it
+are low; a content node, when it is on nearly all pages that have its style node. Elements that declare what they are
+(navigation, footer, form, advert, comment...) go without that, and inside an article only what is all but constant does,
+its headings never.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 
 LEAST = 0.35  # importance below which a branch goes
-MIN_PAGES = 4  # fewer pages of a host say nothing about a node
-CONTENT_SHARE = 0.8  # of content entropy in the mean
+LEAST_MAIN = 0.1  # the same inside an article, and for content nodes anywhere
+MIN_PAGES, MIN_MAIN = 4, 12  # fewer distinct pages of a host say nothing about a node
+GAMMA = 0.9
+WASTE = 16  # times a page's length that may be read in vain for the ends of quoted attributes
 
 #: HTML element classes (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,19 +46,32 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _PAIRS = {tag: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I | re.S) for tag in SKIPPED}
 _HEADING = frozenset(("header", "hgroup"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("key", "noise", "main", "path", "tag")
+    __slots__ = ("id", "noise", "main", "low", "tag")
 
-    def __init__(self, tag, key, path, noise, main):
-        self.tag, self.key, self.path, self.noise, self.main = tag, key, path, noise, main
+    def __init__(self, tag: str, id: int, noise: bool, main: bool, low: bool):
+        self.tag, self.id, self.noise, self.main, self.low = tag, id, noise, main, low
+
+
+@dataclass
+class Page:
+    blocks: list[tuple[int, bool, bool, bool, str]]  # style node, declared noise, inside an article, in a low branch, text
+    parent: dict[int, tuple[int, int, bool]]  # style node -> its parent, its depth, inside an article; no declared noise
+    children: dict[int, list[int]]  # style node -> style nodes of its children in order
+
+
+def _hash(*parts: str | bytes) -> int:
+    return xxhash.xxh64_intdigest(b"\0".join(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in parts)) - (1 << 63)
 
 
 def _closed(html: str, tag: str) -> dict[int, int]:
@@ -69,64 +87,86 @@ def _closed(html: str, tag: str) -> dict[int, int]:
     return out
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[str]]]:
-    """Blocks in page order as (path of the style node, noise, inside an article, text), and each path's children styles.
+def parse(html: str, low: Collection[int] = ()) -> Page:
+    """Text blocks in page order, and the page's style nodes. low: style nodes whose branches are marked as low.
 
     A head ends where HTML ends it, by its own tag or by the first text or element that can't be in one. Of an element of
-    SKIPPED without an end tag only the start tag is left out, so that the page goes on after it.
+    SKIPPED without an end tag only the start tag is left out, so that the page goes on after it. What follows the last >
+    is text. Time is linear in the page's length, however broken it is: where quotes that never end have made the reader
+    look WASTE times the page ahead, tags end at the next > from there on.
     """
-    root = _Node("", "", "", False, False)
-    stack, blocks, children = [root], [], {}
+    root = _Node("", 0, False, False, False)
+    stack, at_tag = [root], {}  # at_tag: places in the stack by tag
+    page = Page([], {}, {})
     buffer: list[str] = []
     hold = root
     closed: dict[str, dict[int, int]] = {}
+    whole, n = html, html.rfind(">") + 1
+    html = html[:n]
+    waste = WASTE * n
 
     def flush():
         if buffer:
             text = " ".join(htmllib.unescape("".join(buffer)).split())
             if text:
-                blocks.append((hold.path, hold.noise, hold.main, text))
+                page.blocks.append((hold.id, hold.noise, hold.main, hold.low, text))
             buffer.clear()
 
     def pop(to: int):
         nonlocal hold
         flush()
+        for x in reversed(stack[to:]):
+            at_tag[x.tag].pop()
         del stack[to:]
         hold = stack[-1]
 
-    at, n = 0, len(html)
+    def last(tags: tuple[str, ...]) -> int:
+        return max((at_tag[t][-1] for t in tags if at_tag.get(t)), default=0)
+
+    at = 0
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            buffer.append(html[at:])
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            buffer.append(html[at:lt])
+        if lt == n:
             break
-        if m.start() > at:
-            buffer.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        mark = html[lt + 1 : lt + 2]
+        if mark in "!?":
+            end = html.find("-->", lt + 4) if html.startswith("<!--", lt) else html.find(">", lt)
+            if end < 0:  # a comment without an end
+                at = n + 1
+                break
+            at = end + (3 if html.startswith("<!--", lt) else 1)
+            continue
+        m = _TAG.match(html, lt) if waste > 0 else None
+        if m is None and (mark.isascii() and mark.isalpha() or mark == "/"):
+            waste -= n - lt
+            m = _PLAIN_TAG.match(html, lt)
+        if m is None:
+            buffer.append("<")
+            at = lt + 1
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:  # end tag
+        at = m.end()
+        tag = m[2].lower()
+        if m[1]:  # end tag
             if tag in INLINE or tag in VOID:
                 if tag == "br":
                     buffer.append(" ")
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
+            elif at_tag.get(tag):
+                pop(at_tag[tag][-1])
             continue
         if tag in RAW:
             end = _END[tag].search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else n + 1
             if tag != "title":
                 buffer.append(" ")
             continue
         if tag in SKIPPED:
             if tag not in closed:
                 closed[tag] = _closed(html, tag)
-            at = closed[tag].get(m.start(), at)
+            at = closed[tag].get(lt, at)
             if tag not in ("svg", "math"):
                 buffer.append(" ")
             continue
@@ -139,30 +179,32 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[
         if tag in ("html", "head", "body"):
             flush()
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop(i)
-                    break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in SCOPES.get(tag, ()):
-                break
-            if stack[i].tag in SIBLINGS.get(tag, ()):
+        if tag in CLOSES_P and at_tag.get("p"):
+            pop(at_tag["p"][-1])
+        if tag in SIBLINGS:
+            while (i := last(SIBLINGS[tag])) > last(SCOPES[tag]):
                 pop(i)
                 if tag != "tr":
                     break
         flush()
-        attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[3] or m[6] or "")}
+        attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[3])} if m[3] else {}
         words = set(_WORD.findall(attrs.get("class", ""))) | set(_WORD.findall(attrs.get("id", "")))
         up = stack[-1]
-        key = tag + "".join(f".{w}" for w in sorted(attrs.get("class", "").split())[:4]) + (f"[{attrs['role']}]" if "role" in attrs else "")
         # the heading of an article belongs to it
         noise = up.noise or (tag in NOISE_TAGS and not (tag in _HEADING and up.main)) or attrs.get("role") in NOISE_ROLES or (tag not in KEEP_TAGS and bool(words & NOISE_WORDS))
-        hold = _Node(tag, key, f"{up.path}/{key}" if len(stack) < 64 else up.path, noise, up.main or tag in KEEP_TAGS or attrs.get("role") == "main")
-        children.setdefault(up.path, []).append(key)
+        main = up.main or tag in KEEP_TAGS or attrs.get("role") == "main"
+        id = _hash(up.id.to_bytes(8, "little", signed=True), tag, " ".join(sorted(attrs.get("class", "").split())), attrs.get("role", ""))
+        hold = _Node(tag, id, noise, main, up.low or id in low)
+        if not noise:
+            if not (main and tag in _HEADINGS):  # an article's headings are its own, however alike
+                page.parent.setdefault(id, (up.id, len(stack), main))
+            page.children.setdefault(up.id, []).append(id)
+        at_tag.setdefault(tag, []).append(len(stack))
         stack.append(hold)
+    if at <= n:
+        buffer.append(whole[n:])
     flush()
-    return blocks, children
+    return page
 
 
 def site(url: str | None) -> str:
@@ -173,80 +215,115 @@ def site(url: str | None) -> str:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, content, look): a row per distinct page of a host and style node that holds text of its own and is not
-    told by what it is. Pages of the same elements and texts are one page; copies would make any text look like a template.
-    """
+    """(host, html_id, page, node, parent, depth, main, text, content, look): of each page the style nodes that aren't
+    declared noise (text null) and their content nodes (text: hash of the block). page: hash of the page's texts but for
+    declared noise; pages that read alike there are one page, since copies would make any text look like a template."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for url, html in zip(b["url"], b["html"], strict=True):
-                host = site(url)
-                blocks, children = parse(html)
-                texts: dict[str, list[str]] = {}
-                for path, noise, main, text in blocks:
-                    if not noise and not main:
-                        texts.setdefault(path, []).append(text)
-                if not texts:
-                    continue
-                h = lambda x: xxhash.xxh64_intdigest("\n".join(x).encode("utf-8", "surrogatepass")) - (1 << 63)
-                page = xxhash.xxh3_128_digest(repr((blocks, children)).encode("utf-8", "surrogatepass"))
-                rows += [(host, path, h(t), h(children.get(path, ())), page) for path, t in texts.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "content", "look", "page"]).astype({"content": "int64", "look": "int64"})
-
-    return pages.mapInPandas(run, "host string, path string, content long, look long, page binary").distinct().drop("page")
+            for url, key, html in zip(b["url"], b["html_id"].tolist(), b["html"], strict=True):
+                host, got = site(url), parse(html)
+                texts: dict[int, list[str]] = {}
+                for node, noise, _, _, text in got.blocks:
+                    if not noise:
+                        texts.setdefault(node, []).append(text)
+                page = _hash(*(text for _, noise, _, _, text in got.blocks if not noise))
+                for node, (parent, depth, main) in got.parent.items():
+                    own = texts.get(node)
+                    look = got.children.get(node)
+                    rows.append((host, key, page, node, parent, depth, main, None, _hash(*own) if own else None, _hash(*map(str, look)) if look else None))
+                    if own:
+                        rows += [(host, key, page, node, parent, depth, main, x, None, None) for x in {_hash(t) for t in own}]
+            names = ("host", "html_id", "page", "node", "parent", "depth", "main", "text", "content", "look")
+            columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: () for n in names}
+            # a column of numbers and nulls would become one of floats
+            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("text", "content", "look") else list(v) for n, v in columns.items()}).astype({"html_id": "int64", "page": "int64", "node": "int64", "parent": "int64", "depth": "int32", "main": "bool", "host": "object"})
+
+    return pages.mapInPandas(lean(run), "host string, html_id long, page long, node long, parent long, depth int, main boolean, text long, content long, look long")
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """(host, path, n_pages, importance): entropies of a node's contents and looks over the host's distinct pages. Counts are summed
-    in two steps, so that a host of any size needs no task of its own."""
+    """(host, node, n_pages, main, importance, low) of the style nodes on MIN_PAGES distinct pages of a host at least.
+
+    Contents and looks are counted in two steps, so that a host of any size needs no task of its own; what a host's tree is
+    made of is a row per style node. A node's kind of low importance is that of its branch: LEAST, or LEAST_MAIN inside an
+    article."""
+    nodes = rows.filter("text is null").select("host", "page", "node", "parent", "depth", "main", "content", "look").distinct()
 
     def entropy(col: str) -> DataFrame:
-        c = rows.groupBy("host", "path", col).agg(F.count("*").alias("c"))
-        m = c.groupBy("host", "path").agg(F.sum("c").alias("n_pages"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        h = F.when(F.col("n_pages") > 1, 1 - F.col("s") / F.col("n_pages") / F.log("n_pages")).otherwise(F.lit(1.0))
-        return m.select("host", "path", "n_pages", h.alias(f"h_{col}"))
+        c = nodes.groupBy("host", "node", col).agg(F.count("*").alias("c"))
+        m = c.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count(col).alias("k"))
+        h = F.when(F.col("n") > 1, 1 - F.col("s") / F.col("n") / F.log("n")).otherwise(F.lit(1.0))
+        return m.select("host", "node", h.alias(f"h_{col}"), (F.col("k") > 0).alias(f"has_{col}"))
+
+    seen = nodes.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("main").alias("main"), F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
+    told = seen.join(entropy("content"), ["host", "node"]).join(entropy("look"), ["host", "node"])
+
+    def tree(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["depth", "node"], ascending=[False, True])
+        below: dict[int, list[tuple[float, int, bool]]] = {}
+        out = []
+        for node, parent, main, n, hc, has_text, hl, has_look in b[["node", "parent", "main", "n_pages", "h_content", "has_content", "h_look", "has_look"]].itertuples(index=False, name=None):
+            kids = below.get(node, [])
+            parts = [(i, m) for i, m, _ in kids] + ([(hc, n)] if has_text else [])
+            mean = sum(i * m for i, m in parts) / sum(m for _, m in parts) if parts else 1.0
+            share = GAMMA ** len(kids) if has_look else 1.0
+            value = (1 - share) * hl + share * mean
+            low = value < (LEAST_MAIN if main else LEAST) and (not main or n >= MIN_MAIN) and all(x for _, _, x in kids) and bool(parts)
+            below.setdefault(parent, []).append((value, n, low))
+            out.append((b["host"].iat[0], node, n, main, value, low))
+        return pd.DataFrame(out, columns=["host", "node", "n_pages", "main", "importance", "low"])
 
-    both = entropy("content").join(entropy("look").drop("n_pages"), ["host", "path"])
-    return both.select("host", "path", "n_pages", (CONTENT_SHARE * F.col("h_content") + (1 - CONTENT_SHARE) * F.col("h_look")).alias("importance"))
+    return told.groupBy("host").applyInPandas(tree, "host string, node long, n_pages long, main boolean, importance double, low boolean")
 
 
-def main_text(html: str, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's text without noise and without the branches at or below the paths of low importance."""
-    blocks, _ = parse(html)
+def repeated_texts(rows: DataFrame) -> DataFrame:
+    """(host, node, text) of content nodes of low importance: 1 - log(c) / log(m) for a block on c of the m distinct pages
+    that have its style node."""
+    m = rows.filter("text is null and content is not null").groupBy("host", "node").agg(F.countDistinct("page").alias("m")).filter(F.col("m") >= MIN_MAIN)
+    c = rows.filter("text is not null").groupBy("host", "node", "text").agg(F.countDistinct("page").alias("c")).filter("c > 1")
+    return c.join(m, ["host", "node"]).filter(1 - F.log("c") / F.log("m") < LEAST_MAIN).select("host", "node", "text")
 
-    def poor(path: str) -> bool:
-        return any(path == p or path.startswith(p + "/") for p in low)
 
-    return "\n".join(text for path, noise, main, text in blocks if not noise and (main or not low or not poor(path)))
+def main_text(html: str, low: Collection[int] = (), texts: Collection[tuple[int, int]] = ()) -> str:
+    """The page's text without noise, without the branches of low importance, and without the content nodes of texts."""
+    return "\n".join(text for node, noise, _, poor, text in parse(html, low).blocks if not noise and not poor and not (texts and (node, _hash(text)) in texts))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page, from its whole html.
 
     A null html or url counts as empty; a page without a host is judged with the others that have none. Pages without
-    main text have an empty one. Repeated rows give a row each and count once in their host's statistics, as do pages that
-    differ in nothing but what is not read (scripts, comments, attributes other than class, id and role); pages that differ
-    in any text or element count each. Other columns are not read. A node that is on fewer than MIN_PAGES distinct pages
-    of a host is removed by declaration only.
+    main text have an empty one. Repeated rows give a row each and count once in their host's statistics, as do pages whose
+    texts outside declared noise are equal. Other columns are not read. A node that is on fewer than MIN_PAGES (inside an
+    article, and for content nodes, MIN_MAIN) distinct pages of a host is removed by declaration only. Very long and broken
+    pages take time in proportion to their length. An empty table gives no row.
     """
     small_batches(pages.sparkSession)
-    src = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    low = importance(style_rows(src.select("url", "html"))).filter((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LEAST))
-    # paths of one host are a bounded list: those of its templates
-    low = materialize(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), r"([^@:]*)(?::[^@]*)?$", 1)), r"^www\.", "")
+    src = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("html_id", F.xxhash64("url", "html"))
+    rows = materialize(style_rows(src.select("url", "html_id", "html")), "style-rows")
+    branches = importance(rows).filter("low").select("host", "node", F.lit(None).cast("long").alias("text"))
+    low = materialize(branches.union(repeated_texts(rows)), "low-nodes")
 
+    # what is low on a page is a list no longer than the page's own nodes
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [main_text(h, set(x) if x is not None else frozenset()) for h, x in zip(b["html"], b["low"], strict=True)]
+            text = []
+            for html, nodes, texts in zip(b["html"], b["nodes"], b["texts"], strict=True):
+                nodes, texts = (() if x is None else x for x in (nodes, texts))
+                text.append(main_text(html, frozenset(map(int, nodes)), frozenset((x["node"], x["text"]) for x in texts)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": list(map(len, text))})
 
     if low.isEmpty():
-        joined = src.withColumn("low", F.lit(None).cast("array<string>"))
+        joined = src.withColumns({"nodes": F.lit(None).cast("array<long>"), "texts": F.lit(None).cast("array<struct<node:long,text:long>>")})
     else:
-        joined = src.withColumn("host", host).join(low, "host", "left").drop("host")
-    return joined.mapInPandas(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+        own = rows.select("html_id", "host", "node", "text").join(low, (rows["host"] == low["host"]) & (rows["node"] == low["node"]) & rows["text"].eqNullSafe(low["text"]), "left_semi")
+        told = F.col("text").isNotNull()
+        lists = own.groupBy("html_id").agg(F.collect_set(F.when(~told, F.col("node"))).alias("nodes"), F.collect_set(F.when(told, F.struct("node", "text"))).alias("texts"))
+        joined = src.join(lists, "html_id", "left")
+    out = joined.select("page_id", "url", "html", "nodes", "texts").mapInPandas(lean(run), "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
 
 
 def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
