@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, lean, materialize, remove, small_batches
+from .common import NULL_ID, keep_only, lean, materialize, remove, small_batches
 
 WIDTH, GROUPS = 2, 12
 SMALL = 12
@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     """
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     desc = materialize(describe(src, n), "signatures")
-    able = desc.filter("n_shingles > 0 and doc_id is not null")
+    able = desc.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != NULL_ID))
     classes = materialize(able.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("sig").alias("sig")).select("n_shingles", "f1", "f2", F.col("first.doc_id").alias("doc"), F.col("first.th").alias("th"), "sig"), "classes")
     keys = _keys(classes.select("doc", "n_shingles", "sig"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = PERCENT) -> Data
     if not fresh.isEmpty():
         label = components(links.union(fresh))
     found = member.join(label, "doc", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "doc")).alias("component_id"))
-    out = desc.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = desc.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_shingles", "component_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 

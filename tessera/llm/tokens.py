@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, fresh_path, keep_only, materialize, open_range, partitions, small_batches
+from .common import NULL_ID, AtomicFile, fresh_path, keep_only, lean, materialize, open_range, partitions, small_batches
 from .simple8b import pack_segment, read_segments
 
 END_ID = 2
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     spark = docs.sparkSession
     small_batches(spark)
     n = parts or partitions(spark)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
+    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, f, file, totals = encoder(path), None, None, [0, 0]
@@ -151,12 +151,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
 
         waiting = 0
         for b in batches:
-            for d, x, p in zip(b["doc_id"].array, enc(b["text"].tolist()), b["file"].array, strict=True):
+            for d, x, p in zip(b["doc_id"].tolist(), enc(b["text"].tolist()), b["file"].array, strict=True):
                 if f is None:
                     file = int(p)
                     f = AtomicFile(name := f"{out}/ids-{file:06d}.s8b")
                 x = np.append(x, np.uint32(end_id))
-                held.append((NULL_ID if pd.isna(d) else int(d), x))
+                held.append((d, x))
                 waiting += len(x)
                 if waiting >= SEGMENT_IDS:
                     flush()
@@ -166,11 +166,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
             f.commit()
             yield pd.DataFrame({"file": [file], "path": [name], "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
-    return materialize(ordered.mapInPandas(write, "file long, path string, n_docs long, n_ids long"), "token-files")
-
-
-#: Stands for a null doc_id in the files.
-NULL_ID = -(1 << 63)
+    return materialize(ordered.mapInPandas(lean(write), "file long, path string, n_docs long, n_ids long"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -199,7 +195,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         yield pd.DataFrame({"doc_id": known, "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
                         start += int(ends[-1])
 
-    return spark.createDataFrame(starts, "path string, start long").repartition(min(len(starts), 4096)).mapInPandas(read, schema)
+    return spark.createDataFrame(starts, "path string, start long").repartition(min(len(starts), 4096)).mapInPandas(lean(read), schema)
 
 
 def token_output(docs: DataFrame, out: str | None = None, **kw) -> DataFrame:
