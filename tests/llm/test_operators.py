@@ -5,12 +5,14 @@ import io
 import itertools
 import json
 import random
+import time
 import zipfile
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, crf, decontam, fst, minhash, raking, simple8b, styletree, suffix, tokens, warczip
 
@@ -189,10 +191,51 @@ def test_head_without_end_tag(end):
     assert styletree.main_text(f"<html><head><title>t</title>{end}<article>a") == "a"
 
 
-def test_importance_is_entropy(spark):
-    rows = [("h", "/a", 1, 1)] * 4 + [("h", "/b", i, 1) for i in range(4)]
-    got = {r.path: r.importance for r in styletree.importance(spark.createDataFrame(rows, "host string, path string, content long, look long")).collect()}
-    assert got["/a"] == pytest.approx(0) and got["/b"] == pytest.approx(styletree.CONTENT_SHARE)
+STYLE = "host string, html_id long, page long, node long, parent long, depth int, main boolean, text long, content long, look long"
+
+
+def test_importance_is_composite(spark):
+    """Node 1 has children 2 (constant text) and 3 (its own on every page) in one order; node 4 has only 2's like, 5."""
+    rows = []
+    for p in range(4):
+        rows += [("h", p, p, 1, 0, 1, False, None, None, 7), ("h", p, p, 2, 1, 2, False, None, 1, None), ("h", p, p, 3, 1, 2, False, None, p, None)]
+        rows += [("h", p, p, 4, 0, 1, False, None, None, 8), ("h", p, p, 5, 4, 2, False, None, 1, None), ("h", 9, 3, 6, 0, 1, False, None, p, None)]
+    got = {r.node: r for r in styletree.importance(spark.createDataFrame(rows, STYLE)).collect()}
+    g = styletree.GAMMA
+    want = {1: (1 - g**2) * 0 + g**2 * 0.5, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {k: r.importance for k, r in got.items()} == pytest.approx(want)
+    assert {k for k, r in got.items() if r.low} == {2, 4, 5}  # 1 holds a node that isn't low; 6 is on one page
+
+
+def test_entropies_decide_without_declarations(spark):
+    """No element says what it is: the constant branches go, one rare child with them, also inside an article."""
+    page = '<html><body><div class=a><p>Site</p><div class=l><p>Home</p><p>News</p>{}</div></div><div class=b><p>{}</p><p>Read more</p></div><article><p>{}</p><p>Follow us</p><div class=z>Tell a friend</div></article></body></html>'
+    rows = [(i, f"http://h.example/{i}", page.format("<h2>Rare</h2>" if i == 3 else "", f"text {i}", f"story {i}")) for i in range(12)]
+    got = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}\nstory {i}" for i in range(12)}
+    few = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).collect()}
+    assert few[0] == "Site\nHome\nNews\ntext 0\nRead more\nstory 0\nFollow us\nTell a friend"
+
+
+BROKEN = {
+    "open tags": "<a" * 500_000, "one tag": "<a" * 500_000 + ">", "quotes": "<a '>" * 200_000, "odd quotes": "<a \"'>" * 160_000 + "'", "svg": "<svg " * 200_000, "svg ends": "<svg " * 200_000 + ">", "titles": "<title></title " * 70_000,
+    "nested": "<div>" * 200_000, "lists": "<ul>" + "<div>" * 80_000 + "<li></li>" * 60_000, "ends": "<div>" * 80_000 + "</p></ul>" * 60_000, "comment": "<!--" * 250_000, "cells": "<table>" + "<tr><td>" * 120_000, "lt": "<" * 1_000_000, "attributes": "<p " + "class='a' " * 100_000 + ">",
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_linear_time(kind):
+    began = time.perf_counter()
+    text = styletree.main_text("<article><p>a</p></article>" + BROKEN[kind])
+    assert text.startswith("a") and time.perf_counter() - began < 5
+
+
+def test_style_tree_edges(spark):
+    """Extra columns, a very long page, repeated rows, ids beyond 2^53 beside null ones."""
+    big = 2**60 + 1
+    rows = [(big, "http://h/1", "<article>" + "<p>word</p>" * 50_000, "x", 1), (big, "http://h/1", "<article>" + "<p>word</p>" * 50_000, "x", 1), (None, "http://h/2", "<p>b", "y", 2)]
+    got = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, low long")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (big, 249_999), (big, 249_999)]
 
 
 # 5: MinHash
@@ -230,7 +273,7 @@ def test_near_duplicates(spark, n):
 @pytest.mark.parametrize("block", [2048, 7])
 def test_split_buckets_are_judged_whole(spark, monkeypatch, block):
     """Variants of a text that isn't there, near the threshold: only some of them link, and none is a centre for all."""
-    for name, value in {"SMALL": 1, "ROUNDS": 0, "BLOCK_DOCS": block, "COLUMNS": 64}.items():
+    for name, value in {"SMALL": 1, "BLOCK_DOCS": block, "COLUMNS": 64}.items():
         monkeypatch.setattr(minhash, name, value)
     r, rows = random.Random(3), []
     base = [f"w{i}" for i in range(120)]
@@ -252,6 +295,16 @@ def test_near_duplicate_edges(spark, edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_documents_of_several_texts(spark):
+    """Texts under one id are one document: it links what either text links with, whichever row comes first."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    big = 2**60 + 1
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, c), (big, c), (None, c)]
+    for order in (rows, rows[::-1]):
+        got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in minhash.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in order])).collect())
+        assert got == [(0, 0, False), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (big, 4, False)]
+
+
 # 6: decontamination
 def test_lcs():
     r = random.Random(1)
@@ -303,6 +356,47 @@ def test_long_items_beside_short_ones(spark, longest):
     assert all(decontam.LCS_SURE <= x.score <= 1 for x in hits)
 
 
+def test_items_of_all_lengths(spark):
+    """Verbatim copies, and copies with a fifth of the words replaced in runs, of items of 5 to 5,000 words, one benchmark;
+    documents without an id are judged, columns of any name stay."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    sizes = [5, 8, 15, 40, 100, 300, 600, 800, 1000, 2000, 5000]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(sizes)] + [(100, None)]
+    items.append((200, items[4][1]))  # an equal item
+    rows = []
+    for i, n in enumerate(sizes):
+        pad = lambda: [word() for _ in range(r.randint(0, 60))]
+        own = items[i][1].split()
+        rows.append((i, " ".join(pad() + own + pad()), "en", "a"))
+        cut = n // 10  # a tenth at two places
+        near = own[: n // 5] + [word() for _ in range(cut)] + own[n // 5 + cut : n // 2] + [word() for _ in range(cut)] + own[n // 2 + cut :]
+        rows.append((1000 + i, " ".join(pad() + near + pad()), "en", "a"))
+    rows += [(5000 + i, " ".join(word() for _ in range(r.randint(20, 500))), "en", "a") for i in range(30)]
+    rows += [(None, items[3][1], "en", "a"), (None, "nothing of it", "en", "a")]
+    src = docs(spark, rows).withColumn("th", F.lit(1)).withColumn("_hit_th", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hits = {(x.doc_id, x.item_id) for x in decontam.contamination(src, bench).collect()}
+    want = {(d + i, i) for d in (0, 1000) for i in range(len(sizes))} | {(4, 200), (1004, 200), (None, 3)}
+    assert hits == want
+    left = decontam.decontaminate(src, bench)
+    assert left.columns == src.columns and sorted((x.doc_id or 0) for x in left.collect()) == [0, *range(5000, 5030)]
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(30)]
+    src = docs(spark, [(i, " ".join([word() for _ in range(40)] + (items[i][1].split() if i < 30 else [])), "en", "a") for i in range(60)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.contamination(src, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 1000)
+    assert one == sorted(map(tuple, decontam.contamination(src, bench).collect())) and [x[:2] for x in one] == [(i, i) for i in range(30)]
+    monkeypatch.setattr(decontam, "MOST_WORDS", 5)
+    with pytest.raises(ValueError, match="distinct words"):
+        decontam.contamination(src, bench)
+
+
 @pytest.mark.parametrize("width", [6, 31, 32, 300, 9000])
 def test_region_counts_are_exact(width):
     x = np.random.default_rng(4).integers(0, decontam.STEP + 1, (500, 3)).astype(np.uint8)
@@ -325,6 +419,27 @@ def test_forward_backward(monkeypatch):
         assert np.allclose(p[lo:hi], total / total.sum(1, keepdims=True))
 
 
+def test_pair_marginals_by_enumeration():
+    r = np.random.default_rng(3)
+    em, tr = r.random((4, 5, 3)) + 0.05, r.random((3, 3)) + 0.05
+    post, pair = crf.marginals(em, tr)
+    for s in range(4):
+        one, two = np.zeros((5, 3)), np.zeros((4, 3, 3))
+        for z in itertools.product(range(3), repeat=5):
+            w = np.prod([em[s, t, x] for t, x in enumerate(z)]) * np.prod([tr[a, b] for a, b in itertools.pairwise(z)])
+            for t, x in enumerate(z):
+                one[t, x] += w
+            for t, (a, b) in enumerate(itertools.pairwise(z)):
+                two[t, a, b] += w
+        assert np.allclose(post[s], one / one.sum(1, keepdims=True)) and np.allclose(pair[s], two / two.sum((1, 2), keepdims=True))
+
+
+def test_letterless_texts(spark):
+    model = crf.fit([("the of and with this that", "en"), ("der die und nicht mit", "de")])
+    rows = [(i, t, "en", "a") for i, t in enumerate(["½ ² Ⅷ ①", "12 34", "…!", "x", "½ a", "日本", None, ""])]
+    assert [r.lang_pred == "und" for r in crf.identify(docs(spark, rows), model).orderBy("doc_id").collect()] == [True, True, True, False, False, False, True, True]
+
+
 def test_language(spark, edge, empty):
     words = {"en": "the of and with this from that have which".split(), "de": "der die und nicht mit eine auf sich auch".split(), "fr": "les des est pour dans avec une qui sur".split()}
     r = random.Random(5)
@@ -371,6 +486,40 @@ def test_search_small_tables(spark, n):
     assert got == {i: min(5, n - 1) for i in range(n)}
 
 
+def test_search_magnitudes_and_carried_bounds(spark):
+    """Tiny and huge vectors count by direction; several lists, few probed; a query table without rows; other columns."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((400, 12)) * 0.3 + r.standard_normal((8, 12))[r.integers(0, 8, 400)]
+    x[7], x[8] = x[50] * 1e-200, x[50] * 1e200
+    t = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, list string, salt long")
+    got = ann.search(t, t.filter("vec_id % 50 = 0"), lists=16)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    got = got.collect()
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 400, 50):
+        s = u @ u[q]
+        s[q] = -2
+        own = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert [g[0] for g in own] == [1, 2, 3, 4, 5] and all(np.isclose(s[v], sc) for _, v, sc in own)
+        hit += len({v for _, v, _ in own} & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.9 * 40
+    assert {g.vec_id for g in got if g.query_id == 50 and g.rank < 3} == {7, 8}
+    assert ann.search(t, t.filter("vec_id < 0")).count() == 0
+
+
+def test_survivors_hold_all_within_the_bound():
+    r = np.random.default_rng(6)
+    q, x = r.standard_normal((20, 40)), r.standard_normal((500, 40))
+    d = ((q[:, None] - x) ** 2).sum(2)
+    limit = np.sort(d, axis=1)[:, 5]
+    limit[3] = np.inf
+    found = {(int(a), int(b)) for i, j in ann.survivors(q, limit, x) for a, b in zip(i, j, strict=True)}
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d <= limit[:, None])), strict=True)}
+    assert all((3, j) in found for j in range(500)) and len(want - found) <= 0.03 * len(want) and len(found) < 500 + 20 * 250
+
+
 # 9: WARC in ZIP
 def test_zip64_directory():
     b = io.BytesIO()
@@ -396,6 +545,78 @@ def test_archives(spark, tmp_path):
     assert json.loads('{"page_id": "1"}')["page_id"] == "1"
 
 
+def test_archive_edges(spark, tmp_path):
+    """A URL with line ends, ids beyond 2^53 beside a null one, a very long page, clashing columns, an empty table."""
+    big = 2**60 + 1
+    rows = [(big, "http://x/\r\n\r\nContent-Length: 1", "p" * 3_000_000, "a", 1), (big + 1, None, "p" * 3_000_000, "b", 2), (None, "u", "", "c", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string, digest long")
+    by = {r.page_id: r for r in warczip.read_records(warczip.write_archives(pages, f"file://{tmp_path}/w")).collect()}
+    assert by[big].url == "http://x/%0D%0A%0D%0AContent-Length: 1" and len(by[big].payload) == 3_000_000
+    assert (by[big + 1].record_type, by[big + 1].refers_to, by[None].payload_bytes) == ("revisit", big, 0)
+    assert warczip.read_records(warczip.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_mixture_by_brute_force(spark):
+    """Cells, raked weights, probabilities and draws of a table, computed again in plain Python; clashing columns stay."""
+    r = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 900))), r.choice(["en", "de", None]), r.choice(["a", "b", "c"])) for i in range(300)]
+    src = docs(spark, rows).withColumns({"_source": F.lit("x"), "_topic": F.lit("y"), "topic": F.lit("mine"), "p": F.lit(7)})
+    out = {x.doc_id: x for x in raking.mix(src).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    cell = {i: (s, lang or raking.NONE, out[i].topic) for i, _, lang, s in rows}
+    n = Counter()
+    for i, c in cell.items():
+        n[c] += size[i]
+    goal = []
+    for m in range(3):
+        total = Counter()
+        for c, v in n.items():
+            total[c[m]] += v
+        goal.append({k: v**raking.FLATTEN for k, v in total.items()})
+    w = {c: v / sum(n.values()) for c, v in n.items()}
+    for _ in range(300):
+        for m in range(3):
+            now = Counter()
+            for c, v in w.items():
+                now[c[m]] += v
+            w = {c: v * goal[m][c[m]] / sum(goal[m].values()) / now[c[m]] for c, v in w.items()}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        got = sum(min(1, mid * w[c] / n[c]) * n[c] for c in n)
+        lo, hi = (mid, hi) if got < raking.KEEP * sum(n.values()) else (lo, mid)
+    for i, c in cell.items():
+        assert out[i].n_tokens == size[i] and out[i].p == pytest.approx(min(1, hi * w[c] / n[c]), abs=1e-6)
+    kept = raking.draw(src)
+    assert kept.columns == src.columns and {(x.doc_id, x.topic, x.p) for x in kept.collect()} == {(i, "mine", 7) for i, x in out.items() if x.drawn}
+    assert abs(sum(size[i] for i, x in out.items() if x.drawn) / sum(size.values()) - raking.KEEP) < 0.1
+
+
+def test_mixture_of_many_cells(spark, monkeypatch):
+    r = random.Random(8)
+    src = docs(spark, [(i, " ".join("w" for _ in range(r.randint(1, 900))), r.choice(["en", "de"]), r.choice(["a", "b", "c"])) for i in range(60)])
+    p = {x.doc_id: x.p for x in raking.mix(src).collect()}
+    monkeypatch.setattr(raking, "DRIVER_CELLS", 1)
+    monkeypatch.setattr(raking, "ROUNDS", 12)
+    assert {x.doc_id: x.p for x in raking.mix(src).collect()} == pytest.approx(p, abs=1e-4)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Columns that the operators use themselves stay as given; repeated rows go together; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    bench = spark.createDataFrame([(0, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"a text number {i} " * 3, "en", "a", 0.123, "mine", "note") for i in (1, 2, 2, 3)] + [(None, bench.first().text, "en", "a", 0.5, "mine", "x")]
+    src = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, topic string, p string")
+    for _, stage in p.STAGES[:4]:
+        out = stage(spark, src, str(tmp_path))
+        assert out.columns == src.columns and {tuple(r) for r in out.collect()} <= set(rows)
+        assert stage(spark, src.limit(0), str(tmp_path)).count() == 0
+    assert p.STAGES[4][1](spark, src.limit(0), str(tmp_path)).count() == 0
+    assert p.STAGES[2][1](spark, src, str(tmp_path)).count() == 4
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
