@@ -1,0 +1 @@
+"""Functions on columns and small frames: answers, tagged texts, masks, rollout rewards."""

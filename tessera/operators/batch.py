@@ -77,3 +77,47 @@ def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
         return F.struct((run * x["m"]).alias("run"), F.concat(F.array(run), acc["out"]).alias("out"))
 
     return F.aggregate(F.reverse(F.arrays_zip(rewards.alias("r"), mask.cast("array<double>").alias("m"))), start, fold, lambda acc: acc["out"])
+
+
+def unflatten(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Columns named by paths as nested structs."""
+
+    def build(paths: list[tuple[str, list[str]]]) -> list[Column]:
+        heads: dict[str, list] = {}
+        for full, path in paths:
+            heads.setdefault(path[0], []).append((full, path[1:]))
+        return [F.col(f"`{own[0][0]}`").alias(h) if len(own) == 1 and not own[0][1] else F.struct(*build(own)).alias(h) for h, own in heads.items()]
+
+    return df.select(*build([(c, c.split(sep)) for c in df.columns]))
+
+
+def cut(tokens: Column, most: int, how: str) -> Column:
+    """A token array of at most `most`: from the right, the left, or (error) an error where it is longer."""
+    if how == "error":
+        return F.when(F.assert_true(F.size(tokens) <= most, "too many tokens").isNull(), tokens)
+    return F.when(F.size(tokens) <= most, tokens).otherwise(F.slice(tokens, 1, most) if how == "right" else F.slice(tokens, F.size(tokens) - most + 1, most))
+
+
+def box_fits(box: Column, width: Column, height: Column) -> Column:
+    """Whether a box [x, y, w, h] overlaps the image, and is a pixel wide and high at least."""
+    inside = lambda i, most: F.least(F.element_at(box, i) + F.element_at(box, i + 2), most) - F.greatest(F.element_at(box, i), F.lit(0))
+    return (inside(1, width) > 0) & (inside(2, height) > 0) & (F.element_at(box, 3) >= 1) & (F.element_at(box, 4) >= 1)
+
+
+def in_split(df: DataFrame, column: str, split: str, expected: int | None = None) -> DataFrame:
+    """Rows of a split; none, or another number than expected, is an error."""
+    out = df.filter(F.col(column) == split)
+    n = out.agg(F.count("*").alias("_n"))
+    fine = (F.col("_n") > 0) if expected is None else (F.col("_n") == expected)
+    return out.crossJoin(F.broadcast(n.filter(F.assert_true(fine, f"split {split} has another number of rows").isNull()))).drop("_n")
+
+
+def subset(df: DataFrame, keys: DataFrame, key: str, mode: str, n: int, seed: int = 7) -> DataFrame:
+    """Rows of the keys, every one of which must be there: all, the first n by key, or n by hash."""
+    k = keys.select(key).distinct().join(df.select(key, F.lit(True).alias("_there")).distinct(), key, "left")
+    k = k.filter(F.assert_true(F.coalesce("_there", F.lit(False)), F.concat(F.lit("no row for "), F.col(key).cast("string"))).isNull()).drop("_there")
+    out = df.join(k, key, "left_semi")
+    if mode == "all":
+        return out
+    order = [F.col(key)] if mode == "first" else [F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)]
+    return out.orderBy(*order).limit(n)

@@ -9,33 +9,17 @@ SQL = {
     "AG30_group_macro": """WITH g AS (SELECT chart_type, ref_type, round(avg(iou), 9) AS m FROM fx_iou GROUP BY chart_type, ref_type), r AS (SELECT *, row_number() OVER (ORDER BY m, chart_type, ref_type) AS rn FROM g)
       SELECT round(avg(m), 6) AS macro, max(CASE WHEN rn = 1 THEN concat(chart_type, '/', ref_type) END) AS worst FROM r""",
     "AG31_localisation": "SELECT chart_type, cast(count(CASE WHEN iou > 0.5 THEN 1 END) AS double) / count(*) AS lq, round(coalesce(avg(CASE WHEN iou > 0.5 THEN iou END), 0), 6) AS sq, round(avg(iou), 6) AS miou FROM fx_iou GROUP BY ROLLUP (chart_type)",
-    "AG32_meters": "SELECT chart_type, round(cast(sum(inter_px) AS double) / (sum(union_px) + 1E-10), 9) AS ciou, round(avg(inter_px / (union_px + 1E-5)), 6) AS giou FROM fx_iou GROUP BY chart_type",
-    "AG33_no_target": "SELECT cast(count(CASE WHEN gt_px < 10 AND inter_px = 0 THEN 1 END) AS double) / count(CASE WHEN gt_px < 10 THEN 1 END) AS n_acc, cast(count(CASE WHEN gt_px >= 10 AND inter_px > 0 THEN 1 END) AS double) / count(CASE WHEN gt_px >= 10 THEN 1 END) AS t_acc, round(avg(CASE WHEN gt_px < 10 THEN CASE WHEN inter_px = 0 THEN 1.0E0 ELSE 0.0E0 END ELSE iou END), 6) AS giou FROM fx_iou",
     "AG34_best_box": "SELECT round(avg(CASE WHEN best >= 0.5 THEN 1.0E0 ELSE 0.0E0 END), 9) AS ap50, round(avg(best), 6) AS mean_best FROM (SELECT sample_id, max(iou) AS best FROM fx_iou GROUP BY sample_id) t",
     "AG35_type_means": "WITH e AS (SELECT sample_id, max(chart_type) AS type_id, round(avg(iou) * 100, 6) AS j FROM fx_iou GROUP BY sample_id), t AS (SELECT type_id, avg(j) AS j FROM e GROUP BY type_id) SELECT round(avg(j), 4) AS j FROM t",
     "AG42_crosstab": "WITH c AS (SELECT DISTINCT chart_type FROM fx_attempt), r AS (SELECT DISTINCT ref_type FROM fx_attempt), n AS (SELECT chart_type, ref_type, count(*) AS k FROM fx_attempt GROUP BY chart_type, ref_type) SELECT c.chart_type, r.ref_type, coalesce(n.k, 0) AS n FROM c CROSS JOIN r LEFT JOIN n ON n.chart_type = c.chart_type AND n.ref_type = r.ref_type",
     "AG43_distributions": "SELECT split, style_family, chart_type, count(*) AS n FROM fx_manifest GROUP BY GROUPING SETS ((split), (style_family), (chart_type), (split, chart_type), (split, style_family, chart_type))",
-    "AG47_transitions": """WITH p AS (SELECT sample_id, max(CASE WHEN variant = 1 THEN inter_px END) AS i1, max(CASE WHEN variant = 2 THEN inter_px END) AS i2 FROM fx_pair GROUP BY sample_id)
-      SELECT count(CASE WHEN i1 = 0 AND i2 > 0 THEN 1 END) AS gained, count(CASE WHEN i1 > 0 AND i2 = 0 THEN 1 END) AS lost, cast(sum(i2 - i1) AS bigint) AS delta FROM p WHERE i1 IS NOT NULL AND i2 IS NOT NULL""",
     "AG48_wins_ties": """WITH m AS (SELECT sample_id, variant, iou, max(iou) OVER (PARTITION BY sample_id) AS top FROM fx_pair), t AS (SELECT sample_id, count(CASE WHEN iou = top THEN 1 END) AS k, min(CASE WHEN iou = top THEN variant END) AS who FROM m GROUP BY sample_id)
       SELECT CASE WHEN k = 1 THEN who END AS winner, count(*) AS n FROM t GROUP BY CASE WHEN k = 1 THEN who END""",
-    "AG49_improved": """WITH g AS (SELECT chart_type, ref_type, round(avg(CASE WHEN variant = 1 THEN iou END), 9) AS a, round(avg(CASE WHEN variant = 2 THEN iou END), 9) AS b FROM fx_pair GROUP BY chart_type, ref_type)
-      SELECT count(CASE WHEN b > a THEN 1 END) AS improved, count(CASE WHEN b < a THEN 1 END) AS declined, count(CASE WHEN a = b THEN 1 END) AS tied, round(max(b - a), 6) AS max_gain FROM g""",
-    "JN03_ref_join": "SELECT image_id, category_id, count(*) AS n_refs, count(DISTINCT ann_id) AS n_anns, max(ref_id) AS last_ref FROM fx_ref GROUP BY image_id, category_id",
     "JN04_ref_filter": "SELECT ref_id FROM fx_ref WHERE image_id IN (1, 2, 3) AND category_id = 1 AND position('F' IN split) > 0",
     "JN05_ann_ids": "SELECT DISTINCT r.ann_id FROM fx_ref r LEFT SEMI JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) n ON r.image_id = n.n_nationkey",
     "JN07_positional_union": "SELECT a.s_suppkey AS row_id, a.s_name, b.s_acctbal, a.s_nationkey = b.s_nationkey AS consistent FROM supplier a JOIN supplier b ON a.s_suppkey = b.s_suppkey",
-    "JN08_paired_pivot": "SELECT sample_id, max(CASE WHEN variant = 1 THEN inter_px END) AS v1, max(CASE WHEN variant = 2 THEN inter_px END) AS v2, max(CASE WHEN variant = 3 THEN inter_px END) AS v3, count(*) AS n_variants FROM fx_pair GROUP BY sample_id",
     "JN09_summary_delta": "WITH a AS (SELECT chart_type, round(avg(iou), 9) AS m FROM fx_iou WHERE variant = 1 GROUP BY chart_type), b AS (SELECT chart_type, round(avg(iou), 9) AS m FROM fx_iou WHERE variant = 2 GROUP BY chart_type) SELECT coalesce(a.chart_type, b.chart_type) AS chart_type, round(b.m - a.m, 6) AS delta FROM a FULL OUTER JOIN b ON a.chart_type = b.chart_type",
-    "JN11_video_join": "SELECT o.o_orderkey AS vid, l.l_linenumber AS frame, c.c_nationkey AS grp, cast(sum(l.l_quantity) AS double) AS q FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.o_orderkey, l.l_linenumber, c.c_nationkey",
-    "JN14_cross_version": "SELECT a.sample_id AS a, b.sample_id AS b FROM fx_manifest a JOIN fx_manifest b ON md5(a.text) = md5(b.text) AND a.split = 'train' AND b.split = 'test'",
     "JN17_selection_audit": "SELECT 'unknown' AS kind, count(*) AS n FROM (SELECT sample_id + 5 AS k FROM fx_manifest) s LEFT ANTI JOIN fx_manifest m ON s.k = m.sample_id UNION ALL SELECT 'held out', count(*) FROM (SELECT sample_id + 5 AS k FROM fx_manifest) s LEFT SEMI JOIN (SELECT sample_id FROM fx_manifest WHERE split = 'test') m ON s.k = m.sample_id",
-    "GE08_box_iou": "WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, cast(l_suppkey AS int) % 20 AS x1, cast(l_suppkey AS int) % 20 + 5 + cast(l_quantity AS int) % 10 AS x2, cast(l_partkey AS int) % 20 AS y1, cast(l_partkey AS int) % 20 + 5 AS y2 FROM lineitem) SELECT o, n, x1, y1, greatest(0, least(x2, 18) - greatest(x1, 4)) * greatest(0, least(y2, 18) - greatest(y1, 4)) AS inter, (x2 - x1) * (y2 - y1) + 196 - greatest(0, least(x2, 18) - greatest(x1, 4)) * greatest(0, least(y2, 18) - greatest(y1, 4)) AS total FROM b",
-    "GE20_taxonomy": "SELECT CASE WHEN inter_px = 0 THEN 'wrong' WHEN pred_px - inter_px > gt_px / 2.0E0 THEN 'over' WHEN gt_px - inter_px > gt_px / 2.0E0 THEN 'under' WHEN iou > 0.8 THEN 'boundary' ELSE 'partial' END AS failure, count(*) AS n FROM fx_iou GROUP BY CASE WHEN inter_px = 0 THEN 'wrong' WHEN pred_px - inter_px > gt_px / 2.0E0 THEN 'over' WHEN gt_px - inter_px > gt_px / 2.0E0 THEN 'under' WHEN iou > 0.8 THEN 'boundary' ELSE 'partial' END",
-    "GE06_pixel_counts": "SELECT chart_type, cast(sum(pred_px) AS bigint) AS pred, cast(sum(gt_px) AS bigint) AS gt, cast(sum(inter_px) AS bigint) AS inter, cast(sum(union_px) AS bigint) AS total FROM fx_iou GROUP BY chart_type",
-    "GE05_dice": "SELECT sample_id, variant, pred_px, gt_px, CASE WHEN pred_px + gt_px = 0 THEN 1.0E0 ELSE 2.0E0 * inter_px / (pred_px + gt_px) END AS d FROM fx_attempt",
-    "GE11_accuracy": "SELECT chart_type, round(avg(greatest(1 - (pred_px - inter_px) / (gt_px + 1E-6), 0)), 6) AS robustness FROM fx_attempt GROUP BY chart_type",
-    "GE27_panoptic_remap": "SELECT n.n_nationkey AS segment, CASE WHEN r.r_regionkey < 2 THEN 'thing' ELSE 'stuff' END AS kind, r.r_name AS name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
     "ST02_worst10": "SELECT sample_id, variant, iou FROM (SELECT sample_id, variant, round(iou, 9) AS iou, row_number() OVER (ORDER BY round(iou, 9), sample_id, variant) AS rn FROM fx_pair) t WHERE rn <= 10",
     "ST04_gallery": "SELECT chart_type, ref_type, min(sample_id) AS pick FROM fx_attempt GROUP BY chart_type, ref_type",
     "ST09_staged_argmax": "WITH v AS (SELECT variant, round(avg(iou), 6) AS a, round(avg(dice), 6) AS b, count(CASE WHEN inter_px = 0 THEN 1 END) AS c FROM fx_iou GROUP BY variant) SELECT variant FROM (SELECT variant, row_number() OVER (ORDER BY a DESC, b DESC, c, variant) AS rn FROM v) t WHERE rn = 1",
@@ -43,17 +27,11 @@ SQL = {
     "ST11_reorder": "SELECT n_name, cast(row_number() OVER (ORDER BY (n_nationkey * 7) % 25) - 1 AS bigint) AS pos FROM nation",
     "SE10_overlap": "SELECT sample_id FROM fx_manifest WHERE split = 'val' INTERSECT SELECT sample_id + 1 FROM fx_manifest WHERE split = 'train'",
     "SE14_zero_product": "SELECT r.r_name, s.o_orderstatus FROM region r CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) s",
-    "VA02_uniqueness": "SELECT field, value, count(*) AS n FROM (SELECT 'text' AS field, md5(text) AS value FROM fx_manifest UNION ALL SELECT 'sample_id', cast(sample_id AS string) FROM fx_manifest) t GROUP BY field, value HAVING count(*) > 1",
-    "VA03_expected_count": "SELECT split, count(*) AS n, count(*) > 100 AS enough FROM fx_manifest GROUP BY split",
     "VA05_leakage": "SELECT md5(text) AS digest, count(DISTINCT split) AS n_splits, count(*) AS n FROM fx_manifest GROUP BY md5(text) HAVING count(DISTINCT split) > 1",
     "VA06_action_duplicates": "SELECT style_family, cast(floor(n_chars / 100.0E0) AS bigint) AS size_class, count(*) AS n FROM fx_manifest GROUP BY style_family, cast(floor(n_chars / 100.0E0) AS bigint) HAVING count(DISTINCT split) > 1 AND count(DISTINCT chart_type) > 1",
     "VA07_exact_duplicates": "SELECT digest, count(*) AS n, min(sample_id) AS first_id FROM (SELECT md5(text) AS digest, sample_id FROM fx_manifest) t GROUP BY digest HAVING count(*) > 1",
     "VA09_distribution": "WITH e AS (SELECT DISTINCT chart_type, s.split FROM fx_manifest CROSS JOIN (SELECT DISTINCT split FROM fx_manifest) s), a AS (SELECT chart_type, split, count(*) AS n FROM fx_manifest GROUP BY chart_type, split) SELECT e.chart_type, e.split, coalesce(a.n, 0) AS n, coalesce(a.n, 0) >= 10 AS ok FROM e LEFT JOIN a ON a.chart_type = e.chart_type AND a.split = e.split",
     "VA11_mask_issues": "SELECT count(CASE WHEN pred_px = 0 THEN 1 END) AS empty, count(CASE WHEN pred_px > 40 THEN 1 END) AS large, round(avg(pred_px / 64.0E0), 6) AS mean_ratio, round(median(pred_px / 64.0E0), 6) AS median_ratio FROM fx_attempt",
-    "VA13_completeness": "SELECT sample_id, count(*) AS n, min(variant) AS lo, max(variant) AS hi FROM fx_pair GROUP BY sample_id HAVING count(*) <> max(variant) - min(variant) + 1",
     "VA15_outcomes": "SELECT sample_id, variant, max(CASE WHEN inter_px = 0 THEN 1 ELSE 0 END) AS disjoint, max(CASE WHEN pred_px < gt_px THEN 1 ELSE 0 END) AS under FROM fx_attempt GROUP BY sample_id, variant",
     "PA11_factorial_plan": "SELECT r.r_regionkey AS chart, n.n_nationkey AS slot, (r.r_regionkey * 7 + n.n_nationkey * 3) % 5 AS palette, md5(concat(cast(r.r_regionkey AS string), '-', cast(n.n_nationkey AS string))) AS seed FROM region r CROSS JOIN nation n",
-    "BS01_bootstrap_estimate": "WITH g AS (SELECT chart_type, ref_type, avg(iou) AS m FROM fx_iou GROUP BY chart_type, ref_type) SELECT round(avg(m), 6) AS estimate, count(*) AS n FROM g",
-    "MA05_cosine_norms": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
-    "MA15_digest": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }

@@ -13,8 +13,6 @@ SQL = {
     "WN08_inverse_permutation": "SELECT cast(row_number() OVER (ORDER BY reward, sample_id) - 1 AS bigint) AS to_pos, cast(row_number() OVER (ORDER BY sample_id) - 1 AS bigint) AS from_pos FROM fx_rollout",
     "WN09_tertiles": "WITH r AS (SELECT sample_id, row_number() OVER (ORDER BY reward, sample_id) AS rn, count(*) OVER () AS n FROM fx_rollout) SELECT sample_id, cast(least(2, floor((rn - 1) * 3 / cast(n AS double))) AS int) AS tertile FROM r",
     "WN10_position": "SELECT uid, sample_id, cast(row_number() OVER (ORDER BY uid, sample_id) - 1 AS bigint) AS pos FROM fx_rollout",
-    "WN11_turn_pairs": """WITH g AS (SELECT conv_id, turn, role, text, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM fx_turn)
-      SELECT conv_id, cast(grp AS bigint) AS grp, max(CASE WHEN role = 'assistant' THEN text END) AS output, count(CASE WHEN role <> 'assistant' THEN 1 END) AS n_inputs FROM g GROUP BY conv_id, grp HAVING max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1""",
     "WN13_circular": """WITH k AS (SELECT n_regionkey AS base, n_nationkey AS k, n_nationkey % 4 AS ord FROM nation), p AS (SELECT base, k, (ord - lag(ord) OVER (PARTITION BY base ORDER BY k) + 8) % 4 AS step FROM k)
       SELECT base, min(CASE WHEN step IS NULL OR step = 1 THEN 1 ELSE 0 END) AS valid FROM p GROUP BY base""",
     "WN14_rotated_order": "SELECT s_suppkey AS sample, k.n AS variant, (s_suppkey + k.n) % 3 AS position FROM supplier CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) k",
@@ -25,9 +23,6 @@ SQL = {
     "PF06_strided_shard": "SELECT idx FROM fx_option WHERE idx % 8 = 3",
     "PF07_block_shard": "SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS rn FROM fx_option) t WHERE rn >= 100 AND rn < 200",
     "PF08_split_filter": "SELECT sample_id, n_chars FROM fx_manifest WHERE split = 'val'",
-    "PF12_over_length": "SELECT doc_id, n_chars <= 1000 AS fits, substr(text, 1, 100) AS truncated FROM documents",
-    "PF13_caption_size": "SELECT p_partkey FROM part WHERE length(p_name) - length(replace(p_name, ' ', '')) >= 1 AND p_size >= 10",
-    "PF14_boxes": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE least(l_quantity, 30) - greatest(l_discount * 100, 2) > 0 AND l_quantity >= 3",
     "PF16_any_substring": "SELECT idx FROM fx_option WHERE position('1' IN a) > 0 OR position('3' IN a) > 0",
     "PF17_group_band": "SELECT sample_id, uid FROM (SELECT *, avg(reward) OVER (PARTITION BY uid) AS m FROM fx_rollout) t WHERE m > 45 AND m < 52",
     "PF22_tagged": "SELECT idx, 'part' AS sub_dataset, answer FROM fx_option",
@@ -40,19 +35,5 @@ SQL = {
     "SE12_offset": "SELECT cast(CASE WHEN max(idx) >= 1000000 THEN 10000000 ELSE 1000000 END AS bigint) AS off FROM fx_option",
     "AG36_reduce_metrics": "SELECT source AS metric, round(avg(reward), 6) AS mean FROM fx_rollout GROUP BY source",
     "AG37_length_metrics": "WITH m AS (SELECT max(n_chars) AS top FROM documents) SELECT round(avg(cast(n_chars AS double)), 6) AS mean, max(n_chars) AS most, min(n_chars) AS least, avg(CASE WHEN n_chars = top THEN 1.0E0 ELSE 0.0E0 END) AS clip_ratio FROM documents CROSS JOIN m",
-    "AG38_data_metrics": "SELECT source, round(min(reward), 6) AS lo, round(max(reward), 6) AS hi, round(avg(reward), 6) AS mean, round(1 - var_samp(reward - 1) / (var_samp(reward) + 1E-5), 6) AS explained FROM fx_rollout GROUP BY source",
-    "AG39_throughput": "SELECT lang, round(1000.0E0 * count(*) / sum(n_chars), 9) AS docs_per_kchar FROM documents GROUP BY lang",
-    "AG40_masked_mean": "SELECT uid, round(sum(reward * CASE WHEN source = 'click' THEN 1 ELSE 0 END) / (count(CASE WHEN source = 'click' THEN 1 END) + 1E-8), 6) AS mean FROM fx_rollout GROUP BY uid",
-    "AG41_average_loss": "WITH s AS (SELECT uid, avg(reward) AS m, sum(reward) AS t, count(*) AS n FROM fx_rollout GROUP BY uid) SELECT round(sum(t) / sum(n), 6) AS token_mode, round(avg(m), 6) AS seq_mode FROM s",
     "AG50_imbalance": "WITH c AS (SELECT doc_id % 8 AS chunk, sum(n_chars) AS s FROM documents GROUP BY doc_id % 8) SELECT cast(min(s) AS bigint) AS lo, cast(max(s) AS bigint) AS hi, cast(max(s) - min(s) AS bigint) AS gap FROM c",
-    "AG51_reward_scatter": "SELECT conv_id, turn, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 1.0E0 ELSE 0.0E0 END AS reward FROM fx_turn",
-    "MA01_kl": "SELECT sample_id, round(reward / 100 - 0.5, 9) AS kl, round(abs(reward / 100 - 0.5), 9) AS abs_kl, round(0.5 * (reward / 100 - 0.5) * (reward / 100 - 0.5), 9) AS mse, round(least(greatest(exp(0.5 - reward / 100) - (0.5 - reward / 100) - 1, -10), 10), 9) AS low_var FROM fx_rollout",
-    "MA02_ppo_clip": "SELECT sample_id, round(-least(exp(reward / 100 - 0.5) * (reward - 50), least(greatest(exp(reward / 100 - 0.5), 0.8), 1.2) * (reward - 50)), 6) AS loss FROM fx_rollout",
-    "MA03_value_loss": "SELECT sample_id, round(0.5 * greatest((reward - 40) * (reward - 40), (least(greatest(reward, 45), 55) - 40) * (least(greatest(reward, 45), 55) - 40)), 6) AS loss FROM fx_rollout",
-    "MA04_kl_reward": "SELECT sample_id, round(reward - 0.05 * abs(reward / 100 - 0.5), 9) AS r FROM fx_rollout",
-    "MA07_pixel_budget": "SELECT p_partkey, cast(floor(p_size * 10 * sqrt(least(1.0E0, 50000.0E0 / (p_size * 10 * 200)))) AS bigint) AS w FROM part",
-    "MA08_codebook": "SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber * 256 + l_partkey % 256 AS code, (l_linenumber * 256 + l_partkey % 256) % 256 AS back FROM lineitem",
-    "PA06_word_lengths": "SELECT conv_id, cast(sum(length(trim(text)) - length(replace(trim(text), ' ', '')) + 1) AS bigint) AS n_words FROM fx_turn GROUP BY conv_id",
-    "PA10_schedule": "WITH e AS (SELECT 0 AS epoch UNION ALL SELECT 1 UNION ALL SELECT 2) SELECT epoch, s_suppkey AS id, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat(cast(epoch AS string), '-', cast(s_suppkey AS string)))) AS pos FROM supplier CROSS JOIN e",
-    "PA13_page_batches": "SELECT p_brand, count(*) AS n, cast(greatest(ceil(count(*) / 20.0E0), 1) AS bigint) AS interval_n FROM part GROUP BY p_brand",
 }

@@ -36,27 +36,17 @@ SQL = {
     "AG23_evidence_rows": "SELECT sum(CASE WHEN split = 'en' THEN hit END) / cast(count(CASE WHEN split = 'en' THEN 1 END) AS double) AS en, sum(CASE WHEN l2 = '1' THEN hit END) / cast(count(CASE WHEN l2 = '1' THEN 1 END) AS double) AS toxic, 2.0E0 * sum(hit * cast(l2 AS int)) / (sum(hit) + sum(cast(l2 AS int))) AS f1 FROM fx_eval",
     "AG24_means": "SELECT chart_type, round(avg(iou), 6) AS mean_iou, round(avg(dice), 6) AS mean_dice FROM fx_iou GROUP BY chart_type",
     "AG25_vqa_split": "SELECT split, category, round(100 * avg(cast(hit AS double)), 6) AS acc FROM fx_eval GROUP BY GROUPING SETS ((split), (category))",
-    "AG26_router_accuracy": "SELECT split, round(cast(sum(CASE WHEN split = 'en' THEN hit ELSE 1 - hit END) AS double) / (count(*) + 1E-9), 8) AS acc FROM fx_eval GROUP BY split",
     "AG45_bincount": "SELECT label AS value, count(*) AS n FROM embeddings GROUP BY label",
     "AG46_failure_rate": "SELECT count(*) AS n, count(CASE WHEN position('Cannot' IN prediction) > 0 THEN 1 END) AS failed, cast(count(CASE WHEN position('Cannot' IN prediction) > 0 THEN 1 END) AS double) / count(*) AS rate FROM fx_option",
     "AG52_contains_accuracy": "SELECT count(*) AS n, count(CASE WHEN position(answer IN prediction) > 0 THEN 1 END) AS correct FROM fx_option",
     "JN01_answer_key": "SELECT o.idx, o.prediction, k.answer AS gt, CASE WHEN position(concat(' ', k.answer, '.') IN o.prediction) > 0 THEN 1 ELSE 0 END AS hit FROM fx_option o JOIN (SELECT idx, answer FROM fx_option WHERE idx % 2 = 0) k ON o.idx = k.idx",
     "JN02_unknown_rows": "SELECT o.idx FROM fx_option o LEFT ANTI JOIN (SELECT idx FROM fx_option WHERE idx % 10 <> 0) k ON o.idx = k.idx",
-    "JN10_pointer_resolution": "SELECT a.p_partkey AS idx, coalesce(b.p_name, a.p_name) AS image FROM part a LEFT JOIN part b ON b.p_partkey = a.p_size AND a.p_partkey % 3 = 0",
     "JN15_split_back": "SELECT 'low' AS sub, count(*) AS n, cast(sum(hit) AS bigint) AS hits FROM fx_eval WHERE idx % 2 = 0 UNION ALL SELECT 'high', count(*), cast(sum(hit) AS bigint) FROM fx_eval WHERE idx % 2 = 1",
-    "TX01_option": """WITH t AS (SELECT idx, prediction, answer, translate(prediction, '.()[],:;!*#{}', '             ') AS p FROM fx_option)
-      SELECT idx, CASE WHEN prediction LIKE '%Cannot determine%' THEN 'Z' WHEN (concat(' ', p, ' ') LIKE '% A %') AND NOT (concat(' ', p, ' ') LIKE '% B %') THEN 'A' WHEN (concat(' ', p, ' ') LIKE '% B %') AND NOT (concat(' ', p, ' ') LIKE '% A %') THEN 'B' END AS opt FROM t""",
-    "TX02_option_text": "SELECT idx, CASE WHEN position(lower(a) IN lower(prediction)) > 0 AND position(lower(b) IN lower(prediction)) = 0 THEN 'A' WHEN position(lower(b) IN lower(prediction)) > 0 AND position(lower(a) IN lower(prediction)) = 0 THEN 'B' END AS opt FROM fx_option",
-    "TX05_yes_no": "SELECT conv_id, turn, CASE WHEN concat(' ', lower(text), ' ') LIKE '% the %' AND NOT concat(' ', lower(text), ' ') LIKE '% and %' THEN 'Yes' WHEN concat(' ', lower(text), ' ') LIKE '% and %' AND NOT concat(' ', lower(text), ' ') LIKE '% the %' THEN 'No' ELSE 'Unknown' END AS extracted FROM fx_turn",
-    "TX10_exact": "SELECT idx, CASE WHEN lower(trim(b)) = lower(trim(prediction)) THEN 1 ELSE 0 END AS exact FROM fx_option",
-    "TX11_relaxed": "SELECT o_orderkey AS idx, abs(o_totalprice - o_totalprice * (1 + (o_orderkey % 21 - 10) / 100.0E0)) / o_totalprice <= 0.05 AND o_orderkey % 21 <> 15 AND o_orderkey % 21 <> 5 AS ok FROM orders",
     "TX12_edit_distance": "SELECT a.n_nationkey AS a, b.n_nationkey AS b, cast(levenshtein(a.n_name, b.n_name) AS bigint) AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
-    "TX13_anls": "SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN 1 - cast(levenshtein(a.n_name, b.n_name) AS double) / greatest(length(a.n_name), length(b.n_name)) <= 0.5 THEN 0.0E0 ELSE round(1 - cast(levenshtein(a.n_name, b.n_name) AS double) / greatest(length(a.n_name), length(b.n_name)), 9) END AS anls FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey",
     "TX38_phrase_position": "SELECT doc_id, cast(position('the ' IN lower(text)) - 1 AS bigint) AS pos FROM documents",
     "TX46_reformulated": "SELECT idx, coalesce(c, answer) AS a, CASE WHEN c IS NULL THEN 'Other Answers' ELSE a END AS b, CASE WHEN answer IN ('A', 'B', 'C', 'D') THEN answer ELSE 'A' END AS answer FROM fx_option",
     "PF09_resume": "SELECT idx, prediction FROM fx_option o LEFT ANTI JOIN (SELECT idx AS k FROM fx_option WHERE idx % 7 < 3) d ON o.idx = d.k",
     "PF10_not_null": "SELECT idx, c FROM fx_option WHERE c IS NOT NULL",
-    "PF15_refusals": "SELECT idx FROM fx_option WHERE NOT (lower(prediction) LIKE '%cannot%' OR lower(prediction) LIKE '%sorry%')",
     "SE09_concat_reindex": "WITH u AS (SELECT 0 AS part, s_suppkey AS original_index FROM supplier UNION ALL SELECT 1, n_nationkey FROM nation) SELECT part, original_index, cast(row_number() OVER (ORDER BY part, original_index) - 1 AS bigint) AS new_index FROM u",
     "ST01_order_by_index": "SELECT idx, cast(row_number() OVER (ORDER BY idx) AS bigint) AS pos FROM fx_option",
 }

@@ -1,6 +1,1853 @@
-"""Queries built from the operators of this package."""
+"""Queries built from the operators and functions of this package on the given tables; their SQL is written apart from them,
+in the modules that hold it by family, and in `oracles`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import answers, masks, rewards, tagged
+from ..operators import arrange, audit, batch, partition, relate, report
+from ..sources.tables import TABLES
+from .fixtures import FX, NEEDS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+class Tables:
+    """The tables of a folder, and the inputs derived from them, as frames; no view is registered."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in FX:
+            return self.sql(FX[name])
+        raise AttributeError(name)
+
+    def sql(self, text: str) -> DataFrame:
+        named = [n for n in (*TABLES, *FX) if re.search(rf"\b(FROM|JOIN) {n}\b", text)]
+        for n in named:
+            text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+        return self.spark.sql(text, **{n: getattr(self, n) for n in named})
+
+
+def query(name: str):
+    def put(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        return make
+
+    return put
+
+
+def r(column: str | Column, places: int = 6) -> Column:
+    return F.round(column, places)
+
+
+def rounded(df: DataFrame, places: int = 6, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+c, lit = F.col, F.lit
+assert NEEDS
+
+
+# Reports
+@query("AG01_report_acc")
+def _(t):
+    return report.accuracy(t.fx_eval, "hit", [["split"], ["split", "l2"], ["split", "category"]])
+
+
+@query("AG02_macro_l2")
+def _(t):
+    return rounded(report.mean_of_means(t.fx_eval, ["split", "l2"], "category", "hit", whole="split"), 9, "acc")
+
+
+@query("AG03_report_by_column")
+def _(t):
+    d = t.fx_eval.withColumn("grp", F.coalesce(F.when(c("category") != "src0", c("category")), lit("None")))
+    return report.accuracy(d, "hit", [["grp"]]).drop("hits")
+
+
+@query("AG04_yes_no_rating")
+def _(t):
+    return report.by_sets(t.fx_eval, [[], ["category"], ["l2"]], (report.share("hit") * 100).alias("score"))
+
+
+@query("AG05_paired_product")
+def _(t):
+    d = t.customer.select(c("c_nationkey").alias("category"), (c("c_custkey") % 50).alias("image"), (c("c_acctbal") > 0).cast("int").alias("hit"))
+    return rounded(report.paired(d, "category", "image", "hit"), 6, "acc", "acc_plus")
+
+
+@query("AG06_all_correct")
+def _(t):
+    return report.all_right(t.fx_eval, ["l2", "split", "category"], "l2", "hit")
+
+
+@query("AG07_prf1")
+def _(t):
+    return report.precision_recall(t.fx_eval.withColumn("p", c("l2").cast("int")), F.array("split", "category"), "hit", "p")
+
+
+@query("AG08_mean_of_category_means")
+def _(t):
+    d = t.fx_eval.withColumn("cat", F.when(c("category").isin("src1", "src2"), "merged").otherwise(c("category")))
+    return report.mean_of_means(d, [], "cat", "hit").select(r("acc", 9).alias("score"), c("n_categories").alias("n"))
+
+
+@query("AG09_cycle_average")
+def _(t):
+    return rounded(report.cycles(t.fx_eval, "split", "category", "hit"), 9, "average")
+
+
+@query("AG10_multi_label")
+def _(t):
+    return report.by_labels(t.fx_eval, F.array("split", "category"), "hit")
+
+
+@query("AG11_rollup_subject")
+def _(t):
+    d = report.by_sets(t.fx_eval, [[], ["category"]], F.count("*").alias("tot"), F.sum("hit").cast("long").alias("hit"))
+    return d.select(F.coalesce("category", lit("Overall")).alias("subject"), "tot", "hit")
+
+
+@query("AG12_metadata")
+def _(t):
+    d = t.events.select((F.get_json_object("props", "$.k").cast("int") % 10).alias("version"), (c("value") > 50).cast("int").alias("hit"))
+    return d.groupBy("version").agg(r(report.share("hit") * 100).alias("acc"))
+
+
+@query("AG13_capabilities")
+def _(t):
+    caps = F.filter(F.array(*(lit(x) for x in ("src1", "src2", "src3", "5"))), lambda x: F.contains(c("category"), x))
+    return t.fx_eval.select(F.explode(caps).alias("cap"), "hit").groupBy("cap").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"))
+
+
+@query("AG14_score_ratio")
+def _(t):
+    d = report.ratio_of_means(t.lineitem, "l_returnflag", c("l_extendedprice") * (1 - c("l_discount")), c("l_extendedprice"))
+    return d.select(c("l_returnflag").alias("category"), r("ratio").alias("ratio"))
+
+
+@query("AG15_clipped_dimensions")
+def _(t):
+    d = report.clipped(t.events, "event_type", F.floor("value"), 0, 10, c("value") >= 0)
+    return d.withColumn("total", c("total").cast("long"))
+
+
+@query("AG16_clip_valid")
+def _(t):
+    return t.events.groupBy("event_type").agg(r(F.avg(F.greatest("value", lit(0.0)))).alias("mean_all"), r(F.avg(F.when(c("value") >= 10, c("value")))).alias("mean_valid"))
+
+
+@query("AG17_duration_cube")
+def _(t):
+    return report.accuracy(t.fx_eval, "hit", [[], ["split"], ["l2"], ["split", "l2"]]).drop("hits")
+
+
+@query("AG18_task_report")
+def _(t):
+    d = report.accuracy(t.fx_eval, "hit", [[], ["category"]])
+    return d.select(F.coalesce("category", lit("overall")).alias("task"), c("hits").alias("correct"), c("n").alias("total"))
+
+
+@query("AG19_task_tree")
+def _(t):
+    return report.accuracy(t.fx_eval, "hit", [[], ["split"], ["split", "l2"], ["split", "l2", "category"]]).drop("hits")
+
+
+@query("AG20_subtotals")
+def _(t):
+    return t.fx_eval.groupBy("split").agg(F.sum("hit").cast("long").alias("final"), F.sum(F.when(c("l2") == "0", c("hit")).otherwise(0)).cast("long").alias("clean"), (F.sum("hit") / 10).alias("tenth"))
+
+
+@query("AG21_score_or_null")
+def _(t):
+    return report.by_sets(t.fx_eval, [[], ["category"]], F.try_divide(F.sum("hit").cast("double"), F.count(F.when(c("l2") == "1", 1))).alias("score"))
+
+
+@query("AG22_substring_accuracy")
+def _(t):
+    d = report.by_sets(t.part.withColumn("hit", c("p_name").contains("a").cast("int")), [[], ["p_brand"]], (report.share("hit") * 100).alias("acc"))
+    return d.withColumnRenamed("p_brand", "category")
+
+
+@query("AG23_evidence_rows")
+def _(t):
+    p = c("l2").cast("int")
+    mean = lambda cond: F.avg(F.when(cond, c("hit")))
+    return t.fx_eval.agg(mean(c("split") == "en").alias("en"), mean(c("l2") == "1").alias("toxic"), (2.0 * F.sum(c("hit") * p) / (F.sum("hit") + F.sum(p))).alias("f1"))
+
+
+@query("AG24_means")
+def _(t):
+    return t.fx_iou.groupBy("chart_type").agg(r(F.avg("iou")).alias("mean_iou"), r(F.avg("dice")).alias("mean_dice"))
+
+
+@query("AG25_vqa_split")
+def _(t):
+    return report.by_sets(t.fx_eval, [["split"], ["category"]], r(report.share("hit") * 100).alias("acc"))
+
+
+@query("AG26_router_accuracy")
+def _(t):
+    """Scorers by split: English rows by their verdict, German ones by the value of both sides, others by text."""
+    d = t.fx_eval.withColumns({"pred": F.when(c("hit") == 1, "True, it is").otherwise("it is false"), "gt": c("l2")})
+    score = F.when(c("split") == "en", answers.verdict(c("pred"), c("gt"))).when(c("split") == "de", answers.values_equal(c("hit").cast("string"), F.concat(c("gt"), lit(".0"))).cast("int")).otherwise((F.lower("pred") == "it is false").cast("int"))
+    return d.withColumn("s", score).groupBy("split").agg(r((F.sum("s") + 1e-9) / (F.count("*") + 1e-9), 8).alias("acc"))
+
+
+@query("AG27_summary")
+def _(t):
+    return rounded(report.summary(t.fx_iou, ["chart_type"], "iou", "inter_px", "union_px", "pred_px", "gt_px"), 6, "mean_iou", "median_iou")
+
+
+@query("AG28_flags")
+def _(t):
+    d = report.flags(t.fx_iou, ["chart_type"], {"disjoint": c("inter_px") == 0, "covered": c("inter_px") == c("gt_px"), "over_n": c("pred_px") > c("gt_px")}, "iou")
+    return rounded(d, 9, "worst").drop("covered_rate", "over_n_rate")
+
+
+@query("AG29_dimensions")
+def _(t):
+    return report.by_sets(t.fx_iou, [["chart_type"], ["ref_type"], ["variant"]], F.count("*").alias("n"), r(F.avg("iou")).alias("mean_iou"), (F.sum("inter_px") / F.sum("union_px")).alias("micro_iou"))
+
+
+@query("AG30_group_macro")
+def _(t):
+    return rounded(report.group_macro(t.fx_iou, ["chart_type", "ref_type"], "iou"), 6, "macro")
+
+
+@query("AG31_localisation")
+def _(t):
+    d = report.localisation(t.fx_iou, F.array("chart_type"), "iou")
+    return rounded(d.select(F.nullif("label", lit("overall")).alias("chart_type"), "lq", "sq", "miou"), 6, "sq", "miou")
+
+
+@query("AG32_meters")
+def _(t):
+    d = t.fx_iou.withColumn("union_px", F.when(c("inter_px") == c("union_px"), c("union_px")).otherwise(c("union_px")))
+    return rounded(rounded(report.overlap_meters(d, ["chart_type"], "inter_px", "union_px"), 9, "ciou"), 6, "giou")
+
+
+@query("AG33_no_target")
+def _(t):
+    d = t.fx_attempt.select(*(F.when(c("sample_id") % 5 == 0, 0).otherwise(c(x)).alias(x) if x in ("gt_px", "inter_px") else F.when(c("sample_id") % 10 == 0, 0).otherwise(c(x)).alias(x) for x in ("pred_px", "gt_px", "inter_px")))
+    return rounded(report.no_target(d.withColumn("inter_px", F.least("inter_px", "pred_px")), "pred_px", "gt_px", "inter_px"), 6, "giou", "ciou", "n_acc", "t_acc")
+
+
+@query("AG34_best_box")
+def _(t):
+    return rounded(rounded(report.best_of_key(t.fx_iou, "sample_id", "iou"), 9, "ap50"), 6, "mean_best")
+
+
+@query("AG35_type_means")
+def _(t):
+    return report.type_means(t.fx_iou, "sample_id", "chart_type", "iou", 6).select(r("overall", 4).alias("j"))
+
+
+@query("AG36_reduce_metrics")
+def _(t):
+    return t.fx_rollout.groupBy(c("source").alias("metric")).agg(r(F.avg("reward")).alias("mean"))
+
+
+@query("AG37_length_metrics")
+def _(t):
+    return rounded(report.lengths(t.documents, "n_chars"), 6, "mean")
+
+
+@query("AG38_data_metrics")
+def _(t):
+    return rounded(report.spread_of(t.fx_rollout.withColumn("ret", c("reward") - 0.5 * (c("sample_id") % 7)), ["source"], "reward", "ret"), 6, "lo", "hi", "mean", "explained")
+
+
+@query("AG39_throughput")
+def _(t):
+    d = t.conversations.select("role", (F.length("text") / 50.0).alias("s"), F.size(answers.tokens(c("text"))).alias("n"))
+    return rounded(rewards.throughput(d, "s", "n", ["role"], devices=8), 6, "seconds", "ms_per_token", "tokens_per_second")
+
+
+@query("AG40_masked_mean")
+def _(t):
+    d = t.fx_rollout.withColumn("m", (c("source") == "click").cast("int"))
+    return rounded(rewards.masked_moments(d, "reward", "m", ["uid"]), 4, "mean", "var")
+
+
+@query("AG41_average_loss")
+def _(t):
+    d = rewards.average_loss(t.fx_rollout.withColumn("m", (c("sample_id") % 3 != 0).cast("int")), "uid", "reward", "m")
+    return d.select(r("token").alias("token_mode"), r("seq").alias("seq_mode"))
+
+
+@query("AG42_crosstab")
+def _(t):
+    return report.crosstab(t.fx_attempt, "chart_type", "ref_type")
+
+
+@query("AG43_distributions")
+def _(t):
+    return report.by_sets(t.fx_manifest, [["split"], ["style_family"], ["chart_type"], ["split", "chart_type"], ["split", "style_family", "chart_type"]], F.count("*").alias("n"))
+
+
+@query("AG44_quantiles")
+def _(t):
+    return rounded(report.quantiles(t.fx_rollout, ["source"], "reward").drop("mean"), 6, "q25", "median", "q75")
+
+
+@query("AG45_bincount")
+def _(t):
+    return t.embeddings.groupBy(c("label").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("AG46_failure_rate")
+def _(t):
+    return report.failures(t.fx_option, "prediction", "Cannot")
+
+
+@query("AG47_transitions")
+def _(t):
+    out = None
+    for v in range(2, 8):
+        d = report.transitions(t.fx_pair, "sample_id", "variant", "inter_px", 1, v).select(lit(v).alias("variant"), "*")
+        out = d if out is None else out.union(d)
+    return out
+
+
+@query("AG48_wins_ties")
+def _(t):
+    return report.winners(t.fx_pair, "sample_id", "variant", "iou")
+
+
+@query("AG49_improved")
+def _(t):
+    return rounded(report.gains(t.fx_pair, ["chart_type", "ref_type"], "variant", "iou", 1, 2), 6, "max_gain", "max_loss")
+
+
+@query("AG50_imbalance")
+def _(t):
+    return report.imbalance(t.documents, c("doc_id") % 8, "n_chars")
+
+
+@query("AG51_reward_scatter")
+def _(t):
+    d = t.fx_option.select("idx", (1 + c("idx") % 6).cast("int").alias("n"), (c("idx") % 10 / 10).alias("s"))
+    d = d.select("idx", rewards.scattered(c("n"), c("s")).alias("a"))
+    return d.select("idx", F.array_join(F.transform("a", lambda x: F.format_string("%.1f", x)), ",").alias("reward"))
+
+
+@query("AG52_contains_accuracy")
+def _(t):
+    return t.fx_option.agg(F.count("*").alias("n"), F.count(F.when(F.contains("prediction", "answer"), 1)).alias("correct"))
+
+
+# Rollouts
+@query("WN01_grpo")
+def _(t):
+    return rewards.group_normalised(t.fx_rollout, "uid", "reward").select("sample_id", r("advantage").alias("adv"))
+
+
+@query("WN02_passk")
+def _(t):
+    return rewards.best_of_group(t.fx_rollout, "uid", "reward", "sample_id").select("sample_id", r("advantage").alias("adv"))
+
+
+@query("WN03_rloo")
+def _(t):
+    return rewards.leave_one_out(t.fx_rollout, "uid", "reward").select("sample_id", r("advantage").alias("adv"))
+
+
+def _steps(t) -> DataFrame:
+    """Steps of each user's events as arrays: rewards, values, a mask that is 0 after the first purchase."""
+    d = t.fx_rollout.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("sample_id", "reward", "source"))).alias("s"))
+    tokens = F.transform("s", lambda x: F.when(x["source"] == "purchase", 1).otherwise(0))
+    return d.select("uid", F.transform("s", lambda x: x["reward"] / 100).alias("rewards"), F.transform("s", lambda x: (x["sample_id"] % 11) / 10.0).alias("values"), rewards.until_end(tokens, 1).alias("mask"), F.transform("s", lambda x: x["sample_id"]).alias("ids"))
+
+
+def _spread(d: DataFrame, column: Column, places: int = 6) -> DataFrame:
+    e = d.select("uid", F.explode(F.arrays_zip(c("ids").alias("id"), column.alias("v"))).alias("x"))
+    return e.select("uid", c("x.id").alias("sample_id"), F.round("x.v", places).alias("v"))
+
+
+@query("WN04_gae")
+def _(t):
+    return _spread(_steps(t), batch.advantages(c("rewards"), c("values"), c("mask"), 0.9, 0.8))
+
+
+@query("WN05_reinforce")
+def _(t):
+    return _spread(_steps(t), batch.discounted(c("rewards"), c("mask"), 0.5))
+
+
+@query("WN06_returns")
+def _(t):
+    d = _steps(t)
+    return _spread(d, rewards.returns(F.transform("rewards", lambda x: x * 100))[1]).withColumnRenamed("v", "ret")
+
+
+@query("WN07_response_mask")
+def _(t):
+    return _spread(_steps(t), c("mask"), 0).withColumnRenamed("v", "mask")
+
+
+@query("WN08_inverse_permutation")
+def _(t):
+    by_id = arrange.numbered(t.fx_rollout.select("sample_id", "reward"), ["sample_id"], "from_pos")
+    return arrange.numbered(by_id, ["reward", "sample_id"], "to_pos").select("to_pos", "from_pos")
+
+
+@query("WN09_tertiles")
+def _(t):
+    return arrange.tertiles(t.fx_rollout.select("sample_id", "reward"), ["reward", "sample_id"]).select("sample_id", "tertile")
+
+
+@query("WN10_position")
+def _(t):
+    return arrange.numbered(t.fx_rollout.select("uid", "sample_id"), ["uid", "sample_id"])
+
+
+@query("WN11_turn_pairs")
+def _(t):
+    return rewards.turn_pairs(t.fx_turn, "conv_id", "turn", "role", "text")
+
+
+@query("WN13_circular")
+def _(t):
+    d = t.nation.select(c("n_regionkey").alias("base"), c("n_nationkey").alias("k"), (c("n_nationkey") % 4).alias("ord"))
+    return arrange.circular_valid(d, "base", "k", "ord").withColumn("valid", c("valid").cast("int"))
+
+
+@query("WN14_rotated_order")
+def _(t):
+    d = t.supplier.select(c("s_suppkey").alias("sample"), F.explode(F.sequence(lit(0), lit(2))).alias("variant"))
+    return d.withColumn("position", (c("sample") + c("variant")) % 3)
+
+
+@query("WN15_last_writer")
+def _(t):
+    return rewards.last_rows(t.fx_rollout.select("uid", "sample_id", "source"), "uid", "sample_id")
+
+
+@query("WN16_first_occurrence")
+def _(t):
+    return rewards.first_places(t.fx_rollout, "source", "sample_id")
+
+
+@query("WN17_crossings")
+def _(t):
+    return rewards.crossings(t.fx_rollout.withColumn("d", c("reward") - 50), "uid", "sample_id", "d")
+
+
+# Rows and columns of batches
+@query("PF01_select")
+def _(t):
+    return batch.select(t.supplier, ["s_suppkey", "no_such_column", "s_name"])
+
+
+@query("PF02_pop")
+def _(t):
+    popped, rest = batch.pop(t.supplier, ["s_name", "no_such_column"], "s_suppkey")
+    return popped.join(rest.select("s_suppkey", "s_nationkey"), "s_suppkey")
+
+
+@query("PF03_rename")
+def _(t):
+    return batch.rename(t.nation.select("n_nationkey", "n_name"), ["n_nationkey", "n_name"], ["id", "label"])
+
+
+@query("PF04_index_select")
+def _(t):
+    index = t.supplier.select(((c("s_suppkey") * 3) % 25).alias("n_nationkey"), c("s_suppkey").alias("pos"))
+    return batch.index_select(t.nation.select("n_nationkey", "n_name"), index, "n_nationkey")
+
+
+@query("PF05_slice")
+def _(t):
+    return arrange.sliced(t.fx_option.select("idx"), ["idx"], 10, 400, 7)
+
+
+@query("PF06_strided_shard")
+def _(t):
+    return arrange.strided(t.fx_option.select("idx"), "idx", 3, 8)
+
+
+@query("PF07_block_shard")
+def _(t):
+    return arrange.block(t.fx_option.select("idx"), ["idx"], 1, 100)
+
+
+@query("PF08_split_filter")
+def _(t):
+    return batch.in_split(t.fx_manifest.select("sample_id", "n_chars", "split"), "split", "val").drop("split")
+
+
+@query("PF09_resume")
+def _(t):
+    done = t.fx_option.filter("idx % 7 < 3")
+    return relate.unknown(t.fx_option.select("idx", "prediction"), done, "idx")
+
+
+@query("PF10_not_null")
+def _(t):
+    return t.fx_option.select("idx", "c").filter(c("c").isNotNull())
+
+
+@query("PF11_fold_case")
+def _(t):
+    d = t.nation.select(c("n_nationkey").alias("Index"), c("n_name").alias("Question"), c("n_regionkey").alias("A"))
+    return batch.fold_case(d).withColumnRenamed("A", "opt")
+
+
+@query("PF12_over_length")
+def _(t):
+    words = answers.tokens(F.coalesce("text", lit("")))
+    d = t.documents.select("doc_id", words.alias("w"))
+    join = lambda how: F.array_join(batch.cut(c("w"), 5, how), " ")
+    return d.select("doc_id", (F.size("w") <= 300).alias("fits"), join("right").alias("head"), join("left").alias("tail"))
+
+
+@query("PF13_caption_size")
+def _(t):
+    caption = F.concat_ws(" ", "p_name", F.when(c("p_partkey") % 3 == 0, lit("on a table")))
+    return t.part.filter(tagged.caption_fits(caption, c("p_size") * 4, c("p_size") * 3 + 20)).select("p_partkey")
+
+
+@query("PF14_boxes")
+def _(t):
+    box = F.array(c("l_suppkey").cast("int") % 40 - 10, c("l_partkey").cast("int") % 40 - 10, c("l_quantity").cast("int") % 12, c("l_linenumber").cast("int"))
+    return t.lineitem.filter(batch.box_fits(box, lit(24), lit(24))).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("PF15_refusals")
+def _(t):
+    text = F.concat(c("prediction"), F.when(c("idx") % 5 == 0, lit(", I'm SORRY")).when(c("idx") % 7 == 0, lit(", I can't")).when(c("idx") % 11 == 0, lit(" 抱歉")).otherwise(lit("")))
+    return t.fx_option.filter(answers.rough_answer(text)).select("idx")
+
+
+@query("PF16_any_substring")
+def _(t):
+    return t.fx_option.filter(answers.any_of(c("a"), ["1", "3"])).select("idx")
+
+
+@query("PF17_group_band")
+def _(t):
+    return rewards.groups_within(t.fx_rollout, "uid", "reward", 45, 52).select("sample_id", "uid")
+
+
+@query("PF19_small_regions")
+def _(t):
+    sizes = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(F.abs(x) * 20).cast("int"))
+    return t.embeddings.filter(F.forall(sizes, lambda x: x >= 4)).select("vec_id")
+
+
+@query("PF20_flatten")
+def _(t):
+    d = t.nation.select("n_nationkey", F.struct(c("n_name").alias("name"), F.struct(c("n_regionkey").alias("region")).alias("at")).alias("meta"))
+    return batch.flatten(batch.unflatten(batch.flatten(d))).toDF("id", "name", "region")
+
+
+@query("PF21_merged")
+def _(t):
+    a = F.create_map(lit("name"), c("n_name"), lit("region"), c("n_regionkey").cast("string"))
+    b = F.create_map(lit("region"), F.concat(lit("r"), c("n_regionkey").cast("string")), lit("key"), c("n_nationkey").cast("string"))
+    d = t.nation.select("n_nationkey", batch.merge_maps(a, b).alias("m"))
+    return d.select("n_nationkey", *(F.try_element_at("m", lit(k)).alias(k) for k in ("name", "region", "key")))
+
+
+@query("PF22_tagged")
+def _(t):
+    return t.fx_option.select("idx", lit("part").alias("sub_dataset"), "answer")
+
+
+@query("PF23_subset")
+def _(t):
+    keys = t.supplier.select((c("s_suppkey") % 25).alias("n_nationkey"))
+    return batch.subset(t.nation.select("n_nationkey", "n_name"), keys, "n_nationkey", "first", 7)
+
+
+# Joins
+@query("JN01_answer_key")
+def _(t):
+    key = t.fx_option.filter("idx % 2 = 0").select("idx", c("answer").alias("gt"))
+    d = relate.answer_key(t.fx_option.select("idx", "prediction"), key, "idx", "gt")
+    return d.withColumn("hit", F.contains("prediction", F.concat(lit(" "), "gt", lit("."))).cast("int"))
+
+
+@query("JN02_unknown_rows")
+def _(t):
+    return relate.unknown(t.fx_option.select("idx"), t.fx_option.filter("idx % 10 <> 0"), "idx")
+
+
+def _refs(t) -> tuple[DataFrame, DataFrame]:
+    refs = t.orders.select(c("o_orderkey").alias("ref_id"), c("o_custkey").alias("ann_id"), F.split("o_orderpriority", "[- ]").alias("sentences"), c("o_orderstatus").alias("split"))
+    twice = t.customer.withColumn("ann_order", F.explode(F.sequence(lit(0), lit(1))))
+    return refs, twice.select(c("c_custkey").alias("ann_id"), "ann_order", F.when(c("ann_order") == 1, c("c_nationkey")).otherwise(-1).alias("image_id"), (c("c_nationkey") % 5).alias("category_id"))
+
+
+@query("JN03_ref_join")
+def _(t):
+    refs, annotations = _refs(t)
+    d = relate.references(refs, annotations, "concat")
+    return d.groupBy("image_id", "category_id").agg(F.count("*").alias("n_refs"), F.countDistinct("ann_id").alias("n_anns"), F.max("ref_id").alias("last_ref"), F.min("text").alias("first_text"))
+
+
+@query("JN04_ref_filter")
+def _(t):
+    return relate.reference_filter(t.fx_ref, images=(1, 2, 3), categories=(1,), split="F").select("ref_id")
+
+
+@query("JN05_ann_ids")
+def _(t):
+    images = t.nation.filter("n_regionkey = 2").select(c("n_nationkey").alias("image_id"))
+    return relate.annotation_ids(t.fx_ref, images)
+
+
+@query("JN06_many_refs")
+def _(t):
+    refs = t.conversations.select(c("conv_id").alias("ref_id"), F.sequence(lit(-1), (c("turn") % 3).cast("int")).alias("ann_ids"))
+    return relate.many_references(refs, t.nation.select(c("n_nationkey").alias("ann_id"), c("n_name").alias("mask"))).select("ref_id", "ann_id", "mask")
+
+
+@query("JN07_positional_union")
+def _(t):
+    d = relate.side_by_side(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey"), "s_suppkey")
+    return d.select(c("s_suppkey").alias("row_id"), "s_name", "s_acctbal", lit(True).alias("consistent"))
+
+
+@query("JN08_paired_pivot")
+def _(t):
+    whole = t.fx_pair.groupBy("sample_id").agg(F.countDistinct("variant").alias("k"), F.max("variant").alias("top")).filter("k = 7 and top = 7").select("sample_id")
+    return relate.variants(t.fx_pair.join(whole, "sample_id", "left_semi"), "sample_id", "variant", "inter_px", range(1, 8))
+
+
+@query("JN09_summary_delta")
+def _(t):
+    side = lambda v: t.fx_iou.filter(c("variant") == v).groupBy("chart_type").agg(r(F.avg("iou"), 9).alias("m"))
+    return rounded(relate.deltas(side(1), side(2), "chart_type", "m"), 6, "delta")
+
+
+@query("JN10_pointer_resolution")
+def _(t):
+    d = t.part.select(c("p_partkey").alias("idx"), F.when(c("p_partkey") % 3 == 0, c("p_size").cast("string")).otherwise(F.concat("p_name", F.repeat(lit("#"), lit(64)))).alias("image"))
+    return relate.resolved(d, "idx", "image")
+
+
+@query("JN11_video_join")
+def _(t):
+    """Orders as videos, two expressions of two annotations each over the first frames; masks are bits of numbers."""
+    e = t.orders.filter("o_orderkey % 4 = 0").select(c("o_orderkey").alias("vid"), F.explode(F.array(lit(0), lit(1))).alias("exp"))
+    e = e.withColumns({"annos": F.array(c("exp"), c("exp") + 1), "frames": F.sequence(lit(1), lit(3))})
+    anno = t.lineitem.groupBy(c("l_orderkey").alias("vid"), (c("l_partkey") % 3).cast("int").alias("anno"), c("l_linenumber").cast("int").alias("frame")).agg(F.max(c("l_partkey") % 251).alias("mask"))
+    p = t.lineitem.groupBy(c("l_orderkey").alias("vid"), (c("l_suppkey") % 2).cast("int").alias("exp"), c("l_linenumber").cast("int").alias("frame")).agg(F.max(c("l_suppkey") % 251).alias("mask"))
+    return relate.video_areas(relate.video_frames(e, anno, p))
+
+
+@query("JN12_near_thumbnails")
+def _(t):
+    d = t.embeddings.select("vec_id", F.when(c("vec_id") % 3 == 0, "val").otherwise("train").alias("split"), F.transform(F.slice("embedding", 1, 6), lambda x: F.rint(x * 100).cast("double")).alias("px"))
+    return relate.near_thumbnails(d, "vec_id", "split", "px", 0.03)
+
+
+@query("JN13_near_images")
+def _(t):
+    return relate.near_images(_images(t), bits=14, histogram=0.25, edge=0.25, mask=0.3, foreground=0.5).select("a", "b", "hamming", *(r(x).alias(x) for x in ("histogram_l1", "edge_mae", "mask_mae")))
+
+
+def _images(t) -> DataFrame:
+    e = c("embedding")
+    part = lambda a, n: F.transform(F.slice(e, a, n), lambda x: F.rint(x * 8).cast("double") / 16)
+    bits = F.aggregate(F.transform(F.slice(e, 1, 20), lambda x: (x > 0).cast("long")), lit(0).cast("long"), lambda a, x: a * 2 + x)
+    return t.embeddings.select(c("vec_id").alias("sample_id"), F.when(c("vec_id") % 3 == 0, "val").otherwise("train").alias("split"), (1 + (c("label") % 4) / 10.0).alias("aspect"), bits.alias("dhash"), part(1, 3).alias("histogram"), part(4, 4).alias("edge"), part(8, 4).alias("mask"), (c("vec_id") % 5 / 10.0).alias("foreground"))
+
+
+@query("JN14_cross_version")
+def _(t):
+    d = t.fx_manifest.select("sample_id", "split", F.md5(c("text").cast("binary")).alias("digest")).filter("digest is not null")
+    return relate.same_content(d.filter("split = 'train'"), d.filter("split = 'test'"), "sample_id", "digest")
+
+
+@query("JN15_split_back")
+def _(t):
+    part = F.when(c("idx") % 2 == 0, "low").otherwise("high")
+    return t.fx_eval.groupBy(part.alias("sub")).agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"))
+
+
+@query("JN16_pack_answers")
+def _(t):
+    packs = t.nation.select(c("n_regionkey").alias("k"), c("n_nationkey").alias("i"), "n_name").groupBy("k").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c("i").cast("string"), "n_name"))))).alias("pack"))
+    rows = t.supplier.select("s_suppkey", (c("s_suppkey") % 6).cast("int").alias("k"), (c("s_nationkey")).alias("i"))
+    return relate.packed_answers(rows, packs, "k", "i").select("s_suppkey", "answer")
+
+
+@query("JN17_selection_audit")
+def _(t):
+    chosen = t.fx_manifest.select((c("sample_id") + 5).alias("sample_id"))
+    n = lambda kind, d: d.agg(lit(kind).alias("kind"), F.count("*").alias("n"))
+    held = t.fx_manifest.filter("split = 'test'")
+    return n("unknown", relate.unknown(chosen, t.fx_manifest, "sample_id")).union(n("held out", chosen.join(held, "sample_id", "left_semi")))
+
+
+@query("JN18_objects")
+def _(t):
+    info = F.map_from_entries(F.transform(F.sequence(lit(1), lit(9)), lambda i: F.struct(i, (c("l_partkey") * i) % 97)))
+    d = t.lineitem.groupBy("l_orderkey").agg(F.max("l_partkey").alias("l_partkey"), F.array_sort(F.collect_set((1 + c("l_suppkey") % 9).cast("int"))).alias("ids"))
+    d = relate.looked_up(d.withColumn("info", info), "ids", "info")
+    return d.select("l_orderkey", F.array_join(F.transform("masks", lambda x: x.cast("string")), ",").alias("masks"))
+
+
+# Answers
+_OPTIONS = {"A": "a", "B": "b", "C": "c", "D": "d"}
+
+
+def _options() -> Column:
+    return F.map_filter(F.create_map(*(x for k, v in _OPTIONS.items() for x in (lit(k), c(v)))), lambda _, v: v.isNotNull())
+
+
+def _answered(t) -> DataFrame:
+    """Predictions that name options in several ways, among them letters C and D, two letters, a lone Z and refusals."""
+    letter = F.substring(lit("ABCD"), (1 + c("idx") % 4).cast("int"), lit(1))
+    said = F.when(c("idx") % 13 == 0, "Z").when(c("idx") % 11 == 0, F.concat(lit("A or "), letter)).when(c("idx") % 7 == 0, F.concat(lit("("), letter, lit(") I think"))).otherwise(c("prediction"))
+    return t.fx_option.withColumn("prediction", said)
+
+
+@query("TX01_option")
+def _(t):
+    return _answered(t).select("idx", answers.option(c("prediction"), F.map_keys(_options())).alias("opt"))
+
+
+@query("TX02_option_text")
+def _(t):
+    return _answered(t).select("idx", answers.option_by_text(c("prediction"), _options()).alias("opt"))
+
+
+@query("TX03_can_infer")
+def _(t):
+    return _answered(t).select("idx", answers.inferred(c("prediction"), _options()).alias("opt"))
+
+
+@query("TX04_first_letter")
+def _(t):
+    return t.fx_option.select("idx", answers.first_letter(c("prediction")).alias("opt"))
+
+
+def _said(t) -> DataFrame:
+    """Texts with marks, numbers, articles, contractions and yes or no around the names of parts."""
+    k = c("p_partkey")
+    lead = F.element_at(F.array(*(lit(x) for x in ("Yes, ", "No; ", "yes/no - ", "The two cats ", "1,5 (a) ", "It isnt 3.5. ", "dont [look]: ", "An ", "none. ")), ), (k % 9 + 1).cast("int"))
+    return t.part.select(k.alias("id"), F.concat(lead, "p_name", F.when(k % 2 == 0, lit(" yes!")).otherwise(lit("?\tno"))).alias("text"))
+
+
+@query("TX05_yes_no")
+def _(t):
+    return _said(t).select("id", answers.yes_or_no(c("text")).alias("extracted"))
+
+
+@query("TX06_punctuation")
+def _(t):
+    return _said(t).select("id", answers.punctuation(c("text")).alias("text"))
+
+
+@query("TX07_digits_articles")
+def _(t):
+    return _said(t).select("id", answers.digits_and_articles(c("text")).alias("text"))
+
+
+@query("TX08_answer_text")
+def _(t):
+    return _said(t).select("id", answers.answer_text(c("text")).alias("text"))
+
+
+@query("TX09_agreement")
+def _(t):
+    k = c("p_partkey")
+    given = F.transform(F.sequence(lit(1), lit(10)), lambda i: F.when((k * i) % 7 < 3, c("p_brand")).when((k * i) % 7 < 5, lit("the other")).otherwise(lit("x")))
+    gt = F.transform(given, answers.answer_text)
+    return t.part.select(k.alias("id"), r(answers.agreement(answers.answer_text(c("p_brand")), gt), 9).alias("score"))
+
+
+@query("TX10_exact")
+def _(t):
+    return t.fx_option.select("idx", answers.exact(c("prediction"), F.array("b", "a")).cast("int").alias("exact"))
+
+
+@query("TX11_relaxed")
+def _(t):
+    k = c("o_orderkey")
+    target = F.when(k % 9 == 0, "0").when(k % 9 == 1, "n/a").when(k % 9 == 2, "40%").otherwise((k % 1000 * 20).cast("string"))
+    told = F.when(k % 9 == 0, F.when(k % 2 == 0, "0").otherwise("0.0")).when(k % 9 == 1, F.when(k % 2 == 0, "N/A").otherwise("5")).when(k % 9 == 2, F.when(k % 2 == 0, "0.42").otherwise("0.43")).otherwise((k % 1000 * (20 + k % 5 - 2)).cast("string"))
+    return t.orders.select(k.alias("idx"), answers.relaxed(target, told).alias("ok"))
+
+
+def _neighbours(t) -> DataFrame:
+    """Pairs of nations of one region, a table of 25 rows."""
+    a, b = t.nation.select(c("n_regionkey"), c("n_nationkey").alias("a"), c("n_name").alias("x")), t.nation.select(c("n_regionkey"), c("n_nationkey").alias("b"), c("n_name").alias("y"))
+    return a.join(b, "n_regionkey")
+
+
+@query("TX12_edit_distance")
+def _(t):
+    return _neighbours(t).filter("a < b").select("a", "b", F.levenshtein("x", "y").cast("long").alias("d"))
+
+
+@query("TX13_anls")
+def _(t):
+    flat = lambda x: F.concat(F.lower(x), lit("  "), F.lower(x))
+    return _neighbours(t).select("a", "b", r(answers.anls(c("x"), c("y")), 9).alias("anls"), r(answers.anls_collapsed(F.array(flat("x")), F.concat("y", lit(" "), "y")), 9).alias("collapsed"))
+
+
+@query("TX14_bag_f1")
+def _(t):
+    return t.part.select(c("p_partkey").alias("id"), r(answers.bag_f1(c("p_name"), c("p_type")), 9).alias("f1"))
+
+
+@query("TX15_clean_string")
+def _(t):
+    k = c("p_partkey")
+    text = F.concat(F.when(k % 3 == 0, lit("$ ")).when(k % 3 == 1, lit("'")).otherwise(lit("")), "p_name", F.when(k % 2 == 0, lit(" (approx)")).otherwise(lit("")), F.when(k % 5 == 0, lit(" %")).when(k % 3 == 1, lit("'")).otherwise(lit("")))
+    return t.part.select("p_partkey", answers.clean(text).alias("clean"))
+
+
+def _patterned(t) -> DataFrame:
+    k = c("p_partkey")
+    kinds = ("https://x.org/a", "run.py", "nb.ipynb", "page 4", "555 1234", "9 a.m.", "2020-01-31", "2020 01", "a.b@c.org", "plain", "12-34", "2020-1-3", "x@y", "a page")
+    return t.part.select(k, F.element_at(F.array(*(lit(x) for x in kinds)), (k % len(kinds) + 1).cast("int")).alias("s"))
+
+
+@query("TX16_exact_patterns")
+def _(t):
+    return _patterned(t).select("p_partkey", answers.must_match(c("s")).alias("exact"))
+
+
+@query("TX17_float_equal")
+def _(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", c("l_quantity").cast("double").alias("rf"), (c("l_partkey") % 50).cast("double").alias("p"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", answers.float_equal(c("rf"), c("p")).alias("same"))
+
+
+@query("TX18_typed_score")
+def _(t):
+    k = c("p_partkey")
+    kind = F.element_at(F.array(*(lit(x) for x in ("Int", "Float", "Str", "List"))), (k % 4 + 1).cast("int"))
+    truth = F.when(k % 4 == 0, c("p_size").cast("string")).when(k % 4 == 1, c("p_size").cast("string")).when(k % 4 == 2, c("p_brand")).otherwise(F.to_json(F.array("p_brand", "p_name")))
+    told = F.when(k % 4 == 0, F.concat(c("p_size").cast("string"), lit(".7"))).when(k % 4 == 1, F.concat((c("p_size") * 100).cast("string"), F.when(k % 8 == 1, lit("%")).otherwise(lit("")))).when(k % 4 == 2, F.concat("p_brand", lit("x"))).otherwise(F.when(k % 8 == 3, F.to_json(F.array("p_name", "p_brand"))).otherwise(c("p_name")))
+    return t.part.select("p_partkey", r(answers.typed_score(truth, told, kind), 9).alias("score"))
+
+
+@query("TX19_first_token")
+def _(t):
+    k = c("p_partkey")
+    gt, pred = F.concat(lit("("), F.substring(lit("abcd"), (k % 4 + 1).cast("int"), lit(1)), lit(") "), (k % 10).cast("string"), lit(".")), F.concat(F.substring(lit("ABCD"), (k % 3 + 1).cast("int"), lit(1)), lit(" there are "), F.element_at(F.array(lit("two"), lit("three"), lit("seven")), (k % 3 + 1).cast("int")))
+    return t.part.select("p_partkey", answers.first_words_agree(pred, gt).alias("ok"), answers.first_words_agree(pred, gt, advanced=True).alias("advanced"))
+
+
+@query("TX20_verdict")
+def _(t):
+    k = c("p_partkey")
+    pred = F.element_at(F.array(lit("True."), lit("It is false"), lit("true or false"), lit("maybe"), lit(None).cast("string")), (k % 5 + 1).cast("int"))
+    money = F.element_at(F.array(lit("$1,500"), lit("1.5 thousand"), lit("1500 shares"), lit("15 %"), lit("0.15"), lit("2 million")), (k % 6 + 1).cast("int"))
+    other = F.element_at(F.array(lit("1500"), lit("0.15"), lit("2")), (k % 3 + 1).cast("int"))
+    return t.part.select("p_partkey", answers.verdict(pred, (k % 2).cast("string")).alias("verdict"), answers.denotes(F.array(c("p_size").cast("string"), c("p_brand")), F.array(F.upper("p_brand"), (c("p_size") + k % 2).cast("string"))).alias("denotes"), answers.amounts_agree(money, other).alias("amount"))
+
+
+@query("TX21_normalized")
+def _(t):
+    k = c("p_partkey")
+    text = F.concat(F.element_at(F.array(lit("Café "), lit('"Zürich"'), lit("Łódź – "), lit("l’été ")), (k % 4 + 1).cast("int")), F.when(k % 4 == 1, lit("")).otherwise(c("p_name")), F.when(k % 4 == 1, lit("")).when(k % 3 == 0, lit(" (old)[2]")).when(k % 3 == 1, lit(".")).otherwise(lit("†")))
+    return t.part.select("p_partkey", answers.normalized(text).alias("text"))
+
+
+@query("TX22_value_kind")
+def _(t):
+    k = c("p_partkey")
+    a = F.element_at(F.array(lit("12"), lit("2020-01-xx"), lit("Café"), lit("1e3"), lit("xxxx-05-06")), (k % 5 + 1).cast("int"))
+    b = F.element_at(F.array(lit("12.0"), lit("2020-01-xx"), lit("cafe."), lit("1000"), lit("2020-05-06")), (k % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", answers.value_kind(a).alias("kind"), answers.values_equal(a, b).alias("same"))
+
+
+@query("TX23_unescape")
+def _(t):
+    return t.part.select("p_partkey", F.array_join(answers.unescaped(F.concat("p_brand", lit("\\p"), "p_type", lit("\\n|x\\\\"))), ";").alias("cell"))
+
+
+@query("TX25_math_equal")
+def _(t):
+    k = c("p_partkey")
+    a = F.element_at(F.array(lit("\\frac{1}{2}"), lit("3/4"), lit("$2.50$"), lit("-\\dfrac{3}{2}"), lit("X")), (k % 5 + 1).cast("int"))
+    b = F.element_at(F.array(lit("0.5"), lit("0.75"), lit("2.5"), lit("-1.5"), lit(" x "), lit("0.7")), (k % 6 + 1).cast("int"))
+    return t.part.select("p_partkey", answers.math_equal(a, b).alias("same"))
+
+
+# Tagged texts
+def _tagged(t) -> DataFrame:
+    k = c("p_partkey")
+    mask = lambda a, b: F.concat(lit("<|mt_start|><|mt_"), F.lpad((a).cast("string"), 4, "0"), lit("|><|mt_"), F.lpad((b).cast("string"), 4, "0"), lit("|><|mt_end|>"))
+    one, two = mask(c("p_size"), k % 7), mask(k % 5, k % 3)
+    ans = F.concat("p_type", lit(" "), one, F.when(k % 4 == 0, F.concat(two, one, one, one)).otherwise(two), lit(" [SEG]"))
+    s = F.when(k % 3 == 0, F.concat(lit("<think>[SEG] "), "p_name", lit("</think> <answer>"), ans, lit("</answer>"))).when(k % 3 == 1, F.concat("p_name", lit("<answer>"), ans)).otherwise(F.concat(lit("hm [SEG]</think>"), ans))
+    return t.part.select(k.alias("id"), s.alias("s"), F.concat(mask(c("p_size"), k % 5), two).alias("gt"), one.alias("one"), "p_brand", "p_type", "p_size")
+
+
+@query("TX26_think_answer")
+def _(t):
+    return _tagged(t).select("id", tagged.thought(c("s")).alias("think"), tagged.answer(c("s")).alias("answer"), tagged.well_formed(c("s")).alias("ok"))
+
+
+@query("TX27_seg_partition")
+def _(t):
+    join = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")
+    d = _tagged(t).select("id", tagged.segments(F.concat(c("s"), lit(" [SEG]"))).alias("p"))
+    return d.select("id", join(c("p.reasoning")).alias("reasoning"), join(c("p.answer")).alias("answer"))
+
+
+@query("TX28_mask_tokens")
+def _(t):
+    join = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), " ")
+    broken = F.regexp_replace(c("s"), r"<\|mt_000[02]\|>", "")
+    return _tagged(t).select("id", join(tagged.mask_numbers(c("s"))).alias("tokens"), join(tagged.mask_numbers(c("s"), paired=True)).alias("pairs"), tagged.repaired_masks(broken).alias("repaired"))
+
+
+@query("TX29_token_grade")
+def _(t):
+    k = c("p_partkey")
+    m = lambda a, b, end: F.concat(lit("<|mt_start|><|mt_"), F.lpad(a.cast("string"), 4, "0"), lit("|><|mt_"), F.lpad(b.cast("string"), 4, "0"), lit(end))
+    d = t.part.select(k.alias("id"), m(k % 3, k % 4, "|><|mt_end|>").alias("x"), F.when(k % 5 == 0, m(k % 3, k % 4, "|><|mt_stop|>")).otherwise(m(k % 2, k % 6, "|><|mt_end|>")).alias("y"))
+    return d.select("id", tagged.mask_grade(c("x"), c("y")).alias("grade"))
+
+
+@query("TX30_mask_accuracy")
+def _(t):
+    return _tagged(t).select("id", r(tagged.mask_accuracy(tagged.answer(c("s")), c("gt")), 9).alias("score"))
+
+
+def _captions(t) -> DataFrame:
+    """Grounded captions of two or three phrases, and truths that share some of them."""
+    k = c("p_partkey")
+    p = lambda text, a: F.concat(lit("<|object_ref_start|>"), text, lit(" <|object_ref_end|> <|mt_start|><|mt_"), F.lpad((a % 4).cast("string"), 4, "0"), lit("|><|mt_0001|><|mt_end|> "))
+    return t.part.select(k.alias("id"), F.concat(p(F.concat(lit("  The  "), "p_brand"), k), lit("near "), p(c("p_type"), k + 1), F.when(k % 3 == 0, p(c("p_type"), k + 1)).otherwise(lit(""))).alias("s"), F.concat(p(F.concat(lit("the "), "p_brand"), k), F.when(k % 2 == 0, p(lit("other"), k + 2)).otherwise(lit(""))).alias("gt"))
+
+
+@query("TX31_phrases")
+def _(t):
+    return _captions(t).select("id", F.array_join(tagged.phrases(c("s")), "|").alias("phrases"), r(tagged.phrase_accuracy(c("s"), c("gt")), 9).alias("score"), r(tagged.phrase_mask_accuracy(c("s"), c("gt")), 9).alias("masks"))
+
+
+def _graphs(t) -> DataFrame:
+    k = c("p_partkey")
+    m = lambda a: F.concat(lit("<|mt_start|><|mt_"), F.lpad((a % 3).cast("string"), 4, "0"), lit("|><|mt_0007|><|mt_end|>"))
+    rel = lambda a, word, b: F.concat(lit('{"subject": {"mask_2d": "'), m(a), lit('", "label": "'), "p_brand", lit('"}, "predicate": "'), lit(word), lit('", "object": {"mask_2d": "'), m(b), lit('", "label": "sky"}}'))
+    return t.part.select(k.alias("id"), F.concat(lit("["), rel(k, "on", k + 1), lit(", "), rel(k, "by", k), F.when(k % 4 == 0, F.concat(lit(", "), rel(k, "by", k), lit(", "), rel(k, "by", k))).otherwise(lit("")), lit("]")).alias("s"), F.concat(lit("x "), rel(k, "on", k + F.when(k % 2 == 0, 1).otherwise(2)), rel(k, "under", k)).alias("gt"))
+
+
+@query("TX32_triplets")
+def _(t):
+    return _graphs(t).select("id", r(tagged.triplet_accuracy(c("s"), c("gt")), 9).alias("score"))
+
+
+@query("TX33_repetition")
+def _(t):
+    a = _tagged(t).select("id", tagged.unrepeated(F.concat(c("s"), c("s"))).alias("masks"))
+    return a.join(_graphs(t).select("id", tagged.unrepeated_triplets(c("s")).alias("triplets")), "id")
+
+
+@query("TX34_reward")
+def _(t):
+    src = F.element_at(F.array(*(lit(x) for x in ("thinking_res", "gres", "unknown"))), (c("id") % 3 + 1).cast("int"))
+    return _tagged(t).select("id", tagged.reward(src, c("s"), c("gt")).alias("x")).select("id", *(r(c(f"x.{n}"), 9).alias(n) for n in ("overall", "accuracy", "format", "no_repeat")))
+
+
+@query("TX35_boxes")
+def _(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(lit("box ["), c("l_linenumber").cast("string"), lit(", 2, "), (c("l_partkey") % 20).cast("string"), lit(", 9] and [5]")).alias("s"))
+    box = F.get(tagged.boxes(c("s"), lit(16), lit(16), lit("xyxy_pixel")), 0)
+    return d.withColumn("b", box).filter("b is not null").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("box"))
+
+
+@query("TX36_box_format")
+def _(t):
+    models = F.array(*(lit(x) for x in ("google/gemini-2", "Qwen/Qwen-VL", "my-qwen", "other")))
+    k = c("p_partkey")
+    form = tagged.box_format(F.element_at(models, (k % 4 + 1).cast("int")))
+    text = F.concat(lit("["), c("p_size").cast("string"), lit(", "), (k % 400).cast("string"), lit(", 900, "), (400 + k % 500).cast("string"), lit("]"))
+    d = t.part.select("p_partkey", form.alias("format"), F.get(tagged.boxes(text, lit(64), lit(48), form), 0).alias("b"))
+    return d.select("p_partkey", "format", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("box"))
+
+
+@query("TX37_tagged_caption")
+def _(t):
+    spans = F.array(F.struct(lit(2).alias("start"), lit(6).alias("end")), F.struct(lit(0).alias("start"), lit(1).alias("end")))
+    return t.part.select("p_partkey", tagged.tagged_caption(c("p_name"), spans).alias("tagged"))
+
+
+@query("TX38_phrase_position")
+def _(t):
+    return t.documents.select("doc_id", tagged.phrase_position(c("text"), lit("The ")).cast("long").alias("pos"))
+
+
+@query("TX39_tags")
+def _(t):
+    s = F.concat(lit("<obj"), c("p_size").cast("string"), lit("> near <obj"), (c("p_partkey") % 9).cast("string"), lit(">"))
+    return t.part.select(c("p_partkey").alias("id"), F.array_join(F.transform(tagged.object_numbers(s), lambda x: x.cast("string")), ",").alias("tags"))
+
+
+@query("TX40_one_object")
+def _(t):
+    k = c("p_partkey")
+    s = F.when(k % 3 == 0, F.concat(lit('so {"score": "'), c("p_size").cast("string"), lit('"} ok'))).when(k % 3 == 1, F.concat(lit('{\n"score": "'), c("p_size").cast("string"), lit('",\nother: x'))).otherwise(lit("{a {b"))
+    return t.part.select("p_partkey", F.try_element_at(tagged.one_object(s), lit("score")).alias("score"))
+
+
+@query("TX41_cjk")
+def _(t):
+    return t.part.select("p_partkey", tagged.chinese(F.concat("p_name", F.when(c("p_partkey") % 3 == 0, lit("红")).otherwise(lit("é")))).alias("cjk"))
+
+
+@query("TX42_split_length")
+def _(t):
+    listed = F.when(c("p_partkey") % 2 == 0, F.to_json(F.array("p_brand", "p_type"))).otherwise(c("p_type"))
+    return t.part.select("p_partkey", F.size(F.split("p_type", " ")).alias("n"), F.regexp_extract(F.concat("p_brand", lit("%"), c("p_size").cast("string")), "%([0-9]+)$", 1).alias("rate"), F.array_join(tagged.as_list(listed), ";").alias("items"))
+
+
+@query("TX43_prompt")
+def _(t):
+    return t.fx_option.select("idx", tagged.prompt(c("prediction"), [(k, c(v)) for k, v in _OPTIONS.items()]).alias("prompt"))
+
+
+@query("TX44_content_list")
+def _(t):
+    s = F.concat(F.replace("p_name", lit("a"), lit("<image>")), F.when(c("p_partkey") % 2 == 0, lit("<image>")).otherwise(lit("")))
+    d = t.part.select(c("p_partkey").alias("id"), F.posexplode(tagged.content(s)).alias("pos", "x"))
+    return d.select("id", "pos", "x.kind", "x.text")
+
+
+@query("TX45_judge_score")
+def _(t):
+    s = F.concat(F.coalesce("c", lit("x")), F.when(c("idx") % 2 == 0, lit(", ")).otherwise(lit(" ")), (c("idx") % 10).cast("string"), lit("\nbecause"))
+    d = t.fx_option.select("idx", answers.judge_scores(s).alias("v"))
+    return d.select("idx", c("v")[0].alias("first"), c("v")[1].alias("second"))
+
+
+@query("TX46_reformulated")
+def _(t):
+    gone = c("c").isNull()
+    return t.fx_option.select("idx", F.coalesce("c", "answer").alias("a"), F.when(gone, "Other Answers").otherwise(c("a")).alias("b"), F.when(c("answer").isin("A", "B", "C", "D"), c("answer")).otherwise("A").alias("answer"))
+
+
+@query("TX47_containment")
+def _(t):
+    return t.fx_option.select("idx", answers.contained(F.array("a", "b"), F.concat("prediction", lit(" "), F.when(c("idx") % 4 == 0, F.replace("a", lit("#"), lit(" # "))).otherwise(lit(""))), c("idx") % 2 == 0).alias("hit"))
+
+
+@query("TX48_by_letters")
+def _(t):
+    choices = F.array(F.substring("p_name", 1, 1), F.when(c("p_partkey") % 2 == 0, "Both").otherwise(c("p_type")), F.when(c("p_partkey") % 3 == 0, "B and C").otherwise(c("p_brand")), lit("Stage D"))
+    q = F.concat(lit("What is "), F.when(c("p_partkey") % 5 == 0, lit("X?")).otherwise(lit("it?")))
+    return t.part.select("p_partkey", answers.labelled_by_letters(q, choices).alias("abc"))
+
+
+@query("TX49_renumbered")
+def _(t):
+    k = c("p_partkey")
+    tag = lambda x: F.concat(lit("<obj"), x.cast("string"), lit(">"))
+    return t.part.select(k.alias("id"), tagged.renumbered(F.concat(tag(c("p_size")), lit(" a "), tag(k % 12), lit(" b "), tag(c("p_size")), lit(" "), tag(lit(1)))).alias("text"))
+
+
+@query("TX50_interleaved")
+def _(t):
+    images = F.array("p_brand", "p_name")
+    k = c("p_partkey")
+    one, two = tagged.interleaved(F.concat(lit("<image>"), "p_name", lit("<image><image>x")), images), tagged.interleaved_by_number(F.concat(lit("see <image "), (k % 3 + 1).cast("string"), lit("> and"), lit("<image 1>")), images)
+    flat = lambda x: F.array_join(F.transform(x, lambda y: F.concat(y["kind"], lit(":"), F.coalesce(y["value"], lit("none")))), "|")
+    return t.part.select(k.alias("id"), flat(one).alias("parts"), flat(two).alias("numbered"))
+
+
+@query("TX51_template")
+def _(t):
+    return t.fx_option.select("idx", tagged.inverted(F.concat(lit("Please: "), "prediction"), "Please: ", "", [("The answer is ", "."), ("PROMO ", "")]).alias("middle"))
+
+
+# Masks of 8 x 8 pixels out of the signs of vectors
+def _masks(t) -> DataFrame:
+    return t.embeddings.select(c("vec_id").alias("id"), "label", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("m"))
+
+
+def _mask_pairs(t) -> DataFrame:
+    """A mask and that of the next even or odd id."""
+    d = _masks(t)
+    return d.filter("id % 2 = 0").join(d.filter("id % 2 = 1").select((c("id") - 1).alias("id"), c("m").alias("o")), "id")
+
+
+_text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+
+
+@query("GE01_decoded")
+def _(t):
+    counts = F.array(c("p_partkey").cast("int") % 9, c("p_size").cast("int") % 7, lit(2), lit(30) - c("p_partkey").cast("int") % 9 - c("p_size").cast("int") % 7 - 2)
+    return t.part.select("p_partkey", F.array_join(F.transform(masks.decoded(counts, lit(5), lit(6)), lambda v: v.cast("string")), "").alias("mask"))
+
+
+@query("GE02_run_lengths")
+def _(t):
+    d = _masks(t).select("id", masks.encoded(c("m"), lit(8), lit(8)).alias("runs"))
+    return d.select("id", _text(c("runs")).alias("runs"))
+
+
+@query("GE03_union")
+def _(t):
+    return masks.union_of(_masks(t), ["label"], "m").select("label", masks.area(c("mask")).alias("union_px"))
+
+
+@query("GE04_iou")
+def _(t):
+    p = masks.pixels(c("m"), c("o"))
+    return _mask_pairs(t).select("id", *(r(masks.iou(p["inter"], p["total"], e), 9).alias(e) for e in ("one", "zero", "null", "smoothed")))
+
+
+@query("GE05_dice")
+def _(t):
+    p = masks.pixels(c("m"), c("o"))
+    return _mask_pairs(t).select("id", r(masks.dice(p["inter"], p["pred"], p["gt"]), 9).alias("d"))
+
+
+@query("GE06_pixel_counts")
+def _(t):
+    return _mask_pairs(t).select("id", masks.pixels(c("m"), c("o")).alias("p")).select("id", "p.*")
+
+
+@query("GE07_class_areas")
+def _(t):
+    label = lambda x, k: F.transform(x, lambda v, i: F.when(v == 1, i % 3).when(i % k == 0, 255).otherwise(3))
+    return masks.class_areas(_mask_pairs(t).select(label(c("m"), 70).alias("o"), label(c("o"), 9).alias("t")), "o", "t", 5)
+
+
+@query("GE08_box_iou")
+def _(t):
+    x, y = c("l_suppkey").cast("int") % 20, c("l_partkey").cast("int") % 20
+    q = c("l_quantity").cast("int") % 10
+    d = t.lineitem.select(c("l_orderkey").alias("o"), c("l_linenumber").alias("n"), "l_partkey", F.array(x, y, x + 5 + q, y + 5).alias("a"), F.array(x, y, 5 + q, lit(5)).alias("b"))
+    return d.select("o", "n", "l_partkey", r(masks.box_iou(c("a"), F.array(lit(4), lit(4), lit(18), lit(18))), 9).alias("xyxy"), r(masks.box_iou(c("b"), F.array(lit(4), lit(4), lit(14), lit(14)), "xywh"), 9).alias("xywh"))
+
+
+@query("GE09_box")
+def _(t):
+    d = _masks(t).select("id", masks.box(c("m"), lit(8)).alias("b")).filter("b is not null")
+    return d.select("id", *(c("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query("GE10_boundary_f")
+def _(t):
+    d = masks.with_boundary_f(_mask_pairs(t).withColumns({"h": lit(8), "w": lit(8)}), "m", "o", "h", "w")
+    return d.select("id", r("f", 9).alias("f"))
+
+
+@query("GE11_accuracy")
+def _(t):
+    return _mask_pairs(t).select("id", r(masks.accuracy(c("m"), c("o")), 9).alias("a"), r(masks.robustness(masks.area(c("m")) - masks.area(masks.intersection(c("m"), c("o"))), masks.area(c("o"))), 9).alias("robustness"))
+
+
+def _sets(t) -> DataFrame:
+    """Three predicted and two or three true masks of 16 pixels a row, cut out of one vector and its neighbour."""
+    part = lambda m, n: F.transform(F.sequence(lit(0), n - 1), lambda i: F.slice(m, i * 16 + 1, 16))
+    return _mask_pairs(t).select("id", part(c("m"), lit(3)).alias("p"), part(c("o"), (2 + c("id") / 2 % 2).cast("int")).alias("g"))
+
+
+@query("GE12_overlaps")
+def _(t):
+    d = masks.overlaps(_sets(t), ["id"], "p", "g").select("id", F.posexplode("matrix").alias("i", "row")).select("id", "i", F.posexplode("row").alias("j", "iou"))
+    return rounded(d, 9, "iou")
+
+
+@query("GE13_greedy")
+def _(t):
+    d = masks.matched(masks.overlaps(_sets(t), ["id"], "p", "g"), "matrix", "greedy")
+    return d.select("id", r(masks.mean_paired(c("pairs")), 9).alias("miou"))
+
+
+@query("GE14_admissible")
+def _(t):
+    alike = F.array(*(F.array(*(F.when((c("id") + i + j) % 3 == 0, 0.2).otherwise(0.9) for j in range(3))) for i in range(3)))
+    d = masks.overlaps(_sets(t), ["id"], "g", "p").withColumn("alike", F.slice(alike, 1, F.size("g")))
+    d = masks.matched(d, "matrix", "admissible", alike="alike", least=0.3)
+    return d.select("id", F.posexplode("pairs").alias("place", "x")).select("id", "place", "x.i", "x.j", r("x.iou", 9).alias("iou"))
+
+
+@query("GE15_assignment")
+def _(t):
+    d = masks.matched(masks.overlaps(_sets(t), ["id"], "p", "g"), "matrix", "best")
+    return d.select("id", F.posexplode(masks.truth_scores(c("pairs"), F.size("g"))).alias("j", "iou")).withColumn("iou", r("iou", 9))
+
+
+@query("GE16_mask_reward")
+def _(t):
+    d = masks.matched(masks.overlaps(_sets(t), ["id"], "p", "g"), "matrix", "best")
+    return d.select("id", r(masks.mask_reward(c("pairs"), F.size("p"), F.size("g")), 9).alias("reward"))
+
+
+@query("GE17_resized")
+def _(t):
+    d = _masks(t).select("id", masks.resized(c("m"), lit(8), lit(8), lit(4), lit(12)).alias("m"))
+    return d.select("id", F.array_join(F.transform("m", lambda v: v.cast("string")), "").alias("mask"), masks.area(c("m")).alias("px"))
+
+
+@query("GE18_binary")
+def _(t):
+    odd = F.transform("m", lambda v, i: F.when(c("id") % 3 == 0, v * 255).when((c("id") % 3 == 1) & (i == 5), lit(7)).otherwise(v))
+    return _masks(t).select("id", masks.binary(odd).alias("ok"))
+
+
+@query("GE19_first_mask")
+def _(t):
+    d = _masks(t).select("id", F.when(c("id") % 5 > 0, F.array("m", F.transform("m", lambda v: 1 - v))).otherwise(F.array().cast("array<array<int>>")).alias("ms"))
+    return d.select("id", masks.area(masks.first_mask(c("ms"))).alias("px"))
+
+
+@query("GE20_taxonomy")
+def _(t):
+    d = t.fx_iou.withColumn("other", (c("sample_id") % 7).cast("int"))
+    return d.groupBy(masks.failure(c("inter_px"), c("pred_px"), c("gt_px"), c("other")).alias("failure")).agg(F.count("*").alias("n"))
+
+
+@query("GE21_edited")
+def _(t):
+    image = F.transform("m", lambda v, i: (i % 10) / 10.0)
+    total = lambda a: F.round(F.aggregate(masks.edited(image, c("m"), a), lit(0.0), lambda x, y: x + y), 6).alias(a)
+    return _masks(t).select("id", *(total(a) for a in ("highlight", "recolor", "extract", "remove")))
+
+
+@query("GE22_transforms")
+def _(t):
+    join = lambda m: F.array_join(F.transform(m, lambda v: v.cast("string")), "")
+    return _masks(t).select("id", join(masks.cropped(c("m"), lit(8), lit(2), lit(1), lit(3), lit(2))).alias("crop"), join(F.slice(masks.flipped(c("m"), lit(8)), 1, 8)).alias("flip"))
+
+
+@query("GE24_outermost")
+def _(t):
+    d = _sets(t).select("id", F.posexplode("p").alias("pos", "m"))
+    d = d.union(d.select("id", c("pos") + 3, F.transform("m", lambda v, i: F.when(i < 9, v).otherwise(0)).alias("m")))
+    return masks.outermost(d, "id", "pos", "m").select("id", "pos")
+
+
+@query("GE25_filled")
+def _(t):
+    return _masks(t).select("id", masks.area(masks.filled(F.transform("m", lambda v, i: F.when((i % 8 > 1) & (i < 40), v).otherwise(0)), lit(8))).alias("px"))
+
+
+@query("GE26_painted")
+def _(t):
+    d = _sets(t).select("id", F.posexplode("p").alias("pos", "m")).withColumn("label", F.element_at(F.array(lit("thing"), lit("ignore"), lit("flag")), c("pos") + 1))
+    d = masks.painted(d.withColumn("m", F.transform("m", lambda v, i: F.when((c("pos") == 0) | (i < 11), v).otherwise(0))), "id", "m", "label")
+    return d.select("id", _text(c("mask")).alias("mask"))
+
+
+@query("GE27_panoptic_remap")
+def _(t):
+    """Segments with category ids of things (1 to 9) and stuff; ids are mapped to places and names by two small tables."""
+    segments = t.supplier.select(c("s_suppkey").alias("segment"), (c("s_nationkey") + 1).alias("category_id"), (c("s_suppkey") % 2).alias("crowd")).filter("crowd = 0")
+    names = t.nation.select((c("n_nationkey") + 1).alias("category_id"), c("n_name").alias("name"), (c("n_nationkey") < 9).alias("thing"))
+    place = names.groupBy("thing").agg(F.array_sort(F.collect_list("category_id")).alias("ids"))
+    d = segments.join(F.broadcast(names), "category_id").join(F.broadcast(place), "thing")
+    return d.select("segment", F.when(c("thing"), "thing").otherwise("stuff").alias("kind"), (F.array_position("ids", c("category_id")) - 1 + F.when(c("thing"), 0).otherwise(9)).cast("int").alias("place"), "name")
+
+
+# Order, sets of rows
+@query("ST01_order_by_index")
+def _(t):
+    return arrange.numbered(t.fx_option.select("idx"), ["idx"]).select("idx", (c("pos") + 1).alias("pos"))
+
+
+@query("ST02_worst10")
+def _(t):
+    return t.fx_pair.select("sample_id", "variant", r("iou", 9).alias("iou")).orderBy("iou", "sample_id", "variant").limit(10)
+
+
+@query("ST03_sample_log")
+def _(t):
+    return partition.sampled(t.fx_option.select("idx", "prediction"), "idx", 10)
+
+
+@query("ST04_gallery")
+def _(t):
+    return t.fx_attempt.groupBy("chart_type", "ref_type").agg(F.min("sample_id").alias("pick"))
+
+
+@query("ST05_constrained_pick")
+def _(t):
+    wanted = t.spark.createDataFrame([("A", "F", 1, 3), ("N", "O", 2, 5), ("R", "F", 3, 2), ("R", "X", 1, 1)], "chart_type string, ref_type string, variant int, nth int")
+    return t.fx_attempt.join(F.broadcast(wanted), ["chart_type", "ref_type", "variant"]).groupBy("chart_type", "ref_type", "variant").agg(F.min(F.when(c("pred_px") % 10 >= c("nth"), c("sample_id"))).alias("pick"))
+
+
+@query("ST06_closest_median")
+def _(t):
+    m = t.fx_rollout.groupBy("source").agg(F.percentile("reward", 0.5).alias("med"))
+    d = t.fx_rollout.join(F.broadcast(m), "source")
+    return d.groupBy("source").agg(F.min(F.struct(r(F.abs(c("reward") - c("med")), 9).alias("d"), "sample_id")).alias("p")).select("source", "p.sample_id")
+
+
+@query("ST07_phrase_order")
+def _(t):
+    s = lambda a, x: F.struct(a.cast("int").alias("start"), (a + 3).cast("int").alias("end"), x.alias("phrase"))
+    k = c("p_partkey")
+    return t.part.select("p_partkey", F.array_join(tagged.phrase_order(F.array(s(k % 7, c("p_brand")), s(k % 5, c("p_name")), s(k % 3, c("p_type")))), "|").alias("phrases"))
+
+
+@query("ST08_mask_order")
+def _(t):
+    d = _sets(t)
+    keep = F.forall("p", lambda m: masks.area(m) > 0)
+    return d.filter(keep).select("id", *(_text(masks.mask_order(c("p"), lit(4), mode)).alias(mode.replace("-", "_")) for mode in ("ltr-ttb", "ttb-ltr", "tlbr")))
+
+
+@query("ST09_staged_argmax")
+def _(t):
+    v = t.fx_iou.groupBy("variant").agg(r(F.avg("iou")).alias("a"), r(F.avg("dice")).alias("b"), F.count(F.when(c("inter_px") == 0, 1)).alias("k"))
+    return v.orderBy(F.desc("a"), F.desc("b"), "k", "variant").limit(1).select("variant")
+
+
+@query("ST10_best_checkpoint")
+def _(t):
+    v = t.fx_iou.groupBy("variant").agg(r(F.avg("iou"), 3).alias("a"))
+    return v.agg(F.max_by("variant", F.struct("a", -c("variant"))).alias("variant"))
+
+
+@query("ST11_reorder")
+def _(t):
+    order = t.nation.select("n_nationkey", ((c("n_nationkey") * 7) % 25).alias("pos"))
+    return batch.index_select(t.nation.select("n_nationkey", "n_name"), order, "n_nationkey").select("n_name", c("pos").cast("long").alias("pos"))
+
+
+@query("SE01_concat")
+def _(t):
+    d = t.fx_rollout.select("sample_id", "uid")
+    return d.filter("uid % 2 = 0").unionByName(d.filter("uid % 2 = 1").select("uid", "sample_id"))
+
+
+@query("SE02_chunk")
+def _(t):
+    return arrange.spread(t.fx_option.select("idx"), ["idx"], 4)
+
+
+@query("SE03_repeat")
+def _(t):
+    d = t.supplier.select(c("s_suppkey").alias("id"))
+    a, b = arrange.repeated(d, ["id"], 3, True, "interleaved"), arrange.repeated(d, ["id"], 3, False, "tiled")
+    return a.join(b, ["id", "copy"]).select("id", c("copy").alias("k"), "interleaved", "tiled")
+
+
+@query("SE04_pad")
+def _(t):
+    return arrange.padded(t.nation.select(c("n_nationkey").alias("id")), ["id"], 32)
+
+
+@query("SE05_folded")
+def _(t):
+    d = arrange.folded(t.nation.select("n_nationkey"), ["n_nationkey"], 5, "n_nationkey")
+    return d.select(c("row").cast("int").alias("row"), _text(c("values")).alias("ids"))
+
+
+@query("SE06_collate")
+def _(t):
+    d = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    return d.select("n_regionkey", _text(F.transform("rows", lambda x: x["n_nationkey"])).alias("ids"), F.array_join(F.transform("rows", lambda x: x["n_name"]), "|").alias("names"))
+
+
+@query("SE07_round_robin")
+def _(t):
+    d = arrange.round_robin(t.supplier.select(c("s_suppkey").alias("id"), (c("s_suppkey") % 3).alias("shard")), "shard", "id", "merged")
+    return d.select("id", (c("merged") + 1).alias("merged"))
+
+
+@query("SE08_shard_merge")
+def _(t):
+    parts = [t.fx_rollout.filter(c("uid") % 4 == k).groupBy("source").agg(F.count("*").alias("n")) for k in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("source").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("SE09_concat_reindex")
+def _(t):
+    return arrange.reindexed([t.supplier.select(c("s_suppkey").alias("k")), t.nation.select(c("n_nationkey").alias("k"))], "k")
+
+
+@query("SE10_overlap")
+def _(t):
+    return t.fx_manifest.filter("split = 'val'").select("sample_id").intersect(t.fx_manifest.filter("split = 'train'").select((c("sample_id") + 1).alias("sample_id")))
+
+
+@query("SE11_circular")
+def _(t):
+    d = t.fx_option.select("idx", c("a").alias("A"), F.when(c("idx") % 5 == 0, lit("All of the above")).otherwise(c("b")).alias("B"), F.when(c("idx") % 7 == 0, "None of these; all of above").otherwise(c("c")).alias("C"), c("d").alias("D"), "answer")
+    out = arrange.circular(d, "idx", ["A", "B", "C", "D"], "answer", 1_000_000)
+    return out.withColumnsRenamed({k: f"opt_{k.lower()}" for k in "ABCD"})
+
+
+@query("SE12_offset")
+def _(t):
+    return arrange.offset(t.fx_option, "idx")
+
+
+@query("SE13_distinct_boxes")
+def _(t):
+    d = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.array(c("l_linenumber").cast("int"), (c("l_partkey") % 3).cast("int"))).alias("b"))
+    return d.select("l_orderkey", F.size(F.array_distinct("b")).alias("n"))
+
+
+@query("SE14_zero_product")
+def _(t):
+    return t.region.select("r_name").crossJoin(F.broadcast(t.orders.select("o_orderstatus").distinct()))
+
+
+# Checks
+@query("VA01_violations")
+def _(t):
+    d = t.part.select("p_partkey", F.when(c("p_partkey") % 6 == 0, lit(" ")).otherwise(c("p_name")).alias("name"), F.concat(lit("Manufacturer#"), (c("p_partkey") % 5 + 1).cast("string")).alias("maker"), (c("p_size") - 3).alias("size"), F.when(c("p_partkey") % 4 == 0, F.concat(lit("../"), c("p_brand"))).otherwise(F.concat(lit("img/"), c("p_brand"))).alias("path"), F.concat(c("p_brand"), F.when(c("p_partkey") % 9 == 0, lit("!")).otherwise(lit(""))).alias("code"))
+    rules = audit.record_rules(["name"], {"maker": ["Manufacturer#1", "Manufacturer#2", "Manufacturer#3"]}, {"code": r"^Brand#\d+$"}, ["size"], ["path"])
+    return d.select("p_partkey", F.array_join(audit.violations(rules), "; ").alias("violations"))
+
+
+@query("VA02_uniqueness")
+def _(t):
+    return audit.repeated_values(t.fx_manifest.select(F.md5(c("text").cast("binary")).alias("text"), "sample_id").filter("text is not null"), ["text", "sample_id"])
+
+
+@query("VA03_expected_count")
+def _(t):
+    return audit.expected_counts(t.fx_manifest, "split", {"train": 600, "val": 200, "test": 200, "none": 0})
+
+
+@query("VA04_duplicate_groups")
+def _(t):
+    return audit.duplicate_members(t.fx_manifest.filter("text is not null"), F.md5(c("text").cast("binary")), "sample_id")
+
+
+@query("VA05_leakage")
+def _(t):
+    return audit.leaks(t.fx_manifest, F.md5(c("text").cast("binary")), "split")
+
+
+@query("VA06_action_duplicates")
+def _(t):
+    return audit.varied_keys(t.fx_manifest.withColumn("size_class", F.floor(c("n_chars") / 100.0)), ["style_family", "size_class"], "split", "chart_type")
+
+
+@query("VA07_exact_duplicates")
+def _(t):
+    return audit.duplicates(t.fx_manifest, F.md5(c("text").cast("binary")), "sample_id")
+
+
+@query("VA08_near_pairs")
+def _(t):
+    d = t.embeddings.select("vec_id", F.when(c("vec_id") % 3 == 0, "val").otherwise("train").alias("split"), F.transform(F.slice("embedding", 1, 6), lambda x: F.rint(x * 100).cast("double")).alias("px"))
+    return relate.reported(relate.near_thumbnails(d, "vec_id", "split", "px", 0.03), 20)
+
+
+@query("VA09_distribution")
+def _(t):
+    return report.crosstab(t.fx_manifest, "chart_type", "split").withColumn("ok", c("n") >= 10)
+
+
+@query("VA10_unique_referent")
+def _(t):
+    d = t.fx_turn.groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
+    return d.select("conv_id", audit.one_match(c("roles"), lit("system")).alias("unique_referent"))
+
+
+@query("VA11_mask_issues")
+def _(t):
+    ratio = c("pred_px") / 64.0
+    return t.fx_attempt.agg(F.count(F.when(c("pred_px") == 0, 1)).alias("empty"), F.count(F.when(c("pred_px") > 40, 1)).alias("large"), r(F.avg(ratio)).alias("mean_ratio"), r(F.median(ratio)).alias("median_ratio"))
+
+
+@query("VA12_distances")
+def _(t):
+    return rounded(audit.sampled_distances(t.embeddings, "vec_id", "label", "embedding", 3), 6, "mean", "median")
+
+
+@query("VA13_completeness")
+def _(t):
+    return relate.incomplete(t.fx_pair, "sample_id", "variant", range(1, 4))
+
+
+@query("VA14_manifest_digest")
+def _(t):
+    return audit.ordered_digest(t.nation, ["n_regionkey"], "n_nationkey", "n_name")
+
+
+@query("VA15_outcomes")
+def _(t):
+    flag = lambda x: F.max(x.cast("int"))
+    return t.fx_attempt.groupBy("sample_id", "variant").agg(flag(c("inter_px") == 0).alias("disjoint"), flag(c("pred_px") < c("gt_px")).alias("under"))
+
+
+@query("VA16_supervised")
+def _(t):
+    ids = F.transform(F.sequence(lit(0), lit(11)), lambda i: ((c("p_partkey") * (i + 3)) % 5).cast("int"))
+    labels = F.transform(F.sequence(lit(0), lit(11)), lambda i: F.when((c("p_partkey") + i) % 4 == 0, -100).otherwise(i))
+    d = audit.supervised(t.part.select("p_partkey", ids.alias("i"), labels.alias("l")), "p_partkey", "i", "l", 2)
+    return audit.misaligned(d.withColumn("expected", (c("p_partkey") % 3).cast("int")), "expected").select("p_partkey", _text(c("positions")).alias("positions"), "n", "expected")
+
+
+# Numbers
+@query("MA01_kl")
+def _(t):
+    p, q = c("reward") / 100, (c("sample_id") % 13) / 10.0
+    kinds = {"kl": "kl", "abs": "abs_kl", "mse": "mse", "low_var_kl": "low_var"}
+    return t.fx_rollout.select("sample_id", *(r(rewards.divergence(p, q, k), 9).alias(n) for k, n in kinds.items()))
+
+
+@query("MA02_ppo_clip")
+def _(t):
+    p, q, a = c("reward") / 100, (c("sample_id") % 13) / 10.0, c("reward") - 50
+    return t.fx_rollout.select("sample_id", r(rewards.clipped_objective(p, q, a)).alias("loss"), r(rewards.clipped_objective(p, q, a, kind="cispo")).alias("cispo"))
+
+
+@query("MA03_value_loss")
+def _(t):
+    return t.fx_rollout.select("sample_id", r(rewards.value_loss(c("reward"), lit(50.0) + c("sample_id") % 7, lit(40.0) + c("uid") % 3, 5.0)).alias("loss"))
+
+
+@query("MA04_kl_reward")
+def _(t):
+    return t.fx_rollout.select("sample_id", r(rewards.penalised(c("reward"), c("reward") / 100, (c("sample_id") % 13) / 10.0, rewards.next_coefficient(0.05, 0.2, 0.1, 10_000, 100), "abs"), 9).alias("r"))
+
+
+@query("MA05_cosine")
+def _(t):
+    d = t.embeddings.filter("vec_id % 2 = 0").join(t.embeddings.filter("vec_id % 2 = 1").select((c("vec_id") - 1).alias("vec_id"), c("embedding").alias("o")), "vec_id")
+    return d.select("vec_id", r(masks.cosine(c("embedding"), c("o"))).alias("cosine"))
+
+
+@query("MA06_tiling")
+def _(t):
+    return t.part.select("p_partkey", masks.tiling(c("p_size") * 40 + 10, c("p_partkey") % 900 + 100).alias("x")).select("p_partkey", "x.columns", "x.rows")
+
+
+@query("MA07_pixel_budget")
+def _(t):
+    return t.part.select("p_partkey", masks.scaled_size(c("p_size") * 10, lit(200), lit(50_000.0)).alias("x")).select("p_partkey", c("x.width").cast("long").alias("w"), c("x.height").cast("long").alias("h"))
+
+
+@query("MA08_codebook")
+def _(t):
+    k = c("l_partkey").cast("int")
+    codes = masks.code(F.array(k % 300, c("l_suppkey").cast("int") % 280, k % 256, k % 7))
+    back = masks.uncode(F.transform(codes, lambda x, i: x - F.when(i >= 2, 512).otherwise(0)))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", _text(codes).alias("codes"), F.array_join(F.transform(back, lambda g: F.array_join(F.transform(g, lambda v: v.cast("string")), "-")), ",").alias("back"))
+
+
+@query("MA09_stable_index")
+def _(t):
+    return t.part.select("p_partkey", masks.stable_index(c("p_name"), 97).alias("bucket"))
+
+
+@query("MA10_hamming")
+def _(t):
+    bits = lambda m: F.aggregate(F.transform(F.slice(m, 1, 62), lambda x: x.cast("long")), lit(0).cast("long"), lambda a, x: a * 2 + x)
+    return _mask_pairs(t).select("id", F.bit_count(bits(c("m")).bitwiseXOR(bits(c("o")))).cast("int").alias("distance"))
+
+
+@query("MA11_distances")
+def _(t):
+    d = t.embeddings.filter("vec_id % 2 = 0").join(t.embeddings.filter("vec_id % 2 = 1").select((c("vec_id") - 1).alias("vec_id"), c("embedding").alias("o")), "vec_id")
+    return d.select("vec_id", r(masks.histogram_distance(c("embedding"), c("o")), 5).alias("l1"), r(masks.mean_difference(c("embedding"), c("o")), 5).alias("mae"))
+
+
+@query("MA12_colours")
+def _(t):
+    colour = lambda m: masks.colour_hex(F.array(*(((c("p_partkey") * k) % 256) for k in m)))
+    d = t.part.select("p_partkey", colour((3, 5, 7)).alias("a"), colour((11, 13, 17)).alias("b"))
+    return d.select("p_partkey", "a", _text(masks.rgb(c("a"))).alias("rgb"), r(masks.colour_distance(masks.rgb(c("a")), masks.rgb(c("b"))), 9).alias("distance"))
+
+
+@query("MA13_frames")
+def _(t):
+    pick = lambda how: _text(masks.frames(c("p_size"), how, lit(8))).alias(how)
+    return t.part.select("p_partkey", pick("inner"), pick("middle"), pick("even"))
+
+
+@query("MA14_dates")
+def _(t):
+    return t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyMMdd").alias("short"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("MA15_digest")
+def _(t):
+    return t.documents.select("doc_id", F.md5(F.coalesce("text", lit("")).cast("binary")).alias("digest"), F.sha2(F.to_json(F.struct("doc_id", "lang")).cast("binary"), 256).alias("canonical"))
+
+
+# Parts and samples
+def _batches(t) -> DataFrame:
+    return t.lineitem.filter("l_orderkey % 40 = 0").select((c("l_orderkey") % 7).alias("b"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), c("l_quantity").cast("int").alias("n")).groupBy("b", "id").agg(F.max("n").alias("n"))
+
+
+@query("PA01_differencing")
+def _(t):
+    return partition.balanced(_batches(t), "b", "id", "n", 4).select("batch", "row_id", "part")
+
+
+@query("PA02_greedy")
+def _(t):
+    return partition.balanced(_batches(t), "b", "id", "n", 4, greedy=True).select("batch", "row_id", "part")
+
+
+@query("PA03_micro_batches")
+def _(t):
+    return partition.micro_batches(_batches(t), "b", "id", "n", 200).select("batch", "row_id", "part")
+
+
+@query("PA04_restored")
+def _(t):
+    d = partition.restored(partition.micro_batches(_batches(t), "b", "id", "n", 200))
+    return d.groupBy("batch").agg(F.count("*").alias("n"), F.sum("at").alias("at_sum"), F.countDistinct("row_id").alias("ids"))
+
+
+@query("PA05_length_groups")
+def _(t):
+    return partition.length_groups(_batches(t), "b", "id", "n", 3, 2).select("batch", "row_id", "part")
+
+
+@query("PA06_word_lengths")
+def _(t):
+    return t.fx_turn.groupBy("conv_id").agg(F.sum(F.size(answers.tokens(F.coalesce("text", lit(""))))).cast("long").alias("n_words"))
+
+
+@query("PA07_repeats")
+def _(t):
+    a, b = partition.repeats(t.nation.select("n_nationkey"), "n_nationkey", 2.4), partition.repeats(t.supplier.select("s_suppkey"), "s_suppkey", 0.3)
+    return a.select(lit("nation").alias("t"), c("n_nationkey").cast("long").alias("id"), "copy").union(b.select(lit("supplier"), c("s_suppkey").cast("long"), "copy"))
+
+
+@query("PA08_fraction")
+def _(t):
+    return partition.fraction(t.fx_manifest, "style_family", "sample_id", 0.3).select("style_family", "sample_id")
+
+
+@query("PA09_balanced_pairs")
+def _(t):
+    rows = t.nation.select(c("n_regionkey").alias("g"), "n_nationkey", F.concat(lit("a"), c("n_nationkey") % 4).alias("action"), F.concat(lit("d"), c("n_nationkey") % 3).alias("difficulty"), (c("n_nationkey") % 5).alias("distractors"))
+    picked = partition.balanced_pairs(rows, ["g"], "n_nationkey", "action", "difficulty", "distractors", ["a0", "a1", "a2", "a3"], ["d0", "d1", "d2"])
+    return t.spark.createDataFrame(picked, "region long, pick long")
+
+
+@query("PA10_schedule")
+def _(t):
+    return partition.schedule(t.supplier, "s_suppkey", 3)
+
+
+@query("PA11_factorial_plan")
+def _(t):
+    d = t.region.select(c("r_regionkey").alias("chart")).crossJoin(F.broadcast(t.nation.select(c("n_nationkey").alias("slot"))))
+    return d.withColumns({"palette": (c("chart") * 7 + c("slot") * 3) % 5, "seed": F.md5(F.concat_ws("-", c("chart").cast("string"), c("slot").cast("string")).cast("binary"))})
+
+
+@query("PA12_fixed_size")
+def _(t):
+    items = F.sequence(lit(1), c("p_size").cast("int"))
+    return t.part.select("p_partkey", partition.of_fixed_size(items, 5, c("p_partkey")).alias("x")).select("p_partkey", F.size("x").alias("n"), _text(c("x")).alias("items"))
+
+
+@query("PA13_page_batches")
+def _(t):
+    n = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("n"))
+    return n.select("l_orderkey", "n", partition.page_interval(c("n"), 5).alias("interval_n"))
+
+
+@query("PA14_clip_layout")
+def _(t):
+    return t.part.select("p_partkey", _text(partition.clip_frames(c("p_size"))).alias("frames"))
+
+
+# Statistics
+@query("BS01_bootstrap_estimate")
+def _(t):
+    return rounded(audit.bootstrap(t.fx_iou, ["chart_type", "ref_type"], "iou", draws=2000), 6, "estimate", "lower", "upper")
+
+
+@query("BS02_paired_bootstrap")
+def _(t):
+    return rounded(audit.paired_bootstrap(t.fx_iou, ["chart_type", "ref_type"], "variant", "iou", 1, draws=500), 6, "estimate", "lower", "upper")
+
+
+@query("TX24_best_ngram")
+def _(t):
+    from ..functions import similar
+
+    hay = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_name").alias("hay"), F.concat_ws(" ", F.lower("p_type")).alias("needle"))
+    d = similar.with_best_ngram(hay.withColumn("hay", F.lower("hay")), "hay", "needle")
+    return d.select("p_partkey", "best.text", *(r(c(f"best.{n}"), 9).alias(n) for n in ("similarity", "precision", "recall", "f1", "jaccard", "rouge1", "exact")))
+
+
+# Files
+def _written(t, name: str, write) -> str:
+    """A folder beside the session's shared folder that a query writes to and reads back; made anew each time."""
+    from ..session import scratch
+
+    path = scratch(t.spark, name)
+    write(path)
+    return path
+
+
+@query("SC02_tsv_scan")
+def _(t):
+    from ..sources import files
+
+    p = _written(t, "scan.tsv", lambda p: files.dump(t.nation.withColumn("note", F.concat(lit('a "q"\t'), "n_name", lit("\nb"))), p))
+    return files.load(t.spark, p, "tsv").select("n_nationkey", "n_name", "n_regionkey", "note")
+
+
+@query("SC03_jsonl_scan")
+def _(t):
+    from ..sources import files
+
+    p = _written(t, "scan.jsonl", lambda p: files.dump(t.supplier.select("s_suppkey", "s_name"), p))
+    return files.load(t.spark, p, schema="s_suppkey long, s_name string")
+
+
+@query("SC05_parquet_scan")
+def _(t):
+    from ..sources import files
+
+    p = _written(t, "copy.tsv", lambda p: files.dump(t.region.select("r_regionkey", "r_name"), p))
+    return files.load(t.spark, p, "tsv", "r_regionkey long, r_name string")
+
+
+@query("SC06_dataset")
+def _(t):
+    from ..sources import files
+
+    def write(p):
+        for k, split in enumerate(("train", "test")):
+            t.nation.filter(c("n_nationkey") % 2 == k).write.parquet(f"{p}/{split}")
+
+    return files.dataset(t.spark, _written(t, "dataset", write) + "@test").select("n_nationkey", "n_name")
+
+
+@query("SC09_mapped")
+def _(t):
+    from ..sources import files
+
+    parts = [(t.nation, {"name": c("n_name"), "kind": "nation", "key": c("n_nationkey")}), (t.region, {"name": c("r_name"), "kind": "region", "key": c("r_regionkey")})]
+    return files.mapped(parts, ["kind", "name", "key"])
+
+
+@query("SC12_tolerant_jsonl")
+def _(t):
+    from ..sources import files
+
+    line = F.when(c("n_nationkey") % 6 == 0, lit("{broken")).when(c("n_nationkey") % 7 == 0, lit("  ")).otherwise(F.to_json(F.struct("n_nationkey", "n_name")))
+    good, _bad = files.tolerant_jsonl(t.spark, _written(t, "lines", lambda p: t.nation.select(line.alias("value")).write.text(p)), "n_nationkey long, n_name string")
+    return good
+
+
+@query("SK02_sharded")
+def _(t):
+    from ..sources import sinks
+
+    return sinks.sharded(t.orders.select("o_orderkey"), ["o_orderkey"], 1000, "refs").groupBy("shard").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("SK03_checkpoints")
+def _(t):
+    from ..sources import sinks
+
+    def write(p):
+        d = t.nation.select(c("n_nationkey").alias("k"), c("n_name").alias("out"))
+        sinks.save_results(d.withColumn("out", lit("FAIL")), p, "k")
+        sinks.save_results(d.filter("k % 2 = 0"), p, "k")
+
+    return sinks.saved_results(t.spark, _written(t, "results", write), "out string").select(c("key").cast("long").alias("k"), "out")
+
+
+@query("SK04_metric_rows")
+def _(t):
+    from ..sources import sinks
+
+    s = report.summary(t.fx_iou, ["chart_type"], "iou", "inter_px", "union_px", "pred_px", "gt_px")
+    return rounded(sinks.metric_rows(s, ["chart_type"]), 6, "value")
+
+
+@query("SK05_latex")
+def _(t):
+    s = report.overlap_meters(t.fx_iou, ["chart_type"], "inter_px", "union_px")
+    return s.select("chart_type", report.latex(F.floor(c("ciou") * 1000) / 10, F.floor(c("giou") * 1000) / 10).alias("line"))
+
+
+@query("SK06_submission")
+def _(t):
+    from ..sources import sinks
+
+    return sinks.submission(t.nation, "n_nationkey", "n_name")
+
+
+@query("SK07_predictions")
+def _(t):
+    from ..sources import sinks
+
+    return sinks.predictions(_sets(t).withColumn("runs", F.transform("p", lambda m: _text(masks.encoded(m, lit(4), lit(4))))), "id", "runs").select("image_id", "place", "line")
+
+
+# Streams, run until what is there has been read
+def _streamed(t, name: str, run) -> DataFrame:
+    def write(p):
+        d = t.fx_rollout.select("uid", "sample_id", "reward", "source", F.timestamp_seconds(c("sample_id") * 60 + 1_000_000_000).alias("at"))
+        d.repartition(3, "uid").write.parquet(f"{p}/in")
+        stream = t.spark.readStream.schema("uid long, sample_id long, reward double, source string, at timestamp").option("maxFilesPerTrigger", "1").parquet(f"{p}/in")
+        q = run(stream, p)
+        if not q.awaitTermination(600):
+            raise TimeoutError(name)
+
+    return t.spark.read.parquet(_written(t, name, write) + "/out")
+
+
+@query("SM01_incremental")
+def _(t):
+    from ..streaming import jobs
+
+    return _streamed(t, "incremental", lambda s, p: jobs.write_all(jobs.first_of_each(s, "sample_id", "at", "1000 days"), f"{p}/out", f"{p}/cp")).select("sample_id", "uid")
+
+
+@query("SM02_pending")
+def _(t):
+    from ..streaming import jobs
+
+    results = t.fx_option.filter("idx % 3 > 0").select("idx", F.when(c("idx") % 5 == 0, answers.FAILED).otherwise("fine").alias("out"))
+    return jobs.pending(t.fx_option.select("idx"), results, "idx", f"out = '{answers.FAILED}'")
+
+
+@query("SM03_meters")
+def _(t):
+    from ..streaming import jobs
+
+    def run(s, p):
+        def keep(d, epoch):
+            d.write.mode("overwrite").parquet(f"{p}/out")
+
+        return jobs.meters(s, "source", "reward").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{p}/cp").trigger(availableNow=True).start()
+
+    return rounded(_streamed(t, "meters", run), 4, "total", "mean")
+
+
+@query("SM04_accumulated")
+def _(t):
+    from ..streaming import jobs
+
+    d = _streamed(t, "accumulated", lambda s, p: jobs.accumulated(s, "uid", "reward", 20, 80, 5, "sample_id", f"{p}/out", f"{p}/cp"))
+    return d.groupBy("batch").agg(F.countDistinct("uid").alias("groups"))
+
+
+@query("SM05_resumed")
+def _(t):
+    """A stream stopped after its first files and started again from its checkpoint reads each row once."""
+    from ..streaming import jobs
+
+    def run(s, p):
+        q = s.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/cp").trigger(once=True).start()
+        q.awaitTermination(300)
+        return jobs.write_all(s, f"{p}/out", f"{p}/cp")
+
+    return _streamed(t, "resumed", run).select("sample_id", "uid")

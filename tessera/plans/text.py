@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .evaluate import SQL as _EVALUATE
 
 #: Answer prefixes that are taken off (two pairs are one string each and so hardly ever occur).
 ANSWER_PREFIXES = ("The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is", "Best answer:Best option:")
@@ -14,59 +13,21 @@ def _without(column: str, strings: tuple[str, ...]) -> str:
     return column
 
 
-_TAGGED = "SELECT p_partkey AS id, concat('<think>', p_name, '</think> <answer>', p_type, ' <|mt_', lpad(cast(p_size AS string), 4, '0'), '|><|mt_', lpad(cast(p_partkey % 7 AS string), 4, '0'), '|></answer>') AS s, concat('<|mt_', lpad(cast(p_size AS string), 4, '0'), '|><|mt_', lpad(cast(p_partkey % 5 AS string), 4, '0'), '|>') AS gt FROM part"
-_TOKENS = "transform(regexp_extract_all({}, 'mt_[0-9]{{4}}', 0), x -> cast(substr(x, 4, 4) AS int))"
-_MASKS = "SELECT vec_id AS id, label, transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM embeddings"
-_SET = "SELECT id, label, filter(sequence(1, 64), i -> try_element_at(m, i) = 1) AS px FROM masks"
 
 SQL = {
-    "TX03_can_infer": f"SELECT o.idx, coalesce(o.opt, t.opt) AS opt FROM ({_EVALUATE['TX01_option']}) o JOIN ({_EVALUATE['TX02_option_text']}) t ON o.idx = t.idx",
     "TX04_first_letter": f"""WITH s AS (SELECT idx, trim({_without('trim(prediction)', ANSWER_PREFIXES)}) AS s FROM fx_option)
       SELECT idx, CASE WHEN length(s) - length(replace(s, ' ', '')) + 1 > 10 AND regexp_extract(s, '[ABCDE]', 0) = '' THEN '' WHEN regexp_extract(s, '[ABCDE]', 0) <> '' THEN regexp_extract(s, '[ABCDE]', 0)
         WHEN s = '' OR position(lower(s) IN '(a)') > 0 THEN 'A' WHEN position(lower(s) IN '(b)') > 0 THEN 'B' WHEN position(lower(s) IN '(c)') > 0 THEN 'C' WHEN position(lower(s) IN '(d)') > 0 THEN 'D' WHEN position(lower(s) IN '(e)') > 0 THEN 'E' ELSE '' END AS opt FROM s""",
     "TX14_bag_f1": """WITH t AS (SELECT p_partkey AS id, split(lower(p_name), ' ') AS p, split(lower(p_type), ' ') AS g FROM part), c AS (SELECT id, size(p) AS np, size(g) AS ng, size(filter(p, x -> array_contains(g, x))) AS tp FROM t)
       SELECT id, CASE WHEN tp = 0 THEN 0.0E0 ELSE round(2.0E0 * tp / (np + ng), 9) END AS f1 FROM c""",
-    "TX15_clean_string": f"SELECT p_partkey, trim({_without('lower(p_name)', ('(', ')', '[', ']', '$', '%'))}) AS clean FROM part",
-    "TX16_exact_patterns": "SELECT page_id, rlike(url, 'https?://') OR rlike(url, '[.]py$') OR rlike(url, '^page') OR rlike(url, '[0-9]{4}[-/][0-9]{2}') OR rlike(url, '[a-z0-9._]+@[a-z0-9.]+') AS exact FROM pages",
-    "TX17_float_equal": "WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, cast(l_quantity AS double) AS r, cast(l_partkey % 50 AS double) AS p FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, abs(p - r / 100) <= 0.01E0 * greatest(abs(p), abs(r / 100)) OR abs(p - r) <= 0.01E0 * greatest(abs(p), abs(r)) OR abs(p - r * 100) <= 0.01E0 * greatest(abs(p), abs(r * 100)) AS same FROM v",
-    "TX19_first_token": "SELECT idx, position(lower(answer) IN lower(split_part(prediction, ' ', 4))) > 0 AS ok FROM fx_option",
-    "TX20_verdict": "SELECT doc_id, CASE WHEN position('the' IN lower(text)) > 0 AND position('and' IN lower(text)) > 0 THEN NULL WHEN position('the' IN lower(text)) > 0 THEN 1 WHEN position('and' IN lower(text)) > 0 THEN 0 END AS verdict FROM documents",
-    "TX22_value_kind": "SELECT idx, CASE WHEN try_cast(coalesce(c, b) AS double) IS NOT NULL THEN 'number' WHEN rlike(coalesce(c, b), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'date' ELSE 'string' END AS kind, try_cast(c AS double) AS num FROM fx_option",
-    "TX23_unescape": "SELECT p_partkey, replace(replace(concat(p_brand, chr(92), 'p', p_type, chr(92), 'n'), concat(chr(92), 'n'), chr(10)), concat(chr(92), 'p'), '|') AS cell FROM part",
-    "TX25_math_equal": "SELECT idx, a = b OR coalesce(abs(try_cast(c AS double) - try_cast(split_part(a, '#', 2) AS double)) < 1E-6, false) AS same FROM fx_option",
-    "TX26_think_answer": f"WITH t AS ({_TAGGED}) SELECT id, regexp_extract(s, '(?s)<think>(.*?)</think>', 1) AS think, regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1) AS answer, rlike(s, '(?s)^<think>.*</think>.*<answer>.*</answer>$') AS ok FROM t",
-    "TX27_seg_partition": "WITH t AS (SELECT p_partkey AS id, concat(replace(p_name, 'a', '[SEG]'), '<answer>', replace(p_type, 'A', '[SEG]'), '</answer>') AS s FROM part) SELECT id, cast((length(split_part(s, '<answer>', 1)) - length(replace(split_part(s, '<answer>', 1), '[SEG]', ''))) / 5 AS int) AS reasoning, cast((length(split_part(s, '<answer>', 2)) - length(replace(split_part(s, '<answer>', 2), '[SEG]', ''))) / 5 AS int) AS answer FROM t",
-    "TX28_mask_tokens": f"WITH t AS ({_TAGGED}) SELECT id, array_join(regexp_extract_all(s, '<[|]mt_[0-9]{{4}}[|]>', 0), ' ') AS tokens FROM t",
-    "TX29_token_grade": f"WITH t AS ({_TAGGED}), k AS (SELECT id, {_TOKENS.format('s')} AS p, {_TOKENS.format('gt')} AS g FROM t) SELECT id, CASE WHEN try_element_at(p, 1) = try_element_at(g, 1) AND try_element_at(p, 2) = try_element_at(g, 2) THEN 1.0E0 WHEN try_element_at(p, 1) = try_element_at(g, 1) THEN 0.4E0 ELSE 0.0E0 END AS grade FROM k",
-    "TX31_phrases": "WITH t AS (SELECT p_partkey AS id, concat('<p>', p_brand, '</p> on <p>', p_type, '</p>') AS s FROM part) SELECT id, array_join(regexp_extract_all(s, '<p>(.*?)</p>', 1), '|') AS phrases FROM t",
-    "TX33_repetition": "SELECT doc_id, max(n) > 3 AS repeated FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, explode(split(text, ' ')) AS w FROM documents) x GROUP BY doc_id, w) y GROUP BY doc_id",
-    "TX35_boxes": """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, concat('box [', cast(l_linenumber AS string), ', 2, ', cast(l_partkey % 20 AS string), ', 9]') AS s FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, l_partkey, transform(regexp_extract_all(s, '[0-9]+', 0), x -> cast(x AS int)) AS v FROM t)
-      SELECT l_orderkey, l_linenumber, l_partkey, array_join(transform(v, x -> cast(least(x, 16) AS string)), ',') AS box FROM b WHERE try_element_at(v, 3) > try_element_at(v, 1) AND try_element_at(v, 4) > try_element_at(v, 2)""",
-    "TX37_tagged_caption": "SELECT p_partkey, concat(substr(p_name, 1, 2), '<p> ', substr(p_name, 3, 4), ' </p> [SEG]', substr(p_name, 7)) AS tagged FROM part",
     "TX39_tags": "WITH t AS (SELECT p_partkey AS id, concat('<obj', cast(p_size AS string), '> near <obj', cast(p_partkey % 9 AS string), '>') AS s FROM part) SELECT id, array_join(regexp_extract_all(s, '<obj([0-9]+)>', 1), ',') AS tags FROM t",
-    "TX41_cjk": "SELECT doc_id, rlike(text, '[一-鿿]') AS cjk FROM documents",
-    "TX42_split_length": "SELECT p_partkey, size(split(p_type, ' ')) AS n, regexp_extract(concat(p_brand, '%', cast(p_size AS string)), '%([0-9]+)$', 1) AS rate FROM part",
     "TX43_prompt": "SELECT idx, concat('Question: ', prediction, chr(10), 'A. ', a, chr(10), 'B. ', b, CASE WHEN c IS NOT NULL THEN concat(chr(10), 'C. ', c) ELSE '' END, CASE WHEN d IS NOT NULL THEN concat(chr(10), 'D. ', d) ELSE '' END, chr(10), 'Answer: ') AS prompt FROM fx_option",
-    "TX44_content_list": "SELECT id, pos, CASE WHEN pos % 2 = 1 THEN 'image' ELSE 'text' END AS kind FROM (SELECT p_partkey AS id, explode(sequence(0, 2 * (size(split(replace(p_name, 'a', '<image>'), '<image>')) - 1))) AS pos FROM part) t",
-    "TX45_judge_score": "SELECT idx, coalesce(CASE WHEN try_cast(split_part(s, ' ', 2) AS double) IS NOT NULL THEN try_cast(split_part(s, ' ', 1) AS double) END, -1.0E0) AS first, coalesce(CASE WHEN try_cast(split_part(s, ' ', 1) AS double) IS NOT NULL THEN try_cast(split_part(s, ' ', 2) AS double) END, -1.0E0) AS second FROM (SELECT idx, concat(coalesce(c, 'x'), ' ', cast(idx % 10 AS string)) AS s FROM fx_option) t",
-    "TX47_containment": "SELECT idx, size(filter(split(a, '#'), x -> position(lower(x) IN lower(replace(prediction, ' ', ''))) > 0)) > 0 AS hit FROM fx_option",
     "TX51_template": "SELECT idx, CASE WHEN prediction LIKE 'The answer is %.' AND length(prediction) > 15 THEN substr(prediction, 15, length(prediction) - 15) END AS middle FROM fx_option",
     "AG12_metadata": "SELECT cast(get_json_object(props, '$.k') AS int) % 10 AS version, round(100.0E0 * avg(CASE WHEN value > 50 THEN 1.0E0 ELSE 0.0E0 END), 6) AS acc FROM events GROUP BY cast(get_json_object(props, '$.k') AS int) % 10",
     "AG44_quantiles": "SELECT source, round(percentile(reward, 0.25), 6) AS q25, round(percentile(reward, 0.5), 6) AS median, round(percentile(reward, 0.75), 6) AS q75, min(reward) AS lo, max(reward) AS hi FROM fx_rollout GROUP BY source",
     "WN12_history": "SELECT conv_id, turn, array_join(collect_list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), chr(10)) AS prompt FROM fx_turn",
     "ST03_sample_log": "SELECT idx, prediction FROM fx_option ORDER BY md5(concat('7-', cast(idx AS string))) LIMIT 10",
     "ST06_closest_median": "WITH m AS (SELECT source, percentile(reward, 0.5) AS med FROM fx_rollout GROUP BY source), r AS (SELECT f.source, f.sample_id, row_number() OVER (PARTITION BY f.source ORDER BY round(abs(f.reward - m.med), 9), f.sample_id) AS rn FROM fx_rollout f JOIN m ON f.source = m.source) SELECT source, sample_id FROM r WHERE rn = 1",
-    "SE06_collate": "SELECT lang, array_join(transform(array_sort(collect_list(doc_id)), x -> cast(x AS string)), ',') AS ids FROM documents GROUP BY lang",
-    "SE11_circular": "WITH n AS (SELECT idx, answer, CASE WHEN d IS NOT NULL THEN 4 WHEN c IS NOT NULL THEN 3 ELSE 2 END AS k FROM fx_option), r AS (SELECT idx, answer, k, explode(sequence(0, k - 1)) AS turn FROM n) SELECT idx + turn * 1000000 AS idx, idx AS base, substr('ABCD', cast(1 + (position(answer IN 'ABCD') - 1 + k - turn) % k AS int), 1) AS answer FROM r",
-    "SE13_distinct_boxes": "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 10 AS x FROM lineitem",
-    "MA13_frames": "SELECT p_partkey, array_join(transform(sequence(1, 8), i -> cast(cast(floor(i * p_size / 9.0E0) AS int) AS string)), ',') AS frames FROM part",
-    "MA10_hamming": f"WITH masks AS ({_MASKS}), r AS (SELECT id, m, lead(m) OVER (PARTITION BY label ORDER BY id) AS o FROM masks) SELECT id, size(filter(sequence(1, 64), i -> try_element_at(m, i) <> try_element_at(o, i))) AS distance FROM r WHERE o IS NOT NULL",
-    "GE02_run_lengths": f"WITH masks AS ({_MASKS}), starts AS (SELECT id, explode(filter(sequence(1, 64), i -> i = 1 OR try_element_at(m, i) <> try_element_at(m, i - 1))) AS p FROM masks) SELECT id, p, coalesce(lead(p) OVER (PARTITION BY id ORDER BY p), 65) - p AS len FROM starts",
-    "GE03_union": f"WITH masks AS ({_MASKS}), px AS (SELECT label, explode(px) AS p FROM ({_SET}) s) SELECT label, count(DISTINCT p) AS union_px FROM px GROUP BY label",
-    "GE04_iou": f"WITH masks AS ({_MASKS}), s AS ({_SET}), r AS (SELECT id, px, lead(px) OVER (PARTITION BY label ORDER BY id) AS o FROM s), c AS (SELECT id, size(filter(px, i -> array_contains(o, i))) AS i, size(px) + size(o) AS t FROM r WHERE o IS NOT NULL) SELECT id, CASE WHEN t = 0 THEN 1.0E0 ELSE cast(i AS double) / (t - i) END AS iou FROM c",
-    "GE09_box": f"WITH masks AS ({_MASKS}), px AS (SELECT id, explode(px) AS p FROM ({_SET}) s) SELECT id, min((p - 1) % 8) AS x0, max((p - 1) % 8) AS x1, min(cast(floor((p - 1) / 8.0E0) AS int)) AS y0, max(cast(floor((p - 1) / 8.0E0) AS int)) AS y1 FROM px GROUP BY id",
-    "GE18_binary": f"WITH masks AS ({_MASKS}) SELECT id, size(filter(m, x -> x <> 0 AND x <> 1)) = 0 AS ok FROM masks",
-    "VA04_duplicate_groups": "SELECT md5(text) AS digest, array_join(transform(array_sort(collect_list(sample_id)), x -> cast(x AS string)), ',') AS members FROM fx_manifest WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1",
     "VA10_unique_referent": "SELECT conv_id, count(CASE WHEN role = 'system' THEN 1 END) = 1 AS unique_referent FROM fx_turn GROUP BY conv_id",
     "PA08_fraction": "WITH r AS (SELECT style_family, sample_id, row_number() OVER (PARTITION BY style_family ORDER BY md5(concat('3-', cast(sample_id AS string)))) AS rn, count(*) OVER (PARTITION BY style_family) AS n FROM fx_manifest) SELECT style_family, sample_id FROM r WHERE rn <= floor(n * 0.3E0)",
     "PA14_clip_layout": "SELECT p_partkey, array_join(transform(array_sort(transform(sequence(0, 99), i -> i % p_size)), x -> cast(x AS string)), ',') AS frames FROM part",

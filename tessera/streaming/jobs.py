@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.arrange import numbered
+
 
 def first_of_each(stream: DataFrame, key: str, event_time: str, delay: str = "1 hour") -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed them, so state stays bounded."""
@@ -30,3 +32,35 @@ def write_all(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def pending(wanted: DataFrame, results: DataFrame, key: str, failed: str) -> DataFrame:
     """Rows of wanted without a result that succeeded; failed is a condition on results."""
     return wanted.join(results.filter(f"NOT coalesce({failed}, false)").select(key).distinct(), key, "left_anti")
+
+
+def accumulated(stream: DataFrame, group: str, score: str, low: float, high: float, size: int, order: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Batches of rollouts: rows of each micro-batch whose group's mean score is between low and high join those that wait;
+    whenever `size` groups are there, the first of them are written to path/batch=n and the others wait on. What waits, and
+    how many batches there are, are tables beside the checkpoint, named by the epoch, so an epoch that is run again writes
+    the same."""
+    state = f"{checkpoint}-state"
+
+    def step(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        keep = rows.groupBy(group).agg(F.avg(score).alias("_m")).filter((F.col("_m") > low) & (F.col("_m") < high)).select(group)
+        rows, done = rows.join(keep, group, "left_semi"), 0
+        if epoch:
+            rows = spark.read.parquet(f"{state}/waiting-{epoch - 1}").unionByName(rows)
+            done = spark.read.parquet(f"{state}/done-{epoch - 1}").first().done
+        ranked = numbered(rows.groupBy(group).agg(F.min(order).alias("_at")), ["_at", group], "_rank")
+        n = ranked.count() // size
+        cut = rows.join(ranked.select(group, "_rank"), group).withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
+        for k in range(n):
+            cut.filter(F.col("batch") == k).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={done + k}")
+        cut.filter(F.col("batch") >= n).drop("batch").write.mode("overwrite").parquet(f"{state}/waiting-{epoch}")
+        spark.createDataFrame([(done + n,)], "done long").write.mode("overwrite").parquet(f"{state}/done-{epoch}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retried(results: DataFrame, key: str, at: str, failed: str) -> DataFrame:
+    """The latest result of each key that didn't fail: what failed is left out and so is asked for again."""
+    rest = [c for c in results.columns if c not in (key, at)]
+    last = results.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("_r")).select(key, F.col(f"_r.{at}").alias(at), *(F.col(f"_r.{c}").alias(c) for c in rest))
+    return last.filter(f"NOT coalesce({failed}, false)")
