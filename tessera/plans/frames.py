@@ -1167,14 +1167,6 @@ def _(t):
     return d.select("id", r(masks.mean_paired(c("pairs")), 9).alias("miou"))
 
 
-@query("GE14_admissible")
-def _(t):
-    alike = F.array(*(F.array(*(F.when((c("id") + i + j) % 3 == 0, 0.2).otherwise(0.9) for j in range(3))) for i in range(3)))
-    d = masks.overlaps(_sets(t), ["id"], "g", "p").withColumn("alike", F.slice(alike, 1, F.size("g")))
-    d = masks.matched(d, "matrix", "admissible", alike="alike", least=0.3)
-    return d.select("id", F.posexplode("pairs").alias("place", "x")).select("id", "place", "x.i", "x.j", r("x.iou", 9).alias("iou"))
-
-
 @query("GE15_assignment")
 def _(t):
     d = masks.matched(masks.overlaps(_sets(t), ["id"], "p", "g"), "matrix", "best")
