@@ -215,20 +215,29 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
         rows, vectors, free, heavy, items, need, offset, flat = shared.value
         groups = _alike([len(w) for _, w, _ in items])
         sets = [frozenset(w) for _, w, _ in items]
+
+        def rare_words(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(block, item) of each rare word of an item."""
+            hit = np.flatnonzero(offset[ids + 1] > offset[ids])
+            which = np.searchsorted(starts, hit, side="right") - 1
+            n = offset[ids[hit] + 1] - offset[ids[hit]]
+            return np.repeat(which, n), flat[np.repeat(offset[ids[hit]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
         for b in batches:
-            ids, starts, doc = _passages(list(b["ids"]), STEP)
             out: dict[tuple[int, int], float] = {}
+            texts = list(b["ids"])
+            # a region is a part of its document: only documents that hold enough of some item's rare words go on
+            ids, starts, doc = _passages(texts, STEP)
+            which, item_at = rare_words(ids, starts)
+            key, count = np.unique(doc[which] * len(items) + item_at, return_counts=True)
+            some_docs = np.unique(key[count >= need[key % len(items)]] // len(items))
+            ids, starts, doc = _passages([texts[d] for d in some_docs], STEP)
             if len(starts):
                 block = _summed(rows, ids, starts, heavy)
                 total = np.concatenate([np.zeros((1, block.shape[1])), np.cumsum(block, axis=0, dtype=np.float64)])
                 last = np.searchsorted(doc, doc, side="right")  # one past the document's last block
                 begin = np.searchsorted(doc, doc)
-                # rare words of each item in each block, for a group of items at a time
-                hit = np.flatnonzero(offset[ids + 1] > offset[ids])
-                which = np.searchsorted(starts, hit, side="right") - 1
-                n = offset[ids[hit] + 1] - offset[ids[hit]]
-                which = np.repeat(which, n)
-                item_at = flat[np.repeat(offset[ids[hit]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                which, item_at = rare_words(ids, starts)
                 ends = np.append(starts, len(ids))
                 for g, end, windows in groups:
                     m = (item_at >= g) & (item_at < end)
@@ -264,7 +273,7 @@ def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf:
                             share = lcs(want, near) / len(want)
                             if share >= LCS_SURE or share >= LCS_LIKELY and len(set(answer).intersection(near)) >= ANSWER * len(set(answer)):
                                 out[d, k] = max(share, out.get((d, k), 0))
-            own, th = b["id"].tolist(), b["th"].tolist()
+            own, th = b["id"].to_numpy()[some_docs].tolist(), b["th"].to_numpy()[some_docs].tolist()
             yield pd.DataFrame([(own[d], th[d], items[k][0], s) for (d, k), s in out.items()], columns=["id", "th", "item_id", "score"]).astype({"id": "int64", "th": "int64", "item_id": "int64", "score": "float64"})
 
     return table.mapInPandas(lean(run), "id long, th long, item_id long, score double")
