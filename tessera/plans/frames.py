@@ -381,7 +381,7 @@ def _(t):
 
 @query("WN05_reinforce")
 def _(t):
-    return _spread(_steps(t), batch.discounted(c("rewards"), c("mask"), 0.5))
+    return _spread(_steps(t), batch.discounted(c("rewards"), c("mask"), 0.77))
 
 
 @query("WN06_returns")
@@ -541,7 +541,7 @@ def _(t):
 
 @query("PF19_small_regions")
 def _(t):
-    sizes = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(F.abs(x) * 20).cast("int"))
+    sizes = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(F.abs(x) * 200).cast("int"))
     return t.embeddings.filter(F.forall(sizes, lambda x: x >= 4)).select("vec_id")
 
 

@@ -51,7 +51,7 @@ ORACLES = {
     "AG49_improved": "WITH g AS (SELECT chart_type || '/' || ref_type AS name, round(round(avg(iou) FILTER (variant = 2), 9) - round(avg(iou) FILTER (variant = 1), 9), 9) AS d FROM fx_pair GROUP BY chart_type, ref_type) SELECT count(*) FILTER (d > 0) AS improved, count(*) FILTER (d < 0) AS declined, count(*) FILTER (d = 0) AS tied, round(max(d), 6) AS max_gain, (SELECT name FROM g ORDER BY d DESC, name LIMIT 1) AS best, round(min(d), 6) AS max_loss, (SELECT name FROM g ORDER BY d, name LIMIT 1) AS worst FROM g",
     "AG51_reward_scatter": "SELECT idx, repeat('0.0,', (idx % 6)::INT) || printf('%.1f', idx % 10 / 10) AS reward FROM fx_option",
     "WN04_gae": f"{_STEPS}, g AS (SELECT uid, k, id, CASE WHEN mask = 1 THEN v ELSE 0.0 END AS nv, CASE WHEN mask = 1 THEN rw - v ELSE 0.0 END AS a FROM m WHERE k = 1 UNION ALL SELECT m.uid, m.k, m.id, CASE WHEN mask = 1 THEN m.v ELSE g.nv END, CASE WHEN mask = 1 THEN m.rw + 0.9 * g.nv - m.v + 0.9 * 0.8 * g.a ELSE g.a END FROM g JOIN m ON m.uid = g.uid AND m.k = g.k + 1) SELECT uid, id AS sample_id, round(a, 6) AS v FROM g",
-    "WN05_reinforce": f"{_STEPS}, g AS (SELECT uid, k, id, rw AS ret, mask FROM m WHERE k = 1 UNION ALL SELECT m.uid, m.k, m.id, m.rw + 0.5 * g.ret * g.mask, m.mask FROM g JOIN m ON m.uid = g.uid AND m.k = g.k + 1) SELECT uid, id AS sample_id, round(ret, 6) AS v FROM g",
+    "WN05_reinforce": f"{_STEPS}, g AS (SELECT uid, k, id, rw AS ret, mask FROM m WHERE k = 1 UNION ALL SELECT m.uid, m.k, m.id, m.rw + 0.77 * g.ret * g.mask, m.mask FROM g JOIN m ON m.uid = g.uid AND m.k = g.k + 1) SELECT uid, id AS sample_id, round(ret, 6) AS v FROM g",
     "WN11_turn_pairs": "WITH g AS (SELECT *, (SELECT count(*) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant' AND b.turn < a.turn) AS grp FROM conversations a) SELECT conv_id, grp, string_agg(CASE WHEN role <> 'assistant' THEN text END, chr(10) ORDER BY turn) AS input, max(CASE WHEN role = 'assistant' THEN text END) AS output FROM g GROUP BY conv_id, grp HAVING count(*) FILTER (role = 'assistant') > 0 AND count(*) FILTER (role <> 'assistant') > 0",
     "PF01_select": "SELECT s_suppkey, s_name FROM supplier",
     "PF02_pop": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
@@ -62,7 +62,7 @@ ORACLES = {
     "PF13_caption_size": "SELECT p_partkey FROM part WHERE len(string_split(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' on a table' ELSE '' END, ' ')) >= 3 AND p_size * 4 >= 32 AND p_size * 3 + 20 >= 32",
     "PF14_boxes": "WITH b AS (SELECT *, l_suppkey::INT % 40 - 10 AS x, l_partkey::INT % 40 - 10 AS y, floor(l_quantity)::INT % 12 AS w FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM b WHERE x + w > greatest(x, 0) AND greatest(x, 0) < 24 AND least(x + w, 24) > greatest(x, 0) AND least(y + l_linenumber, 24) > greatest(y, 0) AND w >= 1 AND l_linenumber >= 1",
     "PF15_refusals": "SELECT idx FROM fx_option WHERE idx % 5 <> 0 AND idx % 7 <> 0 AND idx % 11 <> 0 AND NOT contains(prediction, 'I can''t') AND NOT contains(prediction, 'I cannot') AND NOT contains(lower(prediction), 'sorry')",
-    "PF19_small_regions": "SELECT vec_id FROM embeddings WHERE least(floor(abs(embedding[1]) * 20), floor(abs(embedding[2]) * 20), floor(abs(embedding[3]) * 20), floor(abs(embedding[4]) * 20)) >= 4",
+    "PF19_small_regions": "SELECT vec_id FROM embeddings WHERE least(floor(abs(embedding[1]) * 200), floor(abs(embedding[2]) * 200), floor(abs(embedding[3]) * 200), floor(abs(embedding[4]) * 200)) >= 4",
     "PF20_flatten": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation",
     "PF21_merged": "SELECT n_nationkey, n_name AS name, 'r' || n_regionkey AS region, n_nationkey::VARCHAR AS key FROM nation",
     "PF23_subset": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_suppkey % 25 FROM supplier) ORDER BY n_nationkey LIMIT 7",
