@@ -1495,7 +1495,7 @@ def _(t):
 @query("MA02_ppo_clip")
 def _(t):
     p, q, a = c("reward") / 100, (c("sample_id") % 13) / 10.0, c("reward") - 50
-    return t.fx_rollout.select("sample_id", r(rewards.clipped_objective(p, q, a)).alias("loss"), r(rewards.clipped_objective(p, q, a, kind="cispo")).alias("cispo"))
+    return t.fx_rollout.select("sample_id", r(rewards.clipped_objective(p, q, a)).alias("loss"), r(rewards.clipped_objective(p, q, a, kind="cispo"), 9).alias("cispo"))
 
 
 @query("MA03_value_loss")

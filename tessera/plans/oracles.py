@@ -148,7 +148,7 @@ ORACLES = {
     "VA14_manifest_digest": "SELECT n_regionkey, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS digest, count(*) AS n FROM nation GROUP BY n_regionkey",
     "VA16_supervised": "WITH e AS (SELECT p_partkey, (p_partkey % 3)::INT AS expected, [i FOR i IN range(12) IF (p_partkey * (i + 3)) % 5 = 2 AND (p_partkey + i) % 4 <> 0] AS ps FROM part) SELECT p_partkey, array_to_string(ps, ',') AS positions, len(ps)::INT AS n, expected FROM e WHERE len(ps) <> expected",
     "MA01_kl": "WITH d AS (SELECT sample_id, greatest(least(reward / 100 - (sample_id % 13) / 10, 20), -20) AS d FROM fx_rollout) SELECT sample_id, round(d, 9) AS kl, round(abs(d), 9) AS abs_kl, round(d * d / 2, 9) AS mse, round(least(greatest(exp(-d) + d - 1, -10), 10), 9) AS low_var FROM d",
-    "MA02_ppo_clip": "WITH d AS (SELECT sample_id, reward / 100 AS p, exp(reward / 100 - (sample_id % 13) / 10) AS x, reward - 50 AS a FROM fx_rollout), k AS (SELECT *, CASE WHEN x < 0.8 THEN 0.8 WHEN x > 1.3 THEN 1.3 ELSE x END AS h FROM d) SELECT sample_id, round(CASE WHEN a < 0 THEN least(greatest(-a * x, -a * h), -3 * a) ELSE greatest(-a * x, -a * h) END, 6) AS loss, round(-a * h * p, 6) AS cispo FROM k",
+    "MA02_ppo_clip": "WITH d AS (SELECT sample_id, reward / 100 AS p, exp(reward / 100 - (sample_id % 13) / 10) AS x, reward - 50 AS a FROM fx_rollout), k AS (SELECT *, CASE WHEN x < 0.8 THEN 0.8 WHEN x > 1.3 THEN 1.3 ELSE x END AS h FROM d) SELECT sample_id, round(CASE WHEN a < 0 THEN least(greatest(-a * x, -a * h), -3 * a) ELSE greatest(-a * x, -a * h) END, 6) AS loss, round(-a * h * p, 9) AS cispo FROM k",
     "MA03_value_loss": "WITH d AS (SELECT sample_id, reward AS v, 50.0 + sample_id % 7 AS o, 40.0 + uid % 3 AS t FROM fx_rollout), k AS (SELECT *, least(greatest(v, o - 5), o + 5) AS h FROM d) SELECT sample_id, round(greatest((v - t) ** 2, (h - t) ** 2) / 2, 6) AS loss FROM k",
     "MA04_kl_reward": "SELECT sample_id, round(reward - 0.05 * 1.002 * abs(reward / 100 - (sample_id % 13) / 10), 9) AS r FROM fx_rollout",
     "MA05_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1",

@@ -51,8 +51,9 @@ def accumulated(stream: DataFrame, group: str, score: str, low: float, high: flo
         ranked = numbered(rows.groupBy(group).agg(F.min(order).alias("_at")), ["_at", group], "_rank")
         n = ranked.count() // size
         cut = rows.join(ranked.select(group, "_rank"), group).withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
-        for k in range(n):
-            cut.filter(F.col("batch") == k).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={done + k}")
+        full = cut.filter(F.col("batch") < n).withColumn("batch", (F.col("batch") + done).cast("long"))
+        if n:  # only the batches at hand are written over
+            full.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
         cut.filter(F.col("batch") >= n).drop("batch").write.mode("overwrite").parquet(f"{state}/waiting-{epoch}")
         spark.createDataFrame([(done + n,)], "done long").write.mode("overwrite").parquet(f"{state}/done-{epoch}")
 
