@@ -90,16 +90,27 @@ def first_letter(answer: Column, letters: str = "ABCDE") -> Column:
     return F.when((F.size(tokens(s)) > 10) & (found == ""), "").when(found != "", found).otherwise(choice)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, not at every place that names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def punctuation(text: Column) -> Column:
     """Marks beside a space, and all marks of a text with a comma between digits, go; other marks become spaces. Of the
     periods that no digit follows the first 32 go."""
-    comma = text.rlike(r"\d,\d")
-    out = text
-    for p in PUNCTUATION:
-        beside = text.contains(F.lit(p + " ")) | text.contains(F.lit(" " + p)) | comma
-        out = F.replace(out, F.lit(p), F.when(beside, F.lit("")).otherwise(F.lit(" ")))
-    part = F.split(out, r"\.(?!\d)")
-    return F.when(F.size(part) <= 33, F.array_join(part, "")).otherwise(F.concat(F.array_join(F.slice(part, 1, 33), ""), F.lit("."), F.array_join(F.slice(part, 34, F.size(part)), ".")))
+
+    def marks(t: Column, comma: Column) -> Column:
+        out = t
+        for p in PUNCTUATION:
+            beside = comma | t.contains(F.lit(p + " ")) | t.contains(F.lit(" " + p))
+            out = F.replace(out, F.lit(p), F.when(beside, F.lit("")).otherwise(F.lit(" ")))
+        return out
+
+    def joined(part: Column) -> Column:
+        return F.when(F.size(part) <= 33, F.array_join(part, "")).otherwise(F.concat(F.array_join(F.slice(part, 1, 33), ""), F.lit("."), F.array_join(F.slice(part, 34, F.size(part)), ".")))
+
+    plain = _let(text, lambda t: _let(t.rlike(r"\d,\d"), lambda comma: marks(t, comma)))
+    return _let(F.split(plain, r"\.(?!\d)"), joined)
 
 
 def digits_and_articles(text: Column) -> Column:
