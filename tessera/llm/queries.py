@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, crf, decontam, fim, fst, minhash, raking, styletree, suffix, tokens, warczip
+from . import ann, crf, decontam, fim, fst, minhash, packing, raking, styletree, suffix, tokens, warczip
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_warc_zip": warczip.op9_warc_zip,
     "op10_fst_token_counts": fst.op10_fst_token_counts,
     "op11_fim": fim.op11_fim,
+    "op12_packing": packing.op12_packing,
 }
 ORACLES = {"op9_warc_zip": warczip.OP9_SQL, "op11_fim": fim.OP11_SQL}
