@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, crf, decontam, fim, fst, minhash, packing, raking, styletree, suffix, tokens, warczip
+from . import ann, crf, decontam, fim, fst, minhash, packing, raking, repair, styletree, suffix, tokens, warczip
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_fst_token_counts": fst.op10_fst_token_counts,
     "op11_fim": fim.op11_fim,
     "op12_packing": packing.op12_packing,
+    "op13_repair": repair.op13_repair,
 }
-ORACLES = {"op9_warc_zip": warczip.OP9_SQL, "op11_fim": fim.OP11_SQL}
+ORACLES = {"op9_warc_zip": warczip.OP9_SQL, "op11_fim": fim.OP11_SQL, "op13_repair": repair.OP13_SQL}
