@@ -99,7 +99,7 @@ def phrase_mask_accuracy(text: Column, truth: Column) -> Column:
     return F.when(text.isNull(), 0.0).when(F.greatest(F.size(p), F.size(g)) > 0, _best(p, g, mask_grade))
 
 
-#: One relation of a scene graph as it is written.
+#: Fixed value: the format of one relation of a scene graph.
 TRIPLET = r'\{\s*"subject"\s*:\s*\{\s*"mask_2d"\s*:\s*"[^"]*"\s*,\s*"label"\s*:\s*"[^"]*"\s*\}\s*,\s*"predicate"\s*:\s*"[^"]*"\s*,\s*"object"\s*:\s*\{\s*"mask_2d"\s*:\s*"[^"]*"\s*,\s*"label"\s*:\s*"[^"]*"\s*\}\s*\}'
 _THING = "struct<mask_2d:string,label:string>"
 

@@ -56,29 +56,29 @@ class _Turned:
         return self.key == other.key
 
 
-def least_filled(sizes: Sequence[int], parts: int, equal: bool) -> list[list[int]]:
-    """Indices in their order, each to the part of the least sum, the first of equals. equal: counts come before sums."""
-    extra = sum(sizes) + 1 if equal else 0
-    heap = [(0, j) for j in range(parts)]
+def _dealt(order: Sequence[int], weights: Sequence[int], parts: int, room: int | None = None) -> list[list[int]]:
+    """Indices in the given order, each to the part of the least weight so far (the first of equals) among those that have
+    room; a heap holds the parts that may still take some."""
     out: list[list[int]] = [[] for _ in range(parts)]
-    for i, s in enumerate(sizes):
-        t, j = heapq.heappop(heap)
+    open_parts = [(0, j) for j in range(parts)]
+    for i in order:
+        weight, j = heapq.heappop(open_parts)
         out[j].append(i)
-        heapq.heappush(heap, (t + s + extra, j))
+        if room is None or len(out[j]) < room:
+            heapq.heappush(open_parts, (weight + weights[i], j))
     return out
 
 
+def least_filled(sizes: Sequence[int], parts: int, equal: bool) -> list[list[int]]:
+    """Indices in their order, each to the part of the least sum. equal: counts come before sums."""
+    extra = sum(sizes) + 1 if equal else 0
+    return _dealt(range(len(sizes)), [s + extra for s in sizes], parts)
+
+
 def even_chunks(order: Sequence[int], sizes: Sequence[int], chunks: int) -> list[list[int]]:
-    """Indices of falling size, each to the chunk of the least sum that isn't full; dealt in turn if they don't divide."""
-    if len(order) % chunks:
-        return [list(order[i::chunks]) for i in range(chunks)]
-    most = len(order) // chunks
-    out, total = [[] for _ in range(chunks)], [0.0] * chunks
-    for i in order:
-        j = total.index(min(total))
-        out[j].append(i)
-        total[j] = total[j] + sizes[i] if len(out[j]) < most else float("inf")
-    return out
+    """Indices of falling size in chunks of one length and like sums; dealt in turn if they don't divide."""
+    each, rest = divmod(len(order), chunks)
+    return [list(order[i::chunks]) for i in range(chunks)] if rest else _dealt(order, sizes, chunks, each)
 
 
 def _per_batch(df: DataFrame, batch: str, row_id: str, size: str, cut: Callable[[list[int]], list[list[int]]]) -> DataFrame:
