@@ -5,27 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-PER_BOUND = 32
-
-
-def numbered(df: DataFrame, order: list[str], out: str = "pos", parts: int | None = None) -> DataFrame:
-    """df with each row's position in the order, from 0. The order must tell rows apart; nulls come first.
-
-    Rows fall into ranges between bounds, which are taken from the rows of the least hashes (PER_BOUND for each range), so
-    that a row's range is the same however often the plan is run. A window numbers the rows of a range, and the ranges'
-    counts, a row each, give the offsets: no task sorts the whole table."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*order)
-    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(PER_BOUND * n)
-    every = F.array_sort(F.collect_list("_key"))
-    bounds = sample.agg(F.filter(every, lambda _, i: (i > 0) & (i % PER_BOUND == 0)).alias("_bounds"))
-    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumnRenamed("_part", "_range")
-    offsets = counts.select("_range", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    at = ranged.withColumn(out, F.row_number().over(w) - 1).join(F.broadcast(offsets), F.col("_part") == F.col("_range"))
-    return at.withColumn(out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_range", "_before")
+from .ordered import numbered, numbered_within
 
 
 def total(df: DataFrame) -> DataFrame:
@@ -48,14 +28,14 @@ def block(df: DataFrame, order: list[str], rank: int, size: int) -> DataFrame:
 
 def chunked(df: DataFrame, order: list[str], chunks: int, out: str = "chunk") -> DataFrame:
     """df cut into chunks of one size, an error (when run) if the rows don't divide."""
-    d = numbered(df, order, "_at").crossJoin(F.broadcast(total(df)))
+    d = numbered(df, order, "_at", total="_total")
     even = F.assert_true(F.col("_total") % chunks == 0, f"rows can't be cut into {chunks} equal chunks")
     return d.withColumn(out, F.floor(F.col("_at") / (F.col("_total") / chunks)).cast("int")).filter(even.isNull()).drop("_at", "_total")
 
 
 def spread(df: DataFrame, order: list[str], chunks: int, out: str = "chunk") -> DataFrame:
     """df cut into chunks that differ by one row at most."""
-    return numbered(df, order, "_at").crossJoin(F.broadcast(total(df))).withColumn(out, F.floor(F.col("_at") * chunks / F.col("_total")).cast("int")).drop("_at", "_total")
+    return numbered(df, order, "_at", total="_total").withColumn(out, F.floor(F.col("_at") * chunks / F.col("_total")).cast("int")).drop("_at", "_total")
 
 
 def folded(df: DataFrame, order: list[str], rows: int, value: str) -> DataFrame:
@@ -64,16 +44,17 @@ def folded(df: DataFrame, order: list[str], rows: int, value: str) -> DataFrame:
     return d.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda s: s[value]).alias("values"))
 
 
-def repeated(df: DataFrame, order: list[str], times: int, interleave: bool, out: str = "pos") -> DataFrame:
-    """df `times` over with the copy's number and position: a a b b (interleave) or a b a b."""
-    d = numbered(df, order, "_at").crossJoin(F.broadcast(total(df))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    at = F.col("_at") * times + F.col("copy") if interleave else F.col("copy") * F.col("_total") + F.col("_at")
-    return d.withColumn(out, at.cast("long")).drop("_at", "_total")
+def repeated(df: DataFrame, order: list[str], times: int, interleaved: str | None = None, tiled: str | None = None) -> DataFrame:
+    """df `times` over with the copy's number and, where named, its positions: a a b b (interleaved) and a b a b (tiled). Both
+    come from one numbering."""
+    d = numbered(df, order, "_at", total="_total").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    places = {interleaved: F.col("_at") * times + F.col("copy"), tiled: F.col("copy") * F.col("_total") + F.col("_at")}
+    return d.withColumns({k: x.cast("long") for k, x in places.items() if k}).drop("_at", "_total")
 
 
 def padded(df: DataFrame, order: list[str], divisor: int, out: str = "pos") -> DataFrame:
     """df with rows added from its head, again and again, until the divisor divides; added rows have positions from n on."""
-    d = numbered(df, order, out).crossJoin(F.broadcast(total(df)))
+    d = numbered(df, order, out, total="_total")
     need = F.pmod(-F.col("_total"), F.lit(divisor))
     turns = F.when(need > F.col(out), F.ceil((need - F.col(out)) / F.col("_total"))).otherwise(0).cast("int")
     return d.withColumn("_turn", F.explode(F.sequence(F.lit(0), turns))).withColumn(out, F.col(out) + F.col("_turn") * F.col("_total")).drop("_turn", "_total")
@@ -81,8 +62,7 @@ def padded(df: DataFrame, order: list[str], divisor: int, out: str = "pos") -> D
 
 def round_robin(df: DataFrame, shard: str, order: str, out: str = "pos", size: int | None = None) -> DataFrame:
     """Rows of the shards in turn, each shard's by its order; the first `size` of them."""
-    d = df.withColumn("_place", F.row_number().over(Window.partitionBy(shard).orderBy(order)))
-    d = numbered(d, ["_place", shard], out).drop("_place")
+    d = numbered(numbered_within(df, [shard], [order], "_place"), ["_place", shard], out).drop("_place")
     return d if size is None else d.filter(F.col(out) < size)
 
 
@@ -93,7 +73,7 @@ def inverse(df: DataFrame, index: str, order: list[str]) -> DataFrame:
 
 def tertiles(df: DataFrame, order: list[str], out: str = "tertile", groups: int = 3) -> DataFrame:
     """min(groups - 1, rank * groups // n) by the order."""
-    d = numbered(df, order, "_at").crossJoin(F.broadcast(total(df)))
+    d = numbered(df, order, "_at", total="_total")
     return d.withColumn(out, F.least(F.lit(groups - 1), F.floor(F.col("_at") * groups / F.col("_total"))).cast("int")).drop("_at", "_total")
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+from .report import with_quantiles
+
 
 def violations(rules: Sequence[tuple[str, Column]]) -> Column:
     """Messages of the rules whose condition a row breaks; an unknown (null) condition is broken."""
@@ -92,15 +95,14 @@ def misaligned(df: DataFrame, expected: str) -> DataFrame:
 
 
 def sampled_distances(df: DataFrame, key: str, label: str, vector: str, pairs: int, seed: int = 7) -> DataFrame:
-    """(kind, n, mean, median) of distances within and across labels, over `pairs` partners per row drawn by hash."""
-    from .arrange import numbered, total
-
-    d = numbered(df.select(key, label, vector), [key], "_at")
-    a = d.crossJoin(F.broadcast(total(df))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(pairs)))).withColumn("_o", F.pmod(F.xxhash64("_at", "_k", F.lit(seed)), F.col("_total")))
+    """(kind, n, mean, median) of distances within and across labels, over `pairs` partners per row, drawn by MD5 of the row's
+    position and the draw."""
+    d = numbered(df.select(key, label, vector), [key], "_at", total="_total")
+    a = d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(pairs)))).withColumn("_o", _draw(F.col("_at"), F.col("_k"), seed, F.col("_total")).cast("long"))
     b = d.select(F.col("_at").alias("_o"), F.col(label).alias("_l2"), F.col(vector).alias("_v2"))
     gap = F.sqrt(F.aggregate(F.zip_with(vector, "_v2", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda t, x: t + x))
     j = a.join(b, "_o").filter(F.col("_at") != F.col("_o")).select(F.when(F.col(label) == F.col("_l2"), "within").otherwise("across").alias("kind"), gap.alias("_d"))
-    return j.groupBy("kind").agg(F.count("*").alias("n"), F.avg("_d").alias("mean"), F.median("_d").alias("median"))
+    return with_quantiles(j.groupBy("kind").agg(F.count("*").alias("n"), F.avg("_d").alias("mean")), j, ["kind"], "_d", {"median": 0.5})
 
 
 def _draw(b: Column, j: Column, seed: int, n: Column) -> Column:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, numbered_within
+
 
 def differencing(sizes: Sequence[int], parts: int, equal: bool) -> list[list[int]]:
     """Indices by largest differencing: the two states of the largest spread are merged, largest set onto smallest, until one
@@ -142,30 +144,28 @@ def sampled(df: DataFrame, row_id: str, n: int, seed: int = 7) -> DataFrame:
 
 
 def fraction(df: DataFrame, by: str, row_id: str, rate: float, seed: int = 3) -> DataFrame:
-    """floor(n * rate) rows of each group, those of the least hashes. Counts come from an aggregation; the rank needs the
-    group's ids in order, not its rows."""
-    n = df.groupBy(by).agg(F.count("*").alias("_n")).withColumnRenamed(by, "_by")
-    w = Window.partitionBy(by).orderBy(_hash(F.col(row_id), seed=seed), row_id)
-    ids = df.select(by, row_id).withColumn("_r", F.row_number().over(w)).join(n, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("_r") <= F.floor(F.col("_n") * rate)).select(row_id)
+    """floor(n * rate) rows of each group, those of the least hashes. Counts come from an aggregation, ranks from ranges of the
+    ids in order, so that no task holds a group."""
+    n = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    ranked = numbered_within(df.select(by, row_id, _hash(F.col(row_id), seed=seed).alias("_h")), [by], ["_h", row_id], "_r")
+    ids = ranked.join(n, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("_r") < F.floor(F.col("_n") * rate)).select(row_id)
     return df.join(ids, row_id, "left_semi")
 
 
 def repeats(df: DataFrame, row_id: str, times: float, seed: int = 7) -> DataFrame:
     """(row_id, copy): from 1 on, whole copies of the table and a hashed part of it for the rest; below 1 that part alone."""
     whole, rest = int(times), times - int(times)
-    n = df.agg(F.count("*").alias("_n"))
     copies = df.select(row_id).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else None
-    from .arrange import numbered
-
-    part = numbered(df.select(row_id, _hash(F.col(row_id), seed=seed).alias("_h")), ["_h", row_id], "_at").crossJoin(F.broadcast(n)).filter(F.col("_at") < F.floor(F.col("_n") * rest + 1e-9)).select(row_id, F.lit(whole).alias("copy"))
+    part = numbered(df.select(row_id, _hash(F.col(row_id), seed=seed).alias("_h")), ["_h", row_id], "_at", total="_n").filter(F.col("_at") < F.floor(F.col("_n") * rest + 1e-9)).select(row_id, F.lit(whole).alias("copy"))
     return part if copies is None else copies.union(part)
 
 
 def schedule(df: DataFrame, row_id: str, epochs: int, seed: int = 7) -> DataFrame:
-    """(epoch, id, pos): every id once per epoch, in an order of its own."""
-    d = df.select(row_id).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    w = Window.partitionBy("epoch").orderBy(_hash(F.col("epoch"), F.col(row_id), seed=seed), row_id)
-    return d.select("epoch", F.col(row_id).alias("id"), F.row_number().over(w).alias("pos"))
+    """(epoch, id, pos): every id once per epoch, in an order of its own; positions from 1. An epoch's order is cut into
+    ranges, so that no task holds an epoch."""
+    d = df.select(F.col(row_id).alias("id")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    d = d.withColumn("_h", _hash(F.col("epoch"), F.col("id"), seed=seed))
+    return numbered_within(d, ["epoch"], ["_h", "id"]).select("epoch", "id", (F.col("pos") + 1).alias("pos"))
 
 
 def of_fixed_size(items: Column, k: int, key: Column, seed: int = 7) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def share(hit: str | Column) -> Column:
     """Sum of hits over rows, as a double."""
@@ -83,10 +85,21 @@ def clipped(df: DataFrame, by: str, value: Column, low: float, high: float, vali
 def summary(df: DataFrame, by: Sequence[str], iou: str, inter: str, total: str, pred: str, truth: str) -> DataFrame:
     """n, mean and median overlap (null unless every row has one), micro IoU and Dice of the pixel sums (null for none)."""
     full = F.count(iou) == F.count("*")
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.when(full, F.avg(iou)).alias("mean_iou"), F.when(full, F.median(iou)).alias("median_iou"),
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n"), full.alias("_full"), F.when(full, F.avg(iou)).alias("mean_iou"),
         F.try_divide(F.sum(inter).cast("double"), F.sum(total)).alias("micro_iou"), F.try_divide(2.0 * F.sum(inter), F.sum(pred) + F.sum(truth)).alias("micro_dice"),
     )
+    d = with_quantiles(sums, df, by, iou, {"median_iou": 0.5})
+    return d.select(*by, "n", "mean_iou", F.when(F.col("_full"), F.col("median_iou")).alias("median_iou"), "micro_iou", "micro_dice")
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """groups (a row per key of by) with exact quantiles of df's values as columns."""
+    q = ordered.quantiles(df, by, value, at).select(*(F.col(c).alias(f"_q{k}") for k, c in enumerate(by)), *at)
+    cond = F.lit(True)
+    for k, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_q{k}"))
+    return groups.join(q, cond, "left").drop(*(f"_q{k}" for k in range(len(by))))
 
 
 def flags(df: DataFrame, by: Sequence[str], flagged: dict[str, Column], worst: str) -> DataFrame:
@@ -147,8 +160,9 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), q.alias("_q")).select(*by, "lo", "hi", "mean", *(F.get("_q", i).alias(n) for i, n in enumerate(("q25", "median", "q75"))))
+    """lo, hi, mean, q25, median, q75 of each group's values; the quantiles are exact."""
+    d = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"))
+    return with_quantiles(d, df, by, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}).select(*by, "lo", "hi", "mean", "q25", "median", "q75")
 
 
 def transitions(df: DataFrame, key: str, variant: str, value: str, baseline, other) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, masks, rewards, tagged
-from ..operators import arrange, audit, batch, partition, relate, report
+from ..operators import arrange, audit, batch, ordered, partition, relate, report
 from ..sources.tables import TABLES
 from .fixtures import FX, NEEDS
 
@@ -1274,8 +1274,7 @@ def _(t):
 
 @query("ST06_closest_median")
 def _(t):
-    m = t.fx_rollout.groupBy("source").agg(F.percentile("reward", 0.5).alias("med"))
-    d = t.fx_rollout.join(F.broadcast(m), "source")
+    d = t.fx_rollout.join(ordered.quantiles(t.fx_rollout, ["source"], "reward", {"med": 0.5}), "source")
     return d.groupBy("source").agg(F.min(F.struct(r(F.abs(c("reward") - c("med")), 9).alias("d"), "sample_id")).alias("p")).select("source", "p.sample_id")
 
 
@@ -1325,8 +1324,7 @@ def _(t):
 @query("SE03_repeat")
 def _(t):
     d = t.supplier.select(c("s_suppkey").alias("id"))
-    a, b = arrange.repeated(d, ["id"], 3, True, "interleaved"), arrange.repeated(d, ["id"], 3, False, "tiled")
-    return a.join(b, ["id", "copy"]).select("id", c("copy").alias("k"), "interleaved", "tiled")
+    return arrange.repeated(d, ["id"], 3, "interleaved", "tiled").withColumnRenamed("copy", "k")
 
 
 @query("SE04_pad")
@@ -1451,8 +1449,9 @@ def _(t):
 
 @query("VA11_mask_issues")
 def _(t):
-    ratio = c("pred_px") / 64.0
-    return t.fx_attempt.agg(F.count(F.when(c("pred_px") == 0, 1)).alias("empty"), F.count(F.when(c("pred_px") > 40, 1)).alias("large"), r(F.avg(ratio)).alias("mean_ratio"), r(F.median(ratio)).alias("median_ratio"))
+    d = t.fx_attempt.withColumn("ratio", c("pred_px") / 64.0)
+    n = d.agg(F.count(F.when(c("pred_px") == 0, 1)).alias("empty"), F.count(F.when(c("pred_px") > 40, 1)).alias("large"), F.avg("ratio").alias("mean_ratio"))
+    return rounded(report.with_quantiles(n, d, [], "ratio", {"median_ratio": 0.5}), 6, "mean_ratio", "median_ratio")
 
 
 @query("VA12_distances")

@@ -40,6 +40,7 @@ _IOU3 = "list_transform(p, lambda a: list_transform(g, lambda b: CASE WHEN list_
 _DRAW = "('0x' || substr(md5(b || '-' || j || '-20260916'), 1, 8))::BIGINT"
 
 ORACLES = {
+    "VA12_distances": "WITH d AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS a, count(*) OVER () AS n FROM embeddings), p AS (SELECT d.*, ('0x' || substr(md5(a || '-' || k || '-7'), 1, 8))::BIGINT % n AS o FROM d, range(1, 4) AS q(k)), j AS (SELECT CASE WHEN p.label = e.label THEN 'within' ELSE 'across' END AS kind, sqrt(list_sum(list_transform(list_zip(p.embedding, e.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE))) AS g FROM p JOIN d e ON p.o = e.a WHERE p.a <> p.o) SELECT kind, count(*) AS n, round(avg(g), 6) AS mean, round(median(g), 6) AS median FROM j GROUP BY kind",
     "AG26_router_accuracy": "SELECT split, round((sum(CASE split WHEN 'en' THEN CASE WHEN hit::VARCHAR = l2 THEN 1 ELSE 0 END WHEN 'de' THEN CASE WHEN hit::VARCHAR = l2 THEN 1 ELSE 0 END ELSE 1 - hit END) + 1e-9) / (count(*) + 1e-9), 8) AS acc FROM fx_eval GROUP BY split",
     "AG32_meters": "SELECT chart_type, round(sum(inter_px) / (sum(union_px) + 1e-10), 9) AS ciou, round(avg(CASE WHEN union_px = 0 THEN 1 ELSE inter_px / (union_px + 1e-5) END), 6) AS giou FROM fx_iou GROUP BY chart_type",
     "AG33_no_target": "WITH d AS (SELECT CASE WHEN sample_id % 10 = 0 THEN 0 ELSE pred_px END AS p, CASE WHEN sample_id % 5 = 0 THEN 0 ELSE gt_px END AS g, CASE WHEN sample_id % 5 = 0 THEN 0 ELSE least(inter_px, pred_px) END AS i FROM fx_attempt) SELECT round(avg(CASE WHEN p = 0 THEN 1.0 ELSE 0 END) FILTER (g = 0), 6) AS n_acc, round(avg(CASE WHEN p > 0 THEN 1.0 ELSE 0 END) FILTER (g > 0), 6) AS t_acc, round(avg(CASE WHEN g > 0 THEN i / (p + g - i + 1e-8) WHEN p = 0 THEN 1 ELSE 0 END), 6) AS giou, round(sum(i) / sum(p + g - i), 6) AS ciou FROM d",
