@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, masks, rewards, tagged
-from ..operators import arrange, audit, batch, ordered, partition, relate, report
+from ..operators import arrange, audit, batch, captions, detect, ordered, partition, relate, report
 from ..sources.tables import TABLES
 from .fixtures import FX, NEEDS
 
@@ -1216,6 +1216,54 @@ def _(t):
     return _masks(t).select("id", join(masks.cropped(c("m"), lit(8), lit(2), lit(1), lit(3), lit(2))).alias("crop"), join(F.slice(masks.flipped(c("m"), lit(8)), 1, 8)).alias("flip"))
 
 
+_RANGES = {"all": (0.0, 1e10), "small": (0.0, 30.0), "medium": (30.0, 34.0), "large": (34.0, 1e10)}
+_MOST = (1, 3, 5)
+
+
+def _scene(t) -> tuple[DataFrame, DataFrame]:
+    """Ten vectors an image, two classes: six true masks, one of them a crowd, and ten detections with tied scores, of which
+    those of true masks have more or fewer of their pixels turned."""
+    d = _masks(t).select(F.floor(c("id") / 10).alias("image"), (c("id") % 2).alias("category"), "id", "m")
+    truth = d.filter("id % 10 < 6").select("image", "category", c("id").alias("gt"), c("m").alias("mask"), (c("id") % 10 == 5).alias("crowd"))
+    turned = F.transform("m", lambda v, i: F.when((i * 7 + c("id")) % 16 < c("id") % 4, 1 - v).otherwise(v))
+    return d.select("image", "category", c("id").alias("det"), (c("id") * 37 % 11 / 11.0).alias("score"), turned.alias("mask")), truth
+
+
+@query("GE23_average_precision")
+def _(t):
+    d = detect.average_precision(*_scene(t), ranges=_RANGES, most=_MOST)
+    return rounded(d, 9, "threshold", "ap", *(f"recall_{m}" for m in _MOST))
+
+
+@query("GE23_summary")
+def _(t):
+    return rounded(detect.summary(detect.average_precision(*_scene(t), ranges=_RANGES, most=_MOST), _RANGES, _MOST), 9, "value")
+
+
+def _captions(t) -> DataFrame:
+    """Captions of parts: hypotheses of four forms, some empty, and one or two references."""
+    words = lambda *x: F.split(F.lower(F.concat_ws(" ", *x)), " ")
+    k = c("p_partkey")
+    hyp = F.when(k % 4 == 0, words(lit("a"), "p_name", lit("of type"), "p_type")).when(k % 4 == 1, words(lit("the the"), "p_type", "p_brand", lit("the"), "p_name")).when(k % 4 == 2, words("p_name", lit("by"), "p_brand"))
+    first, second = words(lit("a small"), "p_name", lit("of the type"), "p_type"), words(lit("the"), "p_type", "p_name", lit("by"), "p_brand", lit("of the house"))
+    return t.part.select(k.alias("id"), F.coalesce(hyp, F.array().cast("array<string>")).alias("hypothesis"), F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(second)).alias("references"))
+
+
+@query("GE23_bleu")
+def _(t):
+    return rounded(captions.bleu(_captions(t)), 9, "bleu")
+
+
+@query("GE23_rouge_l")
+def _(t):
+    return rounded(captions.rouge_l(_captions(t)), 9, "rouge_l")
+
+
+@query("GE23_cider")
+def _(t):
+    return rounded(captions.cider(_captions(t)), 6, "cider")
+
+
 @query("GE24_outermost")
 def _(t):
     d = _sets(t).select("id", F.posexplode("p").alias("pos", "m"))

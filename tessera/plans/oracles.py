@@ -39,7 +39,38 @@ _TAG = """tg AS (SELECT id, p_brand, p_type, p_size, CASE WHEN id % 3 = 0 THEN '
 _IOU3 = "list_transform(p, lambda a: list_transform(g, lambda b: CASE WHEN list_sum(a) + list_sum(b) = 0 THEN 0.0 ELSE list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (list_sum(a) + list_sum(b) - list_dot_product(a::DOUBLE[], b::DOUBLE[])) END))"
 _DRAW = "('0x' || substr(md5(b || '-' || j || '-20260916'), 1, 8))::BIGINT"
 
+_LEVELS = "[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.8999999999999999, 0.95]"
+_PICK = "list_max(list_transform(list_filter(range(1, len(x.g) + 1), lambda j: (s.taken[j] = 0 OR x.g[j].crowd) AND x.g[j].u >= threshold AND {} (x.g[j].crowd OR x.g[j].px < lo OR x.g[j].px > hi)), lambda j: {{'u': x.g[j].u, 'j': j}}))"
+#: COCO's evaluation: per image and class a fold over detections by falling score, then windows over the global order.
+_AP = f"""WITH m AS (SELECT vec_id AS id, vec_id // 10 AS image, vec_id % 2 AS category, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS m FROM embeddings),
+tr AS (SELECT image, category, id AS gt, m, id % 10 = 5 AS crowd FROM m WHERE id % 10 < 6),
+de AS (SELECT image, category, id AS det, id * 37 % 11 / 11.0::DOUBLE AS score, list_transform(m, lambda v, i: CASE WHEN ((i - 1) * 7 + id) % 16 < id % 4 THEN 1 - v ELSE v END) AS m FROM m),
+rk AS (SELECT *, list_sum(m) AS px, row_number() OVER (PARTITION BY image, category ORDER BY score DESC, det) - 1 AS rank FROM de),
+ov AS (SELECT r.image, r.category, r.det, list({{'u': CASE WHEN t.crowd THEN list_dot_product(r.m::DOUBLE[], t.m::DOUBLE[]) / r.px ELSE list_dot_product(r.m::DOUBLE[], t.m::DOUBLE[]) / (r.px + list_sum(t.m) - list_dot_product(r.m::DOUBLE[], t.m::DOUBLE[])) END, 'px': list_sum(t.m), 'crowd': t.crowd}} ORDER BY t.gt) AS g FROM rk r JOIN tr t USING (image, category) GROUP BY ALL),
+im AS (SELECT r.image, r.category, list({{'score': score, 'rank': rank, 'px': px, 'g': coalesce(g, [])}} ORDER BY rank) AS d FROM rk r LEFT JOIN ov USING (image, category, det) WHERE rank < 5 GROUP BY ALL),
+sp AS (SELECT * FROM (VALUES ('all', 0.0, 1e10), ('small', 0.0, 30.0), ('medium', 30.0, 34.0), ('large', 34.0, 1e10)) AS v(area, lo, hi)),
+th AS (SELECT unnest({_LEVELS})::DOUBLE AS threshold),
+fo AS (SELECT image, category, area, threshold, d, list_reduce(d, lambda s, x: list_transform([coalesce({_PICK.format("NOT")}.j, {_PICK.format("")}.j, 0)], lambda b: {{'taken': list_transform(s.taken, lambda v, i: CASE WHEN i = b THEN 1 ELSE v END),
+    'codes': list_append(s.codes, CASE WHEN b = 0 THEN CASE WHEN x.px < lo OR x.px > hi THEN 2 ELSE 0 END WHEN x.g[b].crowd OR x.g[b].px < lo OR x.g[b].px > hi THEN 2 ELSE 1 END)}})[1], {{'taken': list_transform(range(coalesce(len(d[1].g), 0)), lambda j: 0), 'codes': []::INT[]}}).codes AS codes FROM im, sp, th),
+un AS (SELECT image, category, area, threshold, d[i].score AS score, d[i].rank AS rank, codes[i] AS code FROM fo, range(1, 6) AS q(i) WHERE i <= len(d)),
+tc AS (SELECT category, area, count(*) FILTER (NOT crowd AND list_sum(m) BETWEEN lo AND hi) AS truths FROM tr, sp GROUP BY ALL),
+ru AS (SELECT *, sum(code) OVER w AS tp, count(*) OVER w AS n FROM un WHERE code < 2 WINDOW w AS (PARTITION BY category, area, threshold ORDER BY score DESC, image, rank ROWS UNBOUNDED PRECEDING)),
+cv AS (SELECT ru.*, truths, tp / truths AS recall, tp / (n + 2.220446049250313e-16) AS prec FROM ru JOIN tc USING (category, area) WHERE truths > 0),
+qs AS (SELECT category, area, threshold, r, max(prec) AS q FROM cv, range(101) AS a(r) WHERE recall >= r * 0.01::DOUBLE GROUP BY ALL),
+aps AS (SELECT category, area, threshold, sum(q) / 101 AS ap FROM qs GROUP BY ALL),
+rc AS (SELECT category, area, threshold, count(*) FILTER (code = 1 AND rank < 1) AS r1, count(*) FILTER (code = 1 AND rank < 3) AS r3, count(*) FILTER (code = 1 AND rank < 5) AS r5 FROM un GROUP BY ALL),
+res AS (SELECT category, area, round(threshold, 9) AS threshold, truths, coalesce(ap, 0) AS ap, coalesce(r1, 0) / truths AS recall_1, coalesce(r3, 0) / truths AS recall_3, coalesce(r5, 0) / truths AS recall_5 FROM tc CROSS JOIN th LEFT JOIN aps USING (category, area, threshold) LEFT JOIN rc USING (category, area, threshold) WHERE truths > 0)"""
+_CAPTIONS = """c AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN string_split(lower('a ' || p_name || ' of type ' || p_type), ' ') WHEN 1 THEN string_split(lower('the the ' || p_type || ' ' || p_brand || ' the ' || p_name), ' ') WHEN 2 THEN string_split(lower(p_name || ' by ' || p_brand), ' ') ELSE [] END AS hyp,
+  CASE WHEN p_partkey % 3 = 0 THEN [string_split(lower('a small ' || p_name || ' of the type ' || p_type), ' '), string_split(lower('the ' || p_type || ' ' || p_name || ' by ' || p_brand || ' of the house'), ' ')] ELSE [string_split(lower('the ' || p_type || ' ' || p_name || ' by ' || p_brand || ' of the house'), ' ')] END AS refs FROM part),
+sd AS (SELECT id, 0 AS side, hyp AS w FROM c UNION ALL SELECT id, i AS side, refs[i] FROM c, range(1, 3) AS q(i) WHERE i <= len(refs)),
+gr AS (SELECT id, side, n, w[i : i + n - 1] AS g, count(*) AS k FROM sd, range(1, 5) AS a(n), range(1, 30) AS b(i) WHERE i + n - 1 <= len(w) GROUP BY ALL)"""
+
 ORACLES = {
+    "GE23_average_precision": f"{_AP} SELECT category, area, threshold, truths, round(ap, 9) AS ap, round(recall_1, 9) AS recall_1, round(recall_3, 9) AS recall_3, round(recall_5, 9) AS recall_5 FROM res",
+    "GE23_summary": f"{_AP} SELECT metric, round(coalesce(value, -1), 9) AS value FROM (SELECT unnest([{{'metric': 'AP', 'value': avg(ap) FILTER (area = 'all')}}, {{'metric': 'AP50', 'value': avg(ap) FILTER (area = 'all' AND threshold = 0.5)}}, {{'metric': 'AP75', 'value': avg(ap) FILTER (area = 'all' AND threshold = 0.75)}}, {{'metric': 'AP_small', 'value': avg(ap) FILTER (area = 'small')}}, {{'metric': 'AP_medium', 'value': avg(ap) FILTER (area = 'medium')}}, {{'metric': 'AP_large', 'value': avg(ap) FILTER (area = 'large')}}, {{'metric': 'AR_1', 'value': avg(recall_1) FILTER (area = 'all')}}, {{'metric': 'AR_3', 'value': avg(recall_3) FILTER (area = 'all')}}, {{'metric': 'AR_5', 'value': avg(recall_5) FILTER (area = 'all')}}, {{'metric': 'AR_small', 'value': avg(recall_5) FILTER (area = 'small')}}, {{'metric': 'AR_medium', 'value': avg(recall_5) FILTER (area = 'medium')}}, {{'metric': 'AR_large', 'value': avg(recall_5) FILTER (area = 'large')}}], recursive := true) FROM res)",
+    "GE23_bleu": f"WITH {_CAPTIONS}, cl AS (SELECT id, n, g, max(k) FILTER (side = 0) AS h, coalesce(max(k) FILTER (side > 0), 0) AS r FROM gr GROUP BY ALL), rt AS (SELECT n, sum(least(h, r)) FILTER (h IS NOT NULL) AS ok FROM cl GROUP BY n), le AS (SELECT sum(len(hyp)) AS t, sum(list_min(list_transform(refs, lambda r: {{'d': abs(len(r) - len(hyp)), 'l': len(r)}})).l) AS r FROM c), gu AS (SELECT n, sum(greatest(len(hyp) - n + 1, 0)) AS gs FROM c, range(1, 5) AS a(n) GROUP BY n), pr AS (SELECT n, exp(sum(ln((ok + 1e-15) / (gs + 1e-9))) OVER (ORDER BY n) / n) AS p FROM rt JOIN gu USING (n)) SELECT n::INT AS n, round(p * CASE WHEN t < r THEN exp(1 - (r + 1e-9) / (t + 1e-15)) ELSE 1 END, 9) AS bleu FROM pr, le",
+    "GE23_rouge_l": f"WITH {_CAPTIONS}, ls AS (SELECT id, len(hyp) AS h, len(refs[i]) AS r, list_reduce(hyp, lambda p, x: list_reduce(range(1, len(refs[i]) + 1), lambda q, j: list_append(q, CASE WHEN refs[i][j] = x THEN p[j] + 1 ELSE greatest(p[j + 1], q[-1]) END), [0::BIGINT]), list_transform(range(0, len(refs[i]) + 1), lambda j: 0::BIGINT))[-1] AS l FROM c, range(1, 3) AS q(i) WHERE i <= len(refs)), b AS (SELECT id, max(CASE WHEN h > 0 THEN l / h ELSE 0 END) AS p, max(l / r) AS r FROM ls GROUP BY id) SELECT id, round(CASE WHEN p > 0 AND r > 0 THEN 2.44 * p * r / (r + 1.44 * p) ELSE 0 END, 9) AS rouge_l FROM b",
+    "GE23_cider": f"WITH {_CAPTIONS}, fr AS (SELECT n, g, count(DISTINCT id) AS f FROM gr WHERE side > 0 GROUP BY ALL), w AS (SELECT gr.*, k * (ln((SELECT count(*) FROM c)::DOUBLE) - ln(greatest(coalesce(f, 0), 1)::DOUBLE)) AS x FROM gr LEFT JOIN fr USING (n, g)), nm AS (SELECT id, side, n, sqrt(sum(x * x)) AS m FROM w GROUP BY ALL), dt AS (SELECT r.id, r.side, r.n, sum(least(h.x, r.x) * r.x) AS d FROM w r JOIN w h ON r.side > 0 AND h.side = 0 AND r.id = h.id AND r.n = h.n AND r.g = h.g GROUP BY ALL), cs AS (SELECT d.id, d.side, sum(CASE WHEN a.m > 0 AND b.m > 0 THEN d / (a.m * b.m) ELSE d END) / 4 AS s FROM dt d JOIN nm a ON a.id = d.id AND a.side = d.side AND a.n = d.n JOIN nm b ON b.id = d.id AND b.side = 0 AND b.n = d.n GROUP BY ALL) SELECT sd.id, round(10 * avg(coalesce(s, 0) * exp(-power(greatest(len(c.hyp) - 1, 0) - greatest(len(sd.w) - 1, 0), 2) / 72)), 6) AS cider FROM sd JOIN c ON c.id = sd.id LEFT JOIN cs ON cs.id = sd.id AND cs.side = sd.side WHERE sd.side > 0 GROUP BY sd.id",
     "VA12_distances": "WITH d AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS a, count(*) OVER () AS n FROM embeddings), p AS (SELECT d.*, ('0x' || substr(md5(a || '-' || k || '-7'), 1, 8))::BIGINT % n AS o FROM d, range(1, 4) AS q(k)), j AS (SELECT CASE WHEN p.label = e.label THEN 'within' ELSE 'across' END AS kind, sqrt(list_sum(list_transform(list_zip(p.embedding, e.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE))) AS g FROM p JOIN d e ON p.o = e.a WHERE p.a <> p.o) SELECT kind, count(*) AS n, round(avg(g), 6) AS mean, round(median(g), 6) AS median FROM j GROUP BY kind",
     "AG26_router_accuracy": "SELECT split, round((sum(CASE split WHEN 'en' THEN CASE WHEN hit::VARCHAR = l2 THEN 1 ELSE 0 END WHEN 'de' THEN CASE WHEN hit::VARCHAR = l2 THEN 1 ELSE 0 END ELSE 1 - hit END) + 1e-9) / (count(*) + 1e-9), 8) AS acc FROM fx_eval GROUP BY split",
     "AG32_meters": "SELECT chart_type, round(sum(inter_px) / (sum(union_px) + 1e-10), 9) AS ciou, round(avg(CASE WHEN union_px = 0 THEN 1 ELSE inter_px / (union_px + 1e-5) END), 6) AS giou FROM fx_iou GROUP BY chart_type",
