@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,13 @@ import pyarrow.compute as pc
 
 from .common import keep_only
 
-#: Characters from here on may be of another class in another version of Unicode: their texts go through the library whole.
+#: Characters from here on may be of another class in another version of Unicode: texts with them go through the library whole.
 BEYOND = "[^\\x00-\\x{24f}]"
+#: Parts that don't stand alone behind a space: empty ones, and those that begin with white space of any engine's kind.
+LEADING = "^(?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}]|\\z)"
 JOINED = 30
+#: Batches are gathered to about this size, so that a part is looked up once for many texts.
+GROUP_BYTES = 5 << 20
 #: Marks a text's first part, which has no space before it, among the keys; no part begins with it (it is beyond U+024F).
 HEAD = "\ue000"
 
@@ -30,37 +35,39 @@ def default_tokenizer() -> str:
 
 
 class _Store:
-    """Ids of keys, one after another in one array that doubles when it is full."""
+    """Known keys as an Arrow array, and their ids one after another in one array that doubles when it is full."""
 
     def __init__(self):
-        self.places: dict[str, int] = {}
+        self.keys = pa.array([], pa.string())
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, n, to = len(self.places), len(keys), self.used + len(ids)
+    def add(self, keys: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n, to = len(self.keys), len(keys), self.used + len(ids)
         while at + n > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while to > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.places.update(zip(keys, range(at, at + n), strict=True))
+        self.keys = pa.concat_arrays([self.keys, keys])
         self.lengths[at : at + n] = lengths
         self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : to] = ids
         self.used = to
 
-    def find(self, keys: list[str]) -> np.ndarray:
-        get = self.places.get
-        return np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """Places of the keys, -1 for those that aren't known; one pass over both, in Arrow."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().astype(np.int64)
 
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the places one after another, length of each)."""
         lengths = self.lengths[places]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(total)], lengths
+        at = np.repeat((self.starts[places] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(total, dtype=np.int32)
+        return self.ids[at], lengths
 
 
 class TextEncoder:
@@ -79,9 +86,9 @@ class TextEncoder:
         self.opens[[i for s, i in names.items() if s.startswith("Ġ")]] = True
         self.cut = re.compile(r" (?=\S)").split
         self.store = _Store()
-        self.fast = True
         probe = pa.array(["It's 12 (odd)  \n\tthings, isn't it?  ", "so it's plain\ntext, as\n\n here: 'tis", " led"])
-        self.fast = self._cut(probe)[0].tolist() == self._whole(probe.to_pylist())[0].tolist()
+        self.fast = True
+        self.fast = self.encode(probe)[0].tolist() == self._whole(probe.to_pylist())[0].tolist()
         self.store = _Store()
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,46 +98,43 @@ class TextEncoder:
     def _learn(self, keys: list[str]) -> None:
         """Encode parts that aren't known: those behind a space joined to longer texts, whose ids fall apart at the tokens that
         begin with a space; first parts, and parts that hold or begin with white space of their own, one by one."""
-        joined = [k for k in keys if k and k[0] != HEAD and not k[0].isspace() and " " not in k]
-        groups = [" " + " ".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
-        ids, _ = self._whole(groups)
+        joined, alone = [], []
+        for k in keys:
+            (joined if k and k[0] != HEAD and not k[0].isspace() and " " not in k else alone).append(k)
+        ids, _ = self._whole([" " + " ".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) == len(joined) and (not len(ids) or starts[0] == 0):
-            self.store.add(joined, ids, np.diff(np.append(starts, len(ids))))
-            keys = list(set(keys).difference(joined))
-        if keys:
-            self.store.add(keys, *self._whole([k[1:] if k[:1] == HEAD else " " + k for k in keys]))
+            self.store.add(pa.array(joined, pa.string()), ids, np.diff(np.append(starts, len(ids))))
+        else:
+            alone = keys
+        if alone:
+            self.store.add(pa.array(alone, pa.string()), *self._whole([k[1:] if k[:1] == HEAD else " " + k for k in alone]))
 
-    def _places(self, keys: list[str]) -> np.ndarray:
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Places of keys that differ from one another; unknown ones are learnt."""
         places = self.store.find(keys)
-        if len(new := np.flatnonzero(places < 0)):
-            missing = [keys[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
+        if (new := places < 0).any():
+            missing = keys.filter(pa.array(new))
+            self._learn(missing.to_pylist())
             places[new] = self.store.find(missing)
         return places
 
-    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids of texts cut in parts. A text's first part stands for itself, the others are behind a space."""
-        uneven = pc.match_substring_regex(texts, " (\\s|\\z)|[\\x1c-\\x1f\\x{85}\\x{a0}]").to_numpy(zero_copy_only=False)
-        if uneven.any():
-            cut = [self.cut(t) if u else t.split(" ") for t, u in zip(texts.to_pylist(), uneven, strict=True)]
-            parts = pa.array(cut, pa.list_(pa.string()))
-        else:
-            parts = pc.split_pattern(texts, " ")
-        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        coded = pc.dictionary_encode(parts.flatten())
-        at = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+    def _gather(self, coded: pa.DictionaryArray, at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts from their parts' places in the dictionary. A text's first part stands for itself, the others are
+        behind a space."""
+        if len(self.store.keys) > self.most:
+            self.store = _Store()
         first = np.zeros(len(at), bool)
         first[offsets[:-1]] = True
-        behind = np.zeros(len(words), bool)  # parts that stand behind a space somewhere
+        behind, ahead = np.zeros(len(coded.dictionary), bool), np.zeros(len(coded.dictionary), bool)
         behind[at[~first]] = True
-        if len(self.store.places) > self.most:
-            self.store = _Store()
-        of_part = np.zeros(len(words), np.int64)
-        of_part[behind] = self._places([w for w, b in zip(words, behind.tolist(), strict=True) if b])
+        ahead[at[first]] = True
+        heads = pc.binary_join_element_wise(HEAD, coded.dictionary.filter(pa.array(ahead)), "")
+        places = self._places(pa.concat_arrays([coded.dictionary.filter(pa.array(behind)), heads]))
+        of_part, of_head = np.zeros(len(behind), np.int64), np.zeros(len(behind), np.int64)
+        of_part[behind], of_head[ahead] = places[: int(behind.sum())], places[int(behind.sum()) :]
         place = of_part[at]
-        place[first] = self._places([HEAD + words[i] for i in at[first].tolist()])
+        place[first] = of_head[at[first]]
         ids, lengths = self.store.take(place)
         return ids, np.add.reduceat(lengths, offsets[:-1])
 
@@ -138,25 +142,39 @@ class TextEncoder:
         """(ids of all texts one after another, number of ids of each) of an array of strings without nulls."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = pc.match_substring_regex(texts, BEYOND)
-        for s in self.special:
-            whole = pc.or_(whole, pc.match_substring(texts, s))
-        whole = whole.to_numpy(zero_copy_only=False)
         if not self.fast:
-            whole = np.ones(len(texts), bool)
-        if not whole.any():
-            return self._cut(texts)
-        slow, slow_n = self._whole(texts.filter(pa.array(whole)).to_pylist())
-        if whole.all():
-            return slow, slow_n
-        ids, n = self._cut(texts.filter(pa.array(~whole)))
+            return self._whole(texts.to_pylist())
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        coded = pc.dictionary_encode(parts.flatten())
+        at = coded.indices.to_numpy().astype(np.int64)
+        whole = pc.match_substring_regex(coded.dictionary, BEYOND).to_numpy(zero_copy_only=False)[at]
+        uneven = pc.match_substring_regex(coded.dictionary, LEADING).to_numpy(zero_copy_only=False)[at]
+        uneven[offsets[:-1]] = False
+        whole, uneven = np.logical_or.reduceat(whole, offsets[:-1]), np.logical_or.reduceat(uneven, offsets[:-1])
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        uneven &= ~whole
+        if not whole.any() and not uneven.any():
+            return self._gather(coded, at, offsets)
+        groups = []
+        for of, how in ((whole, self._whole), (uneven, self._cut_unevenly), (~whole & ~uneven, lambda t: self.encode(pa.array(t, pa.string())))):
+            if of.any():
+                groups.append((of, *how(texts.filter(pa.array(of)).to_pylist())))
         lengths = np.zeros(len(texts), np.int64)
-        lengths[whole], lengths[~whole] = slow_n, n
+        for of, _, n in groups:
+            lengths[of] = n
         out = np.zeros(int(lengths.sum()), np.uint32)
-        of_slow = np.repeat(whole, lengths)
-        out[of_slow], out[~of_slow] = slow, ids
+        for of, ids, _ in groups:
+            out[np.repeat(of, lengths)] = ids
         return out, lengths
 
+    def _cut_unevenly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts where white space follows spaces: cut only at the spaces that none follows."""
+        parts = pa.array([self.cut(t) for t in texts], pa.list_(pa.string()))
+        coded = pc.dictionary_encode(parts.flatten())
+        return self._gather(coded, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         ids, lengths = self.encode(pa.array(texts, pa.string()))
         return np.split(ids, np.cumsum(lengths)[:-1]) if len(texts) else []
@@ -172,6 +190,21 @@ def encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about GROUP_BYTES each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def ended(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with an end id after each text's."""
     return np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, small_batches
-from .encode import default_tokenizer, encoder, ended
+from .encode import default_tokenizer, encoder, ended, gathered
 
 CAPACITY = 2048
 END_ID = 0
@@ -79,9 +79,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches):
             ids, lengths = ended(*enc.encode(b.column("text")), end_id)
             n = -(-lengths // capacity)
             doc = np.repeat(np.arange(len(n)), n)

@@ -2,126 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, AtomicFile, fresh_path, keep_only, lean, materialize, open_range, partitions, small_batches
+from .common import NULL_ID, AtomicFile, fresh_path, lean, materialize, open_range, partitions, small_batches
+from .encode import default_tokenizer, encoder, ended, gathered
 from .simple8b import pack_segment, read_segments
 
 END_ID = 2
 SEGMENT_IDS = 1 << 19
-#: Piece rule of the byte-level pre-tokenizer (fixed value, as in the tokenizer's definition).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class _Memo:
-    """A mapping that forgets: when the young half is full it becomes the old one; what is asked for again stays."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Those of keys that it doesn't know; the others can be read from .young from now on."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        left = []
-        for k in keys.difference(self.young):
-            if (v := self.old.get(k)) is None:
-                left.append(k)
-            else:
-                self.young[k] = v
-        return left
-
-
-class TextEncoder:
-    """ids of whole texts, equal to the library's. The library splits a text into pieces and encodes each alone, so pieces
-    seen before come from a memo and the others are encoded by the library in one batch. A space followed by no white
-    space always starts a piece, so texts of single spaces are first cut at those and the parts have a memo too. Texts
-    with special strings, or with characters whose class depends on the Unicode version (U+0250 and above), go through
-    the library whole."""
-
-    GROUP_CHARS = 1 << 20
-
-    def __init__(self, path: str, memo: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.beyond = re.compile("[^\x00-\u024f]").search
-        self.uneven = re.compile(r" (?:\s|\Z)").search
-        self.split = regex.compile(PIECES).findall
-        self.pieces, self.parts = _Memo(memo), _Memo(memo)
-        self.fast = True
-        probe = ["It's 12 (odd)  \n\tthings, isn't it?  ", "so it's plain\ntext, as\n\n here: 'tis"]
-        self.fast = [x.tolist() for x in self.group(probe)] == [self._whole(t).tolist() for t in probe]
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
-        """ids of lists of pieces, as bytes."""
-        if new := self.pieces.missing(set(chain.from_iterable(texts))):
-            self.pieces.young.update(zip(new, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.pieces.young.__getitem__
-        return (b"".join(map(get, t)) for t in texts)
-
-    def group(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        even, odd = [], []
-        for i, t in enumerate(texts):
-            if not self.fast or any(s in t for s in self.special) or not t.isascii() and self.beyond(t):
-                out[i] = self._whole(t)
-            else:
-                (odd if self.uneven(t) else even).append(i)
-        for i, b in zip(odd, self._encode([self.split(texts[i]) for i in odd]), strict=True):
-            out[i] = np.frombuffer(b, "<u4")
-        cut = [texts[i].split(" ") for i in even]
-        first = self._encode([self.split(c[0]) for c in cut])
-        rest = [c[1:] for c in cut]
-        heads = list(first)
-        if new := self.parts.missing(set(chain.from_iterable(rest))):
-            self.parts.young.update(zip(new, self._encode([self.split(" " + c) for c in new]), strict=True))
-        get = self.parts.young.__getitem__
-        for i, h, r in zip(even, heads, rest, strict=True):
-            out[i] = np.frombuffer(h + b"".join(map(get, r)), "<u4")
-        return out
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < self.GROUP_CHARS):
-                size += len(texts[to])
-                to += 1
-            yield from self.group(texts[at:to])
-            at = to
-
-
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
-def encoder(path: str) -> TextEncoder:
-    keep_only(_ENCODERS)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+FILES = "file long, path string, n_docs long, n_ids long"
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
@@ -138,35 +34,26 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     n = parts or partitions(spark)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, f, file, totals = encoder(path), None, None, [0, 0]
-        held: list[tuple[int, np.ndarray]] = []
-
-        def flush():
-            if held:
-                f.write(pack_segment(np.array([d for d, _ in held], np.int64), np.array([len(x) for _, x in held]), np.concatenate([x for _, x in held])))
-                totals[0] += len(held)
-                totals[1] += sum(len(x) for _, x in held)
-                held.clear()
-
-        waiting = 0
-        for b in batches:
-            for d, x, p in zip(b["doc_id"].tolist(), enc(b["text"].tolist()), b["file"].array, strict=True):
-                if f is None:
-                    file = int(p)
-                    f = AtomicFile(name := f"{out}/ids-{file:06d}.s8b")
-                x = np.append(x, np.uint32(end_id))
-                held.append((d, x))
-                waiting += len(x)
-                if waiting >= SEGMENT_IDS:
-                    flush()
-                    waiting = 0
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, f, totals = encoder(path), None, [0, 0]
+        for b in gathered(batches):
+            if f is None:
+                file = b.column("file")[0].as_py()
+                f = AtomicFile(name := f"{out}/ids-{file:06d}.s8b")
+            ids, lengths = ended(*enc.encode(b.column("text")), end_id)
+            doc_ids, ends = b.column("doc_id").to_numpy(), np.cumsum(lengths)
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(SEGMENT_IDS, ends[-1], SEGMENT_IDS)), len(lengths)))
+            lo = 0
+            for hi in cuts[cuts > 0].tolist():
+                f.write(pack_segment(doc_ids[lo:hi], lengths[lo:hi], ids[ends[lo] - lengths[lo] : ends[hi - 1]]))
+                lo = hi
+            totals[0] += len(lengths)
+            totals[1] += len(ids)
         if f is not None:
-            flush()
             f.commit()
-            yield pd.DataFrame({"file": [file], "path": [name], "n_docs": [totals[0]], "n_ids": [totals[1]]})
+            yield pa.RecordBatch.from_pydict({"file": [file], "path": [name], "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
-    return materialize(ordered.mapInPandas(lean(write), "file long, path string, n_docs long, n_ids long"), "token-files")
+    return materialize(ordered.mapInArrow(lean(write), FILES), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

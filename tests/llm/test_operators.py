@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, crf, decontam, fst, minhash, raking, simple8b, styletree, suffix, tokens, warczip
+from tessera.llm import ann, crf, decontam, encode, fst, minhash, raking, simple8b, styletree, suffix, tokens, warczip
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string"
 
@@ -67,7 +67,7 @@ def odd_texts():
 
 
 def test_encoder_equals_library():
-    e = tokens.TextEncoder(tokens.default_tokenizer(), memo=50)
+    e = encode.TextEncoder(encode.default_tokenizer(), memo=50)
     for x, y in zip(e(odd_texts()), e.tok.encode_batch(odd_texts(), add_special_tokens=False), strict=True):
         assert x.tolist() == y.ids
 
