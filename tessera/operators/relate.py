@@ -134,26 +134,77 @@ def looked_up(df: DataFrame, ids: str, objects: str, out: str = "masks") -> Data
     return df.withColumn(out, found).filter(F.assert_true(F.forall(out, lambda x: x.isNotNull()), "an object is missing").isNull())
 
 
-def near_thumbnails(df: DataFrame, key: str, split: str, pixels: str, most: float) -> DataFrame:
-    """(a, b, distance): pairs of different splits whose mean absolute difference (0 to 1) is at most `most`, a < b. Means
-    differ by no more than that, so rows meet in buckets of their mean, and no pair is lost."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda t, x: t + x) / F.size(pixels) / 255
-    d = df.select(F.col(key).alias("_k"), F.col(split).alias("_s"), F.col(pixels).alias("_p"), F.floor(mean / max(most, 1e-9)).alias("_b"))
-    other = d.withColumn("_b", F.explode(F.array(F.col("_b") - 1, "_b", F.col("_b") + 1))).withColumnsRenamed({"_k": "_k2", "_s": "_s2", "_p": "_p2"})
-    apart = F.aggregate(F.zip_with("_p", "_p2", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x) / F.size("_p") / 255
-    j = d.join(other, "_b").filter((F.col("_k") < F.col("_k2")) & (F.col("_s") != F.col("_s2"))).withColumn("distance", apart)
-    return j.filter(F.col("distance") <= most).select(F.col("_k").alias("a"), F.col("_k2").alias("b"), F.round("distance", 8).alias("distance"))
+def _l1(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def pivots(pixels: Column, n: int) -> list[Column]:
+    """Mean distances (0 to 1) of the pixels from n fixed images: black, then white in every other block of half, a quarter,
+    an eighth... of the pixels."""
+    def apart(k: int) -> Column:
+        white = lambda i: F.floor(i * 2**k / F.size(pixels)) % 2 == 1 if k else F.lit(False)
+        return F.aggregate(F.transform(pixels, lambda x, i: F.abs(x - F.when(white(i), 255.0).otherwise(0.0))), F.lit(0.0), lambda t, x: t + x) / F.size(pixels) / 255
+
+    return [apart(k) for k in range(n)]
+
+
+def thumbnail_candidates(df: DataFrame, key: str, split: str, pixels: str, most: float, n: int = 3) -> DataFrame:
+    """(a, b, left, right): pairs of different splits, a < b, whose distances from each of n pivots are in the same or in
+    neighbouring cells of the width `most`.
+
+    By the triangle inequality two rows at most `most` apart differ by no more than that in their distance from any pivot, so
+    no near pair is lost; each pivot beyond the first tells apart rows that are alike in the ones before. The side that is
+    looked up is copied to the 3^n cells around its own."""
+    width = most * (1 + 1e-9) + 1e-12
+    cells = [F.floor(x / width) for x in pivots(F.col("_p"), n)]
+    d = df.select(F.col(key).alias("_k"), F.col(split).alias("_s"), F.col(pixels).alias("_p")).withColumns({f"_c{k}": x for k, x in enumerate(cells)})
+    other = d.withColumnsRenamed({"_k": "_k2", "_s": "_s2", "_p": "_p2"})
+    for k in range(n):
+        other = other.withColumn(f"_c{k}", F.explode(F.array(F.col(f"_c{k}") - 1, F.col(f"_c{k}"), F.col(f"_c{k}") + 1)))
+    j = d.join(other, [f"_c{k}" for k in range(n)]).filter((F.col("_k") < F.col("_k2")) & (F.col("_s") != F.col("_s2")))
+    return j.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), F.col("_p").alias("left"), F.col("_p2").alias("right"))
+
+
+def near_thumbnails(df: DataFrame, key: str, split: str, pixels: str, most: float, n: int = 3) -> DataFrame:
+    """(a, b, distance): pairs of different splits whose mean absolute difference (0 to 1) is at most `most`, a < b. Candidates
+    come from cells of the distances from n pivots."""
+    j = thumbnail_candidates(df, key, split, pixels, most, n).withColumn("distance", _l1(F.col("left"), F.col("right")) / F.size("left") / 255)
+    return j.filter(F.col("distance") <= most).select("a", "b", F.round("distance", 8).alias("distance"))
+
+
+CODE_BITS = 64
+
+
+def chunks(code: Column, bits: int) -> Column:
+    """A code cut into bits + 1 parts: two codes that differ in at most `bits` places share one of them whole."""
+    cut = [k * CODE_BITS // (bits + 1) for k in range(bits + 2)]
+    return F.array(*(F.shiftrightunsigned(code, lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < CODE_BITS else -1) for lo, hi in zip(cut, cut[1:], strict=False)))
+
+
+def image_candidates(df: DataFrame, key: str = "sample_id", split: str = "split", bits: int = 4, foreground: float = 0.002) -> DataFrame:
+    """Pairs of different splits, a < b, in one bucket of aspects, that share a chunk of their codes and lie in the same or in
+    neighbouring cells of the foreground's share; each pair once, with the columns of both (suffixes 1 and 2).
+
+    Chunks lose no pair within `bits` (multi-index hashing), cells none within `foreground`: both are keys of the join, so a
+    bucket of aspects is never crossed with itself. A pair that shares several chunks counts at the first."""
+    cols = ["aspect", "dhash", "histogram", "edge", "mask", "foreground"]
+    width = foreground * (1 + 1e-9) + 1e-12
+    cell = F.floor(F.col("foreground") / width)
+    own = df.select(F.rint(F.col("aspect") * 20).cast("long").alias("_b"), F.col(key).alias("_id"), F.col(split).alias("_s"), *cols).withColumns({"_chunks": chunks(F.col("dhash"), bits), "_cell": cell})
+    own = own.select("*", F.posexplode("_chunks").alias("_at", "_chunk"))
+    side = lambda k: own.withColumnsRenamed({c: f"{c}{k}" for c in ("_id", "_s", "_chunks", *cols)})
+    other = side(2).withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)))
+    first = F.array_position(F.zip_with("_chunks1", "_chunks2", lambda x, y: x == y), True) == F.col("_at") + 1
+    j = side(1).join(other, ["_b", "_cell", "_at", "_chunk"]).filter((F.col("_id1") < F.col("_id2")) & (F.col("_s1") != F.col("_s2")) & first)
+    return j.select(F.col("_id1").alias("a"), F.col("_id2").alias("b"), *(f"{c}{k}" for c in cols for k in (1, 2)))
 
 
 def near_images(df: DataFrame, key: str = "sample_id", split: str = "split", bits: int = 4, histogram: float = 0.08, edge: float = 0.025, mask: float = 0.01, foreground: float = 0.002) -> DataFrame:
     """(a, b, hamming, histogram_l1, edge_mae, mask_mae): pairs of different splits in one bucket of aspects that pass all
     tests in turn. df has aspect, dhash (long), histogram, edge, mask (arrays of doubles), foreground."""
-    cols = ["aspect", "dhash", "histogram", "edge", "mask", "foreground"]
-    d = df.select(F.rint(F.col("aspect") * 20).cast("long").alias("_b"), F.col(key).alias("a"), F.col(split).alias("s"), *(F.col(c).alias(f"{c}1") for c in cols))
-    o = df.select(F.rint(F.col("aspect") * 20).cast("long").alias("_b"), F.col(key).alias("b"), F.col(split).alias("s2"), *(F.col(c).alias(f"{c}2") for c in cols))
-    gap = lambda c: F.aggregate(F.zip_with(f"{c}1", f"{c}2", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+    gap = lambda c: _l1(F.col(f"{c}1"), F.col(f"{c}2"))
     hamming = F.bit_count(F.col("dhash1").bitwiseXOR(F.col("dhash2"))).cast("int")
-    j = d.join(o, "_b").filter((F.col("a") < F.col("b")) & (F.col("s") != F.col("s2")) & (F.abs(F.col("aspect1") - F.col("aspect2")) <= 0.02) & (hamming <= bits))
+    j = image_candidates(df, key, split, bits, foreground).filter((F.abs(F.col("aspect1") - F.col("aspect2")) <= 0.02) & (hamming <= bits))
     j = j.withColumns({"hamming": hamming, "histogram_l1": gap("histogram") / 3, "edge_mae": gap("edge") / F.size("edge1"), "mask_mae": gap("mask") / F.size("mask1")})
     return j.filter((F.col("histogram_l1") <= histogram) & (F.col("edge_mae") <= edge) & (F.col("mask_mae") <= mask) & (F.abs(F.col("foreground1") - F.col("foreground2")) <= foreground)).select("a", "b", "hamming", "histogram_l1", "edge_mae", "mask_mae")
 

@@ -655,14 +655,21 @@ def _(t):
 
 @query("JN13_near_images")
 def _(t):
-    return relate.near_images(_images(t), bits=14, histogram=0.25, edge=0.25, mask=0.3, foreground=0.5).select("a", "b", "hamming", *(r(x).alias(x) for x in ("histogram_l1", "edge_mae", "mask_mae")))
+    return rounded(relate.near_images(_images(t)), 6, "histogram_l1", "edge_mae", "mask_mae")
 
 
 def _images(t) -> DataFrame:
-    e = c("embedding")
-    part = lambda a, n: F.transform(F.slice(e, a, n), lambda x: F.rint(x * 8).cast("double") / 16)
-    bits = F.aggregate(F.transform(F.slice(e, 1, 20), lambda x: (x > 0).cast("long")), lit(0).cast("long"), lambda a, x: a * 2 + x)
-    return t.embeddings.select(c("vec_id").alias("sample_id"), F.when(c("vec_id") % 3 == 0, "val").otherwise("train").alias("split"), (1 + (c("label") % 4) / 10.0).alias("aspect"), bits.alias("dhash"), part(1, 3).alias("histogram"), part(4, 4).alias("edge"), part(8, 4).alias("mask"), (c("vec_id") % 5 / 10.0).alias("foreground"))
+    """Fingerprints out of vectors; every fifth is a near copy of the one before, with some bits of its code turned and its
+    other parts moved, by steps that lie within the thresholds or beyond them."""
+    e, k = c("e.embedding"), c("vec_id")
+    moved = lambda every, of, step: (F.floor(k / every) % of) * step * (k % 5 == 4).cast("int")
+    part = lambda a, n, by: F.transform(F.slice(e, a, n), lambda x: F.rint(x * 8).cast("double") / 64 + by)
+    turned = F.when(k % 5 == 4, F.floor(k / 5) % 7).otherwise(0)
+    bits = F.transform(e, lambda x, i: (x > 0).cast("int").bitwiseXOR(((i % 9 == 0) & (F.floor(i / 9) < turned)).cast("int")))
+    code = F.aggregate(F.transform(bits, lambda x, i: F.when(x == 1, F.call_function("shiftleft", lit(1).cast("long"), i)).otherwise(0)), lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    of = t.embeddings.select("vec_id", F.when(k % 5 == 4, k - 1).otherwise(k).alias("of"))
+    d = of.join(t.embeddings.select(k.alias("of"), "embedding", "label").alias("e"), "of")
+    return d.select(k.alias("sample_id"), F.when(k % 3 == 0, "val").otherwise("train").alias("split"), (1 + c("of") % 4 / 10.0 + moved(19, 3, 0.008)).alias("aspect"), code.alias("dhash"), part(1, 3, moved(7, 3, 0.05)).alias("histogram"), part(4, 4, moved(11, 4, 0.01)).alias("edge"), part(8, 4, moved(13, 3, 0.006)).alias("mask"), (c("of") % 50 / 100.0 + moved(17, 3, 0.0015)).alias("foreground"))
 
 
 @query("JN14_cross_version")

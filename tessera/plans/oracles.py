@@ -65,7 +65,15 @@ _CAPTIONS = """c AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN stri
 sd AS (SELECT id, 0 AS side, hyp AS w FROM c UNION ALL SELECT id, i AS side, refs[i] FROM c, range(1, 3) AS q(i) WHERE i <= len(refs)),
 gr AS (SELECT id, side, n, w[i : i + n - 1] AS g, count(*) AS k FROM sd, range(1, 5) AS a(n), range(1, 30) AS b(i) WHERE i + n - 1 <= len(w) GROUP BY ALL)"""
 
+_MOVED = "((k // {}) % {}) * {}::DOUBLE * CASE WHEN k % 5 = 4 THEN 1 ELSE 0 END"
+_PART = "list_transform(e[{}:{}], lambda x: round_even(x::DOUBLE * 8, 0) / 64 + {})"
+_GAP = "list_sum(list_transform(list_zip(x.{0}, y.{0}), lambda z: abs(z[1] - z[2])))"
+_IMAGES = f"""b AS (SELECT v.vec_id AS k, s.vec_id AS f, s.embedding AS e FROM embeddings v JOIN embeddings s ON s.vec_id = v.vec_id - CASE WHEN v.vec_id % 5 = 4 THEN 1 ELSE 0 END),
+im AS (SELECT k, k % 3 = 0 AS val, 1 + f % 4 / 10.0::DOUBLE + {_MOVED.format(19, 3, 0.008)} AS aspect, list_transform(e, lambda x, i: (x > 0) <> (k % 5 = 4 AND (i - 1) % 9 = 0 AND (i - 1) // 9 < (k // 5) % 7)) AS bits,
+  {_PART.format(1, 3, _MOVED.format(7, 3, 0.05))} AS hi, {_PART.format(4, 7, _MOVED.format(11, 4, 0.01))} AS ed, {_PART.format(8, 11, _MOVED.format(13, 3, 0.006))} AS ma, f % 50 / 100.0::DOUBLE + {_MOVED.format(17, 3, 0.0015)} AS fg FROM b),
+pr AS (SELECT x.k AS a, y.k AS b, len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) AS hamming, {_GAP.format('hi')} / 3 AS histogram_l1, {_GAP.format('ed')} / 4 AS edge_mae, {_GAP.format('ma')} / 4 AS mask_mae FROM im x JOIN im y ON x.k < y.k AND x.val <> y.val AND round_even(x.aspect * 20, 0) = round_even(y.aspect * 20, 0) AND abs(x.aspect - y.aspect) <= 0.02 AND abs(x.fg - y.fg) <= 0.002)"""
 ORACLES = {
+    "JN13_near_images": f"WITH {_IMAGES} SELECT a, b, hamming, round(histogram_l1, 6) AS histogram_l1, round(edge_mae, 6) AS edge_mae, round(mask_mae, 6) AS mask_mae FROM pr WHERE hamming <= 4 AND histogram_l1 <= 0.08 AND edge_mae <= 0.025 AND mask_mae <= 0.01",
     "GE23_average_precision": f"{_AP} SELECT category, area, threshold, truths, round(ap, 9) AS ap, round(recall_1, 9) AS recall_1, round(recall_3, 9) AS recall_3, round(recall_5, 9) AS recall_5 FROM res",
     "GE23_summary": f"{_AP} SELECT metric, round(coalesce(value, -1), 9) AS value FROM (SELECT unnest([{{'metric': 'AP', 'value': avg(ap) FILTER (area = 'all')}}, {{'metric': 'AP50', 'value': avg(ap) FILTER (area = 'all' AND threshold = 0.5)}}, {{'metric': 'AP75', 'value': avg(ap) FILTER (area = 'all' AND threshold = 0.75)}}, {{'metric': 'AP_small', 'value': avg(ap) FILTER (area = 'small')}}, {{'metric': 'AP_medium', 'value': avg(ap) FILTER (area = 'medium')}}, {{'metric': 'AP_large', 'value': avg(ap) FILTER (area = 'large')}}, {{'metric': 'AR_1', 'value': avg(recall_1) FILTER (area = 'all')}}, {{'metric': 'AR_3', 'value': avg(recall_3) FILTER (area = 'all')}}, {{'metric': 'AR_5', 'value': avg(recall_5) FILTER (area = 'all')}}, {{'metric': 'AR_small', 'value': avg(recall_5) FILTER (area = 'small')}}, {{'metric': 'AR_medium', 'value': avg(recall_5) FILTER (area = 'medium')}}, {{'metric': 'AR_large', 'value': avg(recall_5) FILTER (area = 'large')}}], recursive := true) FROM res)",
     "GE23_bleu": f"WITH {_CAPTIONS}, cl AS (SELECT id, n, g, max(k) FILTER (side = 0) AS h, coalesce(max(k) FILTER (side > 0), 0) AS r FROM gr GROUP BY ALL), rt AS (SELECT n, sum(least(h, r)) FILTER (h IS NOT NULL) AS ok FROM cl GROUP BY n), le AS (SELECT sum(len(hyp)) AS t, sum(list_min(list_transform(refs, lambda r: {{'d': abs(len(r) - len(hyp)), 'l': len(r)}})).l) AS r FROM c), gu AS (SELECT n, sum(greatest(len(hyp) - n + 1, 0)) AS gs FROM c, range(1, 5) AS a(n) GROUP BY n), pr AS (SELECT n, exp(sum(ln((ok + 1e-15) / (gs + 1e-9))) OVER (ORDER BY n) / n) AS p FROM rt JOIN gu USING (n)) SELECT n::INT AS n, round(p * CASE WHEN t < r THEN exp(1 - (r + 1e-9) / (t + 1e-15)) ELSE 1 END, 9) AS bleu FROM pr, le",
