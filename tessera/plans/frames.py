@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, masks, rewards, tagged
+from ..functions import answers, bitmaps, masks, rewards, tagged
 from ..operators import arrange, audit, batch, captions, detect, ordered, partition, relate, report
 from ..sources.tables import TABLES
 from .fixtures import FX, NEEDS
@@ -1283,6 +1283,24 @@ def _(t):
     return _masks(t).select("id", masks.area(masks.filled(F.transform("m", lambda v, i: F.when((i % 8 > 1) & (i < 40), v).otherwise(0)), lit(8))).alias("px"))
 
 
+def _blots(t) -> DataFrame:
+    """Masks with more and with fewer ones than a vector's signs give, so that some hang together and some don't."""
+    m = F.transform("embedding", lambda x, i: F.when(x > c("vec_id") % 5 / 8.0 - 0.3, 1).otherwise(0))
+    return t.embeddings.select(c("vec_id").alias("id"), m.alias("m"))
+
+
+@query("GE25_components")
+def _(t):
+    d = _blots(t).select("id", bitmaps.component_sizes(c("m"), lit(8)).alias("s"))
+    return d.select("id", F.size("s").alias("components"), F.coalesce(F.array_max("s"), lit(0)).alias("largest"))
+
+
+@query("GE25_point_prompts")
+def _(t):
+    d = _blots(t).select("id", F.array_max(bitmaps.inner_distances(c("m"), lit(8))).alias("deepest"), bitmaps.point_prompt(c("m"), lit(8), c("id"), 1.2).alias("p"))
+    return d.select("id", "deepest", "p.y", "p.x")
+
+
 @query("GE26_painted")
 def _(t):
     d = _sets(t).select("id", F.posexplode("p").alias("pos", "m")).withColumn("label", F.element_at(F.array(lit("thing"), lit("ignore"), lit("flag")), c("pos") + 1))
