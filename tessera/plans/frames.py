@@ -1772,6 +1772,28 @@ def _(t):
     return files.load(t.spark, p, schema="s_suppkey long, s_name string")
 
 
+def _recorded(t) -> DataFrame:
+    """Parts as keyed records of JSON, of which every fifth is cut off."""
+    from ..sources import records
+
+    records.register(t.spark)
+    value = F.to_json(F.struct("p_name", "p_size"))
+    d = t.part.select(c("p_partkey").cast("string").alias("key"), F.encode(F.when(c("p_partkey") % 5 == 2, F.left(value, lit(9))).otherwise(value), "UTF-8").alias("value"))
+    p = _written(t, "records", lambda p: d.write.format("keyed_records").mode("append").save(p))
+    return t.spark.read.format("keyed_records").load(p).withColumn("record", F.from_json(F.decode("value", "UTF-8"), "p_name string, p_size int", {"mode": "PERMISSIVE"}))
+
+
+@query("SC07_keyed_record")
+def _(t):
+    """Records of a few keys: the filter goes down to the files' indexes."""
+    return _recorded(t).filter(c("key").isin("3", "7", "12", "77", "1999", "no such key")).select("key", "record.p_name", "record.p_size")
+
+
+@query("SC07_record_scan")
+def _(t):
+    return _recorded(t).select("key", "record.p_name", "record.p_size")
+
+
 @query("SC05_parquet_scan")
 def _(t):
     from ..sources import files

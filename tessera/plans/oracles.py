@@ -73,7 +73,11 @@ im AS (SELECT k, k % 3 = 0 AS val, 1 + f % 4 / 10.0::DOUBLE + {_MOVED.format(19,
   {_PART.format(1, 3, _MOVED.format(7, 3, 0.05))} AS hi, {_PART.format(4, 7, _MOVED.format(11, 4, 0.01))} AS ed, {_PART.format(8, 11, _MOVED.format(13, 3, 0.006))} AS ma, f % 50 / 100.0::DOUBLE + {_MOVED.format(17, 3, 0.0015)} AS fg FROM b),
 pr AS (SELECT x.k AS a, y.k AS b, len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) AS hamming, {_GAP.format('hi')} / 3 AS histogram_l1, {_GAP.format('ed')} / 4 AS edge_mae, {_GAP.format('ma')} / 4 AS mask_mae FROM im x JOIN im y ON x.k < y.k AND x.val <> y.val AND round_even(x.aspect * 20, 0) = round_even(y.aspect * 20, 0) AND abs(x.aspect - y.aspect) <= 0.02 AND abs(x.fg - y.fg) <= 0.002)"""
 _BLOTS = "px AS (SELECT vec_id AS id, i, i // 8 AS y, i % 8 AS x, embedding[i + 1] > vec_id % 5 / 8.0::DOUBLE - 0.3::DOUBLE AS one FROM embeddings, range(64) AS q(i))"
+_RECORD = "SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 5 <> 2 THEN p_name END AS p_name, CASE WHEN p_partkey % 5 <> 2 THEN p_size END AS p_size FROM part"
 ORACLES = {
+    "SC07_keyed_record": f"{_RECORD} WHERE p_partkey IN (3, 7, 12, 77, 1999)",
+    "SC07_record_scan": _RECORD,
+    "SM04_accumulated": "WITH k AS (SELECT user_id FROM events GROUP BY user_id HAVING avg(value) > 20 AND avg(value) < 80), n AS (SELECT count(*) // 5 AS n FROM k) SELECT b AS batch, 5 AS groups FROM n, range(1000) AS q(b) WHERE b < n",
     "GE25_components": f"WITH RECURSIVE {_BLOTS}, on_ AS (SELECT id, i, y, x FROM px WHERE one), r AS (SELECT id, i, i AS l FROM on_ UNION SELECT b.id, b.i, r.l FROM r JOIN on_ a ON a.id = r.id AND a.i = r.i JOIN on_ b ON b.id = a.id AND abs(a.y - b.y) + abs(a.x - b.x) = 1), t AS (SELECT id, i, min(l) AS l FROM r GROUP BY ALL), k AS (SELECT id, l, count(*) AS n FROM t GROUP BY ALL) SELECT e.vec_id AS id, count(l)::INT AS components, coalesce(max(n), 0) AS largest FROM embeddings e LEFT JOIN k ON k.id = e.vec_id GROUP BY e.vec_id",
     "GE25_point_prompts": f"WITH {_BLOTS}, d AS (SELECT a.id, a.i, coalesce(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2), 128)::BIGINT AS d FROM px a LEFT JOIN px b ON a.id = b.id AND NOT b.one GROUP BY a.id, a.i), g AS (SELECT id, max(d) AS deepest, list(i ORDER BY i) FILTER (d > 1.44) AS inside, arg_max(i, d * 100 - i) AS top FROM d GROUP BY id), p AS (SELECT id, deepest, CASE WHEN len(inside) > 0 THEN inside[(('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % len(inside) + 1)::INT] ELSE top END AS i FROM g) SELECT id, deepest, (i // 8)::INT AS y, (i % 8)::INT AS x FROM p",
     "JN13_near_images": f"WITH {_IMAGES} SELECT a, b, hamming, round(histogram_l1, 6) AS histogram_l1, round(edge_mae, 6) AS edge_mae, round(mask_mae, 6) AS mask_mae FROM pr WHERE hamming <= 4 AND histogram_l1 <= 0.08 AND edge_mae <= 0.025 AND mask_mae <= 0.01",

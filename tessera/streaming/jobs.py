@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..operators.arrange import numbered
 
 
 def first_of_each(stream: DataFrame, key: str, event_time: str, delay: str = "1 hour") -> DataFrame:
@@ -34,30 +38,50 @@ def pending(wanted: DataFrame, results: DataFrame, key: str, failed: str) -> Dat
     return wanted.join(results.filter(f"NOT coalesce({failed}, false)").select(key).distinct(), key, "left_anti")
 
 
-def accumulated(stream: DataFrame, group: str, score: str, low: float, high: float, size: int, order: str, path: str, checkpoint: str) -> StreamingQuery:
+class _Accumulator(StatefulProcessor):
+    """Waiting groups of a lane, each under its own key of the state store; the number of batches that are done."""
+
+    def __init__(self, columns: list[str], group: str, score: str, low: float, high: float, size: int, order: str):
+        self.columns, self.group, self.score, self.low, self.high, self.size, self.order = columns, group, score, low, high, size, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "group string", "first binary, rows binary")
+        self.done = handle.getValueState("done", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[self.columns]
+        for name, g in new.groupby(self.group, dropna=False, sort=False):
+            if not self.low < g[self.score].mean() < self.high:
+                continue
+            at = (str(name),)
+            held = pickle.loads(self.waiting.getValue(at)[1]) if self.waiting.containsKey(at) else []
+            held += list(g.itertuples(index=False, name=None))
+            first = min(r[self.columns.index(self.order)] for r in held)
+            self.waiting.updateValue(at, (pickle.dumps(first), pickle.dumps(held)))
+        ranked = sorted((pickle.loads(v[0]), k[0]) for k, v in self.waiting.iterator())
+        done = self.done.get()[0] if self.done.exists() else 0
+        for lo in range(0, len(ranked) - self.size + 1, self.size):
+            for _, name in ranked[lo : lo + self.size]:
+                out = pd.DataFrame(pickle.loads(self.waiting.getValue((name,))[1]), columns=self.columns)
+                self.waiting.removeKey((name,))
+                yield out.assign(lane=key[0], batch=done)
+            done += 1
+        self.done.update((done,))
+
+
+def accumulated(stream: DataFrame, group: str, score: str, low: float, high: float, size: int, order: str, path: str, checkpoint: str, lanes: int = 1) -> StreamingQuery:
     """Batches of rollouts: rows of each micro-batch whose group's mean score is between low and high join those that wait;
-    whenever `size` groups are there, the first of them are written to path/batch=n and the others wait on. What waits, and
-    how many batches there are, are tables beside the checkpoint, named by the epoch, so an epoch that is run again writes
-    the same."""
-    state = f"{checkpoint}-state"
-
-    def step(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        keep = rows.groupBy(group).agg(F.avg(score).alias("_m")).filter((F.col("_m") > low) & (F.col("_m") < high)).select(group)
-        rows, done = rows.join(keep, group, "left_semi"), 0
-        if epoch:
-            rows = spark.read.parquet(f"{state}/waiting-{epoch - 1}").unionByName(rows)
-            done = spark.read.parquet(f"{state}/done-{epoch - 1}").first().done
-        ranked = numbered(rows.groupBy(group).agg(F.min(order).alias("_at")), ["_at", group], "_rank")
-        n = ranked.count() // size
-        cut = rows.join(ranked.select(group, "_rank"), group).withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")
-        full = cut.filter(F.col("batch") < n).withColumn("batch", (F.col("batch") + done).cast("long"))
-        if n:  # only the batches at hand are written over
-            full.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        cut.filter(F.col("batch") >= n).drop("batch").write.mode("overwrite").parquet(f"{state}/waiting-{epoch}")
-        spark.createDataFrame([(done + n,)], "done long").write.mode("overwrite").parquet(f"{state}/done-{epoch}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    whenever `size` groups are there, the first of them (by `order`, then by group) go to path with their lane and batch.
+
+    What waits is state, a key per group, so a micro-batch touches the groups that come and those that go, and a lane holds
+    fewer than `size` waiting groups between micro-batches. Groups are dealt to lanes by hash; each lane fills batches of its
+    own. Needs the RocksDB state store, which this sets."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    made = StructType([*stream.schema.fields, StructField("lane", IntegerType()), StructField("batch", LongType())])
+    lane = F.pmod(F.xxhash64(group), F.lit(lanes)).cast("int")
+    run = _Accumulator(stream.columns, group, score, low, high, size, order)
+    out = stream.withColumn("_lane", lane).groupBy("_lane").transformWithStateInPandas(run, made, "Append", "None")
+    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
 def retried(results: DataFrame, key: str, at: str, failed: str) -> DataFrame:
