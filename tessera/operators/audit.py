@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import numbered
@@ -126,6 +128,54 @@ def paired_bootstrap(df: DataFrame, group: Sequence[str], variant: str, value: s
     return _intervals(df.sparkSession, g, [variant], seed, draws).withColumn("contains_zero", (F.col("lower") <= 0) & (F.col("upper") >= 0))
 
 
+BLOCK = 1 << 14  # 64-bit numbers of the generator that one task makes at a time
+
+
+def _accepted(seed: int, n: int, block: int) -> np.ndarray:
+    """Places below n that a block of NumPy's PCG64 stream gives: its 64-bit numbers are halves, the low one first, each is
+    scaled to a place, and those that would favour some places are passed over. The generator leaps to the block."""
+    g = np.random.PCG64(seed)
+    g.advance(block * BLOCK)
+    half = g.random_raw(BLOCK).view("<u4").astype(np.uint64) * np.uint64(n)
+    return (half >> np.uint64(32))[(half & np.uint64(0xFFFFFFFF)) >= np.uint64((2**32 - n) % n)].astype(np.int64)
+
+
+def numpy_draws(spark: SparkSession, n: int, draws: int, seed: int) -> DataFrame:
+    """(draw, j, place): what default_rng(seed).integers(0, n, size=(draws, n)) holds. Blocks of the stream are made in tasks of
+    their own; how many numbers each passes over tells where the next one's begin."""
+    if n == 1:
+        return spark.range(draws).select(F.col("id").alias("draw"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("place"))
+    blocks = spark.range(-(-draws * n // (2 * BLOCK)) + 1).withColumnRenamed("id", "block")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(n=[len(_accepted(seed, n, k)) for k in b["block"]])
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, before in zip(b["block"], b["before"], strict=True):
+                place = _accepted(seed, n, block)
+                at = before + np.arange(len(place))
+                yield pd.DataFrame({"draw": at // n, "j": at % n, "place": place})[at < draws * n]
+
+    counts = blocks.mapInPandas(count, "block long, n long")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
+    return counts.select("block", before.alias("before")).repartition("block").mapInPandas(make, "draw long, j long, place long")
+
+
+def numpy_bootstrap(df: DataFrame, group: Sequence[str], value: str, seed: int = 20260916, draws: int = 10_000) -> DataFrame:
+    """bootstrap() with the places that NumPy's generator gives for the seed, so that published intervals come out again. The
+    groups, in order of their names, are made one row: they are the units that are drawn, and few."""
+    v = df.groupBy(*group).agg(F.avg(value).alias("_m")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*group, "_m"))), lambda s: s["_m"]).alias("v"))
+    n = df.select(*group).distinct().count()
+    if not n:
+        raise ValueError("no groups to draw from")
+    means = numpy_draws(df.sparkSession, n, draws, seed).crossJoin(F.broadcast(v)).groupBy("draw").agg(F.avg(F.get("v", F.col("place").cast("int"))).alias("_s"), F.first("v").alias("v"))
+    q = F.percentile("_s", F.array(F.lit(0.025), F.lit(0.975)))
+    estimate = F.aggregate("v", F.lit(0.0), lambda t, x: t + x) / F.size("v")
+    return means.agg(F.max(estimate).alias("estimate"), q.alias("_q")).select("estimate", F.get("_q", 0).alias("lower"), F.get("_q", 1).alias("upper"))
+
+
 def _intervals(spark: SparkSession, g: DataFrame, by: list[str], seed: int, draws: int) -> DataFrame:
     n = F.size("v")
     drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get(F.col("v"), _draw(F.col("_b"), j, seed, n)))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Callable, Sequence
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -179,31 +179,34 @@ def of_fixed_size(items: Column, k: int, key: Column, seed: int = 7) -> Column:
 
 def balanced_pairs(rows: DataFrame, strata: Sequence[str], key: str, action: str, difficulty: str, distractors: str, actions: Sequence[str], difficulties: Sequence[str]) -> list[tuple]:
     """A pair of rows from each stratum, stratum by stratum, that keeps the counts of actions and then of difficulties most
-    even; ties by different actions, different difficulties, distance of distractors, ids. The rows are a checked few: the
-    choice carries state from stratum to stratum, so it is made on the driver."""
-    table = rows.select(*strata, key, action, difficulty, distractors).limit(20_001).collect()
-    if len(table) > 20_000:
-        raise ValueError("balanced pairs are chosen among 20,000 rows at most")
-    groups: dict[tuple, list] = {}
-    for r in table:
-        groups.setdefault(tuple(r[s] for s in strata), []).append(r)
+    even; ties by different actions, different difficulties, distance of distractors, ids.
+
+    Rows of a stratum with one action, difficulty and number of distractors are alike but for their ids, so of each such class
+    only the two first ids can be chosen: classes are made by aggregation, and the walk over strata, which carries the counts
+    from one to the next, sees classes and not rows, a stratum at a time."""
+    kind = [*strata, action, difficulty, distractors]
+    first = rows.select(*kind, key).withColumn("_n", F.row_number().over(Window.partitionBy(*kind).orderBy(key))).filter("_n <= 2")
+    classes = first.groupBy(*kind).agg(F.array_sort(F.collect_list(key)).alias("_ids")).orderBy(*kind)
     a, d, out = Counter(), Counter(), []
 
-    def uneven(c: Counter, names: Sequence[str]) -> tuple:
-        v = [c[n] for n in names]
+    def uneven(c: Counter, more: tuple, names: Sequence[str]) -> tuple:
+        v = [c[n] + more.count(n) for n in names]
         return max(v) - min(v), sum((x - sum(v) / len(v)) ** 2 for x in v)
 
-    for g in sorted(groups):
-        def cost(p, a=a, d=d):
-            x, y = p
-            return (*uneven(a + Counter((x[action], y[action])), actions), x[action] == y[action], *uneven(d + Counter((x[difficulty], y[difficulty])), difficulties), x[difficulty] == y[difficulty], -abs(x[distractors] - y[distractors]), x[key], y[key])
-
-        pair = min(combinations(sorted(groups[g], key=lambda r: r[key]), 2), key=cost, default=None)
-        if pair is None:
-            raise ValueError(f"stratum {g} has no pair")
-        a.update(r[action] for r in pair)
-        d.update(r[difficulty] for r in pair)
-        out += [(*g, r[key]) for r in pair]
+    def cost(pair: tuple) -> tuple:
+        (x, i), (y, j) = pair
+        return (*uneven(a, (x[action], y[action]), actions), x[action] == y[action], *uneven(d, (x[difficulty], y[difficulty]), difficulties), x[difficulty] == y[difficulty], -abs(x[distractors] - y[distractors]), i, j)
+
+    for stratum, group in groupby(classes.toLocalIterator(), key=lambda r: tuple(r[s] for s in strata)):
+        group = list(group)
+        pairs = [sorted(((x, x["_ids"][0]), (y, y["_ids"][0])), key=lambda p: p[1]) for x, y in combinations(group, 2)]
+        pairs += [[(x, x["_ids"][0]), (x, x["_ids"][1])] for x in group if len(x["_ids"]) > 1]
+        best = min(pairs, key=cost, default=None)
+        if best is None:
+            raise ValueError(f"stratum {stratum} has no pair")
+        a.update(x[action] for x, _ in best)
+        d.update(x[difficulty] for x, _ in best)
+        out += [(*stratum, i) for _, i in best]
     return out
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, bitmaps, masks, rewards, tagged
+from ..functions import answers, bitmaps, formulas, masks, rewards, tagged
 from ..operators import arrange, audit, batch, captions, detect, ordered, partition, relate, report
 from ..sources.tables import TABLES
 from .fixtures import FX, NEEDS
@@ -889,6 +889,16 @@ def _(t):
     return t.part.select("p_partkey", answers.math_equal(a, b).alias("same"))
 
 
+#: Formulae with the number of the value that each stands for.
+_FORMULAE = (("\\frac{1}{\\sqrt{2}}", 0), ("\\sqrt2/2", 0), ("(x+1)^2", 1), ("x^{2}+2x+1", 1), ("\\sqrt{12}", 2), ("2\\sqrt{3}", 2), ("\\frac{x^2-1}{x-1}", 3), ("1+x", 3), ("0.125", 4), ("2^{-3}", 4), ("\\frac18", 4), ("3x", 5), ("x+x+x", 5), ("no formula!", 6))
+
+
+@query("TX25_formulas")
+def _(t):
+    pick = lambda k: F.element_at(F.array(*(lit(f) for f, _ in _FORMULAE)), (k % len(_FORMULAE) + 1).cast("int"))
+    return t.part.select("p_partkey", formulas.equal(pick(c("p_partkey")), pick(c("p_size"))).alias("same"))
+
+
 # Tagged texts
 def _tagged(t) -> DataFrame:
     k = c("p_partkey")
@@ -1693,9 +1703,10 @@ def _(t):
 
 @query("PA09_balanced_pairs")
 def _(t):
-    rows = t.nation.select(c("n_regionkey").alias("g"), "n_nationkey", F.concat(lit("a"), c("n_nationkey") % 4).alias("action"), F.concat(lit("d"), c("n_nationkey") % 3).alias("difficulty"), (c("n_nationkey") % 5).alias("distractors"))
-    picked = partition.balanced_pairs(rows, ["g"], "n_nationkey", "action", "difficulty", "distractors", ["a0", "a1", "a2", "a3"], ["d0", "d1", "d2"])
-    return t.spark.createDataFrame(picked, "region long, pick long")
+    """Line items by flag, status and ship year; actions, difficulties and distractors out of their keys."""
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("y"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.concat(lit("a"), c("l_partkey") % 4).alias("action"), F.concat(lit("d"), c("l_suppkey") % 3).alias("difficulty"), (c("l_quantity").cast("int") % 5).alias("distractors")).distinct()
+    picked = partition.balanced_pairs(rows, ["l_returnflag", "l_linestatus", "y"], "id", "action", "difficulty", "distractors", ["a0", "a1", "a2", "a3"], ["d0", "d1", "d2"])
+    return t.spark.createDataFrame(picked, "l_returnflag string, l_linestatus string, year int, pick long")
 
 
 @query("PA10_schedule")
@@ -1732,6 +1743,11 @@ def _(t):
     return rounded(audit.bootstrap(t.fx_iou, ["chart_type", "ref_type"], "iou", draws=2000), 6, "estimate", "lower", "upper")
 
 
+@query("BS01_numpy_interval")
+def _(t):
+    return rounded(audit.numpy_bootstrap(t.fx_iou, ["chart_type", "ref_type", "variant"], "iou"), 9, "estimate", "lower", "upper")
+
+
 @query("BS02_paired_bootstrap")
 def _(t):
     return rounded(audit.paired_bootstrap(t.fx_iou, ["chart_type", "ref_type"], "variant", "iou", 1, draws=500), 6, "estimate", "lower", "upper")

@@ -74,7 +74,9 @@ im AS (SELECT k, k % 3 = 0 AS val, 1 + f % 4 / 10.0::DOUBLE + {_MOVED.format(19,
 pr AS (SELECT x.k AS a, y.k AS b, len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) AS hamming, {_GAP.format('hi')} / 3 AS histogram_l1, {_GAP.format('ed')} / 4 AS edge_mae, {_GAP.format('ma')} / 4 AS mask_mae FROM im x JOIN im y ON x.k < y.k AND x.val <> y.val AND round_even(x.aspect * 20, 0) = round_even(y.aspect * 20, 0) AND abs(x.aspect - y.aspect) <= 0.02 AND abs(x.fg - y.fg) <= 0.002)"""
 _BLOTS = "px AS (SELECT vec_id AS id, i, i // 8 AS y, i % 8 AS x, embedding[i + 1] > vec_id % 5 / 8.0::DOUBLE - 0.3::DOUBLE AS one FROM embeddings, range(64) AS q(i))"
 _RECORD = "SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 5 <> 2 THEN p_name END AS p_name, CASE WHEN p_partkey % 5 <> 2 THEN p_size END AS p_size FROM part"
+_VALUES = "[0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5, 5, 6]"
 ORACLES = {
+    "TX25_formulas": f"SELECT p_partkey, {_VALUES}[(p_partkey % 14 + 1)::INT] = {_VALUES}[(p_size % 14 + 1)::INT] AS same FROM part",
     "SC07_keyed_record": f"{_RECORD} WHERE p_partkey IN (3, 7, 12, 77, 1999)",
     "SC07_record_scan": _RECORD,
     "SM04_accumulated": "WITH k AS (SELECT user_id FROM events GROUP BY user_id HAVING avg(value) > 20 AND avg(value) < 80), n AS (SELECT count(*) // 5 AS n FROM k) SELECT b AS batch, 5 AS groups FROM n, range(1000) AS q(b) WHERE b < n",
