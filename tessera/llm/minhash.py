@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the distinct n-word shingles of texts; words are runs of bytes other than white space, A-Z folded."""
 
-    MOST = 250_000
+    MOST = 100_000
 
     def __init__(self, n: int):
         self.n, self.words = n, {}
