@@ -5,9 +5,15 @@ a content node is a text block of a style node. Entropies are taken over a host'
 of their number: of a node's contents and of its presentations (the styles of its children in order). The importance of
 an inner node is composite: with l children styles, (1 - GAMMA^l) of its presentations' entropy and GAMMA^l of its children's
 mean importance, its own text being one of them. A branch goes when its importance and that of all style nodes below it
-are low; a content node, when it is on nearly all pages that have its style node. Elements that declare what they are
-(navigation, footer, form, advert, comment...) go without that, and inside an article only what is all but constant does,
-its headings never.
+are low; a content node, when it is on nearly all pages that have its style node.
+
+What an element says of itself comes before that, in three degrees. Elements that HTML declares (nav, footer, aside, dialog,
+roles, hidden ones) and reader comments go with all they hold. Elements that a form, a header or the words of their class
+and id declare go too, but an article or main in them ends that, unless the page has another one outside. Inside an
+article, words that can also be a subject (menu, legal, share...) count only where links or a few words are all there is. Where
+noise words stand beside other words ("share price"), they are a hint: such branches go at a higher importance, LEAST_HINT,
+if the host has pages enough to tell, and stay otherwise. Inside an article a branch without a hint goes only if it is all
+but constant, its headings never.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from .common import lean, materialize, small_batches
 
 LEAST = 0.35  # importance below which a branch goes
 LEAST_MAIN = 0.1  # the same inside an article, and for content nodes anywhere
+LEAST_HINT = 0.6  # the same for branches whose words hint at noise, wherever they are
+LINKED, FEW_CHARS = 0.5, 80  # share of text in links, and length of text, by which a subject's word in an article counts
 MIN_PAGES, MIN_MAIN = 4, 12  # fewer distinct pages of a host say nothing about a node
 GAMMA = 0.9
 WASTE = 16  # times a page's length that may be read in vain for the ends of quoted attributes
@@ -35,12 +43,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title".split())  # text up to the end tag, or else to the end of the page
 SKIPPED = frozenset("noscript template select svg math iframe object".split())  # with their contents, if they are closed
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form button menu dialog header".split())
+DECLARED_TAGS = frozenset("nav footer aside button menu dialog".split())
+SOFT_TAGS = frozenset("form header".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices gdpr popup modal "
-    "comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription login signup search widget pagination pager toolbar legal copyright".split()
-)
+#: Words of classes and ids: reader comments; noise beside whatever other words; noise only alone or beside neutral words;
+#: of these, subjects that an article may have.
+COMMENT_WORDS = frozenset("comment comments disqus".split())
+STRONG_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter breadcrumb breadcrumbs navbar navigation masthead popup modal".split())
+SUBJECTS = frozenset("menu nav header banner notice notices reply replies respond share sharing social related recommended subscribe subscription login signup search widget legal promotion toolbar".split())
+WEAK_WORDS = SUBJECTS | frozenset("sidebar aside footer pagination pager copyright".split())
+NEUTRAL_WORDS = frozenset("site main page left right top bottom box block wrap wrapper container inner outer section area bar list item items global local primary secondary row col column grid layout module panel link links button buttons icon icons small large mobile desktop content body js".split())
 KEEP_TAGS = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure details".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -56,20 +68,38 @@ _HEADING = frozenset(("header", "hgroup"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)display\s*:\s*none""", re.I)
+
+
 class _Node:
-    __slots__ = ("id", "noise", "main", "low", "tag")
+    """An open element: declared noise (hard, soft), inside an article, in a low branch, in an article that a soft declaration
+    surrounds, and the case (of those that links and length decide) that it belongs to, 0 for none."""
+
+    __slots__ = ("id", "hard", "soft", "main", "low", "rescued", "case", "tag")
 
-    def __init__(self, tag: str, id: int, noise: bool, main: bool, low: bool):
-        self.tag, self.id, self.noise, self.main, self.low = tag, id, noise, main, low
+    def __init__(self, tag: str, id: int, hard: bool, soft: bool, main: bool, low: bool, rescued: bool, case: int):
+        self.tag, self.id, self.hard, self.soft, self.main, self.low, self.rescued, self.case = tag, id, hard, soft, main, low, rescued, case
 
 
 @dataclass
 class Page:
-    blocks: list[tuple[int, bool, bool, bool, str]]  # style node, declared noise, inside an article, in a low branch, text
-    parent: dict[int, tuple[int, int, bool]]  # style node -> its parent, its depth, inside an article; no declared noise
+    blocks: list[tuple[int, bool, bool, bool, str]]  # style node, noise, inside an article, in a low branch, text
+    parent: dict[int, tuple[int, int, bool, bool]]  # style node -> its parent, its depth, inside an article, hinted; no noise
     children: dict[int, list[int]]  # style node -> style nodes of its children in order
 
 
+def declared(words: set[str]) -> tuple[bool, bool, bool, bool]:
+    """(comments, noise, a subject's words alone, hint) by the words of an element's class and id."""
+    if words & COMMENT_WORDS:
+        return True, False, False, False
+    if words & STRONG_WORDS:
+        return False, True, False, False
+    if weak := words & WEAK_WORDS:
+        alone = all(w in WEAK_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words)
+        return False, alone, alone and weak <= SUBJECTS, not alone
+    return False, False, False, False
+
+
 def _hash(*parts: str | bytes) -> int:
     return xxhash.xxh64_intdigest(b"\0".join(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in parts)) - (1 << 63)
 
@@ -95,9 +125,12 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
     is text. Time is linear in the page's length, however broken it is: where quotes that never end have made the reader
     look WASTE times the page ahead, tags end at the next > from there on.
     """
-    root = _Node("", 0, False, False, False)
+    root = _Node("", 0, False, False, False, False, False, 0)
     stack, at_tag = [root], {}  # at_tag: places in the stack by tag
-    page = Page([], {}, {})
+    blocks: list[tuple[_Node, str]] = []
+    styles: list[tuple[_Node, int, int, bool]] = []  # element, its parent's style node, depth, hinted
+    over, chars, linked = [0], [0], [0]  # of each case: the case around it, characters, characters in links
+    in_link = False
     buffer: list[str] = []
     hold = root
     closed: dict[str, dict[int, int]] = {}
@@ -109,7 +142,8 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
         if buffer:
             text = " ".join(htmllib.unescape("".join(buffer)).split())
             if text:
-                page.blocks.append((hold.id, hold.noise, hold.main, hold.low, text))
+                blocks.append((hold, text))
+                chars[hold.case] += len(text)
             buffer.clear()
 
     def pop(to: int):
@@ -130,6 +164,8 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
             lt = n
         if lt > at:
             buffer.append(html[at:lt])
+            if in_link and hold.case:
+                linked[hold.case] += lt - at
         if lt == n:
             break
         mark = html[lt + 1 : lt + 2]
@@ -154,6 +190,8 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
             if tag in INLINE or tag in VOID:
                 if tag == "br":
                     buffer.append(" ")
+                elif tag == "a":
+                    in_link = False
             elif at_tag.get(tag):
                 pop(at_tag[tag][-1])
             continue
@@ -175,6 +213,8 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
                 buffer.append(" ")
             elif tag == "hr":
                 flush()
+            elif tag == "a":
+                in_link = True
             continue
         if tag in ("html", "head", "body"):
             flush()
@@ -190,20 +230,51 @@ def parse(html: str, low: Collection[int] = ()) -> Page:
         attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[3])} if m[3] else {}
         words = set(_WORD.findall(attrs.get("class", ""))) | set(_WORD.findall(attrs.get("id", "")))
         up = stack[-1]
+        keeps = tag in KEEP_TAGS or attrs.get("role") == "main"
+        comments, noise, subject, hint = declared(words) if words and not keeps else (bool(words & COMMENT_WORDS), False, False, False)
+        hard = up.hard or tag in DECLARED_TAGS or attrs.get("role") in NOISE_ROLES or comments or bool(m[3] and _HIDDEN.search(m[3]))
         # the heading of an article belongs to it
-        noise = up.noise or (tag in NOISE_TAGS and not (tag in _HEADING and up.main)) or attrs.get("role") in NOISE_ROLES or (tag not in KEEP_TAGS and bool(words & NOISE_WORDS))
-        main = up.main or tag in KEEP_TAGS or attrs.get("role") == "main"
+        soft = up.soft or tag in SOFT_TAGS and not (tag in _HEADING and up.main)
+        rescued = up.rescued or keeps and not up.main and soft
+        if keeps and not up.main:
+            soft = False
+        case = up.case
+        if noise and subject and up.main and not (hard or soft):
+            over.append(case), chars.append(0), linked.append(0)
+            case = len(over) - 1
+        elif noise:
+            soft = True
         id = _hash(up.id.to_bytes(8, "little", signed=True), tag, " ".join(sorted(attrs.get("class", "").split())), attrs.get("role", ""))
-        hold = _Node(tag, id, noise, main, up.low or id in low)
-        if not noise:
-            if not (main and tag in _HEADINGS):  # an article's headings are its own, however alike
-                page.parent.setdefault(id, (up.id, len(stack), main))
-            page.children.setdefault(up.id, []).append(id)
+        hold = _Node(tag, id, hard, soft, up.main or keeps, up.low or id in low, rescued, case)
+        if not (hard or soft):
+            styles.append((hold, up.id, len(stack), hint))
         at_tag.setdefault(tag, []).append(len(stack))
         stack.append(hold)
     if at <= n:
         buffer.append(whole[n:])
     flush()
+    return _judged(blocks, styles, over, chars, linked)
+
+
+def _judged(blocks: list, styles: list, over: list[int], chars: list[int], linked: list[int]) -> Page:
+    """The page, once all of it is known: which cases are noise, and whether articles in soft noise stay."""
+    for k in range(len(over) - 1, 0, -1):
+        chars[over[k]] += chars[k]
+        linked[over[k]] += linked[k]
+    gone = [False] * len(over)
+    for k in range(1, len(over)):
+        gone[k] = gone[over[k]] or chars[k] < FEW_CHARS or linked[k] >= LINKED * chars[k]
+    sound = lambda x: not (x.hard or x.soft)
+    outside = any(x.main and not x.rescued and sound(x) and not gone[x.case] for x, _ in blocks)
+    if not any(x.main and sound(x) and not gone[x.case] and not (x.rescued and outside) for x, _ in blocks):
+        gone = [False] * len(over)  # an article isn't all noise for its words
+    noise = lambda x: not sound(x) or gone[x.case] or x.rescued and outside
+    page = Page([(x.id, noise(x), x.main, x.low, text) for x, text in blocks], {}, {})
+    for x, parent, depth, hint in styles:
+        if not noise(x):
+            if not (x.main and x.tag in _HEADINGS):  # an article's headings are its own, however alike
+                page.parent.setdefault(x.id, (parent, depth, x.main, hint))
+            page.children.setdefault(parent, []).append(x.id)
     return page
 
 
@@ -215,7 +286,7 @@ def site(url: str | None) -> str:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, html_id, page, node, parent, depth, main, text, content, look): of each page the style nodes that aren't
+    """(host, html_id, page, node, parent, depth, main, hint, text, content, look): of each page the style nodes that aren't
     declared noise (text null) and their content nodes (text: hash of the block). page: hash of the page's texts but for
     declared noise; pages that read alike there are one page, since copies would make any text look like a template."""
 
@@ -229,27 +300,27 @@ def style_rows(pages: DataFrame) -> DataFrame:
                     if not noise:
                         texts.setdefault(node, []).append(text)
                 page = _hash(*(text for _, noise, _, _, text in got.blocks if not noise))
-                for node, (parent, depth, main) in got.parent.items():
+                for node, (parent, depth, main, hint) in got.parent.items():
                     own = texts.get(node)
                     look = got.children.get(node)
-                    rows.append((host, key, page, node, parent, depth, main, None, _hash(*own) if own else None, _hash(*map(str, look)) if look else None))
+                    rows.append((host, key, page, node, parent, depth, main, hint, None, _hash(*own) if own else None, _hash(*map(str, look)) if look else None))
                     if own:
-                        rows += [(host, key, page, node, parent, depth, main, x, None, None) for x in {_hash(t) for t in own}]
-            names = ("host", "html_id", "page", "node", "parent", "depth", "main", "text", "content", "look")
+                        rows += [(host, key, page, node, parent, depth, main, hint, x, None, None) for x in {_hash(t) for t in own}]
+            names = ("host", "html_id", "page", "node", "parent", "depth", "main", "hint", "text", "content", "look")
             columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: () for n in names}
             # a column of numbers and nulls would become one of floats
-            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("text", "content", "look") else list(v) for n, v in columns.items()}).astype({"html_id": "int64", "page": "int64", "node": "int64", "parent": "int64", "depth": "int32", "main": "bool", "host": "object"})
+            yield pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("text", "content", "look") else list(v) for n, v in columns.items()}).astype({"html_id": "int64", "page": "int64", "node": "int64", "parent": "int64", "depth": "int32", "main": "bool", "hint": "bool", "host": "object"})
 
-    return pages.mapInPandas(lean(run), "host string, html_id long, page long, node long, parent long, depth int, main boolean, text long, content long, look long")
+    return pages.mapInPandas(lean(run), "host string, html_id long, page long, node long, parent long, depth int, main boolean, hint boolean, text long, content long, look long")
 
 
 def importance(rows: DataFrame) -> DataFrame:
     """(host, node, n_pages, main, importance, low) of the style nodes on MIN_PAGES distinct pages of a host at least.
 
     Contents and looks are counted in two steps, so that a host of any size needs no task of its own; what a host's tree is
-    made of is a row per style node. A node's kind of low importance is that of its branch: LEAST, or LEAST_MAIN inside an
-    article."""
-    nodes = rows.filter("text is null").select("host", "page", "node", "parent", "depth", "main", "content", "look").distinct()
+    made of is a row per style node. A node's kind of low importance is that of its branch: LEAST, LEAST_MAIN inside an article,
+    or LEAST_HINT where its words hint at noise; a hinted branch goes as a whole."""
+    nodes = rows.filter("text is null").select("host", "page", "node", "parent", "depth", "main", "hint", "content", "look").distinct()
 
     def entropy(col: str) -> DataFrame:
         c = nodes.groupBy("host", "node", col).agg(F.count("*").alias("c"))
@@ -257,20 +328,21 @@ def importance(rows: DataFrame) -> DataFrame:
         h = F.when(F.col("n") > 1, 1 - F.col("s") / F.col("n") / F.log("n")).otherwise(F.lit(1.0))
         return m.select("host", "node", h.alias(f"h_{col}"), (F.col("k") > 0).alias(f"has_{col}"))
 
-    seen = nodes.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("main").alias("main"), F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
+    seen = nodes.groupBy("host", "node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("main").alias("main"), F.max("hint").alias("hint"), F.countDistinct("page").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
     told = seen.join(entropy("content"), ["host", "node"]).join(entropy("look"), ["host", "node"])
 
     def tree(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["depth", "node"], ascending=[False, True])
         below: dict[int, list[tuple[float, int, bool]]] = {}
         out = []
-        for node, parent, main, n, hc, has_text, hl, has_look in b[["node", "parent", "main", "n_pages", "h_content", "has_content", "h_look", "has_look"]].itertuples(index=False, name=None):
+        for node, parent, main, hint, n, hc, has_text, hl, has_look in b[["node", "parent", "main", "hint", "n_pages", "h_content", "has_content", "h_look", "has_look"]].itertuples(index=False, name=None):
             kids = below.get(node, [])
             parts = [(i, m) for i, m, _ in kids] + ([(hc, n)] if has_text else [])
             mean = sum(i * m for i, m in parts) / sum(m for _, m in parts) if parts else 1.0
             share = GAMMA ** len(kids) if has_look else 1.0
             value = (1 - share) * hl + share * mean
-            low = value < (LEAST_MAIN if main else LEAST) and (not main or n >= MIN_MAIN) and all(x for _, _, x in kids) and bool(parts)
+            least = LEAST_HINT if hint else LEAST_MAIN if main else LEAST
+            low = value < least and (hint or not main or n >= MIN_MAIN) and (hint or all(x for _, _, x in kids)) and bool(parts)
             below.setdefault(parent, []).append((value, n, low))
             out.append((b["host"].iat[0], node, n, main, value, low))
         return pd.DataFrame(out, columns=["host", "node", "n_pages", "main", "importance", "low"])
