@@ -2,8 +2,10 @@
 
 Words of the benchmark make up the vocabulary. Passages of the corpus are rows of a TF-IDF matrix over it; a randomised
 SVD, whose products with the matrix are sums over partitions, gives a latent space. Windows of several lengths of every
-document are compared with every item by cosine in that space, and candidates are confirmed: by the longest common
-subsequence of words, or, for paraphrases, by a shorter one together with the item's answer (or its rarest words).
+document are compared with every item by cosine in that space: what is near there, and nothing else, is a candidate (items
+all of whose words are common have no place in the space, their words are counted instead). Candidates are confirmed by
+the longest common subsequence of words, of the item as a whole or clause by clause, so that clauses may have changed places;
+or, for paraphrases, by a shorter one together with the item's answer (or its rarest words) at a higher cosine.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ PASSAGE = 32  # words of a passage in the fit
 STEP = 8  # windows start at multiples of this
 WINDOWS = (16, 48)
 COMMON = 0.03  # a word in more than this share of passages weighs nothing
-COSINE = 0.55
-LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.6
-ENOUGH, RARE = 0.6, 0.7  # shares of an item's distinct words
+COSINE, COSINE_LIKELY = 0.55, 0.65
+LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.55, 0.5
+ENOUGH = 0.5  # share of an item's distinct words that a region holds
+CLAUSE = (6, 16)  # words of a clause: shorter ones join the next, longer ones are cut
+WINDOW_ROWS = 1 << 14  # windows compared with a group of items at a time
 GROUP = 256
 BLOCK_CHARS = 8_000_000  # of benchmark text judged in one pass over the corpus
 MOST_WORDS = 2_000_000  # distinct words of a benchmark
 _WORD = re.compile(r"[^\W_]+").findall
+_STOP = re.compile(r"[.!?;:\n]+").split
 
 
 def words(text: str | None) -> list[str]:
@@ -51,21 +56,24 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _sliding(x: np.ndarray, before: int, width: int) -> np.ndarray:
-    """For each row i the sum of the rows i - before .. i - before + width - 1 (those that there are), none of which is
-    above STEP, in the narrowest integers that hold it."""
-    y = np.zeros((before + len(x) + width, x.shape[1]), np.min_scalar_type(STEP * width))
-    y[before : before + len(x)] = x
-    total, at, have = None, 0, 1
-    while True:
-        if width & have:
-            part = y[at : at + len(x)]
-            total = part.copy() if total is None else total + part
-            at += have
-        if at == width:
-            return total
-        y = y[:-have] + y[have:]
-        have *= 2
+def clauses(text: str | None) -> list[int]:
+    """Numbers of words of a text's clauses, in order: parts between stops, the short ones joined, the long ones cut."""
+    least, most = CLAUSE
+    out: list[int] = []
+    left = 0
+    for part in _STOP((text or "").lower()):
+        left += len(_WORD(part))
+        while left > most:
+            out.append(least * 2 if left >= least * 3 else left)
+            left -= out[-1]
+        if left >= least:
+            out.append(left)
+            left = 0
+    if left and out and left < least:
+        out[-1] += left
+    elif left:
+        out.append(left)
+    return out
 
 
 def _alike(lengths: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
@@ -81,7 +89,7 @@ def _alike(lengths: list[int]) -> list[tuple[int, int, tuple[int, ...]]]:
 
 
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """id, th and ids: each document's words as ids of the vocabulary (at most MOST_WORDS words), 0 for other words."""
+    """id, th and ids: each document's words as ids of the vocabulary, 0 for other words."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,6 +169,7 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
     counts = _collect(_added(table.select("ids").mapInPandas(lean(df_counts), "w long, x binary")), v, 1)[:, 0]
     idf = np.log((counts[0] + 1) / (counts + 1)).clip(0)
     idf[(counts > COMMON * counts[0])] = 0
+    idf[counts == 0] = 0  # what no passage has has no place in the space
     idf[0] = 0
     heavy = idf > 0
     width = min(RANK + OVERSAMPLE, max(1, v - 1))
@@ -189,91 +198,102 @@ def latent_space(table: DataFrame, v: int, seed: int = 5) -> tuple[np.ndarray, n
     return idf, np.linalg.svd(y, full_matrices=False)[0][:, :RANK]
 
 
-def search(table: DataFrame, items: list[tuple[int, list[int], list[int]]], idf: np.ndarray, basis: np.ndarray) -> DataFrame:
-    """(id, th, item_id, score): confirmed items of each document. items: (item_id, words, answer words), as ids."""
+Item = tuple[int, list[int], list[int], list[int]]
+
+
+def confirmed(item: Item, near: list[int], cosine: float) -> float:
+    """Share of the item's words that a region repeats in order, as a whole or clause by clause; 0 if that is too little. An
+    item's answer, or its rarest words, must be there where the share alone isn't sure."""
+    _, want, answer, cut = item
+    here = set(near)
+    own = set(want)
+    if len(own & here) < ENOUGH * len(own):
+        return 0.0
+    share = lcs(want, near) / len(want)
+    if share < LCS_SURE and len(cut) > 1:
+        at, kept = 0, 0
+        for n in cut:
+            kept += lcs(want[at : at + n], near)
+            at += n
+        share = max(share, kept / len(want))
+    likely = share >= LCS_LIKELY and cosine >= COSINE_LIKELY and len(set(answer) & here) >= ANSWER * len(set(answer))
+    return share if share >= LCS_SURE or likely else 0.0
+
+
+def rarest(ids: list[int], idf: np.ndarray) -> list[int]:
+    """The rarest third of an item's words, among those that the corpus has at all: one that is in no passage is in no
+    paraphrase either."""
+    own = sorted(set(ids), key=lambda w: (-idf[w], w))
+    there = [w for w in own if idf[w] > 0]
+    return (there or own)[: max(1, len(own) // 3)]
+
+
+def search(table: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """(id, th, item_id, score): confirmed items of each document. items: (item_id, words, answer words, clauses), words as ids."""
     items = sorted(items, key=lambda x: len(x[1]))
     rows = (basis * idf[:, None]).astype(np.float32)
-    vectors = np.stack([rows[w].sum(0) for _, w, _ in items])
+    vectors = np.stack([rows[x[1]].sum(0) for x in items])
     norms = np.linalg.norm(vectors, axis=1)
-    vectors = vectors / np.where(norms > 0, norms, 1)[:, None]
-    # A confirmed window holds ENOUGH of an item's distinct words, so ENOUGH + RARE - 1 of them are among its rarest RARE
-    need, posting = [], {}
-    for k, (_, w, _) in enumerate(items):
-        own = sorted(set(w), key=lambda x: (-idf[x], x))
-        rare = own[: max(1, int(np.ceil(RARE * len(own))))]
-        need.append(max(1, int(np.ceil(ENOUGH * len(own) - (len(own) - len(rare)) - 1e-9))))
-        for x in rare:
-            posting.setdefault(x, []).append(k)
-    size = np.zeros(len(rows) + 1, dtype=np.int64)
-    for x, ks in posting.items():
-        size[x + 1] = len(ks)
-    offset = np.cumsum(size)
-    flat = np.array([k for x in sorted(posting) for k in posting[x]], dtype=np.int64)
-    shared = table.sparkSession.sparkContext.broadcast((rows, vectors.astype(np.float32), norms == 0, idf > 0, items, np.array(need), offset, flat))
+    vectors = (vectors / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+    shared = table.sparkSession.sparkContext.broadcast((rows, vectors, norms == 0, idf > 0, items))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, vectors, free, heavy, items, need, offset, flat = shared.value
-        groups = _alike([len(w) for _, w, _ in items])
-        sets = [frozenset(w) for _, w, _ in items]
-
-        def rare_words(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(block, item) of each rare word of an item."""
-            hit = np.flatnonzero(offset[ids + 1] > offset[ids])
-            which = np.searchsorted(starts, hit, side="right") - 1
-            n = offset[ids[hit] + 1] - offset[ids[hit]]
-            return np.repeat(which, n), flat[np.repeat(offset[ids[hit]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        rows, vectors, free, heavy, items = shared.value
+        groups = _alike([len(x[1]) for x in items])
+        common = {k: np.isin(np.arange(len(rows)), items[k][1]) for k in np.flatnonzero(free).tolist()}
 
         for b in batches:
             out: dict[tuple[int, int], float] = {}
             texts = list(b["ids"])
-            # a region is a part of its document: only documents that hold enough of some item's rare words go on
             ids, starts, doc = _passages(texts, STEP)
-            which, item_at = rare_words(ids, starts)
-            key, count = np.unique(doc[which] * len(items) + item_at, return_counts=True)
-            some_docs = np.unique(key[count >= need[key % len(items)]] // len(items))
-            ids, starts, doc = _passages([texts[d] for d in some_docs], STEP)
             if len(starts):
-                block = _summed(rows, ids, starts, heavy)
-                total = np.concatenate([np.zeros((1, block.shape[1])), np.cumsum(block, axis=0, dtype=np.float64)])
+                ends = np.append(starts[1:], len(ids))
                 last = np.searchsorted(doc, doc, side="right")  # one past the document's last block
                 begin = np.searchsorted(doc, doc)
-                which, item_at = rare_words(ids, starts)
-                ends = np.append(starts, len(ids))
+
+                def judge(a: int, z: int, k: int, cosine: float) -> None:
+                    """The region of the blocks a to z, and half the item's length on either side of it, within the document."""
+                    d = int(doc[a])
+                    if out.get((d, k), 0) >= LCS_SURE:
+                        return
+                    half = -(-len(items[k][1]) // 2)
+                    lo, hi = max(starts[begin[a]], starts[a] - half), min(ends[last[a] - 1], ends[z - 1] + half)
+                    if score := confirmed(items[k], ids[lo:hi].tolist(), cosine):
+                        out[d, k] = max(score, out.get((d, k), 0))
+
+                some = np.flatnonzero(np.bincount(np.searchsorted(starts, np.flatnonzero(heavy[ids]), side="right") - 1, minlength=len(starts)))
+                block = _summed(rows, ids, starts, heavy)
+                total = np.concatenate([np.zeros((1, block.shape[1])), np.cumsum(block, axis=0, dtype=np.float64)])
+                weighty = np.zeros(len(starts) + 1, np.int64)
+                weighty[some + 1] = 1
+                weighty = np.cumsum(weighty)
+                del block
                 for g, end, windows in groups:
-                    m = (item_at >= g) & (item_at < end)
-                    if not m.any():
+                    if free[g:end].all():
                         continue
-                    rare = np.zeros((len(starts), end - g), np.uint8)  # at most STEP: each of a block's words counts once
-                    np.add.at(rare, (which[m], item_at[m] - g), 1)
-                    longest = -(-len(items[end - 1][1]) // 2 // STEP)  # blocks of half the group's longest item
                     for size in windows:
-                        at = np.arange(0, len(starts))
+                        at = np.arange(len(starts))
                         at = at[(at - begin) % (size // 2 // STEP) == 0]
                         to = np.minimum(at + size // STEP, last[at])
-                        # of a region around the window; a neighbouring document's words can only add to it
-                        region = _sliding(rare, longest, size // STEP + 2 * longest)
-                        enough = region[at] >= need[g:end].astype(region.dtype)
-                        some = np.flatnonzero(enough.any(axis=1))
-                        at, to = at[some], to[some]
-                        x = (total[to] - total[at]).astype(np.float32)
-                        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        ok = ((x @ vectors[g:end].T >= COSINE) | free[g:end]) & enough[some]
-                        for r, k in zip(*np.nonzero(ok), strict=True):
-                            k = k + g
-                            a, z, d = at[r], to[r], doc[at[r]]
-                            if out.get((d, k), 0) >= LCS_SURE:
-                                continue
-                            item, want, answer = items[k]
-                            first = starts[begin[a]]
-                            half = -(-len(want) // 2)
-                            lo, hi = max(first, starts[a] - half), min(ends[last[a]], ends[z] + half)
-                            near = ids[lo:hi].tolist()
-                            if len(sets[k].intersection(near)) < ENOUGH * len(sets[k]):
-                                continue
-                            share = lcs(want, near) / len(want)
-                            if share >= LCS_SURE or share >= LCS_LIKELY and len(set(answer).intersection(near)) >= ANSWER * len(set(answer)):
-                                out[d, k] = max(share, out.get((d, k), 0))
-            own, th = b["id"].to_numpy()[some_docs].tolist(), b["th"].to_numpy()[some_docs].tolist()
+                        kept = weighty[to] > weighty[at]  # without a word that weighs, a window has no place in the space
+                        at, to = at[kept], to[kept]
+                        for lo in range(0, len(at), WINDOW_ROWS):
+                            a, z = at[lo : lo + WINDOW_ROWS], to[lo : lo + WINDOW_ROWS]
+                            x = (total[z] - total[a]).astype(np.float32)
+                            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                            near = x @ vectors[g:end].T
+                            for r, k in zip(*np.nonzero(near >= COSINE), strict=True):
+                                judge(int(a[r]), int(z[r]), int(k) + g, float(near[r, k]))
+                for k, own in common.items():
+                    n = np.concatenate([[0], np.cumsum(np.add.reduceat(own[ids].astype(np.int64), starts))])
+                    width = -(-len(items[k][1]) // STEP) + 1
+                    a = np.arange(len(starts))
+                    z = np.minimum(a + width, last)
+                    beside = -(-len(items[k][1]) // 2 // STEP) + 1
+                    lo, hi = np.maximum(a - beside, begin), np.minimum(z + beside, last)
+                    for r in np.flatnonzero(n[hi] - n[lo] >= np.ceil(ENOUGH * len(set(items[k][1])))).tolist():
+                        judge(r, int(z[r]), k, 1.0)
+            own, th = b["id"].tolist(), b["th"].tolist()
             yield pd.DataFrame([(own[d], th[d], items[k][0], s) for (d, k), s in out.items()], columns=["id", "th", "item_id", "score"]).astype({"id": "int64", "th": "int64", "item_id": "int64", "score": "float64"})
 
     return table.mapInPandas(lean(run), "id long, th long, item_id long, score double")
@@ -290,14 +310,27 @@ def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str, answe
     small_batches(spark)
     src = docs.select(*_key(docs), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer")).filter("item_id is not null and text is not null")
+    found = _found(src, bench, 0)
+    if found is None:
+        return spark.createDataFrame([], "id long, th long, item_id long, score double")
+    return materialize(found, "hits").groupBy("id", "th", "item_id").agg(F.max("score").alias("score"))
+
+
+def _found(src: DataFrame, bench: DataFrame, depth: int) -> DataFrame | None:
+    """Hits of the texts. A benchmark of over MOST_WORDS distinct words, which every worker holds, is halved by its items'
+    hashes, again and again; each part has a space of its own and is searched in passes of its own."""
     vocabulary: dict[str, int] = {}
+    n = 0
     for r in bench.toLocalIterator():
+        n += 1
         for w in (*words(r.text), *words(r.answer)):
             vocabulary.setdefault(w, len(vocabulary) + 1)
-        if len(vocabulary) > MOST_WORDS:
-            raise ValueError(f"the benchmark has over {MOST_WORDS} distinct words, which every worker would hold: give it in parts")
+        if len(vocabulary) > MOST_WORDS and n > 1 and depth < 60:
+            half = F.shiftright(F.xxhash64("text", "item_id"), depth).bitwiseAND(1)
+            parts = [x for x in (_found(src, bench.filter(half == k), depth + 1) for k in (0, 1)) if x is not None]
+            return parts[0].union(parts[1]) if len(parts) == 2 else parts[0] if parts else None
     if not vocabulary:
-        return spark.createDataFrame([], "id long, th long, item_id long, score double")
+        return None
     vocabulary = {w: i for i, w in enumerate(sorted(vocabulary), 1)}
     table = materialize(numbered(src, vocabulary), "numbered")
     idf, basis = latent_space(table, len(vocabulary) + 1)
@@ -307,12 +340,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text: str, answe
         items = []
         for r in sorted(bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()):
             if ids := [vocabulary[w] for w in words(r.text)]:
-                rare = sorted(set(ids), key=lambda w: (-idf[w], w))
-                items.append((r.item_id, ids, [vocabulary[w] for w in words(r.answer)] or rare[: max(1, len(rare) // 3)]))
+                items.append((r.item_id, ids, [vocabulary[w] for w in words(r.answer)] or rarest(ids, idf), clauses(r.text)))
         if items:
             hits = search(table, items, idf, basis)
             found = hits if found is None else found.union(hits)
-    return materialize(found, "hits").groupBy("id", "th", "item_id").agg(F.max("score").alias("score"))
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text: str = "text", answer: str | None = None) -> DataFrame:
@@ -324,7 +356,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     document of that id, rows repeated under one id count as one. Other columns are not read. The latent space is fitted
     once over the whole benchmark, whose words (MOST_WORDS distinct ones at most, else a ValueError) every worker holds;
     items of over BLOCK_CHARS characters together are searched in blocks, each by a pass over the numbered corpus, with the
-    same result. Without an answer column the answer is the rarest third of the item's words. An empty table on either side
+    same result. Without an answer column the answer is the rarest third of the item's words that the corpus has. An empty table on either side
     gives no row.
     """
     hits = _hits(docs, benchmark, item_col, text, answer)
