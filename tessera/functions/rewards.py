@@ -97,9 +97,12 @@ def clipped_objective(log_p: Column, log_old: Column, advantage: Column, low: fl
     return F.when(advantage < 0, F.least(worse, -advantage * dual)).otherwise(worse)
 
 
-def sequence_ratio(df: DataFrame, by: str, log_p: str, log_old: str, mask: str) -> DataFrame:
-    """(by, ratio): the geometric mean of the tokens' ratios under the mask."""
-    return df.groupBy(by).agg(F.exp(masked_mean(F.col(log_p) - F.col(log_old), F.col(mask))).alias("ratio"))
+def sequence_objective(df: DataFrame, by: str, log_p: str, log_old: str, advantage: str, mask: str, low: float = 0.2, high: float = 0.3, dual: float = 3.0) -> DataFrame:
+    """df with `loss`: clipped_objective() with one ratio a sequence (by), the geometric mean of its tokens' ratios under the
+    mask, at every token that the mask holds (1 elsewhere)."""
+    seq = df.groupBy(F.col(by).alias("_by")).agg(masked_mean(F.col(log_p) - F.col(log_old), F.col(mask)).alias("_mean"))
+    ratio = F.col("_mean") * F.col(mask)
+    return df.join(seq, F.col(by).eqNullSafe(F.col("_by"))).withColumn("loss", clipped_objective(ratio, F.lit(0.0), F.col(advantage), low, high, dual)).drop("_by", "_mean")
 
 
 def value_loss(value: Column, old: Column, target: Column, clip: float) -> Column:

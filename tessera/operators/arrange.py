@@ -116,13 +116,13 @@ def circular_valid(df: DataFrame, base: str, k: str, order: str, options: int =
 
 
 def refetched(df: DataFrame, ok: Column, order: list[str], seed: int = 7, tries: int = 5) -> DataFrame:
-    """df where each row that isn't ok is replaced by a good one, picked by a hash of its position and the try; after
-    `tries` picks that aren't good it is left out. Columns of the position come from the replaced row."""
-    d = numbered(df, order, "_at").withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    n = total(df)
-    bad = d.filter(~F.col("_ok")).select("_at").crossJoin(F.broadcast(n)).withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    bad = bad.withColumn("_pick", F.pmod(F.xxhash64("_at", "_try", F.lit(seed)), F.col("_total")))
-    good = d.filter("_ok").drop("_ok").withColumnRenamed("_at", "_pick")
-    first = bad.join(good.select("_pick"), "_pick").groupBy("_at").agg(F.min_by("_pick", "_try").alias("_pick"))
-    out = d.filter("_ok").drop("_ok").unionByName(first.join(good, "_pick").drop("_pick"))
-    return out.withColumnRenamed("_at", "pos")
+    """df where each row that isn't ok is replaced by a good one, picked by MD5 of its position, the try and the seed; after
+    `tries` picks that aren't good it is left out. `pos` is the position of the replaced row, `picked` that of what it has."""
+    d = numbered(df, order, "_at", total="_total").withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    bad = d.filter(~F.col("_ok")).select("_at", "_total").withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("-", "_at", "_try", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    bad = bad.select("_at", "_try", (draw % F.col("_total")).alias("picked"))
+    good = d.filter("_ok").drop("_ok", "_total").withColumnRenamed("_at", "picked")
+    first = bad.join(good.select("picked"), "picked").groupBy("_at").agg(F.min_by("picked", "_try").alias("picked"))
+    own = d.filter("_ok").drop("_ok", "_total").withColumn("picked", F.col("_at"))
+    return own.unionByName(first.join(good, "picked")).withColumnRenamed("_at", "pos")

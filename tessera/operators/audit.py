@@ -66,6 +66,59 @@ def duplicate_members(df: DataFrame, digest: Column, key: str) -> DataFrame:
     return d.join(first, "digest").select("digest", "first_id", F.col(key).alias("member"))
 
 
+#: Reasons for which nothing ran, and how others of that kind begin.
+RUNTIME_FAILURES = ("model_load_failed", "model_inference_failed")
+RUNTIME_PREFIXES = ("backend_exception:", "not_run_after_")
+
+
+def outcomes(returned: Column, reason: Column, valid: Column, predicted: Column, inter: Column) -> dict[str, Column]:
+    """Flags of an attempt that don't exclude one another: whether it ran, its mask is valid, predicts anything, or nothing,
+    or what is wanted. A reason may tell of a valid empty outcome, so it is no failure by itself."""
+    r = F.coalesce(reason, F.lit(""))
+    failed = ~returned | r.isin(*RUNTIME_FAILURES) | r.startswith(RUNTIME_PREFIXES[0]) | r.startswith(RUNTIME_PREFIXES[1])
+    some = valid & (predicted > 0)
+    return {"execution_success": ~failed, "mask_contract_valid": valid, "nonempty_prediction": some, "empty_prediction": ~some, "overlapping_prediction": valid & (inter > 0)}
+
+
+def contract(df: DataFrame, levels: Sequence[Sequence[str]], expected: DataFrame) -> DataFrame:
+    """(level, key, expected, n, ok): rows of every key of every level (columns joined by /) beside what expected says of it
+    (level, key, expected): keys that aren't there count 0, keys that nothing is said of are expected 0 times."""
+    each = F.array(*(F.struct(F.lit("/".join(x)).alias("level"), F.concat_ws("/", *(F.col(c).cast("string") for c in x)).alias("key")) for x in levels))
+    n = df.select(F.explode(each).alias("l")).groupBy("l.level", "l.key").agg(F.count("*").alias("n"))
+    j = expected.join(n, ["level", "key"], "full_outer")
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    return j.select("level", "key", zero("expected"), zero("n")).withColumn("ok", F.col("expected") == F.col("n"))
+
+
+def uncovered(df: DataFrame, by: Sequence[str], value: str, wanted: Sequence) -> DataFrame:
+    """(by..., missing, foreign): groups in which a wanted value is missing, or another one occurs."""
+    want = F.array(*map(F.lit, wanted))
+    d = df.groupBy(*by).agg(F.collect_set(value).alias("_v"))
+    return d.select(*by, F.array_sort(F.array_except(want, "_v")).alias("missing"), F.array_sort(F.array_except("_v", want)).alias("foreign")).filter((F.size("missing") > 0) | (F.size("foreign") > 0))
+
+
+def schema_violations(json: Column, types: dict[str, str], required: Sequence[str], parameters: dict[str, dict[str, str]], action: str = "action", nested: str = "parameters") -> Column:
+    """Messages on a record written as a JSON object: fields that are missing, unknown or not of their exact type (string,
+    integer, number, boolean, object), and the same of the parameters that its action asks for."""
+
+    value = F.try_parse_json(json)
+
+    def kind(path: str) -> Column:
+        t = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+        return F.when(t == "BIGINT", "integer").when(t.rlike("^(DECIMAL|DOUBLE)"), "number").when(t.startswith("OBJECT"), "object").otherwise(F.lower(t))
+
+    keys = F.json_object_keys(json)
+    inner = F.coalesce(F.json_object_keys(F.get_json_object(json, f"$.{nested}")), F.array().cast("array<string>"))
+    fits = lambda path, t: (kind(path) == t) | ((kind(path) == "integer") & (t == "number"))
+    out = [F.transform(F.array_except(F.array(*map(F.lit, required)), keys), lambda x: F.concat(x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, types)))), lambda x: F.concat(x, F.lit(": unknown")))]
+    out.append(F.array_compact(F.array(*(F.when(F.array_contains(keys, f) & ~fits(f"$.{f}", t), F.lit(f"{f}: not {t}")) for f, t in types.items()))))
+    for a, wanted in parameters.items():
+        names = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+        odd = F.concat(F.transform(F.array_except(names, inner), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(inner, names)), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": unknown"))), F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.array_contains(inner, f) & ~fits(f"$.{nested}.{f}", t), F.lit(f"{nested}.{f}: not {t}")) for f, t in wanted.items()))))
+        out.append(F.when(F.get_json_object(json, f"$.{action}") == a, odd).otherwise(F.array().cast("array<string>")))
+    return F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(*out))
+
+
 def varied_keys(df: DataFrame, key: Sequence[str | Column], *columns: str) -> DataFrame:
     """Keys with rows that differ in every one of the columns."""
     c = df.groupBy(*key).agg(F.count("*").alias("n"), *(F.countDistinct(x).alias(f"_{x}") for x in columns))

@@ -117,9 +117,19 @@ def same_content(a: DataFrame, b: DataFrame, key: str, digest: str) -> DataFrame
     return side(a, "a").join(side(b, "b"), digest)
 
 
-def back_to_parts(df: DataFrame, part: str, original: str, index: str) -> dict[str, Column]:
-    """Conditions that route rows back to the tables they came from, with their own index restored."""
-    return {"rows": F.col(part), "index": F.col(original).alias(index)}
+def back_to_parts(df: DataFrame, part: str, original: str, index: str) -> DataFrame:
+    """Rows of a concatenation with the index of the table that each came from instead of that of the whole; `part` names it."""
+    return df.drop(index).withColumnRenamed(original, index)
+
+
+def images_of(images: DataFrame, annotations: DataFrame, ids: Sequence[int] = (), categories: Sequence[int] = ()) -> DataFrame:
+    """Images (all their columns) among the ids, if given, that have an annotation of every one of the categories."""
+    if ids:
+        images = images.filter(F.col("image_id").isin(*ids))
+    if categories:
+        has = annotations.filter(F.col("category_id").isin(*categories)).groupBy("image_id").agg(F.count_distinct("category_id").alias("_k")).filter(F.col("_k") == len(set(categories)))
+        images = images.join(has, "image_id", "left_semi")
+    return images
 
 
 def packed_answers(rows: DataFrame, packs: DataFrame, key: str, index: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -217,3 +217,61 @@ def labelled_rows(df: DataFrame, *rows: tuple[str, Column]) -> DataFrame:
 def latex(*values: Column, places: int = 1) -> Column:
     """A row of a LaTeX table."""
     return F.concat(F.concat_ws(" & ", *(F.format_string(f"%.{places}f", v.cast("double")) for v in values)), F.lit(" \\\\"))
+
+
+def capabilities(df: DataFrame, names: Sequence[str], category: str, score: str) -> DataFrame:
+    """(part, category, tot, acc): of each capability, those rows whose category holds its name (a row counts for several),
+    and of each whole combination, commas as underscores; both with Overall; acc is the mean score times 100."""
+    has = F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(F.col(category), n))
+    lines = F.concat(F.transform(has, lambda n: F.struct(F.lit("capability").alias("part"), n.alias("category"))), F.array(*(F.struct(F.lit(p).alias("part"), x.alias("category")) for p, x in (("combination", F.replace(F.col(category), F.lit(","), F.lit("_"))), ("capability", F.lit("Overall")), ("combination", F.lit("Overall"))))))
+    e = df.select(F.explode(lines).alias("l"), score)
+    return e.groupBy("l.part", "l.category").agg(F.count("*").alias("tot"), (F.avg(score) * 100).alias("acc"))
+
+
+def rated_dimensions(df: DataFrame, dimensions: str, score: str, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(level, dim, all, valid): mean scores, negative ones as 0 (all) or left out (valid), of every dimension that a row names
+    (fine) and of every group that one of its dimensions is in (coarse)."""
+    fine = F.transform(dimensions, lambda x: F.struct(F.lit("fine").alias("level"), x.alias("dim")))
+    coarse = F.filter(F.array(*(F.struct(F.lit("coarse").alias("level"), F.when(F.arrays_overlap(dimensions, F.array(*map(F.lit, m))), F.lit(g)).alias("dim")) for g, m in groups.items())), lambda x: x["dim"].isNotNull())
+    e = df.select(F.explode(F.concat(fine, coarse)).alias("l"), F.col(score).alias("_s"))
+    return e.groupBy("l.level", "l.dim").agg(F.avg(F.greatest("_s", F.lit(0))).alias("all"), F.avg(F.when(F.col("_s") >= 0, F.col("_s"))).alias("valid"))
+
+
+def long_documents(df: DataFrame, answer: str, pred: str, score: str, sources: str, pages: str, named: dict[str, str], none: str = "Not answerable") -> DataFrame:
+    """(category, num, avg_score): overall accuracy and F1 (recall over answerable questions, precision over answered ones), a
+    row per evidence source (name: source, an element of the sources) and per number of evidence pages; 0 without rows."""
+    pages_of = F.size(pages)
+    lines = {"overall_acc": F.lit(True), **{n: F.array_contains(sources, v) for n, v in named.items()}, "single-page": pages_of == 1, "multi-page": pages_of > 1, "unanswerable": pages_of == 0}
+    asked, said = F.col(answer) != none, F.col(pred) != none
+    sums = [x for k, c in lines.items() for x in (F.count(F.when(c, 1)).alias(f"n_{k}"), F.coalesce(F.avg(F.when(c, F.col(score))), F.lit(0.0)).alias(f"s_{k}"))]
+    d = df.agg(*sums, F.avg(F.when(asked, F.col(score))).alias("_r"), F.avg(F.when(said, F.col(score))).alias("_p"))
+    rows = [F.struct(F.lit(k).alias("category"), F.col(f"n_{k}").alias("num"), F.col(f"s_{k}").alias("avg_score")) for k in lines]
+    f1 = F.struct(F.lit("overall_f1").alias("category"), F.col("n_overall_acc").alias("num"), F.try_divide(2 * F.col("_r") * F.col("_p"), F.col("_r") + F.col("_p")).alias("avg_score"))
+    return d.select(F.explode(F.array(f1, *rows)).alias("l")).select("l.*")
+
+
+def by_metadata(df: DataFrame, metadata: str, keys: Sequence[str], hit: str) -> DataFrame:
+    """(key, value, correct, total, accuracy, place): accuracies (in per cent, two decimals) by each key of a JSON object, from
+    the best down within a key, and the average of all rows (value null)."""
+    fields = F.array(*(F.struct(F.lit(k).alias("key"), F.get_json_object(metadata, f"$.{k}").alias("value")) for k in keys), F.struct(F.lit("average").alias("key"), F.lit(None).cast("string").alias("value")))
+    e = df.select(F.explode(fields).alias("f"), F.col(hit).cast("long").alias("_h"))
+    d = e.groupBy("f.key", "f.value").agg(F.sum("_h").alias("correct"), F.count("*").alias("total")).withColumn("accuracy", F.round(100.0 * F.col("correct") / F.col("total"), 2))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("accuracy"), "value")))  # a row per value
+
+
+def subtotals(df: DataFrame, category: str, hit: str, parts: dict[str, Sequence[str]]) -> DataFrame:
+    """(line, score): hits of every category and of every part (its categories), their sum (Final Score) and a tenth of it."""
+    c = df.groupBy(F.col(category).alias("line")).agg(F.sum(F.col(hit).cast("double")).alias("score"))
+    part = F.array_compact(F.array(*(F.when(F.col("line").isin(*m), F.lit(p)) for p, m in parts.items())))
+    sums = c.select(F.explode(part).alias("line"), "score").groupBy("line").agg(F.sum("score").alias("score"))
+    total = c.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_t")).select(F.explode(F.array(F.struct(F.lit("Final Score").alias("line"), F.col("_t").alias("score")), F.struct(F.lit("Final Score Norm").alias("line"), (F.col("_t") / 10).alias("score")))).alias("l")).select("l.*")
+    return c.unionByName(sums).unionByName(total)
+
+
+def measures_by_type(df: DataFrame, unit: str, kind: str, measures: Sequence[str], places: int = 2) -> DataFrame:
+    """(kind, a column per measure, mean of the first two): means of the units' means, times 100 and rounded in between, by type
+    and, as `overall`, of the types' means."""
+    e = df.groupBy(unit).agg(F.max(kind).alias("kind"), *(F.round(F.avg(m) * 100, places).alias(m) for m in measures))
+    t = e.groupBy("kind").agg(*(F.avg(m).alias(m) for m in measures))
+    both = t.unionByName(t.agg(*(F.avg(m).alias(m) for m in measures)).withColumn("kind", F.lit("overall")))
+    return both.withColumn("both", (F.col(measures[0]) + F.col(measures[1])) / 2)

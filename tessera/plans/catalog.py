@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import register
-from . import audit, batch, evaluate, frames, oracles, text
+from . import audit, batch, branches, branches_sql, evaluate, frames, oracles, text
 from .fixtures import with_fixtures
 
 #: Where DuckDB writes something otherwise.
@@ -32,6 +32,7 @@ def _duck(sql: str) -> str:
 
 
 SQL = {name: with_fixtures(q) for part in (evaluate, batch, audit, text) for name, q in part.SQL.items()}
+assert branches
 #: Queries are built from operators (frames); the SQL is what checks them. Only a name without a frame runs its SQL.
 QUERIES = {name: _query(q) for name, q in SQL.items()} | frames.QUERIES
-ORACLES = {name: _duck(q) for name, q in SQL.items()} | {name: with_fixtures(q) for name, q in oracles.ORACLES.items()}
+ORACLES = {name: _duck(q) for name, q in SQL.items()} | {name: with_fixtures(q) for name, q in (oracles.ORACLES | branches_sql.ORACLES).items()}

@@ -98,8 +98,9 @@ def checked(spark: SparkSession, path: str, md5: str) -> DataFrame:
 
 def samples(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A folder of JSON files, one sample each, with the file's name without its suffix; files that don't parse are left out."""
-    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("name"), F.from_json("value", schema).alias("row"))
-    return text.filter(F.col("row").isNotNull()).select("name", "row.*")
+    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("name"), "value")
+    parsed = text.select("name", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("row"))
+    return parsed.filter(F.col("row").isNotNull() & F.col("row._bad").isNull()).select("name", "row.*").drop("_bad")
 
 
 def record(records: DataFrame, key: str, value, schema: str, payload: str = "value") -> DataFrame:
@@ -129,9 +130,13 @@ def pairs(spark: SparkSession, folder: str, left: str = "json", right: str = "jp
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of files in UTF-8, or, where they aren't, in the Windows code page 1252."""
+    """(path, text) of files in UTF-8, or, where they aren't, in the Windows code page 1252: Latin-1, whose control characters
+    from 0x80 on are letters and marks there."""
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252")).alias("text"))
+    marks = {b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+    marks = {chr(b): x for b, x in marks.items() if x != "\ufffd"}
+    page = F.translate(F.decode("content", "ISO-8859-1"), "".join(marks), "".join(marks.values()))
+    return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(page).alias("text"))
 
 
 class FrameCache:
