@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _SETS
+from .oracles import _IOU3, _SETS
 
 _OUT = "o AS (SELECT *, (sample_id + variant) AS k FROM fx_iou), x AS (SELECT *, NOT (k % 17 = 0 OR k % 11 = 0 OR k % 13 = 0) AS ex, k % 7 > 0 AS va, k % 7 > 0 AND k % 3 > 0 AND pred_px > 0 AS ne, k % 7 > 0 AND inter_px > 0 AS ov, k % 4 > 0 AS seg FROM o)"
 _RATE = lambda n, e: f"count(*) FILTER ({e}) AS {n}, round(count(*) FILTER ({e}) / count(*), 6) AS {n}_rate"
@@ -14,7 +14,14 @@ _GROUP = lambda name, dims: f"SELECT 'coarse' AS level, '{name}' AS dim, s FROM
 _LINE = lambda name, cond: f"SELECT '{name}' AS category, count(*) FILTER ({cond}) AS num, round(coalesce(avg(hit) FILTER ({cond}), 0), 9) AS avg_score FROM d"
 _MOVE = "list_transform(range(49), lambda q: {}[((1 + q // 7) * 8 // 10) * 8 + ((2 + 6 - q % 7) * 8 // 12) + 1])"
 
+_BOX = "list_min(list_transform(on_, lambda i: (i - 1) % 4)) AS x0, list_min(list_transform(on_, lambda i: (i - 1) // 4)) AS y0, list_max(list_transform(on_, lambda i: (i - 1) % 4)) AS x1, list_max(list_transform(on_, lambda i: (i - 1) // 4)) AS y1"
+_IN_ORDER = lambda name, keys: f"string_agg(k::VARCHAR, ',' ORDER BY {keys}, k) AS {name}"
 ORACLES = {
+    "GE16_mask_reward": f"WITH {_SETS}, mm AS (SELECT id, len(g) AS n, {_IOU3} AS m FROM st), v AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) AS v(a, b, c)) SELECT id, round(max(m[a][1] + m[b][2] + CASE WHEN n = 3 THEN m[c][3] ELSE 0 END) / 3, 9) AS reward FROM mm, v GROUP BY id",
+    "GE24_outermost": f"WITH {_SETS}, d AS (SELECT id, k - 1 AS pos, p[k] AS m FROM st, range(1, 4) AS a(k) UNION ALL SELECT id, k + 2, list_transform(p[k], lambda v, i: CASE WHEN i < 10 THEN v ELSE 0 END) FROM st, range(1, 4) AS a(k)), n AS (SELECT *, list_sum(m) AS px FROM d) SELECT id, pos::INT AS pos FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.id = a.id AND (b.px > a.px OR b.px = a.px AND b.pos < a.pos) AND list_dot_product(a.m::DOUBLE[], b.m::DOUBLE[]) = a.px)",
+    "GE26_painted": f"WITH {_SETS}, d AS (SELECT id, p[1] AS a, list_transform(p[2], lambda v, i: CASE WHEN i < 12 THEN v ELSE 0 END) AS b FROM st), n AS (SELECT *, list_sum(a) AS na, list_sum(b) AS nb FROM d) SELECT id, array_to_string(list_transform(list_zip(a, b), lambda z: CASE WHEN z[1] = 1 AND z[2] = 1 THEN CASE WHEN nb < na THEN 255 ELSE 1 END WHEN z[2] = 1 THEN 255 ELSE z[1] END), ',') AS mask FROM n",
+    "ST08_mask_order": f"WITH {_SETS}, e AS (SELECT id, k - 1 AS k, list_filter(range(1, 17), lambda i: p[k][i] = 1) AS on_ FROM st, range(1, 4) AS a(k)), b AS (SELECT id, k, {_BOX} FROM e) SELECT id, {_IN_ORDER('ltr_ttb', 'x0 + x1, y0 + y1')}, {_IN_ORDER('ttb_ltr', 'y0 + y1, x0 + x1')}, {_IN_ORDER('tlbr', 'y0, x0')} FROM b GROUP BY id HAVING count(x0) = 3",
+    "PA12_fixed_size": "WITH d AS (SELECT p_partkey, p_size AS n, CASE WHEN p_size >= 5 THEN list_transform(list_sort([{'h': md5('7-' || p_partkey || '-' || i), 'i': i} FOR i IN range(p_size)])[1:5], lambda s: s.i) ELSE [('0x' || substr(md5('7-' || p_partkey || '-' || j), 1, 8))::BIGINT % p_size FOR j IN range(1, 6)] END AS x FROM part) SELECT p_partkey, 5 AS n, array_to_string(list_transform(list_sort(x), lambda i: i + 1), ',') AS items FROM d",
     "GE14_admissible": f"WITH {_SETS}, pq AS (SELECT id, i, j, list_sum(p[i]) + list_sum(g[j]) AS t, list_dot_product(p[i]::DOUBLE[], g[j]::DOUBLE[]) AS x FROM st, range(1, 4) AS a(i), range(1, 4) AS b(j) WHERE j <= len(g)), l AS (SELECT id, list({{'i': i, 'j': j, 'v': CASE WHEN t = 0 THEN 0 ELSE x / (t - x) END, 'a': (id + (i - 1) * 3 + (j - 1) * 5) % 4 / 4.0}} ORDER BY CASE WHEN t = 0 THEN 0 ELSE x / (t - x) END DESC, i, j) AS l FROM pq GROUP BY id), f AS (SELECT id, list_reduce(l, lambda s, x: CASE WHEN s.stop OR list_contains(s.r, x.i) OR list_contains(s.c, x.j) THEN s WHEN x.v < 0.25 OR x.a < 0.25 THEN {{'r': s.r, 'c': s.c, 'v': s.v, 'stop': true}} ELSE {{'r': list_append(s.r, x.i), 'c': list_append(s.c, x.j), 'v': list_append(s.v, x.v), 'stop': false}} END, {{'r': []::BIGINT[], 'c': []::BIGINT[], 'v': []::DOUBLE[], 'stop': false}}) AS s FROM l) SELECT id, len(s.v)::INT AS n, round(coalesce(list_avg(s.v), 0), 9) AS mean FROM f",
     "AG12_by_version_and_subfield": "WITH e AS (SELECT 'v' || (event_id % 4) AS v, event_type AS f, value > 50 AS hit FROM events), a AS (SELECT 'problem_version' AS key, v AS value, hit FROM e UNION ALL SELECT 'subfield', f, hit FROM e UNION ALL SELECT 'average', NULL, hit FROM e), g AS (SELECT key, value, count(*) FILTER (hit) AS correct, count(*) AS total, round(100.0 * count(*) FILTER (hit) / count(*), 2) AS accuracy FROM a GROUP BY key, value) SELECT *, row_number() OVER (PARTITION BY key ORDER BY accuracy DESC, value) AS place FROM g",
     "AG13_combinations": "WITH d AS (SELECT hit, idx % 2 = 0 AS rec, idx % 3 = 0 AS ocr, idx % 5 = 0 AS know FROM fx_eval), e AS (SELECT 'capability' AS part, unnest(list_filter([CASE WHEN rec THEN 'rec' END, CASE WHEN ocr THEN 'ocr' END, CASE WHEN know THEN 'know' END, 'gen', 'Overall'], lambda x: x IS NOT NULL)) AS category, hit FROM d UNION ALL SELECT 'combination', unnest([CASE WHEN rec THEN 'rec_' ELSE '' END || CASE WHEN ocr THEN 'ocr_' ELSE '' END || CASE WHEN know THEN 'know_' ELSE '' END || 'gen', 'Overall']), hit FROM d) SELECT part, category, count(*) AS tot, round(avg(hit) * 100, 6) AS acc FROM e GROUP BY ALL",
