@@ -26,7 +26,7 @@ PASSAGE = 32  # words of a passage in the fit
 STEP = 8  # windows start at multiples of this
 WINDOWS = (16, 48)
 COMMON = 0.03  # a word in more than this share of passages weighs nothing
-COSINE, COSINE_LIKELY = 0.55, 0.65
+COSINE, COSINE_LIKELY = 0.62, 0.65
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.55, 0.5
 ENOUGH = 0.5  # share of an item's distinct words that a region holds
 CLAUSE = (6, 16)  # words of a clause: shorter ones join the next, longer ones are cut
@@ -240,6 +240,14 @@ def search(table: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, vectors, free, heavy, items = shared.value
         groups = _alike([len(x[1]) for x in items])
+        # a region that holds ENOUGH of an item's distinct words holds so many of those that weigh
+        own = [np.unique(x[1]) for x in items]
+        need = np.array([np.ceil(ENOUGH * len(w) - 1e-9) - np.count_nonzero(~heavy[w]) for w in own])
+        beside = np.array([-(-len(x[1]) // 2 // STEP) + 1 for x in items])
+        word = np.concatenate([w[heavy[w]] for w in own])
+        item = np.concatenate([np.full(np.count_nonzero(heavy[w]), k) for k, w in enumerate(own)])
+        order = np.argsort(word, kind="stable")
+        item, offset = item[order], np.searchsorted(word[order], np.arange(len(rows) + 1))
         common = {k: np.isin(np.arange(len(rows)), items[k][1]) for k in np.flatnonzero(free).tolist()}
 
         for b in batches:
@@ -268,6 +276,11 @@ def search(table: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
                 weighty[some + 1] = 1
                 weighty = np.cumsum(weighty)
                 del block
+                hit = np.flatnonzero(offset[ids + 1] > offset[ids])
+                n = offset[ids[hit] + 1] - offset[ids[hit]]
+                at_block = np.repeat(np.searchsorted(starts, hit, side="right") - 1, n)
+                at_item = item[np.repeat(offset[ids[hit]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                places = np.sort(at_item * (len(starts) + 1) + at_block)  # an item's words by block
                 for g, end, windows in groups:
                     if free[g:end].all():
                         continue
@@ -282,19 +295,22 @@ def search(table: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarr
                             x = (total[z] - total[a]).astype(np.float32)
                             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
                             near = x @ vectors[g:end].T
-                            for r, k in zip(*np.nonzero(near >= COSINE), strict=True):
-                                judge(int(a[r]), int(z[r]), int(k) + g, float(near[r, k]))
-                for k, own in common.items():
-                    n = np.concatenate([[0], np.cumsum(np.add.reduceat(own[ids].astype(np.int64), starts))])
+                            r, k = np.nonzero(near >= COSINE)
+                            key, lows, highs = (k + g) * (len(starts) + 1), np.maximum(a[r] - beside[k + g], begin[a[r]]), np.minimum(z[r] + beside[k + g], last[a[r]])
+                            held = np.searchsorted(places, key + highs) - np.searchsorted(places, key + lows)
+                            kept = held >= need[k + g]
+                            for x, y in zip(r[kept].tolist(), k[kept].tolist(), strict=True):
+                                judge(int(a[x]), int(z[x]), y + g, float(near[x, y]))
+                for k, among in common.items():
+                    n = np.concatenate([[0], np.cumsum(np.add.reduceat(among[ids].astype(np.int64), starts))])
                     width = -(-len(items[k][1]) // STEP) + 1
                     a = np.arange(len(starts))
                     z = np.minimum(a + width, last)
-                    beside = -(-len(items[k][1]) // 2 // STEP) + 1
-                    lo, hi = np.maximum(a - beside, begin), np.minimum(z + beside, last)
+                    lo, hi = np.maximum(a - beside[k], begin), np.minimum(z + beside[k], last)
                     for r in np.flatnonzero(n[hi] - n[lo] >= np.ceil(ENOUGH * len(set(items[k][1])))).tolist():
                         judge(r, int(z[r]), k, 1.0)
-            own, th = b["id"].tolist(), b["th"].tolist()
-            yield pd.DataFrame([(own[d], th[d], items[k][0], s) for (d, k), s in out.items()], columns=["id", "th", "item_id", "score"]).astype({"id": "int64", "th": "int64", "item_id": "int64", "score": "float64"})
+            doc_ids, th = b["id"].tolist(), b["th"].tolist()
+            yield pd.DataFrame([(doc_ids[d], th[d], items[k][0], s) for (d, k), s in out.items()], columns=["id", "th", "item_id", "score"]).astype({"id": "int64", "th": "int64", "item_id": "int64", "score": "float64"})
 
     return table.mapInPandas(lean(run), "id long, th long, item_id long, score double")
 
