@@ -303,14 +303,23 @@ def unmarked(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_marked()), r"\p{Mn}", "")
 
 
-def normalized(text: Column, rounds: int = 4) -> Column:
+def normalized(text: Column) -> Column:
     """Without marks, with plain quotes and dashes, without citations and parentheses at the end and outer quotation marks
-    (taken off in turn, `rounds` times at most), without a final period, in lower case with single spaces."""
+    (taken off in turn until nothing comes off), without a final period, in lower case with single spaces. What comes off
+    makes the text shorter, so there are no more turns than characters; when a turn changes nothing the rest is passed over."""
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(unmarked(text), "[‘’´`]", "'"), "[“”]", '"'), "[‐‑‒–—−]", "-")
-    for _ in range(rounds):
+
+    def turn(x: Column) -> Column:
         x = F.regexp_replace(F.trim(x), r"((?<!^)\[[^\]]*\]|\[\d+\]|[•♦†‡*#+])*$", "")
         x = F.regexp_replace(F.trim(x), r"(?<!^)( \([^)]*\))*$", "")
-        x = F.regexp_replace(F.trim(x), r'^"([^"]*)"$', "$1")
+        return F.regexp_replace(F.trim(x), r'^"([^"]*)"$', "$1")
+
+    def step(state: Column, _: Column) -> Column:
+        now = F.element_at(F.transform(F.array(turn(state["x"])), lambda y: F.struct(y.alias("x"), (y == state["x"]).alias("done"))), 1)
+        return F.when(state["done"], state).otherwise(now)
+
+    start = F.struct(x.alias("x"), F.lit(False).alias("done"))
+    x = F.when(x.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.length(x)), start, step, lambda s: s["x"]))
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(x, r"\.$", ""), r"\s+", " ")))
 
 
@@ -320,7 +329,7 @@ def value_kind(text: Column) -> Column:
 
 
 def values_equal(a: Column, b: Column) -> Column:
-    """Numbers within 1e-6, dates part by part (xx fits only xx), texts when normalised alike."""
+    """Numbers within 1e-6, other values (dates too, whose unknown parts fit only each other) when normalised alike."""
     x, y = F.trim(a).try_cast("double"), F.trim(b).try_cast("double")
     both = lambda k: (value_kind(a) == k) & (value_kind(b) == k)
     return F.when(both("number"), F.abs(x - y) < 1e-6).otherwise(normalized(a) == normalized(b))

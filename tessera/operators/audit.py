@@ -233,6 +233,6 @@ def _intervals(spark: SparkSession, g: DataFrame, by: list[str], seed: int, draw
     n = F.size("v")
     drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get(F.col("v"), _draw(F.col("_b"), j, seed, n)))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)
-    rows = spark.range(draws).withColumnRenamed("id", "_b").crossJoin(F.broadcast(g)).select(*by, mean(F.col("v")).alias("_e"), mean(drawn).alias("_s"))
+    rows = spark.range(draws).withColumnRenamed("id", "_b").crossJoin(g).select(*by, mean(F.col("v")).alias("_e"), mean(drawn).alias("_s"))
     q = F.percentile("_s", F.array(F.lit(0.025), F.lit(0.975)))
     return rows.groupBy(*by).agg(F.max("_e").alias("estimate"), q.alias("_q")).select(*by, "estimate", F.get("_q", 0).alias("lower"), F.get("_q", 1).alias("upper"))

@@ -1324,7 +1324,7 @@ def _(t):
     segments = t.supplier.select(c("s_suppkey").alias("segment"), (c("s_nationkey") + 1).alias("category_id"), (c("s_suppkey") % 2).alias("crowd")).filter("crowd = 0")
     names = t.nation.select((c("n_nationkey") + 1).alias("category_id"), c("n_name").alias("name"), (c("n_nationkey") < 9).alias("thing"))
     place = names.groupBy("thing").agg(F.array_sort(F.collect_list("category_id")).alias("ids"))
-    d = segments.join(F.broadcast(names), "category_id").join(F.broadcast(place), "thing")
+    d = segments.join(names, "category_id").join(place, "thing")
     return d.select("segment", F.when(c("thing"), "thing").otherwise("stuff").alias("kind"), (F.array_position("ids", c("category_id")) - 1 + F.when(c("thing"), 0).otherwise(9)).cast("int").alias("place"), "name")
 
 
@@ -1472,7 +1472,7 @@ def _(t):
 
 @query("SE14_zero_product")
 def _(t):
-    return t.region.select("r_name").crossJoin(F.broadcast(t.orders.select("o_orderstatus").distinct()))
+    return t.region.select("r_name").crossJoin(t.orders.select("o_orderstatus").distinct())
 
 
 # Checks
@@ -1716,7 +1716,7 @@ def _(t):
 
 @query("PA11_factorial_plan")
 def _(t):
-    d = t.region.select(c("r_regionkey").alias("chart")).crossJoin(F.broadcast(t.nation.select(c("n_nationkey").alias("slot"))))
+    d = t.region.select(c("r_regionkey").alias("chart")).crossJoin(t.nation.select(c("n_nationkey").alias("slot")))
     return d.withColumns({"palette": (c("chart") * 7 + c("slot") * 3) % 5, "seed": F.md5(F.concat_ws("-", c("chart").cast("string"), c("slot").cast("string")).cast("binary"))})
 
 
