@@ -18,6 +18,7 @@ _BOX = "list_min(list_transform(on_, lambda i: (i - 1) % 4)) AS x0, list_min(lis
 _IN_ORDER = lambda name, keys: f"string_agg(k::VARCHAR, ',' ORDER BY {keys}, k) AS {name}"
 ORACLES = {
     "GE16_mask_reward": f"WITH {_SETS}, mm AS (SELECT id, len(g) AS n, {_IOU3} AS m FROM st), v AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) AS v(a, b, c)) SELECT id, round(max(m[a][1] + m[b][2] + CASE WHEN n = 3 THEN m[c][3] ELSE 0 END) / 3, 9) AS reward FROM mm, v GROUP BY id",
+    "SK07_predictions": f"WITH {_SETS}, e AS (SELECT id, k - 1 AS place, list_transform(range(16), lambda i: p[k][(i % 4) * 4 + i // 4 + 1]) AS f FROM st, range(1, 4) AS a(k)), c AS (SELECT id, place, list_concat(list_concat(CASE WHEN f[1] = 1 THEN [0, 0] ELSE [0] END, list_filter(range(1, 16), lambda i: f[i + 1] <> f[i])), [16]) AS e FROM e) SELECT id AS image_id, place::INT AS place, '{{\"image_id\":' || id || ',\"category_id\":1,\"segmentation\":\"' || array_to_string([e[i + 1] - e[i] FOR i IN range(1, len(e))], ',') || '\",\"score\":1.0}}' AS line FROM c",
     "GE24_outermost": f"WITH {_SETS}, d AS (SELECT id, k - 1 AS pos, p[k] AS m FROM st, range(1, 4) AS a(k) UNION ALL SELECT id, k + 2, list_transform(p[k], lambda v, i: CASE WHEN i < 10 THEN v ELSE 0 END) FROM st, range(1, 4) AS a(k)), n AS (SELECT *, list_sum(m) AS px FROM d) SELECT id, pos::INT AS pos FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.id = a.id AND (b.px > a.px OR b.px = a.px AND b.pos < a.pos) AND list_dot_product(a.m::DOUBLE[], b.m::DOUBLE[]) = a.px)",
     "GE26_painted": f"WITH {_SETS}, d AS (SELECT id, p[1] AS a, list_transform(p[2], lambda v, i: CASE WHEN i < 12 THEN v ELSE 0 END) AS b FROM st), n AS (SELECT *, list_sum(a) AS na, list_sum(b) AS nb FROM d) SELECT id, array_to_string(list_transform(list_zip(a, b), lambda z: CASE WHEN z[1] = 1 AND z[2] = 1 THEN CASE WHEN nb < na THEN 255 ELSE 1 END WHEN z[2] = 1 THEN 255 ELSE z[1] END), ',') AS mask FROM n",
     "ST08_mask_order": f"WITH {_SETS}, e AS (SELECT id, k - 1 AS k, list_filter(range(1, 17), lambda i: p[k][i] = 1) AS on_ FROM st, range(1, 4) AS a(k)), b AS (SELECT id, k, {_BOX} FROM e) SELECT id, {_IN_ORDER('ltr_ttb', 'x0 + x1, y0 + y1')}, {_IN_ORDER('ttb_ltr', 'y0 + y1, x0 + x1')}, {_IN_ORDER('tlbr', 'y0, x0')} FROM b GROUP BY id HAVING count(x0) = 3",

@@ -1257,7 +1257,7 @@ def _(t):
     return rounded(detect.summary(detect.average_precision(*_scene(t), ranges=_RANGES, most=_MOST), _RANGES, _MOST), 9, "value")
 
 
-def _captions(t) -> DataFrame:
+def _part_captions(t) -> DataFrame:
     """Captions of parts: hypotheses of four forms, some empty, and one or two references."""
     words = lambda *x: F.split(F.lower(F.concat_ws(" ", *x)), " ")
     k = c("p_partkey")
@@ -1268,17 +1268,17 @@ def _captions(t) -> DataFrame:
 
 @query("GE23_bleu")
 def _(t):
-    return rounded(captions.bleu(_captions(t)), 9, "bleu")
+    return rounded(captions.bleu(_part_captions(t)), 9, "bleu")
 
 
 @query("GE23_rouge_l")
 def _(t):
-    return rounded(captions.rouge_l(_captions(t)), 9, "rouge_l")
+    return rounded(captions.rouge_l(_part_captions(t)), 9, "rouge_l")
 
 
 @query("GE23_cider")
 def _(t):
-    return rounded(captions.cider(_captions(t)), 6, "cider")
+    return rounded(captions.cider(_part_captions(t)), 6, "cider")
 
 
 @query("GE24_outermost")

@@ -42,6 +42,11 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
