@@ -131,6 +131,12 @@ def answer_text(text: Column) -> Column:
     return digits_and_articles(punctuation(F.trim(F.translate(text, "\n\t", "  "))))
 
 
+def answer_texts(texts: Column) -> Column:
+    """answer_text of each of the texts; equal ones are processed once."""
+    known = lambda u: F.map_from_arrays(u, F.transform(u, answer_text))
+    return _let(texts, lambda a: _let(known(F.array_distinct(F.array_compact(a))), lambda m: F.transform(a, lambda x: F.try_element_at(m, x))))
+
+
 def yes_or_no(text: Column) -> Column:
     """Yes or No, if one of the words is there and the other isn't, else Unknown."""
     words = tokens(punctuation(F.lower(text)))
@@ -139,10 +145,13 @@ def yes_or_no(text: Column) -> Column:
 
 
 def agreement(prediction: Column, answers: Column) -> Column:
-    """Mean over the answers (processed texts) of min(1, equal ones among the others / 3)."""
-    equal = F.size(F.filter(answers, lambda x: x == prediction))
-    each = F.transform(answers, lambda x: F.least(F.lit(1.0), (equal - F.when(x == prediction, 1).otherwise(0)) / 3.0))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(answers)
+    """Mean over the answers (processed texts) of min(1, equal ones among the others / 3). Answers that equal the prediction
+    have one less among the others than those that don't, so their number tells the mean."""
+    some = lambda k: F.least(F.lit(1.0), k / 3.0)
+    mean = lambda k, n: (k * some(k - 1) + (n - k) * some(k)) / n
+    given = F.struct(prediction.alias("prediction"), answers.alias("answers"))
+    same = lambda s: F.size(F.filter(s["answers"], lambda x: x == s["prediction"]))
+    return _let(given, lambda s: F.when(s["answers"].isNotNull(), _let(same(s), lambda k: mean(k, F.size(s["answers"])))))
 
 
 def exact(prediction: Column, answers: Column) -> Column:

@@ -174,3 +174,21 @@ def test_violations(spark):
     d = spark.createDataFrame([("x1", "a", 1, "i/j"), (" ", "b", -1, "../j"), (None, None, None, "/j")], "n string, k string, v int, p string")
     got = [x[0] for x in d.select(audit.violations(rules)).collect()]
     assert got[0] == [] and got[1] == ["n: missing", "k: unknown value", "n: malformed", "v: negative", "p: unsafe path"] and len(got[2]) == 5
+
+
+def test_agreement_is_worked_out_once(spark):
+    """Texts are processed once each, not once a pair of answers; the mean is that of the rule."""
+    rows = [(k, "a", ["a"] * k + ["b"] * (10 - k)) for k in range(11)] + [(11, "a", ["a", None, "b"]), (12, "c", ["a"]), (13, "a", None)]
+    d = spark.createDataFrame(rows, "id int, p string, a array<string>")
+    out = d.select("id", answers.agreement(F.upper("p"), F.transform("a", F.upper)).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 2
+    for r in out.collect():
+        p, a = rows[r.id][1:]
+        want = a and sum(min(1.0, sum(y == p for n, y in enumerate(a) if n != m) / 3) for m in range(len(a))) / len(a)
+        assert r.s == want or abs(r.s - want) < 1e-12
+
+
+def test_answer_texts(spark):
+    a = ["The  Cat, one", None, "the cat one", "The  Cat, one", ""]
+    d = spark.createDataFrame([(a,), (None,), ([],)], "a array<string>")
+    assert [r.s for r in d.select(answers.answer_texts(F.col("a")).alias("s")).collect()] == [r.s for r in d.select(F.transform("a", answers.answer_text).alias("s")).collect()]
