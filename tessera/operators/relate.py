@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from .ordered import laid_out
+
 
 def unknown(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key isn't known."""
@@ -175,11 +181,61 @@ def thumbnail_candidates(df: DataFrame, key: str, split: str, pixels: str, most:
     return j.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), F.col("_p").alias("left"), F.col("_p2").alias("right"))
 
 
-def near_thumbnails(df: DataFrame, key: str, split: str, pixels: str, most: float, n: int = 3) -> DataFrame:
-    """(a, b, distance): pairs of different splits whose mean absolute difference (0 to 1) is at most `most`, a < b. Candidates
-    come from cells of the distances from n pivots."""
-    j = thumbnail_candidates(df, key, split, pixels, most, n).withColumn("distance", _l1(F.col("left"), F.col("right")) / F.size("left") / 255)
-    return j.filter(F.col("distance") <= most).select("a", "b", F.round("distance", 8).alias("distance"))
+def _across(most: float):
+    """The near pairs of two blocks (ids and pixels; a row each, of two splits). A slice of the left block at a time meets the
+    whole right one, so that no matrix is larger than 2 MB."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        left, right = (blocks["_ids"][k].values for k in (0, 1))
+        x, y = (blocks["_px"][k].values.to_numpy().reshape(len(ids), -1) for k, ids in enumerate((left, right)))
+        y = np.ascontiguousarray(y.T)
+        step, found = max(1, (1 << 18) // len(right)), []
+        for lo in range(0, len(left), step):
+            part = x[lo : lo + step]
+            total = np.zeros((len(part), len(right)))
+            for j in range(len(y)):  # in the pixels' order, so that sums are the same whoever adds them
+                total += np.abs(part[:, j, None] - y[j])
+            total = total / len(y) / 255
+            i, j = np.nonzero(total <= most)
+            found.append((i + lo, j, total[i, j]))
+        i, j, gap = (np.concatenate(v) for v in zip(*found, strict=True))
+        a, b = left.take(pa.array(i)), right.take(pa.array(j))
+        less = pc.less(a, b)
+        out = pa.table({"a": pc.if_else(less, a, b), "b": pc.if_else(less, b, a), "distance": pa.array(gap)})
+        return out.filter(pc.not_equal(a, b))
+
+    return run
+
+
+def near_thumbnails(df: DataFrame, key: str, split: str, pixels: str, most: float, n: int = 3, block: int = 1024) -> DataFrame:
+    """(a, b, distance): pairs of different splits whose mean absolute difference (0 to 1) is at most `most`, a < b.
+
+    Rows lie in blocks of a split, in the order of the cells of their distances from n pivots. Two blocks meet where their
+    ranges are within `most` for every pivot (by the triangle inequality no near pair is lost): each two are a group of two
+    rows, dealt by hash, so that work and memory of a group are bounded by the block however many rows share a cell, and a row
+    is copied once a block beside its own, not once a row."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+    width = most * (1 + 1e-9) + 1e-12
+    cells = [f"_c{k}" for k in range(n)]
+    d = df.select(F.col(key).alias("_k"), F.col(split).alias("_s"), F.col(pixels).cast("array<double>").alias("_p"))
+    d = d.filter("_k is not null and _s is not null and size(_p) > 0 and forall(_p, x -> x is not null)")
+    d = d.withColumn("_n", F.size("_p")).withColumns({f"_x{k}": x for k, x in enumerate(pivots(F.col("_p"), n))})
+    d = laid_out(d.withColumns({f"_c{k}": F.floor(F.col(f"_x{k}") / width) for k in range(n)}), ["_s", "_n", *cells, "_k"])
+    ends = {f"_{side}{k}": end(f"_x{k}") for k in range(n) for side, end in (("lo", F.min), ("hi", F.max))}
+    rows = d.groupBy("_s", "_n", "__part", F.floor(F.col("__at") / block)).agg(F.collect_list(F.struct("_k", "_p")).alias("_rows"), *(x.alias(c) for c, x in ends.items()))
+    path = scratch(df.sparkSession, "blocks")
+    flat = rows.select("_s", "_n", *ends, F.transform("_rows", lambda s: s["_k"]).alias("_ids"), F.flatten(F.transform("_rows", lambda s: s["_p"])).alias("_px"))
+    flat.withColumn("_b", F.monotonically_increasing_id()).write.parquet(path)
+    blocks = df.sparkSession.read.parquet(path)
+    one = blocks.select("_b", "_s", "_n", *ends)
+    two = one.withColumnsRenamed({c: f"{c}_" for c in ("_b", "_s", *ends)})
+    near = F.col("_s") < F.col("_s_")
+    for k in range(n):
+        near = near & (F.col(f"_lo{k}") <= F.col(f"_hi{k}_") + width) & (F.col(f"_lo{k}_") <= F.col(f"_hi{k}") + width)
+    met = one.join(F.broadcast(two), "_n").filter(near).select(F.col("_b").alias("_one"), F.col("_b_").alias("_two"))  # a row per block
+    met = met.select("_one", "_two", F.explode(F.array("_one", "_two")).alias("_b")).join(blocks.select("_b", "_ids", "_px"), "_b")
+    out = met.groupBy("_one", "_two").applyInArrow(_across(most), f"a {kind}, b {kind}, distance double")
+    return out.withColumn("distance", F.round("distance", 8))
 
 
 CODE_BITS = 64
@@ -219,7 +275,30 @@ def near_images(df: DataFrame, key: str = "sample_id", split: str = "split", bit
     return j.filter((F.col("histogram_l1") <= histogram) & (F.col("edge_mae") <= edge) & (F.col("mask_mae") <= mask) & (F.abs(F.col("foreground1") - F.col("foreground2")) <= foreground)).select("a", "b", "hamming", "histogram_l1", "edge_mae", "mask_mae")
 
 
+def _nearest(most: int):
+    """Of a task's pairs the number and the nearest `most`; batches are merged one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, n = None, 0
+        for b in batches:
+            n += b.num_rows
+            t = pa.Table.from_batches([b])
+            t = t if best is None else pa.concat_tables([best, t])
+            if best is not None and best.num_rows == most:  # what is farther than the last of them can't be among them
+                t = t.filter(pc.less_equal(t["distance"], best["distance"][most - 1]))
+            best = t.sort_by([(c, "ascending") for c in ("distance", "a", "b")]).slice(0, most)
+        if best is not None:
+            count = pa.array([n] + [0] * (best.num_rows - 1), pa.int64()) if best.num_rows else pa.array([], pa.int64())
+            yield from best.append_column("n_pairs", count).combine_chunks().to_batches()
+
+    return run
+
+
 def reported(pairs: DataFrame, most: int = 200) -> DataFrame:
-    """The nearest `most` pairs and, in each row, the number of all and whether some are left out."""
-    n = pairs.agg(F.count("*").alias("n_pairs"))
-    return pairs.orderBy("distance", "a", "b").limit(most).crossJoin(F.broadcast(n)).withColumn("truncated", F.col("n_pairs") > most)
+    """The nearest `most` pairs and, in each row, the number of all and whether some are left out. Pairs are made once: each
+    task gives its own nearest, so that `most` rows a task meet in the end."""
+    p = pairs.select("distance", "a", "b")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema)
+    got = p.mapInArrow(_nearest(most), f"{kinds}, n_pairs long").agg(F.sum("n_pairs").alias("n_pairs"), F.array_sort(F.collect_list(F.struct("distance", "a", "b"))).alias("_p"))
+    out = got.select("n_pairs", F.explode(F.slice("_p", 1, most)).alias("_p"))
+    return out.select("_p.a", "_p.b", "_p.distance", "n_pairs", (F.col("n_pairs") > most).alias("truncated"))

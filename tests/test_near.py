@@ -52,3 +52,22 @@ def test_images_equal_all_pairs(spark, bits):
     got = relate.near_images(d, bits=bits).collect()
     assert {(x.a, x.b) for x in got} == want and len(got) == len(want) and want
     assert relate.image_candidates(d, bits=bits).count() < 20 * len(rows)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_thumbnails_in_blocks(spark, block):
+    """Rows of one cell are cut into blocks, each pair of which is one group; keys may be texts, sizes may differ."""
+    r = random.Random(5)
+    rows = [(f"k{i:03d}", r.choice(["a", "b", "c", None]), [float(r.randint(0, 9)) for _ in range(r.choice([4, 5]))]) for i in range(120)]
+    rows += [("none", "a", None), ("gap", "a", [1.0, None, 2.0, 3.0]), (None, "b", [1.0] * 4)]
+    d = spark.createDataFrame(rows, "id string, split string, px array<double>")
+    full = [x for x in rows if x[0] and x[1] and x[2] and None not in x[2]]
+    gap = lambda x, y: sum(abs(a - b) for a, b in zip(x, y, strict=True)) / len(x) / 255
+    want = {(a, b): round(gap(p, q), 8) for a, s, p in full for b, u, q in full if a < b and s != u and len(p) == len(q) and gap(p, q) <= 0.008}
+    pairs = relate.near_thumbnails(d, "id", "split", "px", 0.008, block=block)
+    got = pairs.collect()
+    assert len(got) == len(want) > 200 and {(x.a, x.b): x.distance for x in got} == pytest.approx(want)
+    nearest = sorted((v, *k) for k, v in want.items())[:9]
+    told = relate.reported(pairs, 9).collect()
+    assert [(x.a, x.b) for x in told] == [x[1:] for x in nearest] and {(x.n_pairs, x.truncated) for x in told} == {(len(want), True)}
+    assert relate.reported(pairs.filter("distance < 0"), 9).count() == 0
