@@ -61,3 +61,14 @@ def test_length_groups(spark):
                 assert got[x[1]] == k // 6 * 2 + j
                 sums[j] += x[2]
                 counts[j] += 1
+
+
+def test_differencing_in_many_parts():
+    """40,000 sizes in 5,000 parts: states with every empty set written out would be 200 million sets."""
+    r = random.Random(4)
+    sizes = [r.randint(1, 50) for _ in range(40_000)]
+    parts = partition.differencing(sizes, 5_000, False)
+    assert sorted(i for p in parts for i in p) == list(range(40_000))
+    sums = [sum(sizes[i] for i in p) for p in parts]
+    assert len(parts) == 5_000 and sums == sorted(sums, reverse=True) and sums[0] - sums[-1] <= 3
+    assert partition.differencing([], 3, False) == [[], [], []] and sorted(map(sorted, partition.differencing([0, 0], 3, False))) == [[], [0], [1]]
