@@ -30,6 +30,16 @@ def saved_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return last.select("key", F.from_json("_r.row", schema).alias("row")).select("key", "row.*")
 
 
+def number_text(value: Column) -> Column:
+    """A double in the fewest digits that give it back, as Python writes it: 10000000.0, 0.0001, 1e-05, 1e+16."""
+    text = value.cast("string")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    spelt = F.concat(digits, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    return F.when(power.between(-4, 15), plain).when(power.isNotNull(), spelt).when(F.isnan(value), "nan").otherwise(F.replace(text, F.lit("Infinity"), F.lit("inf")))
+
+
 def metric_rows(summary: DataFrame, by: list[str]) -> DataFrame:
     """(by, metric, value): a row per metric, without those that are null."""
     names = sorted(c for c in summary.columns if c not in by)
@@ -45,7 +55,7 @@ def write_summary(rows: DataFrame, summary: DataFrame, path: str, by: list[str])
     """results (a line per row, keys sorted), summary (JSON) and metrics (CSV of metric and value) below a folder."""
     canonical(rows, rows.columns).write.text(f"{path}/results")
     summary.write.option("ignoreNullFields", "false").json(f"{path}/summary")
-    metric_rows(summary, by).write.option("header", "true").csv(f"{path}/metrics")
+    metric_rows(summary, by).withColumn("value", number_text(F.col("value"))).write.option("header", "true").csv(f"{path}/metrics")
 
 
 def submission(df: DataFrame, index: str, answer: str) -> DataFrame:

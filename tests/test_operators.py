@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import batch
-from tessera.sources import files
+from tessera.sources import files, sinks
 from tessera.streaming import jobs
 
 
@@ -80,3 +80,11 @@ def test_streams(spark, tmp_path):
 def test_pending(spark):
     wanted, results = spark.range(4).toDF("k"), spark.createDataFrame([(0, "ok"), (1, "FAIL"), (1, "ok"), (2, "FAIL")], "k long, out string")
     assert sorted(r.k for r in jobs.pending(wanted, results, "k", "out = 'FAIL'").collect()) == [2, 3]
+
+
+def test_numbers_as_python_writes_them(spark):
+    """Sums of ten million and more aren't written as 1.0E7."""
+    v = [10177450.0, 1e7, -1e7, 123456789.25, 9999999.0, 0.1, 1e15, 1234567890123456.0, 1e16, 1.5e22, 1e100, 0.001, 0.00012345678901234567, -0.0001, 1e-5, 2.5e-7, 1e-300, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 1 / 3]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "k int, v double")
+    assert [r.s for r in d.select("k", sinks.number_text(F.col("v")).alias("s")).orderBy("k").collect()] == [repr(x) for x in v]
+    assert spark.range(1).select(sinks.number_text(F.lit(None).cast("double"))).first()[0] is None
