@@ -88,3 +88,13 @@ def test_numbers_as_python_writes_them(spark):
     d = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "k int, v double")
     assert [r.s for r in d.select("k", sinks.number_text(F.col("v")).alias("s")).orderBy("k").collect()] == [repr(x) for x in v]
     assert spark.range(1).select(sinks.number_text(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_first_of_each_takes_late_rows(spark, tmp_path):
+    """Files far apart in time and out of order: a watermark of 1,000 days would leave out the second and third."""
+    for k, at in enumerate(("2024-01-01", "2001-01-01", "2010-01-01")):
+        spark.createDataFrame([(k, at), (9, at)], "k long, at string").coalesce(1).withColumn("at", F.col("at").cast("timestamp")).write.parquet(f"{tmp_path}/in/{k}")
+    for k in range(3):
+        s = spark.readStream.schema("k long, at timestamp").option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        assert jobs.write_all(jobs.first_of_each(s, "k"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(100)
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 9]
