@@ -52,3 +52,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_line_items_that_are_there_twice(spark, tmp_path):
+    """A result has a row a line item, as its SQL has, though the table repeats one."""
+    d = spark.read.parquet(f"{SF}/lineitem.parquet").limit(5)
+    d.union(d).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["TX17_float_equal"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["TX17_float_equal"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()) and got.count() == 5
