@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import _let
 from .ordered import numbered
 from .report import with_quantiles
 
@@ -101,22 +102,26 @@ def schema_violations(json: Column, types: dict[str, str], required: Sequence[st
     """Messages on a record written as a JSON object: fields that are missing, unknown or not of their exact type (string,
     integer, number, boolean, object), and the same of the parameters that its action asks for."""
 
-    value = F.try_parse_json(json)
-
-    def kind(path: str) -> Column:
-        t = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-        return F.when(t == "BIGINT", "integer").when(t.rlike("^(DECIMAL|DOUBLE)"), "number").when(t.startswith("OBJECT"), "object").otherwise(F.lower(t))
-
-    keys = F.json_object_keys(json)
-    inner = F.coalesce(F.json_object_keys(F.get_json_object(json, f"$.{nested}")), F.array().cast("array<string>"))
-    fits = lambda path, t: (kind(path) == t) | ((kind(path) == "integer") & (t == "number"))
-    out = [F.transform(F.array_except(F.array(*map(F.lit, required)), keys), lambda x: F.concat(x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, types)))), lambda x: F.concat(x, F.lit(": unknown")))]
-    out.append(F.array_compact(F.array(*(F.when(F.array_contains(keys, f) & ~fits(f"$.{f}", t), F.lit(f"{f}: not {t}")) for f, t in types.items()))))
-    for a, wanted in parameters.items():
-        names = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
-        odd = F.concat(F.transform(F.array_except(names, inner), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(inner, names)), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": unknown"))), F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.array_contains(inner, f) & ~fits(f"$.{nested}.{f}", t), F.lit(f"{nested}.{f}: not {t}")) for f, t in wanted.items()))))
-        out.append(F.when(F.get_json_object(json, f"$.{action}") == a, odd).otherwise(F.array().cast("array<string>")))
-    return F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(*out))
+    none = F.array().cast("array<string>")
+
+    def fits(value: Column, path: str, t: str) -> Column:
+        kind = lambda k: F.when(k == "BIGINT", "integer").when(k.rlike("^(DECIMAL|DOUBLE)"), "number").when(k.startswith("OBJECT"), "object").otherwise(F.lower(k))
+        return _let(F.schema_of_variant(F.try_variant_get(value, path, "variant")), lambda k: _let(kind(k), lambda k: (k == t) | ((k == "integer") & (t == "number"))))
+
+    def rules(x: Column) -> Column:
+        keys, inner = x["keys"], x["inner"]
+        out = [F.transform(F.array_except(F.array(*map(F.lit, required)), keys), lambda x: F.concat(x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, types)))), lambda x: F.concat(x, F.lit(": unknown")))]
+        out.append(F.array_compact(F.array(*(F.when(F.array_contains(keys, f) & ~fits(x["value"], f"$.{f}", t), F.lit(f"{f}: not {t}")) for f, t in types.items()))))
+        for a, wanted in parameters.items():
+            names = F.array(*map(F.lit, wanted)) if wanted else none
+            odd = F.concat(F.transform(F.array_except(names, inner), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": missing"))), F.transform(F.array_sort(F.array_except(inner, names)), lambda x: F.concat(F.lit(f"{nested}."), x, F.lit(": unknown"))), F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.array_contains(inner, f) & ~fits(x["value"], f"$.{nested}.{f}", t), F.lit(f"{nested}.{f}: not {t}")) for f, t in wanted.items()))))
+            out.append(F.when(x["action"] == a, odd).otherwise(none))
+        return F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(*out))
+
+    # a record is parsed once for its values, and once for each of its lists of names
+    named = lambda j: F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{nested}")), none)
+    read = lambda j: F.struct(F.try_parse_json(j).alias("value"), F.json_object_keys(j).alias("keys"), named(j).alias("inner"), F.get_json_object(j, f"$.{action}").alias("action"))
+    return _let(json, lambda j: _let(read(j), rules))
 
 
 def varied_keys(df: DataFrame, key: Sequence[str | Column], *columns: str) -> DataFrame:

@@ -192,3 +192,12 @@ def test_answer_texts(spark):
     a = ["The  Cat, one", None, "the cat one", "The  Cat, one", ""]
     d = spark.createDataFrame([(a,), (None,), ([],)], "a array<string>")
     assert [r.s for r in d.select(answers.answer_texts(F.col("a")).alias("s")).collect()] == [r.s for r in d.select(F.transform("a", answers.answer_text).alias("s")).collect()]
+
+
+def test_schema_parses_a_record_once(spark):
+    types = {f"f{k}": ("string", "integer", "number")[k % 3] for k in range(12)}
+    d = spark.createDataFrame([("{}",)], "j string").select(audit.schema_violations(F.upper("j"), types, list(types), {"a": types}))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    plain = spark.createDataFrame([('{"f0": 1, "f1": 2.5, "f2": 7, "x": 1}',), ("[1]",), (None,)], "j string")
+    got = [r.v for r in plain.select(audit.schema_violations(F.col("j"), types, ["f0", "f3"], {}).alias("v")).collect()]
+    assert got == [["f3: missing", "x: unknown", "f0: not string", "f1: not integer"], ["not an object"], ["not an object"]]
