@@ -1,19 +1,26 @@
 """Caption scores from n-gram counts and common subsequences: BLEU over a corpus, ROUGE-L, and CIDEr with the corpus's own
 document frequencies. Captions are rows (id, hypothesis, references): an array of tokens and an array of such arrays.
 
-n-grams become rows, so a corpus of any size is counted by aggregations; nothing holds a vocabulary.
+n-grams are counted within their caption and summed up over captions by aggregations; nothing holds a vocabulary.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import _let
+from ..session import scratch
+
 #: Orders of n-grams, the guards of BLEU, the weight of recall in ROUGE-L, the spread and scale of CIDEr.
 ORDERS = 4
 TINY, SMALL = 1e-15, 1e-9
 BETA = 1.2
 SIGMA, SCALE = 6.0, 10.0
+#: n-grams of more than one in so many captions are broadcast.
+OFTEN = 1000
 
 
 def ngrams(tokens: Column, n: Column) -> Column:
@@ -23,19 +30,24 @@ def ngrams(tokens: Column, n: Column) -> Column:
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """(id, side, n, gram, count): n-grams of every caption; side -1 is the hypothesis, others the references by place."""
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.col("hypothesis").alias("words"))), F.transform("references", lambda r, i: F.struct(i.alias("side"), r.alias("words"))))
-    s = df.select("id", F.explode(sides).alias("s")).select("id", "s.side", "s.words")
-    s = s.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(ORDERS))))
-    return s.select("id", "side", "n", F.explode(ngrams(F.col("words"), F.col("n"))).alias("gram")).groupBy("id", "side", "n", "gram").agg(F.count("*").alias("count"))
+    """(id, n, gram, h, r): a row per distinct n-gram of a caption (id is a key), its count in the hypothesis and in each of the
+    references; and a row with n = 0 and no gram. All of a caption is counted in its own row, without a shuffle."""
+    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+
+    def tally(n: int) -> Callable[[Column], Column]:
+        entry = lambda s, g: F.struct(F.lit(n).alias("n"), g.alias("gram"), times(s["h"], g).alias("h"), F.transform(s["r"], lambda r: times(r, g)).alias("r"))
+        return lambda s: F.transform(F.array_distinct(F.concat(s["h"], F.flatten(s["r"]))), lambda g: entry(s, g))
+
+    of = lambda n: F.struct(ngrams(F.col("hypothesis"), F.lit(n)).alias("h"), F.transform("references", lambda r: ngrams(r, F.lit(n))).alias("r"))
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("gram"), F.lit(0).alias("h"), F.transform("references", lambda r: F.lit(0)).alias("r")))
+    all_ = F.concat(none, *(_let(of(n), tally(n)) for n in range(1, ORDERS + 1)))
+    return df.select("id", F.explode(all_).alias("s")).select("id", "s.*")
 
 
 def bleu(df: DataFrame) -> DataFrame:
     """(n, bleu) for n from 1 to 4, over the whole corpus: counts clipped by the reference that has an n-gram most often, and
     the brevity of hypotheses against the reference of the closest length (the shorter of two)."""
-    hyp, ref = F.col("side") < 0, F.col("side") >= 0
-    clip = counted(df).groupBy("id", "n", "gram").agg(F.max(F.when(hyp, F.col("count"))).alias("h"), F.max(F.when(ref, F.col("count"))).alias("r")).filter("h is not null")
-    right = clip.groupBy("n").agg(F.sum(F.least("h", F.coalesce("r", F.lit(0)))).alias("right"))
+    right = counted(df).groupBy("n").agg(F.sum(F.least("h", F.coalesce(F.array_max("r"), F.lit(0)))).alias("right"))
     size = F.size("hypothesis")
     closest = F.array_min(F.transform("references", lambda r: F.struct(F.abs(F.size(r) - size).alias("gap"), F.size(r).alias("len"))))["len"]
     lengths = df.agg(F.sum(size).alias("test"), F.sum(closest).alias("ref"), *(F.sum(F.greatest(size - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, ORDERS + 1)))
@@ -67,21 +79,36 @@ def rouge_l(df: DataFrame) -> DataFrame:
 
 def cider(df: DataFrame) -> DataFrame:
     """(id, cider): n-gram vectors weighed by log(captions / captions whose references hold the n-gram), the hypothesis clipped
-    by each reference, with a penalty for another number of bigrams; mean over orders and references, times ten."""
+    by each reference, with a penalty for another number of bigrams; mean over orders and references, times ten.
+
+    An n-gram that more than one in OFTEN captions hold is looked up in a broadcast table: there are at most OFTEN times as many
+    as a caption has n-grams on average, whatever the corpus; the rest are joined. What is added up is a row a reference."""
+    spark = df.sparkSession
     g = counted(df)
-    ref = F.col("side") >= 0
-    frequency = g.filter(ref).groupBy("n", "gram").agg(F.count_distinct("id").alias("_df")).withColumnsRenamed({"n": "_n", "gram": "_g"})
-    corpus = df.agg(F.log(F.count("*").cast("double")).alias("_all"))
-    w = g.join(frequency, (F.col("n") == F.col("_n")) & (F.col("gram") == F.col("_g")), "left").drop("_n", "_g").crossJoin(F.broadcast(corpus))
-    w = w.withColumn("w", F.col("count") * (F.col("_all") - F.log(F.greatest(F.coalesce("_df", F.lit(0)), F.lit(1)).cast("double"))))
-    norms = w.groupBy("id", "side", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    h, r = w.filter(~ref).select("id", "n", "gram", F.col("w").alias("h")), w.filter(ref).select("id", "side", "n", "gram", F.col("w").alias("r"))
-    dots = r.join(h, ["id", "n", "gram"]).groupBy("id", "side", "n").agg(F.sum(F.least("h", "r") * F.col("r")).alias("dot"))
-    hn, rn = norms.filter(~ref).select("id", "n", F.col("norm").alias("hn")), norms.filter(ref).withColumnRenamed("norm", "rn")
-    cos = dots.join(rn, ["id", "side", "n"]).join(hn, ["id", "n"]).select("id", "side", F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot")).alias("cos"))
+    path = scratch(spark, "frequency")
+    g.filter("n > 0 and exists(r, x -> x > 0)").groupBy("n", "gram").agg(F.count("*").alias("_df")).write.parquet(path)
+    corpus = df.agg(F.count("*").cast("double").alias("_all"))
+    frequency = spark.read.parquet(path).withColumnsRenamed({"n": "_n", "gram": "_g"}).crossJoin(F.broadcast(corpus))
+    often = F.col("_df") > F.col("_all") / OFTEN
+    same = (F.col("n") == F.col("_n")) & (F.col("gram") == F.col("_g"))
+    tried = g.join(F.broadcast(frequency.filter(often).drop("_all")), same, "left").drop("_n", "_g")
+    rest = (F.col("n") > 0) & F.col("_df").isNull()
+    rare = tried.filter(rest).drop("_df").join(frequency.filter(~often).drop("_all"), same, "left").drop("_n", "_g")
+    w = tried.filter(~rest).unionByName(rare).crossJoin(F.broadcast(corpus))
+    w = w.withColumn("w", F.log("_all") - F.log(F.greatest(F.coalesce("_df", F.lit(0)), F.lit(1)).cast("double")))
+    w = w.select("id", "n", (F.col("h") * F.col("w")).alias("h"), "w", F.posexplode_outer("r").alias("side", "r")).withColumn("r", F.col("r") * F.col("w"))
+    dot = F.when(F.col("h") != 0, F.least("h", "r") * F.col("r"))  # zero counts weigh nothing
+    sums = {"hh": F.col("h") * F.col("h"), "rr": F.col("r") * F.col("r"), "dot": dot}
+    order = range(1, ORDERS + 1)
+    s = w.groupBy("id", "side").agg(*(F.sum(F.when(F.col("n") == n, x)).alias(f"{c}{n}") for n in order for c, x in sums.items()))
+
+    def cos(n: int) -> Column:
+        both = F.sqrt(f"hh{n}") * F.sqrt(f"rr{n}")
+        return F.coalesce(F.when(both > 0, F.col(f"dot{n}") / both).otherwise(F.col(f"dot{n}")), F.lit(0.0))
+
+    total = s.select("id", "side", (sum((cos(n) for n in order), F.lit(0.0)) / ORDERS).alias("c"))
     each = df.select("id", "hypothesis", F.posexplode_outer("references").alias("side", "words"))
     pairs = lambda x: F.greatest(F.size(x) - 1, F.lit(0))
     gap = pairs("hypothesis") - pairs("words")
     each = each.select("id", "side", F.exp(-(gap * gap) / (2 * SIGMA**2)).alias("near"))
-    total = cos.groupBy("id", "side").agg((F.sum("cos") / ORDERS).alias("c"))
     return each.join(total, ["id", "side"], "left").groupBy("id").agg((F.sum(F.coalesce(F.col("c") * F.col("near"), F.lit(0.0))) / F.count("*") * SCALE).alias("cider"))

@@ -148,3 +148,16 @@ def test_caption_scores(spark):
                 total += (dot / (norm(a) * norm(b)) if norm(a) and norm(b) else dot) * math.exp(-(gap**2) / 72) / 4
         cider[i] = total / len(refs) * 10
     assert {r.id: r.cider for r in captions.cider(df).collect()} == pytest.approx(cider)
+
+
+def test_captions_are_counted_in_their_rows(spark, monkeypatch):
+    """No shuffle of n-grams to count them; rare and frequent n-grams, looked up apart, give one score."""
+    d = spark.createDataFrame([(1, ["a", "a", "b"], [["a", "b"], ["a", "a", "a"]]), (2, [], [["b", "c"]]), (3, ["c"], [[]]), (4, ["b", "c"], [["b", "c"]])], "id int, hypothesis array<string>, references array<array<string>>")
+    g = captions.counted(d)
+    assert "Exchange" not in g._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.gram, r.h, r.r) for r in g.filter("id = 1 and n = 1").collect()) == [(["a"], 2, [1, 3]), (["b"], 1, [1, 0])]
+    scores = []
+    for often in (0.5, 2, 1000):
+        monkeypatch.setattr(captions, "OFTEN", often)
+        scores.append({r.id: round(r.cider, 9) for r in captions.cider(d).collect()})
+    assert scores[0] == scores[1] == scores[2] and set(scores[0]) == {1, 2, 3, 4} and scores[0][2] == scores[0][3] == 0 < scores[0][4]
