@@ -146,6 +146,38 @@ def test_suffix_dedup(spark, many):
         assert got[i] == want
 
 
+def test_suffix_splits_a_very_common_anchor(spark, monkeypatch):
+    """The spans of a passage that most documents share are joined by several tasks, and results stay."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(6))
+    passage = " ".join(word() for _ in range(75))
+    rows = [f"{word()} {word()} {passage} {word()} {word()}" for _ in range(400)]
+    rows += [" ".join(word() for _ in range(100)) for _ in range(40)] * 2
+    written = {}
+
+    def watched(df, name):
+        written[name] = suffix_materialize(df, name)
+        return written[name]
+
+    suffix_materialize = suffix.materialize
+    monkeypatch.setattr(suffix, "materialize", watched)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {x.doc_id: tuple(x)[1:] for x in suffix.remove_repeats(docs(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]).repartition(8), many=16).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for i, want in enumerate(brute_removed([t.encode() for t in rows], 400)):
+        assert got[i] == want
+    held = written["shared-spans"]
+    anchors = held.groupBy("f").count().agg(F.max("count")).first()[0]
+    assert anchors >= 400
+    assert held.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < anchors
+
+
 def test_suffix_edges(spark, edge, empty):
     assert suffix.remove_repeats(edge).count() == 8
     assert suffix.remove_repeats(empty).count() == 0
