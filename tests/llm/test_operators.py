@@ -5,6 +5,7 @@ import io
 import itertools
 import json
 import random
+import re
 import time
 import zipfile
 import zlib
@@ -178,6 +179,26 @@ def test_suffix_splits_a_very_common_anchor(spark, monkeypatch):
     assert held.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < anchors
 
 
+def test_suffix_does_not_shuffle_copies_by_span(spark):
+    """Copies beside near copies: the few spans that are there as a whole are broadcast, and results stay."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdeé") for _ in range(6)) for _ in range(120)]
+    near = lambda: " ".join(r.choice(words) if r.random() < 0.02 else w for w in words)
+    rows = [" ".join(words)] * 60 + [near() for _ in range(400)]
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "4k")
+    try:
+        out = suffix.remove_repeats(docs(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]))
+        got = {x.doc_id: tuple(x)[1:] for x in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    for i, want in enumerate(brute_removed([t.encode() for t in rows], 400)):
+        assert got[i] == want
+    assert not re.search(r"hashpartitioning\(f#\d+L?, h#", plan)
+
+
 def test_suffix_edges(spark, edge, empty):
     assert suffix.remove_repeats(edge).count() == 8
     assert suffix.remove_repeats(empty).count() == 0
