@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
-from tessera.plans import frames
+from tessera.plans import catalog, frames
 from tessera.streaming import jobs
 
 NAN = float("nan")
@@ -66,6 +67,18 @@ def test_accumulated_again_after_a_failure(spark, tmp_path):
         assert sorted(b for x, b in per if x == lane) == list(range(sum(x == lane for x, _ in per)))
 
 
+def test_accumulated_query_counts_a_null_user(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, r.choice([None, *range(14)]), "click", r.choice([None, *(float(x) for x in range(101))])) for i in range(400)]
+    rows += [(400 + i, 77, "click", v) for i, v in enumerate((50.0, NAN))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["SM04_accumulated"](spark, str(tmp_path)).collect()))
+    sql = catalog.ORACLES["SM04_accumulated"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(sql).fetchall()) == [(0, 5), (1, 5), (2, 5)]
+
+
 def test_a_stream_has_no_time_limit(spark, tmp_path):
     """A run that takes long is waited for: the limit of 600 s ended whole jobs on large tables."""
 
