@@ -5,6 +5,7 @@ import random
 import xxhash
 
 from tessera.operators import partition
+from tessera.plans import frames
 
 
 def spread(sizes, parts):
@@ -72,3 +73,14 @@ def test_differencing_in_many_parts():
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert len(parts) == 5_000 and sums == sorted(sums, reverse=True) and sums[0] - sums[-1] <= 3
     assert partition.differencing([], 3, False) == [[], [], []] and sorted(map(sorted, partition.differencing([0, 0], 3, False))) == [[], [0], [1]]
+
+
+def test_micro_batches_of_the_whole_table(spark, tmp_path):
+    """The query has a row for every line item, not only for those of each 40th order."""
+    lines = [(o, n, float(1 + (7 * o + n) % 50)) for o in range(1, 60) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = frames.QUERIES["PA03_micro_batches"](spark, str(tmp_path)).collect()
+    assert sorted((r.batch, r.row_id) for r in got) == sorted((o % 7, o * 10 + n) for o, n, _ in lines)
+    for b in range(7):
+        total = sum(q for o, _, q in lines if o % 7 == b)
+        assert len({r.part for r in got if r.batch == b}) == -(-total // 200)
