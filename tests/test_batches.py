@@ -1,6 +1,7 @@
 """Batches cut into micro-batches and length groups, against plain computations."""
 
 import random
+import time
 
 import xxhash
 
@@ -84,3 +85,22 @@ def test_micro_batches_of_the_whole_table(spark, tmp_path):
     for b in range(7):
         total = sum(q for o, _, q in lines if o % 7 == b)
         assert len({r.part for r in got if r.batch == b}) == -(-total // 200)
+
+
+def test_differencing_in_arrays(monkeypatch):
+    """States as arrays give the parts of states as lists, item by item, and aren't searched set by set: 260,000 sizes in
+    33,000 parts took 9.5 s in lists and 0.9 s in arrays."""
+    r = random.Random(6)
+    for _ in range(300):
+        n, most = r.randint(0, r.choice([6, 30, 300])), r.choice([0, 1, 2, 5, 50, 1000])
+        sizes, k = [r.randint(0, most) for _ in range(n)], r.randint(2, r.choice([4, 20, n + 3]) + 2)
+        monkeypatch.setattr(partition, "_MANY", 1 << 40)
+        want = partition.differencing(sizes, k, False)
+        monkeypatch.setattr(partition, "_MANY", 2)
+        assert partition.differencing(sizes, k, False) == want
+    monkeypatch.undo()
+    sizes = [r.randint(1, 50) for _ in range(600_000)]
+    start = time.process_time()
+    parts = partition.differencing(sizes, 75_000, False)
+    assert time.process_time() - start < 12
+    assert sorted(i for p in parts for i in p) == list(range(600_000))
